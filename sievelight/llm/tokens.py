@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes that separate words: blank and \t-\r.
 SPACES = np.zeros(256, bool)
@@ -114,7 +115,7 @@ def split_words(column: pa.Array, separators: np.ndarray, lower: bool = False) -
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes of text each (one row at least), so memory stays bounded."""
     for batch in batches:
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         at, total = 0, 0
         for i, n in enumerate(lengths.tolist()):
             if i > at and total + n > limit:
