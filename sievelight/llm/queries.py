@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import bktree, line_quality, mixing, url_model
+from sievelight.llm import anchors, bktree, line_quality, mixing, url_model
 from sievelight.llm.store import materialize
 
 
@@ -17,6 +17,10 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_quality(table(spark, sf_dir, "documents"))
 
 
+def op5_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.repeated_windows(table(spark, sf_dir, "documents"))
+
+
 def op8_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bktree.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", bktree.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -32,8 +36,8 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_line_quality, op8_bktree, op9_url_model, op10_mix_sources)}
+    return {f.__name__: f for f in (op3_line_quality, op5_anchors, op8_bktree, op9_url_model, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_quality": line_quality.ORACLE}
+    return {"op3_line_quality": line_quality.ORACLE, "op5_anchors": anchors.ORACLE}
