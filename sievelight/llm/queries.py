@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import anchors, bktree, line_quality, mixing, url_model
+from sievelight.llm import anchors, bktree, licenses, line_quality, mixing, tiling, url_model
 from sievelight.llm.store import materialize
 
 
@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_quality(table(spark, sf_dir, "documents"))
 
@@ -21,6 +26,10 @@ def op5_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.repeated_windows(table(spark, sf_dir, "documents"))
 
 
+def op6_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bktree.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", bktree.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -36,7 +45,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_line_quality, op5_anchors, op8_bktree, op9_url_model, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_licenses, op3_line_quality, op5_anchors, op6_tiling, op8_bktree, op9_url_model, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
