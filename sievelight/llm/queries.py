@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import anchors, bktree, licenses, line_quality, mixing, tiling, url_model
+from sievelight.llm import anchors, bktree, licenses, line_quality, mixing, tiling, toxicity, url_model
 from sievelight.llm.store import materialize
 
 
@@ -18,6 +18,10 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_quality(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_licenses, op3_line_quality, op5_anchors, op6_tiling, op8_bktree, op9_url_model, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_licenses, op2_toxicity, op3_line_quality, op5_anchors, op6_tiling, op8_bktree, op9_url_model, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
