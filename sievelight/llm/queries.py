@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import anchors, bktree, licenses, line_quality, mixing, tiling, toxicity, url_model
+from sievelight.llm import anchors, bktree, disclosure, licenses, line_quality, mixing, tiling, toxicity, url_model
 from sievelight.llm.store import materialize
 
 
@@ -34,6 +34,10 @@ def op6_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bktree.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", bktree.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -49,7 +53,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_licenses, op2_toxicity, op3_line_quality, op5_anchors, op6_tiling, op8_bktree, op9_url_model, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_licenses, op2_toxicity, op3_line_quality, op5_anchors, op6_tiling, op7_disclosure, op8_bktree, op9_url_model, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
