@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import anchors, bktree, disclosure, licenses, line_quality, mixing, tiling, toxicity, url_model
+from sievelight.llm import anchors, bktree, cotraining, disclosure, licenses, line_quality, mixing, tiling, toxicity, url_model
 from sievelight.llm.store import materialize
 
 
@@ -26,6 +26,10 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_quality(table(spark, sf_dir, "documents"))
 
 
+def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.repeated_windows(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_licenses, op2_toxicity, op3_line_quality, op5_anchors, op6_tiling, op7_disclosure, op8_bktree, op9_url_model, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_licenses, op2_toxicity, op3_line_quality, op4_cotraining, op5_anchors, op6_tiling, op7_disclosure, op8_bktree, op9_url_model, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
