@@ -1 +1,423 @@
-"""Queries."""
+"""Queries of term statistics and retrieval; documents are the chunks, benchmark passages the queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from sievelight.catalog.registry import Tables, query
+from sievelight.functions import text as T
+from sievelight.operators import search as R
+from sievelight.operators import terms as W
+from sievelight.plans import hybrid
+
+#: Synonyms and aliases that the queries use as dictionary tables.
+SYNONYMS = (("the", "der"), ("and", "und"), ("of", "de"), ("for", "pour"))
+ALIASES = (("the", "der", 1, None), ("the", "la", 2, None), ("and", "und", 3, "hand"), ("of", "von", 4, None))
+
+
+def values(rows) -> str:
+    lit = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    return ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+
+
+def chunks(t: Tables) -> DataFrame:
+    d = t.documents
+    return d.select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("source").alias("kb_id"), "lang", F.col("text").alias("content"), T.tokenize(F.col("text")).alias("tokens"), F.array("lang", "source").alias("tags"))
+
+
+def question_tokens(t: Tables) -> DataFrame:
+    return t.benchmark.select(F.col("item_id").alias("query_id"), F.posexplode(T.tokenize(F.col("text"))).alias("pos", "term"))
+
+
+def weights(t: Tables) -> DataFrame:
+    return W.term_weights(question_tokens(t), W.term_stats(chunks(t)))
+
+
+def asked(t: Tables) -> DataFrame:
+    """Weighted distinct terms of every query."""
+    return weights(t).groupBy("query_id", "term").agg(F.sum("weight").alias("boost"))
+
+
+BASE = r"""tok AS (SELECT doc_id AS chunk_id, doc_id, source AS kb_id, lang, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS tokens FROM documents),
+post AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM tok) GROUP BY ALL),
+stats AS (SELECT term, sum(tf)::BIGINT AS freq, count(*) AS df FROM post GROUP BY term)"""
+
+
+def weigh(source: str, key: str) -> str:
+    number, latin = "regexp_matches(term, '^[0-9. -]{2,}$')", "regexp_matches(term, '^[a-z. -]+$')"
+    f = f"CASE WHEN {number} THEN 3.0 WHEN freq IS NOT NULL THEN greatest(freq, 10) WHEN {latin} THEN 300 ELSE 10 END::DOUBLE"
+    d = f"CASE WHEN {number} THEN 5.0 WHEN df IS NOT NULL THEN df + 3 WHEN {latin} THEN 300 ELSE 3 END::DOUBLE"
+    kind = "(CASE WHEN regexp_matches(term, '^[0-9,.]{2,}$') THEN 2.0 WHEN regexp_matches(term, '^[a-z]{1,2}$') THEN 0.01 ELSE 1.0 END::DOUBLE * CASE WHEN regexp_matches(term, '^[0-9-]+') THEN 2 ELSE 1 END)"
+    return f"""SELECT {key}, pos, term, raw / sum(raw) OVER (PARTITION BY {key}) AS weight FROM (
+ SELECT {key}, pos, term, (0.3 * log10(10 + (1e7 - f + 0.5) / (f + 0.5)) + 0.7 * log10(10 + (1e9 - d + 0.5) / (d + 0.5))) * kind AS raw
+ FROM (SELECT {key}, pos, term, {f} AS f, {d} AS d, {kind} AS kind FROM {source} LEFT JOIN stats USING (term)))"""
+
+
+WEIGHTS = BASE + r""",
+qtok AS (SELECT query_id, unnest(t) AS term, unnest(range(0, len(t))) AS pos FROM (SELECT item_id AS query_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS t FROM benchmark)),
+w AS (""" + weigh("qtok", "query_id") + """),
+asked AS (SELECT query_id, term, sum(weight) AS boost FROM w GROUP BY ALL)"""
+HITS = WEIGHTS + """,
+size AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM tok),
+part AS (SELECT p.chunk_id, p.term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(tokens) / avgdl)) AS part
+  FROM post p JOIN stats USING (term) JOIN tok ON tok.chunk_id = p.chunk_id, size),
+hits AS (SELECT query_id, chunk_id, sum(boost * part) AS score, count(*) AS n_terms FROM asked JOIN part USING (term) GROUP BY ALL)"""
+TOP = HITS + """,
+top AS (SELECT * FROM (SELECT query_id, chunk_id, score, n_terms, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM hits) WHERE rank <= {n})"""
+
+
+def top_sql(n: int) -> str:
+    return TOP.replace("{n}", str(n))
+
+
+def r6(c: str):
+    return F.round(c, 6).alias(c)
+
+
+@query("w01_term_stats", f"WITH {BASE} SELECT term, freq, df FROM stats")
+def w01(t):
+    return W.term_stats(chunks(t))
+
+
+@query("w02_term_weights", f"WITH {WEIGHTS} SELECT query_id, pos, term, round(weight, 6) AS weight FROM w")
+def w02(t):
+    return weights(t).select("query_id", F.col("pos").cast("long").alias("pos"), "term", r6("weight"))
+
+
+def synonyms(t):
+    return t.spark.createDataFrame(SYNONYMS, "term string, synonym string")
+
+
+@query("w03_synonyms", f"WITH {WEIGHTS}, syn(term, synonym) AS (VALUES {values(SYNONYMS)}) SELECT query_id, synonym AS term, round(weight / 4, 6) AS boost FROM w JOIN syn USING (term)")
+def w03(t):
+    return W.expand_synonyms(weights(t), synonyms(t)).select("query_id", "term", r6("boost"))
+
+
+PHRASES = "SELECT query_id, term || ' ' || next AS term, 2 * greatest(weight, nw) AS boost FROM (SELECT *, lead(term) OVER o AS next, lead(weight) OVER o AS nw FROM w {where} WINDOW o AS (PARTITION BY query_id ORDER BY pos)) WHERE next IS NOT NULL"
+
+
+@query("w04_phrases", f"WITH {WEIGHTS} SELECT query_id, term, round(boost, 6) AS boost FROM ({PHRASES.format(where='')})")
+def w04(t):
+    return W.phrase_terms(weights(t)).select("query_id", "term", r6("boost"))
+
+
+@query("w05_query_terms", f"""WITH {WEIGHTS}, syn(term, synonym) AS (VALUES {values(SYNONYMS)})
+SELECT query_id, term, is_phrase, round(max(boost), 6) AS boost FROM (
+ SELECT query_id, term, false AS is_phrase, weight AS boost FROM w WHERE pos < 256
+ UNION ALL SELECT query_id, synonym, false, weight / 4 FROM w JOIN syn USING (term) WHERE pos < 256
+ UNION ALL SELECT query_id, term, true, boost FROM ({PHRASES.format(where='WHERE pos < 256')})) GROUP BY ALL""")
+def w05(t):
+    return W.query_terms(weights(t), synonyms(t)).select("query_id", "term", "is_phrase", r6("boost"))
+
+
+def keywords(t):
+    tokens = chunks(t).select("chunk_id", F.posexplode("tokens").alias("pos", "term"))
+    return W.paragraph_keywords(W.term_weights(tokens, W.term_stats(chunks(t)), "chunk_id"))
+
+
+KEYWORDS = BASE + ", ctok AS (SELECT chunk_id, unnest(tokens) AS term, unnest(range(0, len(tokens))) AS pos FROM tok), cw AS (" + weigh("ctok", "chunk_id") + """),
+kw AS (SELECT * FROM (SELECT chunk_id, term, weight, row_number() OVER (PARTITION BY chunk_id ORDER BY round(weight, 9) DESC, term) AS rank FROM (SELECT chunk_id, term, max(weight) AS weight FROM cw GROUP BY ALL)) WHERE rank <= 30)"""
+
+
+@query("w06_paragraph_keywords", f"WITH {KEYWORDS} SELECT chunk_id, term, round(weight, 6) AS weight, least(3, floor(count(*) OVER (PARTITION BY chunk_id) / 10))::INT AS min_match FROM kw")
+def w06(t):
+    return keywords(t).select("chunk_id", "term", r6("weight"), "min_match")
+
+
+@query("w07_token_similarity", f"WITH {WEIGHTS} SELECT query_id, chunk_id, round(sum(boost) / any_value(total), 6) AS similarity FROM asked JOIN post USING (term) JOIN (SELECT query_id, sum(weight) AS total FROM w GROUP BY 1) USING (query_id) GROUP BY query_id, chunk_id")
+def w07(t):
+    return W.token_similarity(weights(t), W.postings(chunks(t))).select("query_id", "chunk_id", r6("similarity"))
+
+
+COSINE = "list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x))))"
+
+
+@query("w08_hybrid_similarity", f"""WITH {WEIGHTS}, sim AS (SELECT query_id, chunk_id, sum(boost) / any_value(total) AS s FROM asked JOIN post USING (term) JOIN (SELECT query_id, sum(weight) AS total FROM w GROUP BY 1) USING (query_id) GROUP BY query_id, chunk_id)
+SELECT query_id, chunk_id, round(0.7 * {COSINE} + 0.3 * s, 6) AS similarity FROM sim JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = chunk_id""")
+def w08(t):
+    vectors = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    sim = W.token_similarity(weights(t), W.postings(chunks(t)))
+    joined = sim.join(vectors.select(F.col("id").alias("query_id"), F.col("embedding").alias("a")), "query_id").join(vectors.select(F.col("id").alias("chunk_id"), F.col("embedding").alias("b")), "chunk_id")
+    return joined.select("query_id", "chunk_id", F.round(0.7 * R.cosine(F.col("a"), F.col("b")) + 0.3 * F.col("similarity"), 6).alias("similarity"))
+
+
+@query("w09_alias_expansions", f"""WITH al(canonical, alias, ord, narrower) AS (VALUES {values(ALIASES)})
+SELECT query_id, alias, row_number() OVER (PARTITION BY query_id ORDER BY ord, alias)::INT AS rank FROM (
+ SELECT item_id AS query_id, alias, min(ord) AS ord FROM benchmark, al WHERE contains(lower(text), canonical) AND NOT contains(lower(text), alias) AND NOT coalesce(contains(lower(text), narrower), false) GROUP BY ALL) QUALIFY rank <= 8""")
+def w09(t):
+    aliases = t.spark.createDataFrame(ALIASES, "canonical string, alias string, ord int, narrower string")
+    return W.alias_expansions(t.benchmark.withColumnRenamed("item_id", "query_id"), aliases).select("query_id", "alias", "rank")
+
+
+TAGS = "tags AS (SELECT doc_id AS chunk_id, unnest([lang, source]) AS tag FROM documents)"
+
+
+@query("w10_all_tags", f"WITH {TAGS} SELECT tag, count(*) AS n FROM tags GROUP BY tag")
+def w10(t):
+    return W.all_tags(chunks(t))
+
+
+@query("w11_tag_portion", f"WITH {TAGS} SELECT tag, n, round((n + 1) / (sum(n) OVER () + 1000), 6) AS portion FROM (SELECT tag, count(*) AS n FROM tags GROUP BY tag)")
+def w11(t):
+    return W.tag_portion(chunks(t)).select("tag", "n", r6("portion"))
+
+
+def lift_sql(terms: str, key: str, matched: int, floor: int) -> str:
+    value = "round(0.1 * (c + 1) / (sum_c + 1000) / greatest(portion, 1e-6))::BIGINT"
+    value = f"greatest({value}, {floor})" if floor else value
+    return f"""{TAGS}, portion AS (SELECT tag, (n + 1) / (sum(n) OVER () + 1000) AS portion FROM (SELECT tag, count(*) AS n FROM tags GROUP BY tag)),
+hit AS (SELECT k.{key}, p.chunk_id FROM ({terms}) k JOIN post p USING (term) GROUP BY ALL HAVING count(*) >= {matched}),
+tagged AS (SELECT {key}, tag, count(*) AS c FROM hit JOIN tags USING (chunk_id) GROUP BY ALL)
+SELECT {key}, tag, lift, row_number() OVER (PARTITION BY {key} ORDER BY lift DESC, tag)::INT AS rank FROM (
+ SELECT {key}, tag, {value} AS lift FROM (SELECT *, sum(c) OVER (PARTITION BY {key}) AS sum_c FROM tagged) JOIN portion USING (tag)) WHERE lift > 0 QUALIFY rank <= 3"""
+
+
+@query("w12_tag_content", f"WITH {KEYWORDS}, {lift_sql('SELECT chunk_id AS target, term FROM kw WHERE chunk_id % 50 = 0', 'target', 3, 0)}")
+def w12(t):
+    """Query set: chunks whose id is divisible by 50, against all chunks."""
+    terms = keywords(t).filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("target"), "term")
+    return W.tag_lift(terms, W.postings(chunks(t)), chunks(t), "target", 3)
+
+
+@query("w13_tag_query", f"WITH {WEIGHTS}, {lift_sql('SELECT query_id, term FROM asked', 'query_id', 3, 1)}")
+def w13(t):
+    return W.tag_lift(asked(t).select("query_id", "term"), W.postings(chunks(t)), chunks(t), "query_id", 3, floor=1)
+
+
+@query("w14_rank_feature_score", """WITH ct AS (SELECT doc_id AS chunk_id, unnest([lang, source]) AS tag, unnest([1.0, 2.0]) AS weight FROM documents),
+qt AS (SELECT * FROM (VALUES (1, 'en', 1.0), (1, 'src1', 3.0), (2, 'fr', 2.0)) v(query_id, tag, weight)),
+dot AS (SELECT query_id, chunk_id, sum(qt.weight * ct.weight) AS dot FROM qt JOIN ct USING (tag) GROUP BY ALL)
+SELECT query_id, chunk_id, round(10 * dot / (qn * cn) + coalesce(quality, 0), 6) AS score FROM dot
+JOIN (SELECT query_id, sqrt(sum(weight * weight)) AS qn FROM qt GROUP BY 1) USING (query_id)
+JOIN (SELECT chunk_id, sqrt(sum(weight * weight)) AS cn FROM ct GROUP BY 1) USING (chunk_id)
+LEFT JOIN labels ON labels.doc_id = chunk_id""")
+def w14(t):
+    tagged = t.documents.select(F.col("doc_id").alias("chunk_id"), F.explode(F.arrays_zip(F.array("lang", "source").alias("tag"), F.array(F.lit(1.0), F.lit(2.0)).alias("weight"))).alias("x")).select("chunk_id", F.col("x.tag"), F.col("x.weight"))
+    asked_tags = t.spark.createDataFrame([(1, "en", 1.0), (1, "src1", 3.0), (2, "fr", 2.0)], "query_id int, tag string, weight double")
+    rank = t.labels.select(F.col("doc_id").alias("chunk_id"), F.col("quality").alias("pagerank"))
+    return W.rank_feature_score(asked_tags, tagged, rank).select("query_id", "chunk_id", r6("score"))
+
+
+def labelled(t: Tables) -> DataFrame:
+    available = t.labels.select(F.col("doc_id").alias("chunk_id"), (1 - F.col("toxic")).alias("available_int"))
+    return chunks(t).join(available, "chunk_id", "left")
+
+
+@query("r01_apply_filters", "SELECT d.doc_id AS chunk_id, source AS kb_id, 1 - toxic AS available_int FROM documents d LEFT JOIN labels l USING (doc_id) WHERE source IN ('src1', 'src2') AND NOT coalesce(1 - toxic < 1, false)")
+def r01(t):
+    return R.apply_filters(labelled(t), available=1, kb_id=["src1", "src2"], doc_id=[]).select("chunk_id", "kb_id", "available_int")
+
+
+@query("r02_bm25", f"WITH {HITS} SELECT query_id, chunk_id, round(score, 6) AS score, n_terms FROM hits")
+def r02(t):
+    return R.bm25(asked(t), chunks(t)).select("query_id", "chunk_id", r6("score"), "n_terms")
+
+
+@query("r03_binary_idf_score", f"WITH {HITS} SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) / ln(1 + (n - 0.5) / 1.5)), 6) AS score FROM asked JOIN post USING (term) JOIN stats USING (term), size GROUP BY ALL")
+def r03(t):
+    return R.binary_idf_score(asked(t), chunks(t)).select("query_id", "chunk_id", r6("score"))
+
+
+@query("r04_min_should_match", f"""WITH {HITS}, a AS (SELECT query_id, count(*) AS asked FROM asked GROUP BY 1), s AS (SELECT * FROM hits JOIN a USING (query_id)),
+strict AS (SELECT * FROM s WHERE n_terms >= floor(0.9 * asked))
+SELECT query_id, chunk_id, n_terms FROM strict UNION ALL SELECT query_id, chunk_id, n_terms FROM s WHERE query_id NOT IN (SELECT query_id FROM strict) AND n_terms >= floor(0.5 * asked)""")
+def r04(t):
+    return R.min_should_match(R.bm25(asked(t), chunks(t)), asked(t), 0.9, 0.5).select("query_id", "chunk_id", "n_terms")
+
+
+def vector_sets(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Query set: vectors whose id is divisible by 50, against all vectors."""
+    v = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding", F.col("label").alias("kb_id"))
+    return v.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("qvec")), v
+
+
+KNN = f"knn AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {COSINE} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) WHERE score >= 0.1) WHERE rank <= 100)"
+
+
+@query("r05_knn", f"WITH {KNN} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM knn WHERE rank <= 20")
+def r05(t):
+    q, v = vector_sets(t)
+    return R.knn(q, v, 20).select("query_id", "chunk_id", r6("score"), "rank")
+
+
+@query("r06_top_per_query", f"WITH {top_sql(100)} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM top")
+def r06(t):
+    return R.top_per_query(R.bm25(asked(t), chunks(t))).select("query_id", "chunk_id", r6("score"), "rank")
+
+
+def expanded(t: Tables) -> DataFrame:
+    """Queries with an expansion: even ones add a word, odd ones only spaces."""
+    return t.benchmark.select(F.col("item_id").alias("query_id"), "text", F.when(F.col("item_id") % 2 == 0, F.concat("text", F.lit(" der"))).otherwise(F.concat(F.lit("  "), "text")).alias("expanded"))
+
+
+BRANCHES = """br AS (SELECT item_id AS query_id, unnest(['vector_original', 'keyword_original', 'keyword_expanded']) AS branch, unnest(['vector', 'keyword', 'keyword']) AS family,
+ unnest(CASE WHEN item_id % 2 = 0 THEN [0.6, 0.2, 0.2] ELSE [0.6, 0.4, 0.0] END)::DOUBLE AS weight FROM benchmark)"""
+
+
+@query("r07_branch_weights", f"WITH {BRANCHES} SELECT query_id, branch, round(weight, 6) AS weight FROM br WHERE weight > 0")
+def r07(t):
+    return R.branch_weights(expanded(t)).select("query_id", "branch", r6("weight"))
+
+
+@query("r08_redistribute_weights", f"""WITH {BRANCHES}, h AS (SELECT *, CASE WHEN branch = 'keyword_original' OR (branch = 'vector_original' AND query_id % 3 = 0) THEN 1 ELSE 0 END AS hit FROM br WHERE weight > 0),
+f AS (SELECT *, sum(hit) OVER (PARTITION BY query_id, family) AS fh, sum(weight) OVER (PARTITION BY query_id, family) AS fw FROM h),
+l AS (SELECT *, sum(CASE WHEN fh > 0 THEN weight ELSE 0 END) OVER (PARTITION BY query_id) AS live FROM f)
+SELECT query_id, branch, round(CASE WHEN hit = 1 THEN fw / live / fh ELSE 0 END, 6) AS weight FROM l""")
+def r08(t):
+    w = R.branch_weights(expanded(t))
+    hits = w.filter("branch = 'keyword_original' or (branch = 'vector_original' and query_id % 3 = 0)")
+    return R.redistribute_weights(w, hits).select("query_id", "branch", r6("weight"))
+
+
+def rankings(t: Tables) -> DataFrame:
+    """Keyword and vector hits of the vector query set, by their own ranks."""
+    keyword = R.top_per_query(R.bm25(asked(t), chunks(t)), 100).select("query_id", F.lit("keyword").alias("branch"), "chunk_id", "rank", "score")
+    q, v = vector_sets(t)
+    vector = R.knn(q, v, 100).select("query_id", F.lit("vector").alias("branch"), "chunk_id", "rank", "score")
+    return keyword.unionByName(vector)
+
+
+def even_weights(t: Tables) -> DataFrame:
+    return rankings(t).select("query_id", "branch").distinct().withColumn("weight", F.when(F.col("branch") == "keyword", 0.4).otherwise(0.6))
+
+
+RANKINGS = top_sql(100) + ", " + KNN + """,
+rk AS (SELECT query_id, 'keyword' AS branch, chunk_id, rank, score, 0.4::DOUBLE AS weight FROM top UNION ALL SELECT query_id, 'vector', chunk_id, rank, score, 0.6 FROM knn),
+fused AS (SELECT query_id, chunk_id, sum(weight / (60 + rank)) AS score, min(rank) AS best_rank FROM rk GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, best_rank, chunk_id) AS rank FROM fused)"""
+
+
+@query("r09_rrf", f"WITH {RANKINGS} SELECT query_id, chunk_id, round(score, 9) AS score, best_rank::INT AS best_rank, rank::INT AS rank FROM ranked")
+def r09(t):
+    return R.rrf(rankings(t), even_weights(t)).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "best_rank", "rank")
+
+
+@query("r10_merge_branch_fields", f"WITH {RANKINGS} SELECT query_id, chunk_id, coalesce(max(CASE WHEN branch = 'vector' THEN rank END), max(CASE WHEN branch = 'keyword' THEN rank END))::INT AS rank, count(*)::INT AS n_branches FROM rk GROUP BY ALL")
+def r10(t):
+    return R.merge_branch_fields(rankings(t), ["rank"], ["vector", "keyword"]).select("query_id", "chunk_id", "rank", F.size("branch_scores").alias("n_branches"))
+
+
+@query("r11_limit_identities", f"""WITH {RANKINGS}, i AS (SELECT query_id, chunk_id, rank, chunk_id % 7 AS identity FROM ranked), s AS (SELECT *, min(rank) OVER (PARTITION BY query_id, identity) AS fr FROM i),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY fr) AS number FROM s), c AS (SELECT *, max(CASE WHEN number <= 5 THEN fr END) OVER (PARTITION BY query_id) AS cut FROM n)
+SELECT query_id, chunk_id, rank::INT AS rank FROM c WHERE rank <= cut AND number > 2""")
+def r11(t):
+    ranked = R.rrf(rankings(t), even_weights(t)).withColumn("identity", F.col("chunk_id") % 7)
+    return R.limit_identities(ranked, 3, 2).select("query_id", "chunk_id", "rank")
+
+
+@query("r12_rerank_join", f"""WITH {top_sql(20)} SELECT query_id, chunk_id, chunk_id % 5 <> 0 AS valid, CASE WHEN chunk_id % 5 <> 0 THEN round(1 / (1 + exp(-((chunk_id % 11) / 5.0 - 1))), 6) END AS semantic FROM top""")
+def r12(t):
+    top = R.top_per_query(R.bm25(asked(t), chunks(t)), 20)
+    scores = top.filter("chunk_id % 5 <> 0").select("query_id", "chunk_id", ((F.col("chunk_id") % 11) / 5.0 - 1).alias("raw"))
+    return R.rerank_join(top, scores, "logit").select("query_id", "chunk_id", "valid", r6("semantic"))
+
+
+@query("r13_rerank_text", "SELECT doc_id AS chunk_id, source || chr(10) || CASE WHEN lang <> 'en' THEN lang || chr(10) ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN 'table' ELSE text END AS rerank_text FROM documents")
+def r13(t):
+    c = chunks(t).select("chunk_id", "content", F.col("kb_id").alias("document_name"), F.when(F.col("lang") != "en", F.col("lang")).otherwise("").alias("caption"), F.when(F.col("chunk_id") % 3 == 0, "table").alias("table_text"))
+    return R.rerank_text(c).select("chunk_id", "rerank_text")
+
+
+@query("r14_constraint_compatibility")
+def r14(t):
+    """Assistant turns against the question before them."""
+    from sievelight.operators.constraints import constraint_compatibility
+
+    before = Window.partitionBy("conv_id").orderBy("turn", "role")
+    pairs = t.conversations.withColumn("query", F.lag("text").over(before)).filter("role = 'assistant' and query is not null").withColumnRenamed("text", "candidate")
+    return constraint_compatibility(pairs.select("conv_id", "turn", "query", "candidate")).select("conv_id", "turn", "time", "status", "locator", "dimension", "n_conflicts", "n_compatible")
+
+
+def candidates(t: Tables) -> DataFrame:
+    top = R.top_per_query(R.bm25(asked(t), chunks(t)), 20)
+    return top.withColumn("semantic", F.when(F.col("chunk_id") % 5 != 0, (F.col("chunk_id") % 11) / 11.0)).withColumn("conflicts", (F.col("chunk_id") % 17 == 0).cast("int"))
+
+
+FINAL = top_sql(20) + """,
+cand AS (SELECT *, CASE WHEN chunk_id % 5 <> 0 THEN (chunk_id % 11) / 11.0::DOUBLE END AS semantic, CASE WHEN chunk_id % 17 = 0 THEN 1 ELSE 0 END AS conflicts FROM top),
+rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC NULLS LAST, chunk_id) AS sr, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS cr FROM cand),
+fin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY conflicts, round(0.7::DOUBLE / (10 + sr) + 0.3::DOUBLE / (10 + cr), 12) DESC, semantic DESC NULLS LAST, round(score, 12) DESC, chunk_id) AS final_rank FROM rr)"""
+
+
+@query("r15_final_rank", f"WITH {FINAL} SELECT query_id, chunk_id, final_rank::INT AS final_rank FROM fin WHERE final_rank <= 5")
+def r15(t):
+    return R.final_rank(candidates(t)).select("query_id", "chunk_id", "final_rank")
+
+
+@query("r16_doc_aggs", f"WITH {top_sql(100)} SELECT query_id, doc_id, n, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id)::INT AS rank FROM (SELECT query_id, source AS doc_id, count(*) AS n FROM top JOIN documents ON documents.doc_id = chunk_id GROUP BY query_id, source)")
+def r16(t):
+    top = R.top_per_query(R.bm25(asked(t), chunks(t)))
+    return R.doc_aggs(top.join(chunks(t).select("chunk_id", F.col("kb_id").alias("doc_id")), "chunk_id"))
+
+
+HYBRID = top_sql(100) + f""",
+kq AS (SELECT item_id AS query_id FROM benchmark), kn AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {COSINE} AS score FROM embeddings a JOIN kq ON kq.query_id = a.vec_id, embeddings b) WHERE score >= 0.1) WHERE rank <= 100),
+lists AS (SELECT query_id, 'keyword' AS branch, chunk_id, rank FROM top UNION ALL SELECT query_id, 'vector', chunk_id, rank FROM kn),
+fams AS (SELECT query_id, count(DISTINCT branch) AS n FROM lists GROUP BY 1),
+fz AS (SELECT query_id, chunk_id, sum(CASE WHEN n = 1 THEN 1.0::DOUBLE WHEN branch = 'keyword' THEN 0.4::DOUBLE ELSE 0.6::DOUBLE END / (60 + rank)) AS score, min(rank) AS best_rank FROM lists JOIN fams USING (query_id) GROUP BY ALL),
+cut AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, best_rank, chunk_id) AS rank FROM fz QUALIFY rank <= 20),
+sim AS (SELECT query_id, chunk_id, sum(boost) / any_value(total) AS semantic FROM asked JOIN post USING (term) JOIN (SELECT query_id, sum(weight) AS total FROM w GROUP BY 1) USING (query_id) GROUP BY query_id, chunk_id),
+cs AS (SELECT cut.query_id, cut.chunk_id, score, round(semantic, 9) AS semantic FROM cut LEFT JOIN sim ON sim.query_id = cut.query_id AND sim.chunk_id = cut.chunk_id),
+rs AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC NULLS LAST, chunk_id) AS sr, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS cr FROM cs)
+SELECT query_id, chunk_id, final_rank::INT AS final_rank, round(semantic, 6) AS semantic FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(0.7::DOUBLE / (10 + sr) + 0.3::DOUBLE / (10 + cr), 12) DESC, semantic DESC NULLS LAST, round(score, 12) DESC, chunk_id) AS final_rank FROM rs) WHERE final_rank <= 5"""
+
+
+@query("r17_hybrid_search", f"WITH {HYBRID}")
+def r17(t):
+    v = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), "text").join(t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), "query_id", "left")
+    return hybrid.search(q, chunks(t), v).select("query_id", "chunk_id", "final_rank", r6("semantic"))
+
+
+@query("r18_shape_results", f"""WITH {FINAL} SELECT query_id, final_rank::INT AS rank, '{{"chunk_id":' || chunk_id || ',"conflicts":' || conflicts || '}}' AS record FROM fin WHERE final_rank <= 5""")
+def r18(t):
+    return R.shape_results(R.final_rank(candidates(t)).select("query_id", F.col("final_rank").alias("rank"), "chunk_id", "conflicts"))
+
+
+@query("r19_multi_index", "SELECT kb_id, count(*) AS n, count(label) AS n_vectors FROM (SELECT source AS kb_id, NULL AS label FROM documents UNION ALL SELECT 'vectors', label FROM embeddings) GROUP BY kb_id")
+def r19(t):
+    both = R.multi_index([t.documents.select(F.col("source").alias("kb_id")), t.embeddings.select(F.lit("vectors").alias("kb_id"), "label")])
+    return both.groupBy("kb_id").agg(F.count("*").alias("n"), F.count("label").alias("n_vectors"))
+
+
+@query("r20_dedupe_requests", "SELECT role, count(*) AS n_requests, count(DISTINCT text) AS n_runs FROM conversations GROUP BY role")
+def r20(t):
+    once, keyed = R.dedupe_requests(t.conversations, ["role", "text"])
+    return keyed.join(once.withColumn("run", F.lit(1)).select("request_key", "run"), "request_key").groupBy("role").agg(F.sum("run").alias("n_requests"), F.countDistinct("request_key").alias("n_runs"))
+
+
+@query("r21_validate_bindings", "SELECT doc_id AS binding_id, length(trim(left(text, 20))) BETWEEN 1 AND 80 AND doc_id % 4 <> 0 AS valid FROM documents")
+def r21(t):
+    value = F.when(F.col("doc_id") % 4 == 0, F.lit("absent value 0x")).otherwise(F.left("text", F.lit(20)))
+    b = t.documents.select(F.col("doc_id").alias("binding_id"), F.col("doc_id").alias("chunk_id"), value.alias("value"), F.left("text", F.lit(60)).alias("quote"))
+    return R.validate_bindings(b, chunks(t)).select("binding_id", "valid")
+
+
+@query("r22_fill_templates", "SELECT n_nationkey AS task_id, CASE WHEN n_nationkey % 5 <> 0 THEN 'news of ' || n_name END AS query, n_nationkey % 5 = 0 AS blocked, n_regionkey AS doc_scope FROM nation")
+def r22(t):
+    tasks = t.nation.select(F.col("n_nationkey").alias("task_id"), F.when(F.col("n_nationkey") % 5 == 0, "{other} of {name}").otherwise("news of {name}").alias("template"))
+    return R.fill_templates(tasks, t.nation.select(F.col("n_nationkey").alias("task_id"), F.lit("name").alias("slot"), F.col("n_name").alias("value"), F.col("n_regionkey").alias("doc_id")))
+
+
+def hops(t: Tables) -> DataFrame:
+    """Orders of a customer as the hits of hops, one hop per priority."""
+    ranked = t.orders.withColumn("hop_rank", F.row_number().over(Window.partitionBy("o_custkey", "o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")))
+    return ranked.select(F.col("o_custkey").alias("question_id"), F.left("o_orderpriority", F.lit(1)).cast("int").alias("hop"), "hop_rank", (F.col("o_orderkey") % 97).alias("chunk_id"), F.col("o_totalprice").cast("double").alias("score"), (F.col("o_orderkey") % 13 == 0).cast("int").alias("conflicts"), (F.col("o_orderstatus") == "F").alias("is_bridge"))
+
+
+HOPS = "hops AS (SELECT o_custkey AS question_id, left(o_orderpriority, 1)::INT AS hop, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS hop_rank, o_orderkey % 97 AS chunk_id, o_totalprice::DOUBLE AS score, CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS conflicts, o_orderstatus = 'F' AS is_bridge FROM orders)"
+
+
+@query("r23_merge_hops", f"""WITH {HOPS}, m AS (SELECT *, row_number() OVER (PARTITION BY question_id, hop ORDER BY is_bridge DESC, hop_rank, chunk_id) = 1 AS reserved FROM hops),
+g AS (SELECT question_id, chunk_id, max(score) AS score, min(conflicts) AS conflicts, max(reserved::INT) AS reserved FROM m GROUP BY ALL),
+c AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY reserved DESC, conflicts, score DESC, chunk_id) AS claim FROM g)
+SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN claim <= 5 THEN 0 ELSE 1 END, conflicts, score DESC, chunk_id)::INT AS rank, reserved = 1 AND claim <= 5 AS reserved FROM c""")
+def r23(t):
+    return R.merge_hops(hops(t)).select("question_id", "chunk_id", "rank", "reserved")
+
+
+@query("r24_hop_fallback_rank", f"""WITH {HOPS}, f AS (SELECT question_id, hop, chunk_id, min(hop_rank) AS r FROM hops GROUP BY ALL), s AS (SELECT question_id AS query_id, chunk_id, sum(1.0::DOUBLE / (60 + r)) AS score, min(r) AS best_rank FROM f GROUP BY ALL)
+SELECT query_id, chunk_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, best_rank, chunk_id)::INT AS rank FROM s""")
+def r24(t):
+    return R.hop_fallback_rank(hops(t)).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
