@@ -1 +1,145 @@
-"""Queries."""
+"""Queries of corpus preparation, streaming forms and hooks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sievelight.catalog.registry import query
+from sievelight.functions import hooks
+from sievelight.operators import corpus as D
+from sievelight.streaming import jobs as X
+
+
+@query("d01_html_sections")
+def d01(t):
+    return D.html_sections(t.pages)
+
+
+@query("d02_split_segments", r"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS pos, seg AS segment FROM (SELECT doc_id, unnest(s) AS seg, unnest(range(0, len(s))) AS i FROM (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([\n!?;。；！？])', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents))")
+def d02(t):
+    return D.split_segments(t.documents)
+
+
+@query("d03_chunk_by_budget", r"""WITH RECURSIVE segs AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([\n!?;。；！？])', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents),
+sized AS (SELECT doc_id, s, list_transform(s, lambda x: len(regexp_extract_all(x, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]'))) AS n FROM segs),
+walk AS (SELECT doc_id, s, n, 1 AS i, 0::BIGINT AS held, 0 AS block, ''::VARCHAR AS piece FROM sized
+ UNION ALL SELECT doc_id, s, n, i + 1, CASE WHEN held > 128 THEN n[i] ELSE held + n[i] END, CASE WHEN held > 128 THEN block + 1 ELSE block END, s[i] FROM walk WHERE i <= len(s)),
+blocks AS (SELECT doc_id, block, string_agg(piece, '' ORDER BY i) AS content FROM walk WHERE i > 1 GROUP BY ALL)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1)::INT AS seq, content FROM blocks WHERE trim(content) <> ''""")
+def d03(t):
+    return D.chunk_by_budget(t.documents)
+
+
+@query("d04_json_sections", "SELECT event_id AS doc_id, '/k=' || regexp_extract(props, '\\d+') || chr(10) AS section FROM events")
+def d04(t):
+    return D.json_sections(t.events.select(F.col("event_id").alias("doc_id"), F.col("props").alias("json"))).select("doc_id", "section")
+
+
+@query("d05_markdown_blocks")
+def d05(t):
+    marked = t.documents.select("doc_id", F.regexp_replace("text", r"(?m)^(\S+ \S+)\.$", "# $1").alias("text"))
+    return D.markdown_blocks(marked)
+
+
+@query("d06_markdown_tables", "SELECT s_suppkey AS doc_id, 1 AS n_tables, length('before' || chr(10) || 'after ' || s_name)::BIGINT AS rest_chars FROM supplier")
+def d06(t):
+    text = F.concat(F.lit("before\n| a | b |\n| --- | --- |\n| "), "s_name", F.lit(" | x |\nafter "), "s_name")
+    return D.markdown_tables(t.supplier.select(F.col("s_suppkey").alias("doc_id"), text.alias("text"))).select("doc_id", F.size("tables").alias("n_tables"), F.length("rest").cast("long").alias("rest_chars"))
+
+
+@query("d07_rows_to_text", "SELECT p_partkey, concat_ws('; ', 'p_name：' || p_name, 'p_brand：' || p_brand, 'p_size：' || p_size) || ' ——Parts' AS text FROM part")
+def d07(t):
+    return D.rows_to_text(t.part.select("p_partkey", "p_name", "p_brand", "p_size"), "p_partkey", "Parts").select("p_partkey", "text")
+
+
+def cells(t):
+    """Parts as tables of their manufacturer group: a header row, then names, sizes and prices."""
+    p = t.part.select((F.col("p_partkey") % 50).alias("table_id"), (F.col("p_partkey") + 1).alias("row"), F.posexplode(F.array(F.col("p_size").cast("string"), F.col("p_retailprice").cast("string"), F.when(F.col("p_partkey") % 9 == 0, "Total").otherwise(F.col("p_partkey").cast("string")), F.when(F.col("p_partkey") % 9 == 0, "sum up").otherwise("7"), F.when(F.col("p_partkey") % 9 == 0, "of all").otherwise("8"))).alias("col", "text"))
+    head = t.part.select((F.col("p_partkey") % 50).alias("table_id")).distinct().select("table_id", F.lit(0).cast("long").alias("row"), F.posexplode(F.array(F.lit("size"), F.lit("price"), F.lit("key"), F.lit("a b"), F.lit("c d"))).alias("col", "text"))
+    return head.unionByName(p)
+
+
+@query("d08_infer_header_rows", "SELECT p_partkey % 50 AS table_id, p_partkey + 1 AS row, p_partkey % 9 = 0 AS header FROM part UNION ALL SELECT DISTINCT p_partkey % 50, 0, true FROM part")
+def d08(t):
+    return D.infer_header_rows(cells(t)).select("table_id", "row", "header")
+
+
+@query("d08_header_labels")
+def d08b(t):
+    c = cells(t)
+    return D.header_labels(c, D.infer_header_rows(c))
+
+
+@query("d13_content_ids", """SELECT doc_id, sha256('{"name":"' || source || '","seq":' || doc_id || ',"content":"' || lang || '"}') AS chunk_sha FROM documents""")
+def d13(t):
+    return D.content_ids(t.documents.select("doc_id", F.col("source").alias("name"), F.col("doc_id").alias("seq"), F.col("lang").alias("content"))).select("doc_id", "chunk_sha")
+
+
+@query("d14_build_chunk_record", r"SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS n_tokens, source AS title FROM documents")
+def d14(t):
+    r = D.build_chunk_record(t.documents.select("doc_id", F.col("text").alias("content"), F.concat("source", F.lit(".txt")).alias("name")))
+    return r.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("title_tokens", " ").alias("title"))
+
+
+def outline(t):
+    """Suppliers' outlines: numbered sections of their id."""
+    k = F.col("s_suppkey").cast("string")
+    lines = F.when(F.col("s_suppkey") % 3 == 0, F.array(F.lit("第1章 a"), F.lit("第2节 b"), F.lit("第3节 c"))).when(F.col("s_suppkey") % 3 == 1, F.array(F.concat(F.lit("Section "), k), F.lit("Article 2"), F.lit("Article 3"))).otherwise(F.array(F.lit("plain"), F.lit("text"), F.lit("0 none")))
+    return t.supplier.select(F.col("s_suppkey").alias("doc_id"), F.posexplode(lines).alias("pos", "text"))
+
+
+@query("d15_outline_scheme", "SELECT s_suppkey AS doc_id, CASE s_suppkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE -1 END AS scheme FROM supplier")
+def d15(t):
+    return D.outline_scheme(outline(t))
+
+
+@query("d16_outline_levels", "SELECT s_suppkey AS doc_id, pos, CASE s_suppkey % 3 WHEN 0 THEN CASE WHEN pos = 0 THEN 1 ELSE 2 END ELSE CASE WHEN pos = 0 THEN 2 ELSE 3 END END AS level FROM supplier, (VALUES (0), (1), (2)) v(pos) WHERE s_suppkey % 3 < 2")
+def d16(t):
+    o = outline(t)
+    return D.outline_levels(o, D.outline_scheme(o))
+
+
+@query("d17_language_share", r"""WITH x AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS l, regexp_split_to_array(coalesce(text, ''), '[ \t]+') AS k FROM documents)
+SELECT doc_id, len(list_filter(l, lambda x: regexp_matches(x, '^[ `a-zA-Z0-9,.:;''"?<>!()\-]+$'))) > 0.8 * len(l) AS english, len(k) <= 3 OR len(list_filter(k, lambda x: NOT regexp_matches(x, '^[a-zA-Z]+$'))) >= 0.7 * len(k) AS non_latin FROM x""")
+def d17(t):
+    return t.documents.select("doc_id", D.language_share(F.col("text")).alias("s")).select("doc_id", "s.english", "s.non_latin")
+
+
+@query("d18_session_chunks")
+def d18(t):
+    return D.session_chunks(t.documents)
+
+
+@query("d19_check_vectors", "SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'dimension' WHEN vec_id % 7 = 1 THEN 'not_unit' END AS problem FROM embeddings")
+def d19(t):
+    v = F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 10)).when(F.col("vec_id") % 7 == 1, F.transform("embedding", lambda x: x * 2)).otherwise(F.col("embedding"))
+    return D.check_vectors(t.embeddings.select("vec_id", v.alias("embedding")), 64).select("vec_id", "problem")
+
+
+@query("x01_fold_deltas", "SELECT user_id::VARCHAR AS stream_id, string_agg(event_type, '' ORDER BY event_id) AS answer, count(*) AS n_pieces FROM events GROUP BY 1")
+def x01(t):
+    return X.fold_deltas(t.events.select(F.col("user_id").cast("string").alias("stream_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("text")))
+
+
+@query("x02_stream_timings", "WITH g AS (SELECT user_id, ts, event_type, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) SELECT user_id AS stream_id, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 3) AS span, round(coalesce(max(gap), 0) / 1e6, 3) AS max_gap, sum(length(event_type))::BIGINT AS chars FROM g GROUP BY 1")
+def x02(t):
+    e = t.events.select(F.col("user_id").alias("stream_id"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("text"))
+    return X.stream_timings(e).select("stream_id", F.round("span", 3).alias("span"), F.round("max_gap", 3).alias("max_gap"), "chars")
+
+
+def _embedder():
+    return lambda texts: [[float(len(x) + 1), 1.0, 0.0] for x in texts]
+
+
+def _scorer():
+    return lambda pairs: [len(set(q.split()) & set(x.split())) / max(1, len(set(q.split()))) for q, x in pairs]
+
+
+@query("u01_embed_with", "SELECT doc_id, CASE WHEN length(text) >= 0 THEN 'not_unit' END AS problem, round(sqrt((length(coalesce(text, '')) + 1) * (length(coalesce(text, '')) + 1) + 1), 2) AS norm FROM documents")
+def u01(t):
+    return hooks.embed_with(t.documents.select("doc_id", "text"), _embedder, 3).select("doc_id", "problem", F.round("norm", 2).alias("norm"))
+
+
+@query("u02_score_pairs_with")
+def u02(t):
+    return hooks.score_pairs_with(t.conversations.select("conv_id", "turn", F.col("role").alias("query"), "text"), _scorer).select("conv_id", "turn", "raw")
