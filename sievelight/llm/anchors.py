@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.llm.store import materialize, shuffle_width
-from sievelight.llm.tokens import SPACES, Words, pieces, split_words
+from sievelight.llm.tokens import SPACES, Words, mix, pieces, split_words
 
 #: Bytes of text in a piece.
 PIECE = 4 << 20
-ENTRY = "shard int, ids binary, counts binary, places binary, hashes binary, flags binary"
+#: Packed rows: entries (kind 0) go to the shard of their hashes, hits (kind 1, no hashes) to the shard of their documents.
+ENTRY = "kind int, shard int, ids binary, counts binary, places binary, hashes binary, flags binary"
+FIELDS = ["kind", "shard", "ids", "counts", "places", "hashes", "flags"]
 HIT = "doc_id long, places array<int>"
 
 
@@ -58,11 +60,10 @@ def _runs(ids: np.ndarray, places: np.ndarray):
     return ids[at], at
 
 
-def _pack(shards: int, ids: np.ndarray, places: np.ndarray, hashes: np.ndarray, flags: np.ndarray, wide: bool):
-    """One row per shard with entries; entries come in document order."""
-    shard = (hashes >> np.uint64(32)) % np.uint64(shards) if wide else (hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+def _pack(shards: int, shard: np.ndarray, ids: np.ndarray, places: np.ndarray, hashes: np.ndarray | None = None, flags: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row per shard with entries, or with hits where there are no hashes; both come in document order."""
     order = np.argsort(shard.astype(np.uint16 if shards < 65536 else np.uint32), kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1, dtype=shard.dtype))
     rows = []
     for s in np.flatnonzero(np.diff(cuts)):
         at = order[cuts[s] : cuts[s + 1]]
@@ -70,25 +71,39 @@ def _pack(shards: int, ids: np.ndarray, places: np.ndarray, hashes: np.ndarray,
         counts = np.diff(np.append(starts, len(at))).astype(np.uint32)
         steps = np.diff(places[at], prepend=0).astype(np.int64)
         steps[starts] = places[at][starts]
-        kept = hashes[at] if wide else hashes[at].astype(np.uint32)  # the shard number holds the upper bits
-        rows.append((int(s), planes(np.diff(run_ids, prepend=0)), planes(counts), planes(steps.astype(np.uint32)), kept.tobytes(), np.packbits(flags[at]).tobytes()))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[i] for r in rows], pa.int32() if not i else pa.binary()) for i in range(6)], ["shard", "ids", "counts", "places", "hashes", "flags"]
-    )
-
-
-def _unpack(batch_rows: list[dict], wide: bool):
-    ids, places, hashes, flags = [], [], [], []
-    for r in batch_rows:
-        counts = unplanes(r["counts"], np.uint32)
-        ids.append(np.repeat(np.cumsum(unplanes(r["ids"], np.int64)), counts))
-        steps = unplanes(r["places"], np.uint32).astype(np.int64)
-        sums = np.cumsum(steps)
-        first = np.cumsum(counts) - counts
-        places.append(sums - np.repeat(sums[first] - steps[first], counts))
-        hashes.append(np.frombuffer(r["hashes"], np.uint64 if wide else np.uint32))
-        flags.append(np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=len(hashes[-1])).astype(bool))
-    return tuple(np.concatenate(x) for x in (ids, places, hashes, flags))
+        row = (int(hashes is None), int(s), planes(np.diff(run_ids, prepend=0)), planes(counts), planes(steps.astype(np.uint32)))
+        rows.append((*row, None, None) if hashes is None else (*row, hashes[at].tobytes(), np.packbits(flags[at]).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i < 2 else pa.binary()) for i in range(7)], FIELDS)
+
+
+def _by_hash(shards: int, ids, places, hashes, flags, wide: bool) -> pa.RecordBatch:
+    shard = (hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+    # Narrow entries: the shard number stands for the upper bits, the lower 32 travel.
+    return _pack(shards, shard, ids, places, hashes if wide else hashes.astype(np.uint32), flags)
+
+
+def _by_document(shards: int, ids: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((places, ids))
+    ids, places = ids[order], places[order]
+    return _pack(shards, mix(ids.astype(np.uint64)) % np.uint64(shards), ids, places)
+
+
+def _places(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, places) of a packed row."""
+    counts = unplanes(r["counts"], np.uint32)
+    steps = unplanes(r["places"], np.uint32).astype(np.int64)
+    sums = np.cumsum(steps)
+    first = np.cumsum(counts) - counts
+    return np.repeat(np.cumsum(unplanes(r["ids"], np.int64)), counts), sums - np.repeat(sums[first] - steps[first], counts)
+
+
+def _unpack(rows: list[dict], wide: bool):
+    parts = []
+    for r in rows:
+        hashes = np.frombuffer(r["hashes"], np.uint64 if wide else np.uint32)
+        flags = np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=len(hashes)).astype(bool)
+        parts.append((*_places(r), hashes, flags))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _local(hashes: np.ndarray, flags: np.ndarray):
@@ -108,21 +123,32 @@ def _local(hashes: np.ndarray, flags: np.ndarray):
     return np.sort(firsts), twice
 
 
-def _hit_batch(ids: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+def _gather(batches):
+    """Per document shard: one row per document with its different places."""
+    rows = [_places(r) for batch in batches for r in batch.select(["ids", "counts", "places"]).to_pylist()]
+    if not rows:
+        return
+    ids, places = (np.concatenate(x) for x in zip(*rows, strict=True))
     order = np.lexsort((places, ids))
     ids, places = ids[order], places[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (places[1:] != places[:-1])
+    ids, places = ids[new], places[new]
     run_ids, starts = np.unique(ids, return_index=True)
     offsets = np.append(starts, len(ids)).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(run_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(places.astype(np.int32)))], ["doc_id", "places"])
+    yield pa.RecordBatch.from_arrays([pa.array(run_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(places.astype(np.int32)))], ["doc_id", "places"])
 
 
-def _matches(wide: bool):
-    """Per shard task: entries whose hash occurs twice or more with a flagged one among them, as hits."""
+def _meet(shards: int, wide: bool):
+    """Per hash shard: entries whose hash occurs twice or more with a flagged one among them become hits; hits pass."""
 
     def run(batches):
         rows: dict[int, list[dict]] = {}
         for batch in batches:
-            for r in batch.to_pylist():
+            hits = pc.equal(batch.column("kind"), 1)
+            if pc.any(hits).as_py():
+                yield pa.RecordBatch.from_arrays(batch.filter(hits).columns, FIELDS)  # nullable fields, as in packed rows
+            for r in batch.filter(pc.invert(hits)).to_pylist():
                 rows.setdefault(r["shard"], []).append(r)
         for shard in list(rows):
             ids, places, hashes, flags = _unpack(rows.pop(shard), wide)
@@ -135,11 +161,17 @@ def _matches(wide: bool):
             hit = (counts > 1) & np.maximum.reduceat(flags[order].astype(np.uint8), starts).astype(bool)
             at = order[np.repeat(hit, counts)]
             if len(at):
-                yield _hit_batch(ids[at], places[at])
+                yield _by_document(shards, ids[at], places[at])
 
     return run
 
 
+def matched_places(packed: DataFrame, shards: int, wide: bool) -> DataFrame:
+    """(doc_id, places) from packed entries and hits: entries meet by hash, then hits gather by document."""
+    met = packed.repartition(shards, "shard").mapInArrow(_meet(shards, wide), ENTRY)
+    return met.repartition(shards, "shard").mapInArrow(_gather, HIT)
+
+
 def _word_indices(words: Words, texts: np.ndarray, places: np.ndarray) -> np.ndarray:
     return words.first[texts] + places
 
@@ -167,37 +199,11 @@ def repeated_windows(docs: DataFrame, window: int = 35, block: int = 18) -> Data
             aligned = places % block == 0
             first, twice = _local(hashes, aligned)
             if len(twice):
-                out = _hit_batch(ids[texts[twice]], places[twice])
-                yield pa.RecordBatch.from_arrays([pa.array([None] * out.num_rows, pa.int32()), *[pa.nulls(out.num_rows, pa.binary())] * 5, out.column(0), out.column(1)], names)
+                yield _by_document(shards, ids[texts[twice]], places[twice])
             if len(first):
-                out = _pack(shards, ids[texts[first]], places[first], hashes[first], aligned[first], wide=False)
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.int64()), pa.nulls(out.num_rows, pa.list_(pa.int32()))], names)
-
-    names = ["shard", "ids", "counts", "places", "hashes", "flags", "doc_id", "hits"]
-    schema = f"{ENTRY}, doc_id long, hits array<int>"
-
-    def meet(wide: bool):
-        """Shard rows are matched; rows that carry hits already pass."""
-        match = _matches(wide)
-
-        def run(batches):
-            def entries():
-                for batch in batches:
-                    known = batch.filter(pc.is_null(batch.column("shard")))
-                    if known.num_rows:
-                        passed.append(pa.RecordBatch.from_arrays([known.column("doc_id"), known.column("hits")], ["doc_id", "places"]))
-                    yield batch.filter(pc.is_valid(batch.column("shard"))).select(names[:6])
-
-            passed: list[pa.RecordBatch] = []
-            yield from match(entries())
-            yield from passed
-
-        return run
+                yield _by_hash(shards, ids[texts[first]], places[first], hashes[first], aligned[first], wide=False)
 
-    # Rows with hits spread by document; shard rows meet by shard.
-    dealt = docs.mapInArrow(probes, schema).repartition(shards, F.coalesce("shard", F.pmod("doc_id", F.lit(shards)).cast("int")))
-    anchors = dealt.mapInArrow(meet(wide=False), HIT)
-    anchors = anchors.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    anchors = matched_places(docs.mapInArrow(probes, ENTRY), shards, wide=False)
 
     # 2. Texts with anchors: hashes of the windows around them.  Texts without any are finished here.
     def extend(batches):
@@ -223,35 +229,28 @@ def repeated_windows(docs: DataFrame, window: int = 35, block: int = 18) -> Data
             open_ = np.flatnonzero(candidates)
             digests = [_kept(words, i, None)[1] for i in done]
             n = len(ids)
-            yield _rows(
-                n, kind=np.where(candidates, 1, 0), doc_id=batch.column("doc_id"), n_words=words.counts,
-                sha=pa.array(_scatter(n, done, digests), pa.string()), text=pa.array(_scatter(n, open_, [batch.column("text")[int(i)].as_py() for i in open_]), pa.string()),
-            )
+            kept = [batch.column("text")[int(i)].as_py() for i in open_]
+            finished = {"doc_id": batch.column("doc_id"), "n_words": pa.array(words.counts), "sha": pa.array(_scatter(n, done, digests), pa.string()), "text": pa.array(_scatter(n, open_, kept), pa.string())}
+            yield _rows(n, finished)
+            packed = []
             if len(twice):
-                out = _hit_batch(ids[texts[twice]], places[twice])
-                yield _rows(out.num_rows, kind=np.full(out.num_rows, 2), doc_id=out.column(0), hits=out.column(1))
+                packed.append(_by_document(shards, ids[texts[twice]], places[twice]))
             if len(first):
-                out = _pack(shards, ids[texts[first]], places[first], hashes[first], flags[first], wide=True)
-                yield _rows(out.num_rows, kind=np.full(out.num_rows, 3), **{f: out.column(i) for i, f in enumerate(names[:6])})
+                packed.append(_by_hash(shards, ids[texts[first]], places[first], hashes[first], flags[first], wide=True))
+            for out in packed:
+                yield _rows(out.num_rows, {f: out.column(f) for f in FIELDS})
 
-    second = f"kind int, doc_id long, n_words long, sha string, text string, hits array<int>, {ENTRY}"
-    types = {"kind": pa.int32(), "doc_id": pa.int64(), "n_words": pa.int64(), "sha": pa.string(), "text": pa.string(), "hits": pa.list_(pa.int32()), "shard": pa.int32()}
-    types |= dict.fromkeys(names[1:6], pa.binary())
+    second = f"doc_id long, n_words long, sha string, text string, {ENTRY}"
+    types = {"doc_id": pa.int64(), "n_words": pa.int64(), "sha": pa.string(), "text": pa.string(), "kind": pa.int32(), "shard": pa.int32()} | dict.fromkeys(FIELDS[2:], pa.binary())
 
-    def _rows(n: int, **columns):
-        arrays = []
-        for name, kind in types.items():
-            value = columns.get(name)
-            arrays.append(pa.nulls(n, kind) if value is None else (value if isinstance(value, pa.Array) else pa.array(value)).cast(kind))
-        return pa.RecordBatch.from_arrays(arrays, list(types))
+    def _rows(n: int, columns: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c].cast(t) if c in columns else pa.nulls(n, t) for c, t in types.items()], list(types))
 
     opened = materialize(docs.join(anchors, "doc_id", "left").mapInArrow(extend, second))
 
     # 3. Windows that repeat, and what they cover.
-    rows = opened.filter("kind >= 2").select(*names[:6], "doc_id", "hits")
-    rows = rows.repartition(shards, F.coalesce("shard", F.pmod("doc_id", F.lit(shards)).cast("int")))
-    verified = rows.mapInArrow(meet(wide=True), HIT).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("repeats"))
-    pending = opened.filter("kind = 1").select("doc_id", "n_words", "text").join(verified, "doc_id", "left")
+    verified = matched_places(opened.filter("kind is not null").select(*FIELDS), shards, wide=True).withColumnRenamed("places", "repeats")
+    pending = opened.filter("kind is null and sha is null").select("doc_id", "n_words", "text").join(verified, "doc_id", "left")
 
     def finish(batches):
         for batch in pieces(batches, "text", PIECE):
@@ -266,7 +265,7 @@ def repeated_windows(docs: DataFrame, window: int = 35, block: int = 18) -> Data
 
     result = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     finished = pending.select("doc_id", "n_words", "text", "repeats").mapInArrow(finish, result)
-    untouched = opened.filter("kind = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
+    untouched = opened.filter("sha is not null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
     return untouched.unionByName(finished)
 
 
