@@ -97,7 +97,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 1024, min_similarity: f
     if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
         pairs = v.join(F.broadcast(q))
     else:
-        pairs = v.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks))).join(q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")), "block")
+        pairs = v.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks))).join(q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))), "block")
     dot = F.aggregate(F.zip_with("qvec", "embedding", lambda p, x: p.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x)
     score = F.when((F.col("qn") > 0) & (F.col("vn") > 0), dot / (F.col("qn") * F.col("vn"))).otherwise(0.0)
     scored = pairs.select("query_id", "chunk_id", score.alias("score")).filter(F.col("score") >= min_similarity)
