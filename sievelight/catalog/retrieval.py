@@ -31,7 +31,7 @@ def question_tokens(t: Tables) -> DataFrame:
 
 
 def weights(t: Tables) -> DataFrame:
-    return W.term_weights(question_tokens(t), W.term_stats(chunks(t)))
+    return W.term_weights(question_tokens(t), W.term_stats(chunks(t), question_tokens(t)))
 
 
 def asked(t: Tables) -> DataFrame:

@@ -35,15 +35,18 @@ def matched_postings(terms: DataFrame, chunks: DataFrame, key: str = "chunk_id",
     return exploded.join(asked, "term").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def bm25(terms: DataFrame, chunks: DataFrame, field_boosts: dict[str, float] | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, n_terms) of ``terms(query_id, term, boost)``; over several token fields the best field counts."""
+def bm25(terms: DataFrame, chunks: DataFrame, field_boosts: dict[str, float] | None = None, posts: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, n_terms) of ``terms(query_id, term, boost)``; over several token fields the best field counts.
+
+    ``posts`` are the matched postings of a single field, where a plan has them already.
+    """
     fields = field_boosts or {"tokens": 1.0}
     found = []
     for field, weight in fields.items():
         size = chunks.agg(F.count("*").alias("n"), F.avg(F.size(field)).alias("avgdl"))
-        posts = matched_postings(terms, chunks, tokens=field)
-        df = posts.groupBy("term").agg(F.count("*").alias("df"))
-        scored = posts.join(df, "term").join(F.broadcast(size))  # one row of corpus figures
+        held = posts if posts is not None and len(fields) == 1 else matched_postings(terms, chunks, tokens=field)
+        df = held.groupBy("term").agg(F.count("*").alias("df"))
+        scored = held.join(df, "term").join(F.broadcast(size))  # one row of corpus figures
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
         scored = scored.select("chunk_id", "term", part.alias("part"))

@@ -11,8 +11,11 @@ def postings(chunks: DataFrame, key: str = "chunk_id", tokens: str = "tokens") -
     return chunks.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def term_stats(chunks: DataFrame) -> DataFrame:
-    """(term, freq, df): occurrences, and chunks that hold the term."""
+def term_stats(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(term, freq, df): occurrences, and chunks that hold the term; ``only(term)`` limits the terms that are counted."""
+    if only is not None:
+        held = chunks.select("chunk_id", F.explode("tokens").alias("term")).join(only.select("term").distinct(), "term")
+        return held.groupBy("chunk_id", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.sum("tf").alias("freq"), F.count("*").alias("df"))
     return postings(chunks).groupBy("term").agg(F.sum("tf").alias("freq"), F.count("*").alias("df"))
 
 
@@ -64,11 +67,15 @@ def paragraph_keywords(weights: DataFrame, n: int = 30, key: str = "chunk_id") -
     return ranked.withColumn("min_match", F.least(F.lit(3), F.floor(F.count("*").over(Window.partitionBy(key)) / 10)).cast("int"))
 
 
-def token_similarity(weights: DataFrame, posts: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, similarity): share of the query's weight whose terms the chunk holds."""
+def token_similarity(weights: DataFrame, posts: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, similarity): share of the query's weight whose terms the chunk holds; of ``pairs(query_id, chunk_id)`` only, where given."""
     query = weights.groupBy("query_id", "term").agg(F.sum("weight").alias("weight"))
     total = query.groupBy("query_id").agg(F.sum("weight").alias("total"))
-    hit = query.join(posts.select("chunk_id", "term"), "term").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("held"))
+    if pairs is None:
+        held = query.join(posts.select("chunk_id", "term"), "term")
+    else:  # a few chunks per query: meet their postings only
+        held = query.join(pairs, "query_id").join(posts.select("chunk_id", "term"), ["chunk_id", "term"])
+    hit = held.groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("held"))
     return hit.join(total, "query_id").select("query_id", "chunk_id", (F.col("held") / F.col("total")).alias("similarity"))
 
 
