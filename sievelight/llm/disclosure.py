@@ -1,17 +1,18 @@
 """Information-theoretic sanitisation of personal data, with built-in Spark functions only.
 
 Protected entities are found by fixed patterns (email, ip, card, phone).  Over
-the whole corpus, the words around the mentions of an entity are counted, and
-pointwise mutual information tells how strongly a term reveals the entity:
+the whole corpus, the documents that hold an entity and a term are counted, and
+pointwise mutual information tells how strongly the term reveals the entity:
 PMI(term, entity) / IC(entity) is 1 when the term occurs with that entity only.
-Terms over the disclosure threshold are protected next to the entity, too.
+Terms over the disclosure threshold are protected at every place of every
+document, also where the entity itself does not stand.
 
 Defined cases: null and empty texts have no span; repeated rows get the same
-spans each (mentions in equal texts of one id count once); a term needs
-``min_support`` different documents with the entity, so ties and single
+spans each; rows are counted for the information, but a term needs
+``min_support`` different documents (doc_id and text) with the entity, so single
 co-occurrences never disclose; an empty table gives an empty result; extra
 columns are ignored by ``find_spans`` and kept by ``sanitize``; a null doc_id is
-kept, and only the pattern spans are found for it.
+kept and its row treated as any other.
 """
 
 from __future__ import annotations
@@ -37,10 +38,8 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 #: What replaces a span in ``sanitize``.
 LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>"}
-#: Code points on either side of a mention whose words count as its context.
-CONTEXT = 60
-#: Terms: at least four letters.
-TERM = r"\p{L}{4,}"
+#: Terms: runs of letters and digits of any length.
+TERM = r"[\p{L}\p{M}\p{N}]+"
 
 
 def let(value: Column, body) -> Column:
@@ -103,62 +102,69 @@ def mentions(text: Column) -> Column:
     return F.concat(*found)
 
 
-def contexts(found: DataFrame, width: int = CONTEXT) -> DataFrame:
-    """(doc_id, key, entity, term, start, end): words of at least four letters around each mention."""
-    one = found.select("doc_id", "key", "text", F.explode("spans").alias("m")).select(
-        "doc_id", "key", F.concat_ws(":", F.col("m.k"), "m.value").alias("entity"), F.col("m.start").alias("ms"), F.col("m.end").alias("me"), "text"
-    )
-    left, right = F.greatest(F.col("ms") - width, F.lit(0)), F.col("me")
-    before = F.substring("text", left + 1, F.col("ms") - left)
-    after = F.substring("text", right + 1, F.lit(width))
-    # Words cut by the edge of the context do not count.
-    before = F.when(left > 0, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
-    after = F.when(F.length(after) == width, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
-    sides = one.select("doc_id", "key", "entity", "ms", F.explode(F.array(F.struct((F.col("ms") - F.length(before)).alias("at"), before.alias("part")), F.struct(F.col("me").alias("at"), after.alias("part")))).alias("s"))
-
-    def words(s):
-        terms = F.regexp_extract_all(s["part"], F.lit(TERM), F.lit(0))
-        gaps = F.transform(F.split(s["part"], TERM, -1), lambda x: F.length(x))
-        ends = running_sum(F.zip_with(F.slice(gaps, F.lit(1), F.size(terms)), terms, lambda gap, x: gap + F.length(x)), 6)
-        return F.zip_with(terms, ends, lambda t, e: F.struct(F.lower(t).alias("term"), (s["at"] + e - F.length(t)).alias("start"), (s["at"] + e).alias("end")))
-
-    return sides.select("doc_id", "key", "entity", F.explode(words(F.col("s"))).alias("w")).select("doc_id", "key", "entity", "w.*")
-
-
-def disclosing(docs: DataFrame, near: DataFrame, threshold: float, min_support: int) -> DataFrame:
-    """(entity, term, disclosure): terms that reveal an entity, from co-occurrence over the whole corpus."""
-    pairs = near.select("doc_id", "entity", "term").distinct()
-    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= min_support)
-    entities = near.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    total = docs.count()
+def terms_of(text: Column) -> Column:
+    """The different terms of a text, lower-cased."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda t: F.lower(t)))
+
+
+def placed_terms(text: Column) -> Column:
+    """Array of (term, start, end) in code points of all terms of a text, repeats included."""
+    terms = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    gaps = F.transform(F.split(text, TERM, -1), lambda x: F.length(x))
+    ends = running_sum(F.zip_with(F.slice(gaps, F.lit(1), F.size(terms)), terms, lambda gap, x: gap + F.length(x)))
+    return F.zip_with(terms, ends, lambda t, e: F.struct(F.lower(t).alias("term"), (e - F.length(t)).alias("start"), e.alias("end")))
+
+
+def disclosing(texts: DataFrame, holders: DataFrame, threshold: float, min_support: int) -> DataFrame:
+    """(entity, term, disclosure): terms that reveal an entity, from the documents of the whole corpus that hold both.
+
+    ``texts(text)`` are all rows, ``holders(doc_id, key, text, spans)`` those with entities.
+    """
+    total = texts.count()
+    weights = holders.groupBy("key").agg(F.count("*").alias("n"), (F.countDistinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))).alias("ids"), F.first("text").alias("text"))
+    weights = materialize(weights)
+    named = F.array_distinct(F.transform("spans", lambda m: F.concat_ws(":", m["k"], m["value"])))
+    held = holders.dropDuplicates(["key"]).select("key", F.explode(named).alias("entity")).join(weights.select("key", "n", "ids"), "key")
+    entities = held.groupBy("entity").agg(F.sum("n").alias("with_entity"), F.sum("ids").alias("support")).filter((F.col("support") >= min_support) & (F.col("with_entity") < total))
+    # As both <= with_entity, a term in more documents than this has a ratio under the threshold: no such pair is made.
+    most = F.col("with_entity") * F.pow(F.lit(float(total)) / F.col("with_entity"), F.lit(1 - threshold)) * (1 + 1e-9)
+    held = materialize(held.join(entities.drop("support").withColumn("most", most), "entity"))
+    bound = held.agg(F.max("most")).first()[0]
+    if bound is None:
+        return held.select("entity", F.lit("").alias("term"), F.lit(0.0).alias("disclosure")).limit(0)
     # Documents that hold a term at all: every document's different words, counted where they are before they are shuffled.
-    held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    frequency = held.groupBy("term").agg(F.count("*").alias("with_term"))
-    wanted = together.select("term").distinct()
-    frequency = frequency.join(wanted, "term", "left_semi")
-    joined = together.join(entities, "entity").join(frequency, "term")
+    frequency = texts.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term")).filter(F.col("with_term").between(min_support, F.floor(F.lit(bound))))
+    words = weights.join(held.select("key").distinct(), "key", "left_semi").select("key", F.explode(terms_of(F.col("text"))).alias("term")).join(frequency, "term")
+    together = words.join(held, (words["key"] == held["key"]) & (F.col("with_term") <= F.col("most"))).groupBy("entity", "term").agg(F.sum("n").alias("both"), F.sum("ids").alias("support"), F.first("with_entity").alias("with_entity"), F.first("with_term").alias("with_term"))
     pmi = F.log2(F.col("both") * total / (F.col("with_entity") * F.col("with_term")))
     information = F.log2(F.lit(float(total)) / F.col("with_entity"))
-    ratio = F.when(information > 0, pmi / information).otherwise(0.0)
-    return joined.withColumn("disclosure", ratio).filter(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
+    return together.filter(F.col("support") >= min_support).withColumn("disclosure", pmi / information).filter(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
 def find_spans(docs: DataFrame, threshold: float = 0.9, min_support: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(marked, clean): the rows of ``docs`` with and without pattern spans.
+    """(marked, clean): the rows of ``docs`` with and without spans.
 
     ``marked`` also has ``__spans``, the pattern spans, and ``__terms``, an array
     of (start, end) of disclosing terms outside them, or null.
     """
     spans = mentions(F.col("text"))
     some = F.coalesce(F.size(spans) > 0, F.lit(False))
-    holders = materialize(docs.filter(some).withColumn("__spans", spans).withColumn("__key", F.xxhash64("text")))
-    near = holders.select("doc_id", F.col("__key").alias("key"), "text", F.col("__spans").alias("spans"))
-    near = materialize(contexts(near.dropDuplicates(["doc_id", "key"])))
-    revealed = near.join(disclosing(docs.select("text"), near, threshold, min_support), ["entity", "term"]).select("doc_id", "key", "start", "end").distinct()
-    terms = revealed.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__k")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__terms"))
-    marked = holders.join(terms, (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__k")), "left").drop("__id", "__k", "__key")
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    holders = materialize(keyed.filter(some).withColumn("__spans", spans))
+    named = holders.select("doc_id", F.col("__key").alias("key"), "text", F.col("__spans").alias("spans"))
+    # A term reveals its entity wherever it stands, so it is hidden in every document.
+    wanted = materialize(disclosing(docs.select("text"), named, threshold, min_support).select("term").distinct())
+    texts = keyed.select(F.col("__key").alias("key"), "text")
+    exposed = materialize(texts.select("key", F.explode(terms_of(F.col("text"))).alias("term")).join(wanted, "term", "left_semi").distinct())
+    inside = texts.join(exposed.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    places = inside.select("key", F.explode(placed_terms(F.col("text"))).alias("w")).select("key", "w.*").join(exposed, ["key", "term"])
+    terms = materialize(places.groupBy(F.col("key").alias("__k")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__terms")))
+    marked = holders.join(terms, F.col("__key") == F.col("__k"), "left").drop("__k")
+    others = keyed.filter(~some)
+    bare = others.join(terms, F.col("__key") == F.col("__k")).drop("__k").withColumn("__spans", F.array().cast(holders.schema["__spans"].dataType))
     outside = F.filter("__terms", lambda t: ~F.exists("__spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return marked.withColumn("__terms", outside), docs.filter(~some)
+    marked = marked.unionByName(bare).withColumn("__terms", outside).drop("__key")
+    return marked, others.join(terms, F.col("__key") == F.col("__k"), "left_anti").drop("__key")
 
 
 def _joined(spans: Column, name) -> Column:
