@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.store import materialize
+from sievelight.llm.store import drop, fresh, materialize, text_key
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -25,7 +25,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        edges = materialize(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct())
+        before, edges = edges, materialize(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct())
+        drop(before)
         # A forest of stars has as many edges as larger nodes, none of which is a root: then nothing changes any more.
         row = edges.agg(F.count("*").alias("n"), F.countDistinct("u").alias("c"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
         state = (row["n"], row["c"], row["h"])
@@ -36,3 +37,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def keep_one(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row of ``docs`` per component of its texts' keys ``roots(node, root)``; a key without a root is its own.
+
+    Kept is the row with the smallest doc_id, null ones last, then the smallest
+    key; of rows that agree in both, an arbitrary one.  Rows are told apart by
+    doc_id and text together, so a null or repeated doc_id loses no other text.
+    """
+    key, root, none, one, copy = fresh(docs, "text_key", "root", "no_id", "kept_id", "copy")
+    keyed = docs.withColumn(key, text_key())
+    named = keyed.select("doc_id", key).join(roots.select(F.col("node").alias(key), F.col("root").alias(root)), key, "left")
+    named = named.withColumn(root, F.coalesce(root, key)).withColumn(none, F.col("doc_id").isNull())
+    first = named.groupBy(root).agg(F.min(F.struct(none, "doc_id", key)).alias(one))
+    first = first.select(F.col(f"{one}.doc_id").alias(one), F.col(f"{one}.{key}").alias(copy))
+    kept = keyed.join(first, (F.col(key) == F.col(copy)) & F.col("doc_id").eqNullSafe(F.col(one)), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).drop(key)
