@@ -1,17 +1,25 @@
 """SimHash near-duplicates: fingerprints linked by BK-trees over shards.
 
-Two fingerprints at ``radius`` bits or fewer agree in at least ``PICKED`` of
-``BLOCKS`` bit blocks, so the blocks' combinations are shards that lose no link.
-Distinct fingerprints go to their shards; each shard's BK-tree (children keyed
-by their Hamming distance to the parent) is probed by the shard's members, and
-only edges within the radius of the probe's distance are followed.  Trees are
-sent to the tasks that hold their shard, as a broadcast of all trees would grow
-with the corpus.  A shard with more than ``SHARD_LIMIT`` members is cut into
-several trees of bounded size that all its members probe.
+With ``radius`` differing bits and radius + picked blocks, two linked
+fingerprints agree in at least ``picked`` blocks, so the blocks' combinations are
+shards that lose no link.  The number of blocks follows the number of distinct
+fingerprints: few blocks while shards stay small, so that a fingerprint has few
+shards and a shard holds a tree worth pruning.  Each shard's BK-tree (children
+keyed by their Hamming distance to the parent) is probed by the shard's members,
+and only edges within the radius of the probe's distance are followed.
+
+Shards of up to ``SHARD_LIMIT`` members become a tree in the task that gathers
+them.  Crowded shards become several trees of that size each: while all their
+nodes together stay under ``BROADCAST_NODES`` (they are counted first), these
+trees are broadcast and probed where the fingerprints lie; beyond it, the members
+of crowded shards are cut into finer shards, and at the finest cut trees and
+probes meet by a shuffle.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like
-any other; repeated rows share their fingerprint and component; an empty table
-gives an empty result; extra columns are ignored.
+any other; repeated rows share their fingerprint and component; a null doc_id
+takes part and is never a component's smallest id unless all are null; very long
+texts are read whole, in bounded steps; an empty table gives an empty result;
+extra columns, whatever their names, are ignored (``deduplicate`` keeps them).
 """
 
 from __future__ import annotations
@@ -24,14 +32,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.graphs import connected_components
-from sievelight.llm.store import materialize
+from sievelight.llm.graphs import connected_components, keep_one
+from sievelight.llm.store import materialize, shuffle_width, text_key
 from sievelight.llm.tokens import pieces
 
-#: 64 bits in 7 blocks: 4 differing bits leave 3 blocks alike.
-BLOCKS, PICKED = 7, 3
 #: Fingerprints in one tree.
 SHARD_LIMIT = 1024
+#: Members that a shard holds on average at most before finer shards are cut.
+SHARD_TARGET = 128
+#: Blocks of the coarsest cut are radius + 1, those of the finest radius + FINEST.
+FINEST = 4
+#: Nodes of all broadcast trees together, 8 bytes each.
+BROADCAST_NODES = 20_000
 
 
 def _fingerprint(text: bytes, k: int) -> int:
@@ -69,95 +81,136 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
 class BKTree:
     """Nodes of distinct fingerprints; a child's key is its Hamming distance to the parent."""
 
-    def __init__(self):
+    def __init__(self, values=()):
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
+        self.visited = 0
+        for value in values:
+            self.add(value)
 
-    def add(self, value: int) -> int:
-        """Node number of ``value``, added where it is new."""
+    def add(self, value: int) -> None:
+        """Add ``value`` where it is new."""
         at = 0
-        if not self.values:
-            self.values.append(value)
-            self.children.append({})
-            return 0
-        while True:
+        while self.values:
             d = (self.values[at] ^ value).bit_count()
             if not d:
-                return at
+                return
             if d not in self.children[at]:
                 self.children[at][d] = len(self.values)
-                self.values.append(value)
-                self.children.append({})
-                return len(self.values) - 1
+                break
             at = self.children[at][d]
+        self.values.append(value)
+        self.children.append({})
 
     def within(self, value: int, radius: int) -> list[int]:
-        """Node numbers at ``radius`` bits or fewer."""
+        """Values at ``radius`` bits or fewer; ``visited`` counts the nodes looked at."""
         found, stack = [], [0] if self.values else []
         while stack:
             at = stack.pop()
-            d = (self.values[at] ^ value).bit_count()
+            self.visited += 1
+            node = self.values[at]
+            d = (node ^ value).bit_count()
             if d <= radius:
-                found.append(at)
+                found.append(node)
             kids = self.children[at]
             if kids:
-                stack.extend(node for key, node in kids.items() if d - radius <= key <= d + radius)
+                for key in range(d - radius, d + radius + 1):
+                    if key in kids:
+                        stack.append(kids[key])
         return found
 
 
-def _join(tree: BKTree, probes: list[int], radius: int):
-    """Links that connect what the tree and its probes connect: no more than one per member that joins."""
-    parent = {v: v for v in tree.values}
+class _Links:
+    """Links that connect what was found: a link inside what is connected already is left out."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+        self.pairs: list[tuple[int, int]] = []
 
-    def root(v: int) -> int:
-        while parent[v] != v:
+    def _root(self, v: int) -> int:
+        parent = self.parent
+        while parent.setdefault(v, v) != v:
             parent[v] = parent[parent[v]]
             v = parent[v]
         return v
 
+    def add(self, a: int, b: int) -> None:
+        x, y = self._root(a), self._root(b)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+            self.pairs.append((a, b))
+
+    def batch(self) -> pa.RecordBatch:
+        columns = np.array(self.pairs, np.uint64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in columns], ["a", "b"])
+
+
+def _unsigned(values) -> list[int]:
+    return [v & (2**64 - 1) for v in values]
+
+
+def _probe(tree: BKTree, probes: list[int], radius: int, out: _Links) -> None:
     for value in probes:
-        parent.setdefault(value, value)
-        for node in tree.within(value, radius):
-            a, b = root(value), root(tree.values[node])
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                yield (value, tree.values[node])
+        for other in tree.within(value, radius):
+            if other != value:
+                out.add(value, other)
 
 
-def links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """(a, b): links between distinct fingerprints ``fps(fp)`` that connect all that lie within ``radius`` bits."""
-    edges = np.linspace(0, 64, BLOCKS + 1).astype(int)
-    blocks = [((1 << int(b - a)) - 1) << int(a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    masks = [sum(blocks[i] for i in c) for c in combinations(range(BLOCKS), PICKED)]
-    if radius > BLOCKS - PICKED:
-        raise ValueError(f"radius must be at most {BLOCKS - PICKED}")
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    shards = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)])).alias("s"), "fp").select("s.c", "s.bits", "fp")
-    counted = shards.groupBy("c", "bits").agg(F.count("*").alias("n")).filter("n > 1")
-    crowded = materialize(counted.filter(F.col("n") > SHARD_LIMIT))
-    # Shards of bounded size: one tree each, whose members probe it.
-    small = shards.join(crowded.select("c", "bits"), ["c", "bits"], "left_anti").groupBy("c", "bits").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+def masks(blocks: int, picked: int) -> list[int]:
+    """Bit masks of all choices of ``picked`` of ``blocks`` nearly equal bit blocks."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    block = [(1 << b) - (1 << a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return [sum(c) for c in combinations(block, picked)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def picked_blocks(n: int, radius: int, target: int = SHARD_TARGET) -> int:
+    """Blocks that a shard has in common, so that ``n`` fingerprints give ``target`` members a shard or fewer."""
+    for picked in range(1, FINEST + 1):
+        if n <= target << (64 * picked // (radius + picked)):
+            return picked
+    return FINEST
+
 
-    def within_shards(batches):
+def _within_shards(radius: int):
+    def run(batches):
         for batch in batches:
-            out_a, out_b = [], []
+            found = _Links()
             for members in batch.column("fps").to_pylist():
-                unsigned = sorted({m & (2**64 - 1) for m in members})
-                if len(unsigned) == 2:
-                    if (unsigned[0] ^ unsigned[1]).bit_count() <= radius:
-                        out_a.append(unsigned[0])
-                        out_b.append(unsigned[1])
-                    continue
-                tree = BKTree()
-                for v in unsigned:
-                    tree.add(v)
-                for a, b in _join(tree, unsigned, radius):
-                    out_a.append(a)
-                    out_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (out_a, out_b)], ["a", "b"])
-
-    found = small.select("fps").mapInArrow(within_shards, "a long, b long")
-    # Crowded shards: several trees, every member probes its own and all later ones.
+                members = sorted(_unsigned(members))
+                _probe(BKTree(members), members, radius, found)
+            yield found.batch()
+
+    return run
+
+
+def _broadcast_trees(fps: DataFrame, crowded: DataFrame, chosen: list[int], radius: int) -> DataFrame:
+    """Links of the members of ``crowded(c, members)`` shards, whose trees are sent to every task."""
+    trees: dict[tuple[int, int], list[BKTree]] = {}
+    for row in crowded.collect():  # BROADCAST_NODES members at most
+        members = sorted(_unsigned(row["members"]))
+        shard = (row["c"], members[0] & chosen[row["c"]])
+        trees.setdefault(shard, []).extend(BKTree(members[i : i + SHARD_LIMIT]) for i in range(0, len(members), SHARD_LIMIT))
+    sent = fps.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches):
+        asked = sorted({c for c, _ in sent.value})
+        for batch in batches:
+            found = _Links()
+            for value in _unsigned(batch.column("fp").to_pylist()):
+                for c in asked:
+                    for tree in sent.value.get((c, value & chosen[c]), ()):
+                        _probe(tree, [value], radius, found)
+            yield found.batch()
+
+    return fps.mapInArrow(run, "a long, b long")
+
+
+def _shuffled_trees(shards: DataFrame, crowded: DataFrame, radius: int) -> DataFrame:
+    """Links of crowded shards beyond broadcasting: every member probes its own tree of the shard and all lower ones."""
     wide = shards.join(crowded, ["c", "bits"]).withColumn("trees", F.ceil(F.col("n") / SHARD_LIMIT).cast("int"))
     wide = wide.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
     probes = wide.withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("own"))))
@@ -167,20 +220,41 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     nodes = nodes.withColumn("deal", F.explode(F.sequence(F.lit(-1), F.col("trees") - 1))).drop("trees")
     asked = probes.groupBy("c", "bits", "tree", "deal").agg(F.collect_list("fp").alias("asks"))
 
-    def across_trees(batches):
+    def run(batches):
         for batch in batches:
-            out_a, out_b = [], []
+            found = _Links()
             for members, asks in zip(batch.column("nodes").to_pylist(), batch.column("asks").to_pylist(), strict=True):
-                tree = BKTree()
-                for v in sorted(m & (2**64 - 1) for m in members):
-                    tree.add(v)
-                for a, b in _join(tree, sorted(m & (2**64 - 1) for m in asks), radius):
-                    out_a.append(a)
-                    out_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (out_a, out_b)], ["a", "b"])
+                _probe(BKTree(sorted(_unsigned(members))), sorted(_unsigned(asks)), radius, found)
+            yield found.batch()
+
+    return nodes.join(asked, ["c", "bits", "tree", "deal"]).select("nodes", "asks").mapInArrow(run, "a long, b long")
 
-    crossed = nodes.join(asked, ["c", "bits", "tree", "deal"]).select("nodes", "asks").mapInArrow(across_trees, "a long, b long")
-    return found.unionByName(crossed)
+
+def links(fps: DataFrame, radius: int = 4, picked: int = 0) -> DataFrame:
+    """(a, b): links between distinct fingerprints ``fps(fp)`` that connect all that lie within ``radius`` bits."""
+    picked = picked or picked_blocks(fps.count(), radius)
+    chosen = masks(radius + picked, picked)
+    shard = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(chosen)])
+    # A table of fingerprints is a small file, but its rows multiply here: deal it over all tasks first.
+    dealt = fps.select("fp").repartition(shuffle_width(fps.sparkSession), "fp")
+    shards = dealt.select("fp", F.explode(shard).alias("s")).select("s.c", "s.bits", "fp")
+    counted = shards.groupBy("c", "bits").agg(F.count("*").alias("n"))
+    crowded = materialize(counted.filter(F.col("n") > SHARD_LIMIT))
+    nodes = crowded.agg(F.sum("n")).first()[0] or 0
+    plain = shards
+    if nodes:
+        plain = shards.join(crowded.select("c", "bits"), ["c", "bits"], "left_anti")
+    plain = plain.groupBy("c", "bits").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
+    found = plain.mapInArrow(_within_shards(radius), "a long, b long")
+    if not nodes:
+        return found
+    if nodes <= BROADCAST_NODES:
+        members = shards.join(crowded, ["c", "bits"]).groupBy("c", "bits").agg(F.collect_list("fp").alias("members"))
+        return found.unionByName(_broadcast_trees(dealt, members.select("c", "members"), chosen, radius))
+    if picked < FINEST:
+        inside = materialize(shards.join(crowded.select("c", "bits"), ["c", "bits"], "left_semi").select("fp").distinct())
+        return found.unionByName(links(inside, radius, picked + 1))
+    return found.unionByName(_shuffled_trees(shards, crowded, radius))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
@@ -199,7 +273,10 @@ def fingerprint_hex(fp) -> "F.Column":
 
 
 def deduplicate(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest doc_id; of repeated ids one row stays."""
-    kept = near_duplicates(docs, radius, words).filter("doc_id = component_id").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi")
-    return once.dropDuplicates(["doc_id"])
+    """``docs`` with one row of each component, the one with the smallest doc_id (null ones last)."""
+    hashed = docs.select(text_key().alias("key"), "text")
+    texts = materialize(fingerprints(hashed.select(F.col("key").alias("doc_id"), "text"), words).distinct())
+    classes = materialize(texts.select("fp").distinct())
+    roots = connected_components(links(classes, radius))
+    named = texts.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return keep_one(docs, materialize(named.select(F.col("doc_id").alias("node"), F.coalesce("root", "fp").alias("root"))))
