@@ -5,42 +5,63 @@ to) and size; the flow routes each pattern's words, at most ``max_copies`` times
 to the sources' quotas with a cost per repetition that rises with every copy;
 seeded documents are then selected until each pattern's flow is filled.
 
-Defined cases: a null text has size 0 and is taken 0 times its 0 words; a null
-source is a source of its own and comes last; repeated rows count as separate
-documents and share a selection rank only if all their columns used here agree,
-in which case one is taken before the other; an empty table gives an empty
-result; extra columns are kept unless they clash with result columns, which win.
+Patterns, sources and quotas stay in Spark at any number.  A source that shares
+no document with another needs no network: its one pattern fills its quota.
+Sources that overlap, directly or through others, form a component, and each
+component's network is solved in a task of its own.
+
+Defined cases: a null text has size 0 and is taken 0 times its 0 words, a very
+long one counts whole; a null source is a source of its own and comes last; a
+null or empty membership belongs to no source: the row stays with taken 0 and
+null source_size and target; with several sources these two are those of the
+first one; repeated rows count as separate documents, and which of two rows with
+equal doc_id and size is taken first does not matter; a null doc_id is treated
+like any other; an empty table gives an empty result; extra columns are kept,
+whatever their names, unless they are named like a result column, which wins.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Membership patterns are metadata: more than this many are refused with an error, as their network is solved on the driver.
-MAX_PATTERNS = 100_000
+from sievelight.llm.graphs import connected_components
+from sievelight.llm.store import fresh, materialize
+
+#: Rows of plan per pattern up to which the plan is broadcast.
+BROADCAST_PATTERNS = 50_000
 #: Seeded ranks are cut into so many bins per pattern before exact ranks are needed in one of them.
 BINS = 4096
 
 
-def quotas(sizes: dict, max_copies: int = 3) -> dict:
-    """Target words per source: 1, 2, 3, repeating by code point order (None last), capped and reshared."""
-    order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
-    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
-    left, out, open_ = float(sum(sizes.values())), {}, list(order)
-    while open_:
-        share = left / sum(weight[s] for s in open_)
-        full = [s for s in open_ if share * weight[s] > max_copies * sizes[s]]
-        if not full:
-            out |= {s: share * weight[s] for s in open_}
+def sources_of(patterns: DataFrame, max_copies: int) -> DataFrame:
+    """(id, source, source_size, target) per source of ``patterns(pattern, words)``.
+
+    Sources by code point, null last, weigh 1, 2, 3, repeating.  A target is its
+    share of all words by weight, at most ``max_copies`` times the source's size;
+    what is cut off there is reshared among the others until none is above.
+    """
+    sizes = patterns.select(F.explode("pattern").alias("source"), "words").groupBy("source").agg(F.sum("words").alias("source_size"))
+    # The order is global, so rows are numbered by sorted partition and place in it.
+    numbered = materialize(sizes.orderBy(F.col("source").isNull(), "source").withColumn("place", F.monotonically_increasing_id()))
+    part = F.shiftright("place", 33)
+    before = numbered.groupBy(part.alias("part")).agg(F.count("*").alias("rows"))
+    before = before.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"))  # a row per shuffle partition
+    ranked = numbered.join(F.broadcast(before), part == F.col("part")).withColumn("id", F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1))
+    ranked = materialize(ranked.select("id", "source", "source_size", (F.col("id") % 3 + 1).alias("weight")))
+    whole = ranked.agg(F.sum("source_size")).first()[0] or 0
+    most, share, full = max_copies * F.col("source_size"), 0.0, -1
+    while True:
+        above = F.lit(share) * F.col("weight") > most
+        row = ranked.agg(F.count_if(above).alias("n"), F.sum(F.when(above, most)).alias("cut"), F.sum(F.when(~above, F.col("weight"))).alias("w")).first()
+        if row["n"] == full or not row["w"]:
             break
-        for s in full:
-            out[s] = float(max_copies * sizes[s])
-            left -= out[s]
-        open_ = [s for s in open_ if s not in out]
-    return out
+        share, full = (whole - (row["cut"] or 0)) / row["w"], row["n"]
+    target = F.when(F.lit(share) * F.col("weight") > most, most.cast("double")).otherwise(F.lit(share) * F.col("weight"))
+    return ranked.select("id", "source", "source_size", target.alias("target"))
 
 
 def route(patterns: dict[tuple, int], targets: dict, max_copies: int = 3) -> dict[tuple, float]:
@@ -110,47 +131,68 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0)).cast("long"))
 
 
+def drawn_words(patterns: DataFrame, sources: DataFrame, max_copies: int) -> DataFrame:
+    """(pattern, words, source_size, target, drawn): what the flow draws of each pattern, and the first source's figures."""
+    whole = patterns.agg(F.sum("words")).first()[0] or 0
+    wanted = sources.agg(F.sum("target")).first()[0] or 0.0
+    if wanted > whole:  # overlapping sources share the words there are
+        sources = sources.withColumn("target", F.col("target") * (whole / wanted))
+    members = patterns.select("pattern", "words", F.posexplode("pattern").alias("at", "member"))
+    members = materialize(members.join(sources, F.col("member").eqNullSafe(F.col("source"))).select("pattern", "words", "at", "id", "source", "source_size", "target"))
+    gathered = members.groupBy("pattern").agg(
+        F.first("words").alias("words"), F.array_sort(F.collect_list(F.struct("at", "id", "source", "target", "source_size"))).alias("m")
+    )
+    first = F.col("m")[0]
+    gathered = gathered.select("pattern", "words", first["source_size"].alias("source_size"), first["target"].alias("target"), first["id"].alias("id"), "m")
+    edges = gathered.filter(F.size("m") > 1).select(F.col("id").alias("a"), F.explode("m.id").alias("b"))
+    parts = connected_components(edges).withColumnRenamed("node", "id")
+    alone = gathered.join(parts, "id", "left_anti").withColumn("drawn", F.least("target", (max_copies * F.col("words")).cast("double")))
+    linked = gathered.join(parts, "id").select("root", "pattern", "words", "source_size", "target", F.col("m.source").alias("names"), F.col("m.target").alias("targets"))
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        keys = [tuple(names) for names in group["names"]]
+        targets = {s: t for names, ts in zip(keys, group["targets"], strict=True) for s, t in zip(names, ts, strict=True)}
+        routed = route(dict(zip(keys, group["words"].tolist(), strict=True)), targets, max_copies)
+        return group[["pattern", "words", "source_size", "target"]].assign(drawn=[routed[k] for k in keys])
+
+    solved = linked.groupBy("root").applyInPandas(solve, "pattern array<string>, words long, source_size long, target double, drawn double")
+    return alone.select(*solved.columns).unionByName(solved)
+
+
+def _with(rows: DataFrame, plan: DataFrame, few: bool, key: str) -> DataFrame:
+    return rows.join(F.broadcast(plan) if few else plan, key, "left")
+
+
 def mix_sources(docs: DataFrame, seed: int = 17, max_copies: int = 3, membership: str | None = None) -> DataFrame:
     """Rows of ``docs(doc_id, source, size)`` with source_size, target and taken words.
 
     ``membership`` names an array column of sources for overlapping sources;
     without it a document belongs to its ``source`` alone.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("source_size", "target", "taken", "_pattern", "_rank", "_bin")
-    member = F.array_sort(F.col(membership)) if membership else F.array("source")
-    ranked = docs.withColumn("_pattern", member).withColumn("_rank", F.xxhash64(F.lit(seed), F.col("doc_id")))
-    ranked = ranked.withColumn("_bin", F.shiftrightunsigned("_rank", 52).cast("int"))
-    bins = ranked.groupBy("_pattern", "_bin").agg(F.sum("size").alias("words"))
-    totals = bins.groupBy("_pattern").agg(F.sum("words").alias("words")).limit(MAX_PATTERNS + 1).collect()
-    if len(totals) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    patterns = {tuple(r["_pattern"]): int(r["words"] or 0) for r in totals}
-    sizes: dict = {}
-    for p, n in patterns.items():
-        for s in p:
-            sizes[s] = sizes.get(s, 0) + n
-    whole = sum(patterns.values())
-    targets = quotas(sizes, max_copies)
-    if membership and sum(targets.values()) > whole:  # overlapping sources share the words there are
-        targets = {s: t * whole / sum(targets.values()) for s, t in targets.items()}
-    drawn = route(patterns, targets, max_copies)
-    rows = [(list(p), sizes[p[0]], targets[p[0]], int(drawn[p] // n) if n else 0, drawn[p] - n * (drawn[p] // n) if n else 0.0) for p, n in patterns.items() if p]
-    # One row per pattern, at most MAX_PATTERNS.
-    plan = F.broadcast(spark.createDataFrame(rows, "_pattern array<string>, source_size long, target double, _copies long, _rest double"))
+    docs = docs.drop("source_size", "target", "taken")
+    pattern, rank, bin_, copies, rest, edge, before, extra = fresh(docs, "pattern", "rank", "bin", "copies", "rest", "edge", "before", "extra")
+    member = F.array_sort(F.array_distinct(F.coalesce(F.col(membership), F.array().cast("array<string>")))) if membership else F.array(F.col("source").cast("string"))
+    ranked = docs.withColumn(pattern, member).withColumn(rank, F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")))
+    ranked = ranked.withColumn(bin_, F.shiftrightunsigned(rank, 52).cast("int"))
+    bins = materialize(ranked.groupBy(pattern, bin_).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("words")))
+    patterns = materialize(bins.filter(F.size(pattern) > 0).groupBy(F.col(pattern).alias("pattern")).agg(F.sum("words").alias("words")))
+    drawn = materialize(drawn_words(patterns, sources_of(patterns, max_copies), max_copies))
+    turns = F.when(F.col("words") > 0, F.floor(F.col("drawn") / F.col("words"))).otherwise(0).cast("int")
+    plan = drawn.withColumn(copies, turns).select(F.col("pattern").alias(pattern), "source_size", "target", copies, (F.col("drawn") - F.col("words") * F.col(copies)).alias(rest))
+    few = drawn.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS
     # Of each pattern, whole bins below the one where the rest runs out; exact ranks inside that bin only.
-    run = Window.partitionBy("_pattern").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    edge = (
-        bins.withColumn("_before", F.coalesce(F.sum("words").over(run), F.lit(0)))
-        .join(plan.select("_pattern", "_rest"), "_pattern")
-        .filter((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("words") >= F.col("_rest")))
-        .select("_pattern", F.col("_bin").alias("_edge"), "_before")
+    run = Window.partitionBy(pattern).orderBy(bin_).rowsBetween(Window.unboundedPreceding, -1)
+    edges = (
+        _with(bins.withColumn(before, F.coalesce(F.sum("words").over(run), F.lit(0))), plan, few, pattern)
+        .filter((F.col(before) < F.col(rest)) & (F.col(before) + F.col("words") >= F.col(rest)))
+        .select(pattern, F.col(bin_).alias(edge), before)
     )
-    joined = ranked.join(plan, "_pattern").join(F.broadcast(edge), "_pattern", "left")
-    inside = F.coalesce(F.col("_bin") == F.col("_edge"), F.lit(False))
-    exact = Window.partitionBy("_pattern").orderBy("_rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    part = joined.filter(inside).withColumn("_extra", (F.col("_before") + F.coalesce(F.sum("size").over(exact), F.lit(0)) < F.col("_rest")).cast("int"))
-    rest = joined.filter(~inside).withColumn("_extra", F.coalesce((F.col("_bin") < F.col("_edge")).cast("int"), F.lit(0)))
-    taken = F.least((F.col("_copies") + F.col("_extra")) * F.col("size"), F.col("size") * max_copies)
-    out = part.unionByName(rest).withColumn("taken", taken.cast("long"))
-    return out.drop("_pattern", "_rank", "_bin", "_copies", "_rest", "_edge", "_before", "_extra")
+    joined = _with(ranked, plan.join(edges, pattern, "left"), few, pattern)
+    inside = F.coalesce(F.col(bin_) == F.col(edge), F.lit(False))
+    exact = Window.partitionBy(pattern).orderBy(rank, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    part = joined.filter(inside).withColumn(extra, (F.col(before) + F.coalesce(F.sum("size").over(exact), F.lit(0)) < F.col(rest)).cast("int"))
+    others = joined.filter(~inside).withColumn(extra, F.coalesce((F.col(bin_) < F.col(edge)).cast("int"), F.lit(0)))
+    taken = F.least((F.col(copies) + F.col(extra)) * F.col("size"), F.col("size") * max_copies)
+    # No plan: a row of no source, of which nothing is taken.
+    out = part.unionByName(others).withColumn("taken", F.when(F.col(copies).isNull(), 0).otherwise(F.coalesce(taken, F.lit(0))).cast("long"))
+    return out.select(*docs.columns, "source_size", "target", "taken")
