@@ -1,24 +1,28 @@
 """Quality by co-training: a text-content view and a page-metadata view teach each other.
 
-Both views are logistic regressions on bounded samples: labelled rows
-(``MAX_LABELLED``) and a pool of unlabelled rows (``POOL``), chosen by the hash
-of doc_id.  In each round either classifier hands its most confident pool rows
-of both classes to the other's training set.  Both scores are then calibrated on
-labelled rows kept out of training and combined into one probability.
+Every document is turned once into two short sparse rows, one per view, which are
+written out.  Both views are logistic regressions that start from a bounded
+sample of labelled rows (``MAX_LABELLED``, by the hash of doc_id).  In each round
+both score all other documents, and either hands its ``HANDED`` most confident
+ones of each class to the other's training set; the best of every task, then of
+all tasks, are taken, so that only these reach the driver.  Each view is then
+calibrated on labelled rows kept out of training, and the calibrated views are
+combined into one probability that scores all documents.
 
 The text view sees hashed words and character classes; the metadata view sees
 language, source, length and line layout, and no word.
 
-Defined cases: null and empty texts have an all-zero text view; null metadata is
-a value of its own; without labelled rows of both classes every score is 0.5;
-ties in confidence go to the lower doc_id hash; repeated rows score alike;
-labels of a repeated doc_id count once; an empty table gives an empty result;
-extra columns are ignored; a null doc_id is kept and never trains.
+Defined cases: null and empty texts have a text view without words; null metadata
+is a value of its own; very long texts are read whole, a piece at a time; without
+labelled rows of both classes every score is 0.5; ties in confidence go to the
+lower key (a hash of text and metadata); repeated rows score alike and are handed
+over once; labels of a repeated doc_id count once, for the row with the lowest
+key; an empty table gives an empty result; extra columns, whatever their names,
+are ignored; a row with a null doc_id is kept and has no label.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -31,171 +35,245 @@ from sievelight.llm.store import materialize
 from sievelight.llm.tokens import NON_ALNUM, SPACES, pieces, split_words
 from sievelight.llm.toxicity import held_out, labelled_sample
 
-MAX_LABELLED, POOL = 6000, 6000
-#: Rounds, and pool rows of each class that a view hands over per round.
+#: Labelled rows that training takes at most.
+MAX_LABELLED = 6000
+#: Rounds, and rows of each class that a view hands over per round.
 ROUNDS, HANDED = 4, 200
 #: Hashed word features and character-class features of the text view; hashed features of the metadata view.
 WORDS, SHAPES, META = 4096, 8, 256
+#: Character classes by byte: symbols, punctuation, digits, capitals, and bytes that start a character.
+CLASSES = [np.isin(np.arange(256), [ord(c) for c in chars]) for chars in ("#*$%&|<>", ".,;:!?", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")]
+STARTS = (np.arange(256) & 0xC0) != 0x80
 
 
-def text_view(column: pa.Array) -> np.ndarray:
-    """A row per text: square-rooted shares of hashed words, then character classes and word statistics."""
-    words = split_words(column, NON_ALNUM, lower=True)
+@dataclass
+class Sparse:
+    """Rows of (slot, value) entries, ``counts`` of them per row."""
+
+    slots: np.ndarray
+    values: np.ndarray
+    counts: np.ndarray
+
+    @property
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.counts)), self.counts)
+
+    def pick(self, keep: np.ndarray) -> "Sparse":
+        held = keep[self.rows]
+        return Sparse(self.slots[held], self.values[held], self.counts[keep])
+
+    def packed(self) -> tuple[pa.Array, pa.Array]:
+        """The slots and the values of each row as bytes."""
+        slots, values = self.slots.astype(np.uint16), self.values.astype(np.float16)
+        cuts = np.concatenate(([0], np.cumsum(self.counts))).tolist()
+        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+        return tuple(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (slots, values))
+
+    @staticmethod
+    def unpacked(slots: list[bytes], values: list[bytes]) -> "Sparse":
+        counts = np.array([len(x) // 2 for x in slots], np.int64)
+        return Sparse(np.frombuffer(b"".join(slots), np.uint16).astype(np.int64), np.frombuffer(b"".join(values), np.float16).astype(np.float64), counts)
+
+
+def text_view(column: pa.Array) -> Sparse:
+    """Square-rooted shares of hashed words, then character classes and word statistics of each text."""
     n = len(column)
-    out = np.zeros((n, WORDS + SHAPES), np.float32)
+    words = split_words(column, NON_ALNUM, lower=True)
     at = np.repeat(np.arange(n), words.counts)
-    slots = (words.hashes() & np.uint64(WORDS - 1)).astype(np.int64)
-    np.add.at(out, (at, slots), 1.0)
-    total = np.maximum(words.counts, 1)
-    out[:, :WORDS] = np.sqrt(out[:, :WORDS] / total[:, None])
+    held, times = np.unique(at * WORDS + (words.hashes() & np.uint64(WORDS - 1)).astype(np.int64), return_counts=True)
+    shares = np.sqrt(times / np.maximum(words.counts, 1)[held // WORDS])
     raw = split_words(column, SPACES)
-    sizes = np.array([len(t.as_py() or "") for t in column], float)
-    for i, t in enumerate(column):
-        text = t.as_py() or ""
-        size = max(len(text), 1)
-        out[i, WORDS:] = (
-            sum(text.count(c) for c in "#*$%&|<>") / size * 10,
-            sum(text.count(c) for c in ".,;:!?") / size * 10,
-            len(re.findall(r"[0-9]", text)) / size * 10,
-            len(re.findall(r"[A-Z]", text)) / size * 10,
-            raw.counts[i] / size * 5,
-            len(set(text.split())) / max(int(raw.counts[i]), 1),
-            np.log1p(sizes[i]) / 10,
-            1.0 if sizes[i] else 0.0,
-        )
-    return out
-
-
-def metadata_view(batch: pa.RecordBatch) -> np.ndarray:
-    """A row per document: hashed language, source, length and layout classes."""
-    out = np.zeros((batch.num_rows, META), np.float32)
+    lengths = np.array([len(t) for t in column.fill_null("").cast(pa.binary()).to_pylist()], np.int64)
+    ends = np.cumsum(lengths)
+
+    def count(kind: np.ndarray) -> np.ndarray:
+        sums = np.concatenate(([0], np.cumsum(kind[raw.data])))
+        return (sums[ends] - sums[ends - lengths]).astype(float)
+
+    size = count(STARTS)
+    raw_at, hashes = np.repeat(np.arange(n), raw.counts), raw.hashes()
+    order = np.lexsort((hashes, raw_at))
+    new = np.ones(len(order), bool)
+    new[1:] = (raw_at[order][1:] != raw_at[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
+    different = np.bincount(raw_at[order][new], minlength=n)
+    per_char, per_word = np.maximum(size, 1), np.maximum(raw.counts, 1)
+    shapes = [count(k) / per_char * 10 for k in CLASSES] + [raw.counts / per_char * 5, different / per_word, np.log1p(size) / 10, (size > 0).astype(float)]
+    slots = np.concatenate([held % WORDS, np.tile(np.arange(WORDS, WORDS + SHAPES), n)])
+    rows = np.concatenate([held // WORDS, np.repeat(np.arange(n), SHAPES)])
+    order = np.argsort(rows, kind="stable")
+    return Sparse(slots[order], np.concatenate([shares, np.stack(shapes, axis=1).ravel()])[order], np.bincount(rows, minlength=n))
+
+
+def metadata_view(batch: pa.RecordBatch) -> Sparse:
+    """Hashed language, source, length and layout classes of each document."""
+    slots = []
     columns = zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars", "n_lines", "n_words")), strict=True)
-    for i, (lang, source, chars, lines, words) in enumerate(columns):
+    for lang, source, chars, lines, words in columns:
         length, layout = int(np.log2((chars or 0) + 1)), int(2 * np.log2((words or 0) / max(lines or 0, 1) + 1))
         for value in (f"lang={lang}", f"source={source}", f"chars={length}", f"layout={layout}", f"spread={int(4 * (chars or 0) / max(words or 0, 1))}"):
-            out[i, zlib.crc32(value.encode()) % META] += 1.0
-    return out
+            slots.append(zlib.crc32(value.encode()) % META)
+    return Sparse(np.array(slots, np.int64), np.ones(len(slots)), np.full(batch.num_rows, 5))
 
 
 @dataclass
 class Linear:
     weights: np.ndarray
-    intercept: float
+    intercept: float = 0.0
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.weights + self.intercept
+    def margin(self, x: Sparse) -> np.ndarray:
+        return np.bincount(x.rows, x.values * self.weights[x.slots], len(x.counts)) + self.intercept
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200, rate: float = 0.05, penalty: float = 1e-4) -> Linear:
-    """Class-balanced logistic regression by Adam over all rows."""
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())).astype(np.float32)
+def logistic(x: Sparse, y: np.ndarray, width: int, start: Linear | None = None, balanced: bool = True, rounds: int = 200, rate: float = 0.05, penalty: float = 1e-4) -> Linear:
+    """Logistic regression by Adam over all rows, of which both classes weigh alike if ``balanced``."""
+    w, b = (np.zeros(width), 0.0) if start is None else (start.weights.copy(), start.intercept)
+    m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
+    share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) if balanced else np.full(len(y), 1 / max(1, len(y)))
+    rows = x.rows
     for t in range(1, rounds + 1):
-        g = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y) * share
-        gw, gb = x.T @ g.astype(np.float32) + penalty * w, float(g.sum())
+        z = np.bincount(rows, x.values * w[x.slots], len(y)) + b
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
+        gw, gb = np.bincount(x.slots, x.values * g[rows], width) + penalty * w, float(g.sum())
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-7)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-7)
     return Linear(w, float(b))
 
 
+def dense(columns: list[np.ndarray]) -> Sparse:
+    n = len(columns[0])
+    return Sparse(np.tile(np.arange(len(columns)), n), np.stack(columns, axis=1).ravel(), np.full(n, len(columns)))
+
+
 @dataclass
 class Model:
-    text: Linear
-    meta: Linear
-    #: Weights of the calibrated combination: intercept, text margin, metadata margin.
-    combined: np.ndarray
-
-    def probability(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b = self.text.margin(text), self.meta.margin(meta)
-        z = self.combined[0] + self.combined[1] * a + self.combined[2] * b
-        return tuple(1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (a, b, z))
-
-
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, calibrate: np.ndarray, rounds: int = ROUNDS, handed: int = HANDED) -> Model:
-    """y: 0 or 1 for labelled rows, -1 for the pool; rows marked ``calibrate`` are labelled and fit the combination only."""
-    views = (text, meta)
-    known = [np.where(calibrate, -2, y) for _ in views]  # what either view has been told
-    models = [logistic(x[k >= 0], k[k >= 0].astype(np.float32)) for x, k in zip(views, known, strict=True)]
-    for _ in range(rounds):
-        told = []
-        for me in (0, 1):
-            other, open_ = 1 - me, np.flatnonzero(known[1 - me] == -1)
-            margin = models[me].margin(views[me][open_])
-            order = np.argsort(margin, kind="stable")
-            n = min(handed, len(order) // 4)
-            for label, picked in ((0, order[:n]), (1, order[len(order) - n :])):
-                sure = picked[(margin[picked] > 0) == bool(label)]
-                told.append((other, open_[sure], label))
-        for view, rows, label in told:
-            known[view][rows] = label
-        models = [logistic(x[k >= 0], k[k >= 0].astype(np.float32)) for x, k in zip(views, known, strict=True)]
-    held = np.flatnonzero(calibrate)
-    margins = np.stack([m.margin(x[held]) for m, x in zip(models, views, strict=True)], axis=1).astype(np.float32)
-    if len(held) and 0 < y[held].sum() < len(held):
-        both = logistic(margins, y[held].astype(np.float32), penalty=1e-3)
-        return Model(*models, np.array([both.intercept, *both.weights]))
-    return Model(*models, np.array([0.0, 0.5, 0.5]))
+    views: list[Linear]
+    #: (slope, intercept) that make a view's margin the log-odds of its calibrated probability.
+    scales: list[tuple[float, float]]
+    #: Combination of the calibrated log-odds.
+    combined: Linear
+
+    def probability(self, views: tuple[Sparse, Sparse]) -> list[np.ndarray]:
+        """Calibrated probability of the text view, of the metadata view, and of both."""
+        odds = [a * m.margin(x) + b for m, x, (a, b) in zip(self.views, views, self.scales, strict=True)]
+        return [1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (*odds, self.combined.margin(dense(odds)))]
+
+
+def calibrated(views: list[Linear], x: tuple[Sparse, Sparse], y: np.ndarray) -> Model:
+    """Both views scaled, and their combination fitted, on rows that trained neither."""
+    if not len(y) or not 0 < y.sum() < len(y):
+        return Model(views, [(1.0, 0.0)] * 2, Linear(np.array([0.5, 0.5])))
+    margins = [m.margin(v) for m, v in zip(views, x, strict=True)]
+    fits = [logistic(dense([z]), y, 1, balanced=False, rounds=600) for z in margins]
+    scales = [(float(f.weights[0]), f.intercept) for f in fits]
+    odds = [a * z + b for z, (a, b) in zip(margins, scales, strict=True)]
+    return Model(views, scales, logistic(dense(odds), y, 2, start=Linear(np.array([0.5, 0.5])), balanced=False, rounds=600))
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """``docs`` with the page metadata that the second view uses."""
+    """``docs`` with the page metadata that the second view uses, and a key of all that the views see."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.length(text).cast("long").alias("n_chars"),
-        (F.regexp_count(text, F.lit("\n")) + 1).alias("n_lines"), F.regexp_count(text, F.lit(r"[ \t\n\x0B\f\r]+")).alias("n_words"),
+        (F.regexp_count(text, F.lit("\n")) + 1).alias("n_lines"), F.regexp_count(text, F.lit(r"[ \t\n\x0B\f\r]+")).alias("n_words"), F.xxhash64(text, F.col("lang").cast("string"), F.col("source").cast("string")).alias("key"),
     )
 
 
-def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return text_view(batch.column("text")), metadata_view(batch)
+FEATURES = "doc_id long, key long, y int, ts binary, tv binary, ms binary, mv binary"
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """``docs`` as ``described`` gives them; None without labelled rows of both classes."""
+def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, key, y, packed views) per row of ``docs``; y is null where a row trains with no label."""
     sample = labelled_sample(labels, "quality", held_out, MAX_LABELLED)
-    pool = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(POOL)
-    wanted = materialize(pool.join(sample, "doc_id", "full_outer").select("doc_id", F.coalesce("y", F.lit(-1)).alias("y")))
-    rows = docs.join(F.broadcast(wanted), "doc_id")  # MAX_LABELLED + POOL ids at most
+    rows = described(docs).join(F.broadcast(sample), "doc_id", "left")  # MAX_LABELLED rows of two numbers at most
 
-    def view(batches):
+    def run(batches):
         for batch in pieces(batches, "text"):
-            text, meta = _views(batch)
-            packed = [(t.astype(np.float16).tobytes(), m.astype(np.float16).tobytes()) for t, m in zip(text, meta, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("y"), pa.array([a for a, _ in packed], pa.binary()), pa.array([b for _, b in packed], pa.binary())], ["doc_id", "y", "t", "m"]
-            )
-
-    found = rows.select("doc_id", "y", "text", "lang", "source", "n_chars", "n_lines", "n_words").mapInArrow(view, "doc_id long, y int, t binary, m binary").toArrow()
-    y = found.column("y").to_numpy()
-    if not (y == 0).any() or not (y == 1).any():
+            packed = [*text_view(batch.column("text")).packed(), *metadata_view(batch).packed()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("y"), *packed], ["doc_id", "key", "y", "ts", "tv", "ms", "mv"])
+
+    return rows.select("doc_id", "key", "y", "text", "lang", "source", "n_chars", "n_lines", "n_words").mapInArrow(run, FEATURES)
+
+
+def _views(table) -> tuple[Sparse, Sparse]:
+    return tuple(Sparse.unpacked(*(table.column(c).to_pylist() for c in names)) for names in (("ts", "tv"), ("ms", "mv")))
+
+
+def confident(rows: DataFrame, views: list[Linear], told: list[dict], handed: int) -> list[dict[int, int]]:
+    """What the views hand over of the unlabelled ``rows``: per receiving view, label by key."""
+    known = [np.array(sorted(t), np.int64) for t in told]
+
+    def run(batches):
+        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            for me, (view, x) in enumerate(zip(views, _views(batch), strict=True)):
+                margin = np.round(view.margin(x), 9)
+                new = ~np.isin(keys, known[1 - me])
+                for label in (0, 1):
+                    sure = new & ((margin > 0) if label else (margin < 0))
+                    old = best.get((me, label), (np.zeros(0, np.int64), np.zeros(0)))
+                    k, trust = np.concatenate([old[0], keys[sure]]), np.concatenate([old[1], np.abs(margin[sure])])
+                    k, first = np.unique(k, return_index=True)
+                    order = np.lexsort((k, -trust[first]))[:handed]
+                    best[me, label] = (k[order], trust[first][order])
+        for (me, label), (k, trust) in best.items():
+            n = len(k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, me, np.int32)), pa.array(np.full(n, label, np.int32)), pa.array(k), pa.array(trust)], ["me", "label", "key", "trust"])
+
+    found = rows.filter("y IS NULL").select("key", "ts", "tv", "ms", "mv").mapInArrow(run, "me int, label int, key long, trust double").distinct()
+    out: list[dict[int, int]] = [{}, {}]
+    for me in (0, 1):
+        for label in (0, 1):
+            for r in found.filter((F.col("me") == me) & (F.col("label") == label)).orderBy(F.desc("trust"), "key").limit(handed).collect():
+                out[1 - me][r["key"]] = label
+    return out
+
+
+def train(rows: DataFrame, rounds: int, handed: int) -> Model | None:
+    """The model of ``rows`` as ``features`` gives them; None without labelled rows of both classes."""
+    packed = F.struct("key", "y", "ts", "tv", "ms", "mv")
+    labelled = rows.filter("y IS NOT NULL").groupBy("doc_id").agg(F.min(packed).alias("r")).orderBy("doc_id").select("doc_id", "r.*").toArrow()
+    ids, y = labelled.column("doc_id").to_numpy(), labelled.column("y").to_numpy().astype(float)
+    if not 0 < y.sum() < len(y):
         return None
-    ids = found.column("doc_id").to_numpy()
-    order = np.lexsort((ids,))
-    text, meta = (np.frombuffer(b"".join(found.column(c).to_pylist()), np.float16).reshape(len(y), -1)[order].astype(np.float32) for c in ("t", "m"))
-    ids, y = ids[order], y[order]
-    calibrate = (y >= 0) & (np.array([zlib.crc32(f"c{i}".encode()) % 4 for i in ids.tolist()]) == 0)
-    if len(set(y[(y >= 0) & ~calibrate].tolist())) < 2:
-        calibrate[:] = False
-    return co_train(text, meta, y, calibrate)
+    x = _views(labelled)
+    held = np.array([zlib.crc32(f"c{i}".encode()) % 4 == 0 for i in ids.tolist()])
+    if not 0 < y[~held].sum() < (~held).sum():
+        held[:] = False
+    widths = (WORDS + SHAPES, META)
+    base = [v.pick(~held) for v in x]
+    views = [logistic(v, y[~held], w) for v, w in zip(base, widths, strict=True)]
+    told: list[dict[int, int]] = [{}, {}]
+    for _ in range(rounds):
+        given = confident(rows, views, told, handed)
+        if not given[0] and not given[1]:
+            break
+        for mine, more in zip(told, given, strict=True):
+            mine |= more
+        keys = sorted(told[0].keys() | told[1].keys())  # 4 * HANDED a round at most
+        fetched = rows.filter("y IS NULL").join(F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in keys], "key long")), "key")
+        fetched = fetched.groupBy("key").agg(F.first("ts").alias("ts"), F.first("tv").alias("tv"), F.first("ms").alias("ms"), F.first("mv").alias("mv")).orderBy("key").toArrow()
+        pool, order = _views(fetched), fetched.column("key").to_pylist()
+        for me in (0, 1):
+            mine = np.array([k in told[me] for k in order], bool)
+            more, truth = pool[me].pick(mine), np.array([told[me][k] for k in order if k in told[me]], float)
+            both = Sparse(*(np.concatenate([getattr(base[me], f), getattr(more, f)]) for f in ("slots", "values", "counts")))
+            views[me] = logistic(both, np.concatenate([y[~held], truth]), widths[me], start=views[me], rounds=60)
+    return calibrated(views, tuple(v.pick(held) for v in x), y[held])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, held_out, text_score, metadata_score, score, kept) per row of ``docs(doc_id, text, lang, source)``."""
-    ready = described(docs)
-    model = docs.sparkSession.sparkContext.broadcast(train(ready, labels))  # two vectors of WORDS + SHAPES and META weights
+    rows = materialize(features(docs, labels))
+    model = docs.sparkSession.sparkContext.broadcast(train(rows, ROUNDS, HANDED))  # two vectors of WORDS + SHAPES and META weights
 
     def run(batches):
-        for batch in pieces(batches, "text"):
-            n = batch.num_rows
-            if model.value is None:
-                scores = [np.full(n, 0.5)] * 3
-            else:
-                scores = model.value.probability(*_views(batch))
+        for batch in batches:
+            scores = [np.full(batch.num_rows, 0.5)] * 3 if model.value is None else model.value.probability(_views(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(np.asarray(s, float)) for s in scores]], ["doc_id", "text_score", "metadata_score", "score"])
 
-    scored = ready.mapInArrow(run, "doc_id long, text_score double, metadata_score double, score double")
+    scored = rows.select("doc_id", "ts", "tv", "ms", "mv").mapInArrow(run, "doc_id long, text_score double, metadata_score double, score double")
     rounded = [F.round(c, 6).alias(c) for c in ("text_score", "metadata_score", "score")]
     held = F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
     return scored.select("doc_id", held, *rounded).withColumn("kept", F.col("score") >= threshold)
