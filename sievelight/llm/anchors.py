@@ -12,18 +12,24 @@ a hash that occurs often in a piece is sent once, so that a passage found in a
 third of all documents stays one entry per piece.  A piece also decides at once
 what repeats inside it.
 
+Tasks take one shard of hashes or documents at a time from sorted rows, so memory
+follows the size of a shard, ``SHARDS`` of them per shuffle partition.  Words are
+compared by hash: 64 bits and the shard number for whole windows.
+
+Rows are told apart by doc_id where that is unique, else (null or repeated ids
+with different texts) by a hash of their text, and equal texts share their hits.
+
 Defined cases: null and blank texts have no word and nothing to remove; texts
 shorter than a window are kept whole; all copies of a repeat are removed, ties
-do not arise; repeated rows repeat each other's windows and, keyed by
-``doc_id``, share what is removed (texts of one id are assumed to be equal);
-rows without ``doc_id`` are kept whole; an empty table gives an empty result;
-extra columns are ignored.
+do not arise; repeated rows repeat each other's windows; a null doc_id is treated
+like any other; very long texts travel in parts; an empty table gives an empty
+result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +37,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.store import materialize, shuffle_width
+from sievelight.llm.store import materialize, shuffle_width, text_key
 from sievelight.llm.tokens import SPACES, Words, mix, pieces, split_words
 
 #: Bytes of text in a piece.
 PIECE = 4 << 20
+#: Shards per shuffle partition.
+SHARDS = 8
 #: Packed rows: entries (kind 0) go to the shard of their hashes, hits (kind 1, no hashes) to the shard of their documents.
 ENTRY = "kind int, shard int, ids binary, counts binary, places binary, hashes binary, flags binary"
 FIELDS = ["kind", "shard", "ids", "counts", "places", "hashes", "flags"]
-HIT = "doc_id long, places array<int>"
+HIT = "id long, places array<int>"
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -123,53 +131,89 @@ def _local(hashes: np.ndarray, flags: np.ndarray):
     return np.sort(firsts), twice
 
 
+class _Shards:
+    """Rows of batches sorted by shard, gathered one shard after the other."""
+
+    def __init__(self):
+        self.held: list[dict] = []
+
+    def full(self, rows: list[dict]):
+        """Add ``rows``; the shards that are complete now."""
+        for r in rows:
+            if self.held and r["shard"] != self.held[0]["shard"]:
+                yield self.held
+                self.held = []
+            self.held.append(r)
+
+    def last(self):
+        if self.held:
+            yield self.held
+
+
 def _gather(batches):
     """Per document shard: one row per document with its different places."""
-    rows = [_places(r) for batch in batches for r in batch.select(["ids", "counts", "places"]).to_pylist()]
-    if not rows:
-        return
-    ids, places = (np.concatenate(x) for x in zip(*rows, strict=True))
-    order = np.lexsort((places, ids))
-    ids, places = ids[order], places[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (places[1:] != places[:-1])
-    ids, places = ids[new], places[new]
-    run_ids, starts = np.unique(ids, return_index=True)
-    offsets = np.append(starts, len(ids)).astype(np.int32)
-    yield pa.RecordBatch.from_arrays([pa.array(run_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(places.astype(np.int32)))], ["doc_id", "places"])
+    shards = _Shards()
+    fields = ["shard", "ids", "counts", "places"]
+    for rows in chain(chain.from_iterable(shards.full(batch.select(fields).to_pylist()) for batch in batches), shards.last()):
+        ids, places = (np.concatenate(x) for x in zip(*map(_places, rows), strict=True))
+        order = np.lexsort((places, ids))
+        ids, places = ids[order], places[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (places[1:] != places[:-1])
+        ids, places = ids[new], places[new]
+        run_ids, starts = np.unique(ids, return_index=True)
+        offsets = np.append(starts, len(ids)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(run_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(places.astype(np.int32)))], ["id", "places"])
 
 
 def _meet(shards: int, wide: bool):
     """Per hash shard: entries whose hash occurs twice or more with a flagged one among them become hits; hits pass."""
 
+    def hits_of(rows: list[dict]):
+        ids, places, hashes, flags = _unpack(rows, wide)
+        order = np.argsort(hashes, kind="stable")
+        sorted_ = hashes[order]
+        new = np.ones(len(order), bool)
+        new[1:] = sorted_[1:] != sorted_[:-1]
+        starts = np.flatnonzero(new)
+        counts = np.diff(np.append(starts, len(order)))
+        hit = (counts > 1) & np.maximum.reduceat(flags[order].astype(np.uint8), starts).astype(bool)
+        at = order[np.repeat(hit, counts)]
+        if len(at):
+            yield _by_document(shards, ids[at], places[at])
+
     def run(batches):
-        rows: dict[int, list[dict]] = {}
+        complete = _Shards()
         for batch in batches:
             hits = pc.equal(batch.column("kind"), 1)
             if pc.any(hits).as_py():
                 yield pa.RecordBatch.from_arrays(batch.filter(hits).columns, FIELDS)  # nullable fields, as in packed rows
-            for r in batch.filter(pc.invert(hits)).to_pylist():
-                rows.setdefault(r["shard"], []).append(r)
-        for shard in list(rows):
-            ids, places, hashes, flags = _unpack(rows.pop(shard), wide)
-            order = np.argsort(hashes, kind="stable")
-            sorted_ = hashes[order]
-            new = np.ones(len(order), bool)
-            new[1:] = sorted_[1:] != sorted_[:-1]
-            starts = np.flatnonzero(new)
-            counts = np.diff(np.append(starts, len(order)))
-            hit = (counts > 1) & np.maximum.reduceat(flags[order].astype(np.uint8), starts).astype(bool)
-            at = order[np.repeat(hit, counts)]
-            if len(at):
-                yield _by_document(shards, ids[at], places[at])
+            for rows in complete.full(batch.filter(pc.invert(hits)).to_pylist()):
+                yield from hits_of(rows)
+        for rows in complete.last():
+            yield from hits_of(rows)
 
     return run
 
 
 def matched_places(packed: DataFrame, shards: int, wide: bool) -> DataFrame:
-    """(doc_id, places) from packed entries and hits: entries meet by hash, then hits gather by document."""
-    met = packed.repartition(shards, "shard").mapInArrow(_meet(shards, wide), ENTRY)
-    return met.repartition(shards, "shard").mapInArrow(_gather, HIT)
+    """(id, places) from packed entries and hits: entries meet by hash, then hits gather by document."""
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(shards // SHARDS, "shard").sortWithinPartitions("shard")
+
+    return dealt(dealt(packed).mapInArrow(_meet(shards, wide), ENTRY)).mapInArrow(_gather, HIT)
+
+
+def matched_places(packed: DataFrame, shards: int, wide: bool) -> DataFrame:
+    """(id, places) from packed entries and hits: entries meet by hash, then hits gather by document."""
+    width = shards // SHARDS
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(width, "shard").sortWithinPartitions("shard")
+
+    met = dealt(packed.filter("kind = 0")).mapInArrow(_meet(shards, wide), ENTRY)
+    return dealt(met.unionByName(packed.filter("kind = 1"))).mapInArrow(_gather, HIT)
 
 
 def _word_indices(words: Words, texts: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -182,13 +226,16 @@ def repeated_windows(docs: DataFrame, window: int = 35, block: int = 18) -> Data
         raise ValueError("window must hold a whole block: window >= 2 * block - 1")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    shards = shuffle_width(spark)
+    texts = docs.groupBy("doc_id").agg(F.min(text_key()).alias("a"), F.max(text_key()).alias("b"))
+    unique = texts.filter("doc_id IS NULL OR a <> b").isEmpty()
+    docs = docs.withColumn("id", F.col("doc_id") if unique else text_key())
+    shards = shuffle_width(spark) * SHARDS
 
     # 1. Reference blocks and probes, by hash: anchors are probes or blocks that meet elsewhere.
     def probes(batches):
         for batch in pieces(batches, "text", PIECE):
             words = split_words(batch.column("text"), SPACES)
-            ids = batch.column("doc_id").fill_null(-1).to_numpy()
+            ids = batch.column("id").to_numpy()
             at, hashes = words.grams(words.hashes(), block)
             if not len(at):
                 continue
@@ -209,7 +256,7 @@ def repeated_windows(docs: DataFrame, window: int = 35, block: int = 18) -> Data
     def extend(batches):
         for batch in pieces(batches, "text", PIECE):
             words = split_words(batch.column("text"), SPACES)
-            ids = batch.column("doc_id").fill_null(-1).to_numpy()
+            ids = batch.column("id").to_numpy()
             anchors_of = batch.column("places")
             lengths = pc.fill_null(pc.list_value_length(anchors_of), 0).to_numpy(zero_copy_only=False)
             texts = np.repeat(np.arange(len(ids)), lengths)
@@ -230,7 +277,7 @@ def repeated_windows(docs: DataFrame, window: int = 35, block: int = 18) -> Data
             digests = [_kept(words, i, None)[1] for i in done]
             n = len(ids)
             kept = [batch.column("text")[int(i)].as_py() for i in open_]
-            finished = {"doc_id": batch.column("doc_id"), "n_words": pa.array(words.counts), "sha": pa.array(_scatter(n, done, digests), pa.string()), "text": pa.array(_scatter(n, open_, kept), pa.string())}
+            finished = {"id": batch.column("id"), "doc_id": batch.column("doc_id"), "n_words": pa.array(words.counts), "sha": pa.array(_scatter(n, done, digests), pa.string()), "text": pa.array(_scatter(n, open_, kept), pa.string())}
             yield _rows(n, finished)
             packed = []
             if len(twice):
@@ -240,17 +287,17 @@ def repeated_windows(docs: DataFrame, window: int = 35, block: int = 18) -> Data
             for out in packed:
                 yield _rows(out.num_rows, {f: out.column(f) for f in FIELDS})
 
-    second = f"doc_id long, n_words long, sha string, text string, {ENTRY}"
-    types = {"doc_id": pa.int64(), "n_words": pa.int64(), "sha": pa.string(), "text": pa.string(), "kind": pa.int32(), "shard": pa.int32()} | dict.fromkeys(FIELDS[2:], pa.binary())
+    second = f"id long, doc_id long, n_words long, sha string, text string, {ENTRY}"
+    types = {"id": pa.int64(), "doc_id": pa.int64(), "n_words": pa.int64(), "sha": pa.string(), "text": pa.string(), "kind": pa.int32(), "shard": pa.int32()} | dict.fromkeys(FIELDS[2:], pa.binary())
 
     def _rows(n: int, columns: dict) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[c].cast(t) if c in columns else pa.nulls(n, t) for c, t in types.items()], list(types))
 
-    opened = materialize(docs.join(anchors, "doc_id", "left").mapInArrow(extend, second))
+    opened = materialize(docs.join(anchors, "id", "left").mapInArrow(extend, second))
 
     # 3. Windows that repeat, and what they cover.
     verified = matched_places(opened.filter("kind is not null").select(*FIELDS), shards, wide=True).withColumnRenamed("places", "repeats")
-    pending = opened.filter("kind is null and sha is null").select("doc_id", "n_words", "text").join(verified, "doc_id", "left")
+    pending = opened.filter("kind is null and sha is null").select("id", "doc_id", "n_words", "text").join(verified, "id", "left")
 
     def finish(batches):
         for batch in pieces(batches, "text", PIECE):
@@ -258,7 +305,7 @@ def repeated_windows(docs: DataFrame, window: int = 35, block: int = 18) -> Data
             repeats = batch.column("repeats")
             removed, digests = [], []
             for i in range(batch.num_rows):
-                n, digest = _kept(words, i, repeats[i].values, window)
+                n, digest = _kept(words, i, repeats[i].values if repeats[i].is_valid else None, window)
                 removed.append(n)
                 digests.append(digest)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
