@@ -7,9 +7,11 @@ rule-decided URLs that were held out of training.  Everything is DataFrame work:
 context counts by ``groupBy``, interpolation and scoring by joins.
 
 Defined cases: a null url or one without ``://`` has empty host and path, no
-rule and the verdict block; repeated rows are judged alike; without rule-decided
-URLs the score is 0 and the threshold 0 (allow); an empty table gives an empty
-result; extra columns are ignored.
+rule and the verdict block; repeated rows are judged alike; very long URLs are
+scored whole; ties between thresholds go to the one nearest to 0; without
+rule-decided URLs the score is 0 and the threshold 0 (allow); an empty table gives
+an empty result; extra columns, whatever their names, are ignored; a null page_id
+is kept.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelight.llm.store import materialize
+from sievelight.llm.store import materialize, shuffle_width
 
 #: (rule, verdict); a rule is a host and the start of a path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -94,8 +96,10 @@ def judge_urls(pages: DataFrame, rules=RULES, held_out: int = 5) -> DataFrame:
     # URLs repeat, and so do their characters' contexts: score each distinct URL once.
     urls = materialize(judged.groupBy("url").agg(F.first("rule_verdict").alias("says"), F.count("*").alias("weight")))
     fold = F.pmod(F.xxhash64("url"), F.lit(held_out)) == 0
+    # The URLs are one small file, but every one becomes a row per character: deal them over all tasks first.
+    dealt = urls.repartition(shuffle_width(pages.sparkSession), "url")
     spread = materialize(
-        grams(urls.withColumn("train", F.when(~fold, F.col("says"))))
+        grams(dealt.withColumn("train", F.when(~fold, F.col("says"))))
         .groupBy("url", "gram")
         .agg(F.count("*").alias("n"), F.first("train").alias("train"))
     )
