@@ -1,17 +1,22 @@
 """Information-theoretic sanitisation of personal data, with built-in Spark functions only.
 
-Protected entities are found by fixed patterns (email, ip, card, phone).  Over
-the whole corpus, the documents that hold an entity and a term are counted, and
-pointwise mutual information tells how strongly the term reveals the entity:
-PMI(term, entity) / IC(entity) is 1 when the term occurs with that entity only.
-Terms over the disclosure threshold are protected at every place of every
-document, also where the entity itself does not stand.
+Protected entities are found by fixed patterns (email, ip, card, phone) and named
+by their normalised value.  Over the whole corpus, the different texts that hold
+an entity and a term are counted: copies of a text tell nothing more.  Pointwise
+mutual information then says how strongly the term reveals the entity.  A term
+discloses when it gives away ``threshold`` of the entity's information,
+PMI(term, entity) / IC(entity), and leaves little doubt which entity is meant,
+P(entity | term) >= ``certainty``.  Disclosing terms are protected at every place
+of every document, also where the entity itself does not stand.
+
+Entities that stand in exactly the same texts are counted as one profile, so a
+list of thousands of them costs no more than one.
 
 Defined cases: null and empty texts have no span; repeated rows get the same
-spans each; rows are counted for the information, but a term needs
-``min_support`` different documents (doc_id and text) with the entity, so single
-co-occurrences never disclose; an empty table gives an empty result; extra
-columns are ignored by ``find_spans`` and kept by ``sanitize``; a null doc_id is
+spans each; a term needs ``min_support`` different texts with the entity, so
+single co-occurrences and exact copies never disclose; very long texts are
+searched whole; an empty table gives an empty result; extra columns, whatever
+their names, are ignored by ``digest`` and kept by ``sanitize``; a null doc_id is
 kept and its row treated as any other.
 """
 
@@ -22,7 +27,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.store import materialize
+from sievelight.llm.store import fresh, materialize, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 #: Patterns of the four kinds.  Possessive runs that start at a run's first
@@ -37,9 +42,11 @@ PATTERNS = {
 #: A cheap test that a text can hold a match at all.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 #: What replaces a span in ``sanitize``.
-LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>"}
+LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "number": "<NUMBER>", "code": "<CODE>", "name": "<NAME>", "term": "<TERM>"}
 #: Terms: runs of letters and digits of any length.
 TERM = r"[\p{L}\p{M}\p{N}]+"
+#: Rows (of a term, or of a text key and its terms) up to which a side is broadcast; larger ones join by shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def let(value: Column, body) -> Column:
@@ -115,66 +122,67 @@ def placed_terms(text: Column) -> Column:
     return F.zip_with(terms, ends, lambda t, e: F.struct(F.lower(t).alias("term"), (e - F.length(t)).alias("start"), e.alias("end")))
 
 
-def disclosing(texts: DataFrame, holders: DataFrame, threshold: float, min_support: int) -> DataFrame:
-    """(entity, term, disclosure): terms that reveal an entity, from the documents of the whole corpus that hold both.
-
-    ``texts(text)`` are all rows, ``holders(doc_id, key, text, spans)`` those with entities.
-    """
-    total = texts.count()
-    weights = holders.groupBy("key").agg(F.count("*").alias("n"), (F.countDistinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))).alias("ids"), F.first("text").alias("text"))
-    weights = materialize(weights)
-    named = F.array_distinct(F.transform("spans", lambda m: F.concat_ws(":", m["k"], m["value"])))
-    held = holders.dropDuplicates(["key"]).select("key", F.explode(named).alias("entity")).join(weights.select("key", "n", "ids"), "key")
-    entities = held.groupBy("entity").agg(F.sum("n").alias("with_entity"), F.sum("ids").alias("support")).filter((F.col("support") >= min_support) & (F.col("with_entity") < total))
-    # As both <= with_entity, a term in more documents than this has a ratio under the threshold: no such pair is made.
-    most = F.col("with_entity") * F.pow(F.lit(float(total)) / F.col("with_entity"), F.lit(1 - threshold)) * (1 + 1e-9)
-    held = materialize(held.join(entities.drop("support").withColumn("most", most), "entity"))
-    bound = held.agg(F.max("most")).first()[0]
-    if bound is None:
-        return held.select("entity", F.lit("").alias("term"), F.lit(0.0).alias("disclosure")).limit(0)
-    # Documents that hold a term at all: every document's different words, counted where they are before they are shuffled.
-    frequency = texts.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term")).filter(F.col("with_term").between(min_support, F.floor(F.lit(bound))))
-    words = weights.join(held.select("key").distinct(), "key", "left_semi").select("key", F.explode(terms_of(F.col("text"))).alias("term")).join(frequency, "term")
-    together = words.join(held, (words["key"] == held["key"]) & (F.col("with_term") <= F.col("most"))).groupBy("entity", "term").agg(F.sum("n").alias("both"), F.sum("ids").alias("support"), F.first("with_entity").alias("with_entity"), F.first("with_term").alias("with_term"))
-    pmi = F.log2(F.col("both") * total / (F.col("with_entity") * F.col("with_term")))
+def entity_name(mention: Column) -> Column:
+    """Kind and normalised value of a mention: one name for all spellings of a number or an address."""
+    digits = F.regexp_replace(mention["value"], "[^0-9]", "")
+    value = F.when(mention["k"] == KINDS.index("email"), F.lower(mention["value"])).when(mention["k"] >= KINDS.index("card"), digits).otherwise(mention["value"])
+    return F.concat_ws(":", mention["k"], value)
+
+
+def _small(side: DataFrame) -> DataFrame:
+    """``side`` as a join side: broadcast only after its rows were counted."""
+    return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
+
+
+def disclosing(texts: DataFrame, threshold: float, certainty: float, min_support: int) -> DataFrame:
+    """(key, terms): the disclosing terms that each of ``texts(key, text)`` holds, where it holds any."""
+    none = texts.select("key").limit(0).withColumn("terms", F.array().cast("array<string>"))
+    holders = materialize(texts.withColumn("spans", mentions(F.col("text"))).filter(F.size("spans") > 0).dropDuplicates(["key"]))
+    held = holders.select("key", F.explode(F.array_distinct(F.transform("spans", entity_name))).alias("entity"))
+    # Entities of exactly the same texts are one profile.
+    same = held.groupBy("entity").agg(F.count("*").alias("with_entity"), F.min("key").alias("a"), F.max("key").alias("b"), F.bit_xor(F.xxhash64("key")).alias("x"))
+    profile = F.xxhash64("with_entity", "a", "b", "x").alias("profile")
+    owned = materialize(held.join(same.filter(F.col("with_entity") >= min_support), "entity").select("key", profile, "with_entity").distinct())
+    if owned.isEmpty():
+        return none
+    words = holders.join(owned.select("key").distinct(), "key", "left_semi").select("key", F.explode(terms_of(F.col("text"))).alias("term"))
+    held_by = materialize(words.join(owned, "key").select("key", "term", "profile", "with_entity"))
+    together = held_by.groupBy("profile", "term").agg(F.count("*").alias("both"), F.first("with_entity").alias("with_entity")).filter(F.col("both") >= min_support)
+    # Texts that hold a term in the whole corpus, summed where the rows are; each of n copies counts 1/n.
+    copies = texts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    weighed = texts.join(_small(copies), "key", "left").select((1 / F.coalesce("n", F.lit(1))).alias("share"), F.explode(terms_of(F.col("text"))).alias("term"))
+    spread = weighed.groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("with_term"))
+    counted = together.join(spread, "term")
+    total = texts.agg(F.countDistinct("key")).first()[0]
+    pmi = F.log2(F.col("both") * float(total) / (F.col("with_entity") * F.col("with_term")))
     information = F.log2(F.lit(float(total)) / F.col("with_entity"))
-    return together.filter(F.col("support") >= min_support).withColumn("disclosure", pmi / information).filter(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
-
-
-def find_spans(docs: DataFrame, threshold: float = 0.9, min_support: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(marked, clean): the rows of ``docs`` with and without spans.
-
-    ``marked`` also has ``__spans``, the pattern spans, and ``__terms``, an array
-    of (start, end) of disclosing terms outside them, or null.
-    """
-    spans = mentions(F.col("text"))
-    some = F.coalesce(F.size(spans) > 0, F.lit(False))
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    holders = materialize(keyed.filter(some).withColumn("__spans", spans))
-    named = holders.select("doc_id", F.col("__key").alias("key"), "text", F.col("__spans").alias("spans"))
-    # A term reveals its entity wherever it stands, so it is hidden in every document.
-    wanted = materialize(disclosing(docs.select("text"), named, threshold, min_support).select("term").distinct())
-    texts = keyed.select(F.col("__key").alias("key"), "text")
-    exposed = materialize(texts.select("key", F.explode(terms_of(F.col("text"))).alias("term")).join(wanted, "term", "left_semi").distinct())
-    inside = texts.join(exposed.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    places = inside.select("key", F.explode(placed_terms(F.col("text"))).alias("w")).select("key", "w.*").join(exposed, ["key", "term"])
-    terms = materialize(places.groupBy(F.col("key").alias("__k")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__terms")))
-    marked = holders.join(terms, F.col("__key") == F.col("__k"), "left").drop("__k")
-    others = keyed.filter(~some)
-    bare = others.join(terms, F.col("__key") == F.col("__k")).drop("__k").withColumn("__spans", F.array().cast(holders.schema["__spans"].dataType))
-    outside = F.filter("__terms", lambda t: ~F.exists("__spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    marked = marked.unionByName(bare).withColumn("__terms", outside).drop("__key")
-    return marked, others.join(terms, F.col("__key") == F.col("__k"), "left_anti").drop("__key")
+    strong = (pmi >= threshold * information - 1e-9) & (F.col("both") >= (certainty - 1e-9) * F.col("with_term")) & (F.col("with_entity") < total)
+    wanted = materialize(counted.filter(strong).select("profile", "term", (F.col("with_term") > F.col("both")).alias("elsewhere")))
+    # Most terms stand in texts of their entity only; the few others are sought in all texts.
+    own = held_by.join(wanted, ["profile", "term"], "left_semi").select("key", "term")
+    wide = _small(wanted.filter("elsewhere").select("term").distinct())
+    found = texts.select("key", F.explode(terms_of(F.col("text"))).alias("term")).join(wide, "term", "left_semi").select("key", "term")
+    return materialize(own.unionByName(found).distinct().groupBy("key").agg(F.collect_list("term").alias("terms")))
+
+
+def find_spans(docs: DataFrame, spans: str, terms: str, threshold: float, certainty: float, min_support: int) -> DataFrame:
+    """``docs`` with ``spans``, the pattern spans (k, start, end, value), and ``terms``, the (start, end) of disclosing terms outside them."""
+    key, named = fresh(docs, "text_key", "named")
+    texts = docs.select(text_key().alias("key"), "text")
+    exposed = disclosing(texts, threshold, certainty, min_support)
+    exposed = exposed.select(F.col("key").alias(key), F.col("terms").alias(named))
+    marked = docs.withColumn(key, text_key()).join(_small(exposed), key, "left").withColumn(spans, mentions(F.col("text")))
+    outside = lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
+    hits = F.filter(placed_terms(F.col("text")), lambda t: F.array_contains(named, t["term"]) & outside(t))
+    places = F.transform(hits, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
+    nothing = F.array().cast("array<struct<start:int,end:int>>")
+    return marked.withColumn(terms, F.when(F.col(named).isNull(), nothing).otherwise(places)).drop(key, named)
 
 
 def _joined(spans: Column, name) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"], s["end"]))
 
 
-def _of_kind(k: int) -> Column:
-    return F.filter("__spans", lambda s: s["k"] == k)
-
-
 def _kind(s: Column) -> Column:
     out = F.lit(KINDS[-1])
     for k, kind in enumerate(KINDS[:-1]):
@@ -182,36 +190,50 @@ def _kind(s: Column) -> Column:
     return out
 
 
-def digest(docs: DataFrame, threshold: float = 0.9, min_support: int = 2) -> DataFrame:
+def _count(kinds: str, k: int) -> Column:
+    return F.size(F.filter(kinds, lambda x: x == k))
+
+
+def digest(docs: DataFrame, threshold: float = 0.9, certainty: float = 0.9, min_support: int = 2) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) per row of ``docs(doc_id, text)``."""
-    marked, clean = find_spans(docs, threshold, min_support)
-    base = _joined(F.col("__spans"), _kind)
-    terms = F.coalesce(F.transform("__terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"], t["end"])), F.array().cast("array<string>"))
-    held = marked.select(
+    marked = find_spans(docs.select("doc_id", "text"), "spans", "terms", threshold, certainty, min_support)
+    base = F.coalesce(_joined(F.col("spans"), _kind), F.array().cast("array<string>"))
+    terms = F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"], t["end"]))
+    marked = marked.select("doc_id", F.transform("spans", lambda s: s["k"]).alias("kinds"), base.alias("base"), F.concat(base, terms).alias("all"))
+    return marked.select(
         "doc_id",
-        *[F.size(_of_kind(k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
-        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(base, terms), ",").alias("spans"),
+        *[_count("kinds", k).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
+        F.sha2(F.array_join("base", ","), 256).alias("base_sha256"),
+        F.array_join("all", ",").alias("spans"),
     )
-    none = clean.select("doc_id", *[F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"))
-    return held.unionByName(none)
 
 
-def sanitize(docs: DataFrame, threshold: float = 0.9, min_support: int = 2) -> DataFrame:
-    """``docs`` with protected spans of ``text`` generalised to their kind; texts without any stay as they are."""
-    marked, clean = find_spans(docs, threshold, min_support)
-    plain = F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _kind(s).alias("kind")))
-    terms = F.coalesce(F.transform("__terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit("term").alias("kind"))), F.array().cast("array<struct<start:int,end:int,kind:string>>"))
-    spans = F.array_sort(F.concat(plain, terms))
+def sanitize(docs: DataFrame, threshold: float = 0.9, certainty: float = 0.9, min_support: int = 2) -> DataFrame:
+    """``docs`` with protected spans of ``text`` generalised to their kind; texts without any stay as they are.
+
+    Disclosing terms are generalised to number, code (letters and digits), name
+    (capitalised) or plain term.
+    """
+    spans, terms = fresh(docs, "spans", "terms")
+    marked = find_spans(docs, spans, terms, threshold, certainty, min_support)
+    plain = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _kind(s).alias("kind")))
+
+    def general(t: Column) -> Column:
+        term = F.substring("text", t["start"] + 1, t["end"] - t["start"])
+        return F.when(~term.rlike(r"\D"), "number").when(term.rlike(r"\d"), "code").when(term.rlike(r"^\p{Lu}"), "name").otherwise("term")
+
+    others = F.transform(terms, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), general(t).alias("kind")))
+    hidden = F.array_sort(F.concat(plain, others))
     # Of overlapping spans the first hides its part, the next one what is left of it.
     label = lambda s: F.element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), s["kind"])
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     folded = F.aggregate(
-        spans, state,
+        hidden, state,
         lambda a, s: F.struct(
             F.greatest(a["at"], s["end"]).alias("at"),
             F.when(s["end"] <= a["at"], a["parts"]).otherwise(F.concat(a["parts"], F.array(F.substring("text", a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))), label(s)))).alias("parts"),
         ),
         lambda a: F.concat(F.array_join(a["parts"], ""), F.substring("text", a["at"] + 1, F.lit(2**31 - 1))),
     )
-    return marked.withColumn("text", folded).select(*docs.columns).unionByName(clean.select(*docs.columns))
+    some = (F.size(spans) > 0) | (F.size(terms) > 0)
+    return marked.withColumn("text", F.when(some, folded).otherwise(F.col("text"))).select(*docs.columns)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -79,11 +81,50 @@ def test_bktree_finds_all_within_radius():
     rng = random.Random(3)
     centre = [rng.getrandbits(64) for _ in range(5)]
     values = [c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(7))) for c in centre for _ in range(40)]
-    tree = bktree.BKTree()
-    for v in values:
-        tree.add(v)
+    tree = bktree.BKTree(values)
     for v in values[:50]:
-        assert {tree.values[i] for i in tree.within(v, 4)} == {u for u in values if (u ^ v).bit_count() <= 4}
+        assert set(tree.within(v, 4)) == {u for u in values if (u ^ v).bit_count() <= 4}
+
+
+def test_bktree_prunes():
+    """Probes look at a part of the tree only."""
+    rng = random.Random(13)
+    values = [rng.getrandbits(52) for _ in range(1000)]
+    tree = bktree.BKTree(values)
+    for v in values:
+        tree.within(v, 4)
+    assert tree.visited < 0.75 * len(values) * len(tree.values)
+    tree.visited = 0
+    for v in values:
+        tree.within(v, 0)
+    assert tree.visited < 0.05 * len(values) * len(tree.values)
+
+
+@pytest.mark.parametrize("limits", [(1024, 128, 20_000), (4, 128, 20_000), (4, 128, 30), (4, 4, 0), (2, 0, 0)])
+def test_bktree_links_of_every_path(spark, monkeypatch, limits):
+    """Plain shards, broadcast trees, finer shards and shuffled trees connect the same fingerprints."""
+    for name, value in zip(("SHARD_LIMIT", "SHARD_TARGET", "BROADCAST_NODES"), limits, strict=True):
+        monkeypatch.setattr(bktree, name, value)
+    rng = random.Random(14)
+    values = [rng.getrandbits(64) for _ in range(60)]
+    for _ in range(140):  # chains of near values, which crowd their shards
+        values.append(values[rng.randrange(len(values))] ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 7))))
+    values = sorted(set(values))
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    root = {v: v for v in values}
+    for _ in values:
+        for a in values:
+            for b in values:
+                if (a ^ b).bit_count() <= 4:
+                    root[a] = root[b] = min(root[a], root[b])
+    found = bktree.links(spark.createDataFrame([(v,) for v in signed], "fp long"), picked=bktree.picked_blocks(len(values), 4, limits[1]))
+    got = {v: v for v in values}
+    pairs = [(r["a"] & (2**64 - 1), r["b"] & (2**64 - 1)) for r in found.collect()]
+    assert all((a ^ b).bit_count() <= 4 for a, b in pairs)
+    for _ in values:
+        for a, b in pairs:
+            got[a] = got[b] = min(got[a], got[b])
+    assert got == root and len(set(root.values())) < len(values)
 
 
 def test_components_of_chains_and_hubs(spark):
@@ -177,7 +218,7 @@ def test_pii_base(spark):
 
 def test_terms_that_disclose(spark):
     """A term found only near one address is protected there; a common one is not."""
-    rows = [(i, "Contact our zanzibar office at secret@corp.org today please") for i in range(3)] + [(10 + i, "our office opens today please come") for i in range(60)]
+    rows = [(i, f"Contact our zanzibar office at secret@corp.org today please {i}") for i in range(3)] + [(10 + i, f"our office opens today please come {i}") for i in range(60)]
     got = {r["doc_id"]: r["spans"] for r in disclosure.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     text = rows[0][1]
     assert f"term:{text.index('zanzibar')}:{text.index('zanzibar') + 8}" in got[0]
@@ -204,6 +245,67 @@ def test_mixing(spark):
     assert all(r["source_size"] == sizes[r["source"]] for r in got)
 
 
+def test_mixing_selection(spark):
+    """Every document's copies against quotas shared out by rounds and a walk in the order of seeded ranks."""
+    rng = random.Random(15)
+    names = ["a", "b", "c", "d", None]
+    rows = [(i, rng.choices(names, (60, 20, 3, 1, 8))[0], rng.randrange(0, 90)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    rank = {r["doc_id"]: r["r"] & (2**64 - 1) for r in df.selectExpr("doc_id", "xxhash64(17, doc_id, size) AS r").collect()}
+    sizes = {s: sum(n for _, t, n in rows if t == s) for s in names}
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    target, open_, left = {}, set(names), sum(sizes.values())
+    while True:
+        share = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if share * weight[s] > 3 * sizes[s]]
+        if not full:
+            break
+        for s in full:
+            target[s] = 3 * sizes[s]
+            left -= target[s]
+            open_.remove(s)
+    target |= {s: share * weight[s] for s in open_}
+    want = {}
+    for s in names:
+        copies, run = int(target[s] // sizes[s]), 0
+        rest = target[s] - copies * sizes[s]
+        for i, _, n in sorted((r for r in rows if r[1] == s), key=lambda r: ((rank[r[0]] >> 52), rank[r[0]] - (1 << 64) if rank[r[0]] >> 63 else rank[r[0]], r[0])):
+            want[i] = min(3, copies + (run < rest)) * n
+            run += n
+    got = {r["doc_id"]: r for r in mixing.mix_sources(df).collect()}
+    assert {i: r["taken"] for i, r in got.items()} == want
+    assert all(got[i]["target"] == pytest.approx(target[s]) and got[i]["source_size"] == sizes[s] for i, s, _ in rows)
+
+
+def test_mixing_with_membership(spark):
+    """Overlapping sources on Spark: rows without a source stay, and shared documents fill the source that lacks its own."""
+    rows = [(i, ["a"], 1) for i in range(100)] + [(200 + i, ["b", "a"], 1) for i in range(50)] + [(300 + i, ["b"], 1) for i in range(10)] + [(400, [], 5), (401, None, 5), (402, ["z"], 7), (403, [None], 2)]
+    df = spark.createDataFrame(rows, "doc_id long, m array<string>, size long")
+    got = {r["doc_id"]: r for r in mixing.mix_sources(df, membership="m").collect()}
+    assert len(got) == len(rows)
+    assert all(got[i]["taken"] == 0 and got[i]["target"] is None for i in (400, 401))
+    sizes = {"a": 150, "b": 60, "z": 7, None: 2}
+    patterns = {("a",): 100, ("a", "b"): 50, ("b",): 10, ("z",): 7, (None,): 2}
+    weight, left, open_, target = {"a": 1, "b": 2, "z": 3, None: 1}, 219.0, set(sizes), {}
+    while True:
+        share = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if share * weight[s] > 3 * sizes[s]]
+        if not full:
+            break
+        for s in full:
+            target[s] = 3.0 * sizes[s]
+            left -= target[s]
+            open_.remove(s)
+    target |= {s: share * weight[s] for s in open_}
+    scale = min(1.0, sum(patterns.values()) / sum(target.values()))
+    drawn = mixing.route(patterns, {s: t * scale for s, t in target.items()})
+    taken = {p: sum(r["taken"] for r in got.values() if r["m"] and tuple(sorted(r["m"], key=lambda s: (s is None, s or ""))) == p) for p in patterns}
+    cost = lambda flow: sum(c * min(patterns[p], max(0, n - c * patterns[p])) for p, n in flow.items() for c in range(3))
+    assert all(taken[p] <= 3 * patterns[p] for p in patterns)
+    assert sum(taken.values()) == pytest.approx(sum(drawn.values()), abs=8) and cost(taken) == pytest.approx(cost(drawn), abs=16)
+    assert sum(taken[p] for p in patterns if "a" in p or "b" in p) == pytest.approx(sum(target[s] * scale for s in "ab"), abs=3)
+
+
 def test_mixing_of_overlapping_sources():
     """Words that two sources share are routed to the one that lacks its own; no copy is taken while fresh words are left."""
     drawn = mixing.route({("a",): 100, ("a", "b"): 50, ("b",): 10}, {"a": 100.0, "b": 60.0})
@@ -259,8 +361,6 @@ def test_url_model_scores(spark):
                     counts[rule[u]][k][padded[i - k : i]][padded[i]] += 1
 
     def score(u: str) -> float:
-        import math
-
         padded, total = url_model.START * order + u.translate(LOWER), 0.0
         for i in range(order, len(padded)):
             p = {}
@@ -276,3 +376,112 @@ def test_url_model_scores(spark):
 
     for i, u in enumerate(urls):
         assert got[i]["score"] == pytest.approx(score(u), abs=1e-6)
+
+
+def test_toxicity_against_plain_code(spark, monkeypatch):
+    """Counts, ratios, features, fit and scores written out over dictionaries and dense rows."""
+    monkeypatch.setattr(toxicity, "FEATURES", 60)
+    rng = random.Random(16)
+    rows = [(i, " ".join(rng.choice(["Tree", "river", "stone", "élan"] + ["vile", "nasty"] * (i % 4 == 0)) for _ in range(rng.randrange(0, 12)))) for i in range(120)] + [(500, None)]
+    labels = [(i, int(i % 4 == 0)) for i in range(110)]
+    mask = (1 << 64) - 1
+
+    def buckets(text):
+        points, out = [ord(c) for c in f" {text.lower()} "], set()
+        for n in toxicity.SIZES:
+            for i in range(len(points) - n + 1):
+                h = 0
+                for c in points[i : i + n]:
+                    h = (h * 0x100000001B3 + c * 0x9E3779B97F4A7C15) & mask
+                x = (h + n) & mask
+                x ^= x >> 30
+                x = x * 0xBF58476D1CE4E5B9 & mask
+                x ^= x >> 27
+                x = x * 0x94D049BB133111EB & mask
+                out.add((x ^ x >> 31) & (toxicity.BUCKETS - 1))
+        return out
+
+    held = {i: buckets(t or "") for i, t in rows}
+    taught = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    n = [sum(y == c for _, y in taught) for c in (0, 1)]
+    count = [Counter(b for i, y in taught if y == c for b in held[i]) for c in (0, 1)]
+    ratio = {b: math.log((count[1][b] + 1) / (n[1] + 2)) - math.log((count[0][b] + 1) / (n[0] + 2)) for b in count[0] | count[1]}
+    support = {b: abs(r) / math.sqrt(1 / (count[1][b] + 1) + 1 / (count[0][b] + 1)) for b, r in ratio.items()}
+    best = sorted(ratio, key=lambda b: (-round(support[b], 12), b))[:60]
+    dense = {i: np.array([ratio[b] * (b in held[i]) for b in best]) for i, _ in rows}
+    x, y = np.array([dense[i] for i, _ in taught]), np.array([float(c) for _, c in taught])
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    w, b, m, v, mb, vb = np.zeros(60), 0.0, np.zeros(60), np.zeros(60), 0.0, 0.0
+    for t in range(1, 301):
+        g = (1 / (1 + np.exp(-(x @ w + b))) - y) * share
+        gw, gb = x.T @ g + toxicity.PENALTY * w, g.sum()
+        m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+        step = 0.03 / math.sqrt(1 + t / 50)
+        w -= step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        b -= step * (mb / (1 - 0.9**t)) / (math.sqrt(vb / (1 - 0.999**t)) + 1e-8)
+    got = {r["doc_id"]: r["score"] for r in toxicity.classify(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    for i, _ in rows:
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(dense[i] @ w + b))), abs=1e-3)
+
+
+def test_cotraining_against_plain_code(spark, monkeypatch):
+    """Rounds, pseudo-labels, calibration and combination over dense rows of one array."""
+    monkeypatch.setattr(cotraining, "HANDED", 10)
+    rng = random.Random(17)
+    rows, labels = [], []
+    for i in range(320):
+        good = rng.random() < 0.5
+        words = [rng.choice(["alpha", "beta", "gamma"] + ["delta"] * good + ["%%", "#x"] * (not good)) for _ in range(rng.randrange(8, 40))]
+        rows.append((i, " ".join(words), rng.choice(["en", "fr", None]), rng.choice(["s1", "s2"]) if good else rng.choice(["s2", "s3"])))
+        if i % 3 == 0:
+            labels.append((i, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in cotraining.score_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    table = cotraining.described(docs).orderBy("doc_id").toArrow().combine_chunks().to_batches()[0]
+    keys = table.column("key").to_pylist()
+    widths = (cotraining.WORDS + cotraining.SHAPES, cotraining.META)
+    views = []
+    for sparse, width in zip((cotraining.text_view(table.column("text")), cotraining.metadata_view(table)), widths, strict=True):
+        x = np.zeros((len(rows), width))
+        np.add.at(x, (sparse.rows, sparse.slots), sparse.values.astype(np.float16).astype(float))
+        views.append(x)
+
+    def fit(x, y, start=None, balanced=True, rounds=200, penalty=1e-4):
+        w, b = (np.zeros(x.shape[1]), 0.0) if start is None else (start[0].copy(), start[1])
+        m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+        share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) if balanced else 1 / len(y)
+        for t in range(1, rounds + 1):
+            g = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y) * share
+            gw, gb = x.T @ g + penalty * w, g.sum()
+            m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+            w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-7)
+            b -= 0.05 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-7)
+        return w, b
+
+    truth = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    held = sorted(i for i in truth if zlib.crc32(f"c{i}".encode()) % 4 == 0)
+    base = sorted(i for i in truth if i not in held)
+    models = [fit(x[base], np.array([float(truth[i]) for i in base])) for x in views]
+    told = [{}, {}]
+    for _ in range(cotraining.ROUNDS):
+        margins = [np.round(x @ w + b, 9) for x, (w, b) in zip(views, models, strict=True)]
+        given = [{}, {}]
+        for me in (0, 1):
+            for label in (0, 1):
+                sign = 1 if label else -1
+                free = [i for i in range(len(rows)) if i not in truth and i not in told[1 - me] and sign * margins[me][i] > 0]
+                given[1 - me] |= dict.fromkeys(sorted(free, key=lambda i: (-abs(margins[me][i]), keys[i]))[:10], label)
+        for mine, more in zip(told, given, strict=True):
+            mine |= more
+        models = [fit(np.concatenate([x[base], x[list(t)]]), np.array([float(truth[i]) for i in base] + [float(c) for c in t.values()]), start, rounds=60) for x, t, start in zip(views, told, models, strict=True)]
+    y = np.array([float(truth[i]) for i in held])
+    odds = []
+    for x, (w, b) in zip(views, models, strict=True):
+        z = x @ w + b
+        (slope,), shift = fit(z[held][:, None], y, balanced=False, rounds=600)
+        odds.append(slope * z + shift)
+    both = np.stack(odds, axis=1)
+    w, b = fit(both[held], y, (np.array([0.5, 0.5]), 0.0), balanced=False, rounds=600)
+    for name, z in (("text_score", odds[0]), ("metadata_score", odds[1]), ("score", both @ w + b)):
+        for i in range(len(rows)):
+            assert got[i][name] == pytest.approx(1 / (1 + math.exp(-z[i])), abs=0.02), name

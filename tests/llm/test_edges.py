@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievelight.llm import anchors, bktree, cotraining, disclosure, licenses, line_quality, mixing, tiling, toxicity, url_model
+from sievelight.llm import anchors, bktree, cotraining, disclosure, licenses, line_quality, mixing, shingles, tiling, toxicity, url_model
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "alpha beta gamma delta epsilon " * 8000
@@ -29,7 +29,7 @@ LABELS = [(1, 1, 0), (2, 0, 1), (4, 1, None), (5, None, 0), (5, 1, 1), (None, 1,
 @pytest.fixture(scope="module")
 def docs(spark):
     df = spark.createDataFrame(ROWS, DOCS)
-    clash = ["score", "size", "key", "spans", "row", "h", "fp", "taken", "target", "component_id", "places", "y", "base", "__x"]
+    clash = ["score", "size", "key", "spans", "row", "h", "fp", "taken", "target", "component_id", "places", "y", "base", "__x", "__id", "__key", "__k", "__spans", "__terms", "text_key", "spans_", "terms", "root", "copy", "kept_id", "no_id", "bad", "_copies", "_before", "rest", "edge", "extra", "pattern", "rank", "bin", "id", "trust", "me"]
     return df.withColumns({c: F.lit("clash") for c in clash})
 
 
@@ -102,8 +102,10 @@ def test_stages(spark, k, docs, empty, labels, benchmark, tmp_path):
         texts = {r["doc_id"]: r["text"] for r in kept}
         assert texts[1] is None and texts[None].endswith("mail <EMAIL>") and texts[7].endswith("<IP>") and texts[4] == LONG
     if name == "simhash_near_dedup":
+        assert {str(r["doc_id"]) for r in kept} >= {"1", "4", "5", "7", "8", "None"}
         assert sorted(str(r["doc_id"]) for r in kept if r["doc_id"] in (1, 2, 3, 5)) == ["1", "5"]
     if name == "benchmark_decontamination":
+        assert None in {r["doc_id"] for r in kept}
         assert not {5, 6} & {r["doc_id"] for r in kept} and {1, 2, 4, 7} <= {r["doc_id"] for r in kept}
 
 
@@ -118,3 +120,22 @@ def test_url_edges(spark):
     assert by[5]["rule"] == "example.org/en/1" and by[6]["rule"] == "com/fr/" and by[7]["verdict"] == "block"
     assert by[8]["rule"] is None and by[None]["rule"] is None and by[9]["rule"] == "org/"
     assert url_model.judge_urls(pages.limit(0)).count() == 0
+
+
+OTHER = "A wholly different story about rivers and their many bends in spring. " * 6
+IDS = [(None, OTHER), (1, PLAIN), (1, "short and clean words"), (-1, "another clean row"), (None, PLAIN + "x"), (None, "no id but clean"), (5, OTHER)]
+
+
+def test_rows_are_told_apart_without_unique_ids(spark, benchmark):
+    """Null ids, -1 and one id with several texts: no row is lost or judged by another's text."""
+    docs = spark.createDataFrame(IDS, "doc_id long, text string")
+    rows = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    clean = rows(tiling.decontaminate(docs, benchmark))
+    assert clean == sorted([r for r in IDS if not r[1].startswith(PLAIN)], key=str)
+    for deduplicate in (bktree.deduplicate, shingles.deduplicate):
+        kept = rows(deduplicate(docs))
+        assert {t for _, t in kept} >= {"short and clean words", "another clean row", "no id but clean"}
+        assert [i for i, t in kept if t == OTHER] == [5]
+    cut = anchors.repeated_windows(docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_removed"]) for r in cut) == sorted([("None", 72), ("1", 78), ("1", 0), ("-1", 0), ("None", 78), ("None", 0), ("5", 72)])
+    assert len(disclosure.sanitize(docs).collect()) == len(IDS) == len(mixing.mix_sources(mixing.sized(docs.withColumn("source", F.lit("a")))).collect())
