@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sievelight.sources.tables import deal
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Tables of long texts, dealt over all cores where they are one file.
+TEXTS = {"documents", "pages", "conversations"}
 
 
 class Tables:
@@ -17,7 +21,8 @@ class Tables:
         self.spark, self.dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return deal(table) if name in TEXTS else table
 
 
 def query(name: str, sql: str | None = None):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelight.catalog.registry import Tables, query
+from sievelight.catalog.texts import picked, picked_sql
 from sievelight.functions import text as T
 from sievelight.operators import search as R
 from sievelight.operators import terms as W
@@ -30,13 +31,24 @@ def question_tokens(t: Tables) -> DataFrame:
     return t.benchmark.select(F.col("item_id").alias("query_id"), F.posexplode(T.tokenize(F.col("text"))).alias("pos", "term"))
 
 
-def weights(t: Tables) -> DataFrame:
-    return W.term_weights(question_tokens(t), W.term_stats(chunks(t), question_tokens(t)))
+def index(t: Tables) -> W.Index:
+    """The chunks' postings of all terms that a question holds."""
+    return W.build_index(chunks(t), question_tokens(t))
 
 
-def asked(t: Tables) -> DataFrame:
+def weights(t: Tables, by: W.Index | None = None) -> DataFrame:
+    return W.term_weights(question_tokens(t), (by or index(t)).stats())
+
+
+def asked(t: Tables, by: W.Index | None = None) -> DataFrame:
     """Weighted distinct terms of every query."""
-    return weights(t).groupBy("query_id", "term").agg(F.sum("weight").alias("boost"))
+    return weights(t, by).groupBy("query_id", "term").agg(F.sum("weight").alias("boost"))
+
+
+def hits(t: Tables) -> DataFrame:
+    """BM25 hits of all questions."""
+    by = index(t)
+    return R.bm25(asked(t, by), by)
 
 
 BASE = r"""tok AS (SELECT doc_id AS chunk_id, doc_id, source AS kb_id, lang, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS tokens FROM documents),
@@ -112,8 +124,7 @@ def w05(t):
 
 
 def keywords(t):
-    tokens = chunks(t).select("chunk_id", F.posexplode("tokens").alias("pos", "term"))
-    return W.paragraph_keywords(W.term_weights(tokens, W.term_stats(chunks(t)), "chunk_id"))
+    return W.paragraph_keywords(W.paragraph_weights(W.postings(chunks(t)), W.term_stats(chunks(t))))
 
 
 KEYWORDS = BASE + ", ctok AS (SELECT chunk_id, unnest(tokens) AS term, unnest(range(0, len(tokens))) AS pos FROM tok), cw AS (" + weigh("ctok", "chunk_id") + """),
@@ -125,9 +136,14 @@ def w06(t):
     return keywords(t).select("chunk_id", "term", r6("weight"), "min_match")
 
 
+def similarities(t: Tables) -> DataFrame:
+    by = index(t)
+    return W.token_similarity(weights(t, by), by.posts)
+
+
 @query("w07_token_similarity", f"WITH {WEIGHTS} SELECT query_id, chunk_id, round(sum(boost) / any_value(total), 6) AS similarity FROM asked JOIN post USING (term) JOIN (SELECT query_id, sum(weight) AS total FROM w GROUP BY 1) USING (query_id) GROUP BY query_id, chunk_id")
 def w07(t):
-    return W.token_similarity(weights(t), W.postings(chunks(t))).select("query_id", "chunk_id", r6("similarity"))
+    return similarities(t).select("query_id", "chunk_id", r6("similarity"))
 
 
 COSINE = "list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x))))"
@@ -137,7 +153,7 @@ COSINE = "list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE
 SELECT query_id, chunk_id, round(0.7 * {COSINE} + 0.3 * s, 6) AS similarity FROM sim JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = chunk_id""")
 def w08(t):
     vectors = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
-    sim = W.token_similarity(weights(t), W.postings(chunks(t)))
+    sim = similarities(t)
     joined = sim.join(vectors.select(F.col("id").alias("query_id"), F.col("embedding").alias("a")), "query_id").join(vectors.select(F.col("id").alias("chunk_id"), F.col("embedding").alias("b")), "chunk_id")
     return joined.select("query_id", "chunk_id", F.round(0.7 * R.cosine(F.col("a"), F.col("b")) + 0.3 * F.col("similarity"), 6).alias("similarity"))
 
@@ -211,19 +227,20 @@ def r01(t):
 
 @query("r02_bm25", f"WITH {HITS} SELECT query_id, chunk_id, round(score, 6) AS score, n_terms FROM hits")
 def r02(t):
-    return R.bm25(asked(t), chunks(t)).select("query_id", "chunk_id", r6("score"), "n_terms")
+    return hits(t).select("query_id", "chunk_id", r6("score"), "n_terms")
 
 
 @query("r03_binary_idf_score", f"WITH {HITS} SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) / ln(1 + (n - 0.5) / 1.5)), 6) AS score FROM asked JOIN post USING (term) JOIN stats USING (term), size GROUP BY ALL")
 def r03(t):
-    return R.binary_idf_score(asked(t), chunks(t)).select("query_id", "chunk_id", r6("score"))
+    by = index(t)
+    return R.binary_idf_score(asked(t, by), by).select("query_id", "chunk_id", r6("score"))
 
 
 @query("r04_min_should_match", f"""WITH {HITS}, a AS (SELECT query_id, count(*) AS asked FROM asked GROUP BY 1), s AS (SELECT * FROM hits JOIN a USING (query_id)),
 strict AS (SELECT * FROM s WHERE n_terms >= floor(0.9 * asked))
 SELECT query_id, chunk_id, n_terms FROM strict UNION ALL SELECT query_id, chunk_id, n_terms FROM s WHERE query_id NOT IN (SELECT query_id FROM strict) AND n_terms >= floor(0.5 * asked)""")
 def r04(t):
-    return R.min_should_match(R.bm25(asked(t), chunks(t)), asked(t), 0.9, 0.5).select("query_id", "chunk_id", "n_terms")
+    return R.min_should_match(hits(t), asked(t), 0.9, 0.5).select("query_id", "chunk_id", "n_terms")
 
 
 def vector_sets(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -243,7 +260,7 @@ def r05(t):
 
 @query("r06_top_per_query", f"WITH {top_sql(100)} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM top")
 def r06(t):
-    return R.top_per_query(R.bm25(asked(t), chunks(t))).select("query_id", "chunk_id", r6("score"), "rank")
+    return R.top_per_query(hits(t)).select("query_id", "chunk_id", r6("score"), "rank")
 
 
 def expanded(t: Tables) -> DataFrame:
@@ -272,7 +289,7 @@ def r08(t):
 
 def rankings(t: Tables) -> DataFrame:
     """Keyword and vector hits of the vector query set, by their own ranks."""
-    keyword = R.top_per_query(R.bm25(asked(t), chunks(t)), 100).select("query_id", F.lit("keyword").alias("branch"), "chunk_id", "rank", "score")
+    keyword = R.top_per_query(hits(t), 100).select("query_id", F.lit("keyword").alias("branch"), "chunk_id", "rank", "score")
     q, v = vector_sets(t)
     vector = R.knn(q, v, 100).select("query_id", F.lit("vector").alias("branch"), "chunk_id", "rank", "score")
     return keyword.unionByName(vector)
@@ -308,7 +325,7 @@ def r11(t):
 
 @query("r12_rerank_join", f"""WITH {top_sql(20)} SELECT query_id, chunk_id, chunk_id % 5 <> 0 AS valid, CASE WHEN chunk_id % 5 <> 0 THEN round(1 / (1 + exp(-((chunk_id % 11) / 5.0 - 1))), 6) END AS semantic FROM top""")
 def r12(t):
-    top = R.top_per_query(R.bm25(asked(t), chunks(t)), 20)
+    top = R.top_per_query(hits(t), 20)
     scores = top.filter("chunk_id % 5 <> 0").select("query_id", "chunk_id", ((F.col("chunk_id") % 11) / 5.0 - 1).alias("raw"))
     return R.rerank_join(top, scores, "logit").select("query_id", "chunk_id", "valid", r6("semantic"))
 
@@ -329,8 +346,28 @@ def r14(t):
     return constraint_compatibility(pairs.select("conv_id", "turn", "query", "candidate")).select("conv_id", "turn", "time", "status", "locator", "dimension", "n_conflicts", "n_compatible")
 
 
+#: (question, candidate): verdicts of time, status, locator, dimension, organisation and subject, conflicts and agreements.
+CONSTRAINTS = {
+    ("2024年第三季度净利率是多少", "2024年第三季度净利率为12%"): ("compatible", "unknown", "unknown", "compatible", "unknown", "compatible", 0, 3),
+    ("2024年第三季度净利率", "2023年第三季度净利率1%"): ("conflict", "unknown", "unknown", "compatible", "unknown", "compatible", 1, 2),
+    ("2024年收入", "2024年第二季度收入5亿元"): ("compatible", "unknown", "unknown", "unknown", "unknown", "unknown", 0, 1),
+    ("2024年第三季度", "2024年报告"): ("unknown", "unknown", "unknown", "unknown", "unknown", "unknown", 0, 0),
+    ("预测的表2", "实际见表3"): ("unknown", "conflict", "conflict", "unknown", "unknown", "unknown", 2, 0),
+    ("国电电力的图1", "图1：国电电力"): ("unknown", "unknown", "compatible", "unknown", "compatible", "unknown", 0, 2),
+}
+VERDICTS = ("time", "status", "locator", "dimension", "entity", "subject", "n_conflicts", "n_compatible")
+
+
+@query("r14_constraint_cases", "SELECT c_custkey, " + ", ".join(f"{picked_sql('c_custkey', [v[i] for v in CONSTRAINTS.values()])} AS {n}" for i, n in enumerate(VERDICTS)) + " FROM customer")
+def r14_cases(t):
+    from sievelight.operators.constraints import constraint_compatibility
+
+    pairs = t.customer.select("c_custkey", *[picked("c_custkey", [k[i] for k in CONSTRAINTS]).alias(n) for i, n in enumerate(("query", "candidate"))])
+    return constraint_compatibility(pairs).select("c_custkey", *VERDICTS)
+
+
 def candidates(t: Tables) -> DataFrame:
-    top = R.top_per_query(R.bm25(asked(t), chunks(t)), 20)
+    top = R.top_per_query(hits(t), 20)
     return top.withColumn("semantic", F.when(F.col("chunk_id") % 5 != 0, (F.col("chunk_id") % 11) / 11.0)).withColumn("conflicts", (F.col("chunk_id") % 17 == 0).cast("int"))
 
 
@@ -347,7 +384,7 @@ def r15(t):
 
 @query("r16_doc_aggs", f"WITH {top_sql(100)} SELECT query_id, doc_id, n, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id)::INT AS rank FROM (SELECT query_id, source AS doc_id, count(*) AS n FROM top JOIN documents ON documents.doc_id = chunk_id GROUP BY query_id, source)")
 def r16(t):
-    top = R.top_per_query(R.bm25(asked(t), chunks(t)))
+    top = R.top_per_query(hits(t))
     return R.doc_aggs(top.join(chunks(t).select("chunk_id", F.col("kb_id").alias("doc_id")), "chunk_id"))
 
 

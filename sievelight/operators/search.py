@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelight.operators.terms import Index
 
 K1, B = 1.2, 0.75
 
@@ -28,25 +29,12 @@ def multi_index(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def matched_postings(terms: DataFrame, chunks: DataFrame, key: str = "chunk_id", tokens: str = "tokens") -> DataFrame:
-    """Postings of the terms that queries ask for, with the chunk's length."""
-    asked = terms.select("term").distinct()
-    exploded = chunks.select(key, F.size(tokens).alias("length"), F.explode(tokens).alias("term"))
-    return exploded.join(asked, "term").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-
-
-def bm25(terms: DataFrame, chunks: DataFrame, field_boosts: dict[str, float] | None = None, posts: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, n_terms) of ``terms(query_id, term, boost)``; over several token fields the best field counts.
-
-    ``posts`` are the matched postings of a single field, where a plan has them already.
-    """
-    fields = field_boosts or {"tokens": 1.0}
+def bm25(terms: DataFrame, fields: dict[str, tuple[Index, float]] | Index) -> DataFrame:
+    """(query_id, chunk_id, score, n_terms) of ``terms(query_id, term, boost)``; over several token fields (index, boost) the best field counts."""
     found = []
-    for field, weight in fields.items():
-        size = chunks.agg(F.count("*").alias("n"), F.avg(F.size(field)).alias("avgdl"))
-        held = posts if posts is not None and len(fields) == 1 else matched_postings(terms, chunks, tokens=field)
-        df = held.groupBy("term").agg(F.count("*").alias("df"))
-        scored = held.join(df, "term").join(F.broadcast(size))  # one row of corpus figures
+    for index, weight in [(fields, 1.0)] if isinstance(fields, Index) else fields.values():
+        df = index.stats().select("term", "df")
+        scored = index.posts.join(df, "term").join(F.broadcast(index.size))  # one row of corpus figures
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
         scored = scored.select("chunk_id", "term", part.alias("part"))
@@ -57,13 +45,10 @@ def bm25(terms: DataFrame, chunks: DataFrame, field_boosts: dict[str, float] | N
     return reduce(DataFrame.unionByName, found).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.max("n_terms").alias("n_terms"))
 
 
-def binary_idf_score(terms: DataFrame, chunks: DataFrame, boost: float = 1.0) -> DataFrame:
+def binary_idf_score(terms: DataFrame, index: Index, boost: float = 1.0) -> DataFrame:
     """(query_id, chunk_id, score): normalised idf of the terms held, whatever their frequency."""
-    size = chunks.agg(F.count("*").alias("n"))
-    posts = matched_postings(terms, chunks)
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) / F.log(1 + (F.col("n") - 0.5) / 1.5)
-    scored = posts.join(df, "term").join(F.broadcast(size)).select("chunk_id", "term", (boost * idf).alias("part"))
+    scored = index.posts.join(index.stats(), "term").join(F.broadcast(index.size)).select("chunk_id", "term", (boost * idf).alias("part"))  # one row of corpus figures
     return terms.join(scored, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
 
 
@@ -92,19 +77,21 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 1024, min_similarity: f
     """(query_id, chunk_id, score, rank): exact cosine of ``queries(query_id, qvec)`` and ``vectors(chunk_id, embedding)``.
 
     A stated query set meets all rows: a checked small one is broadcast, a larger
-    one is copied to ``blocks`` blocks of the vectors, each keeping its best ``k``.
+    one is copied to the ``blocks`` blocks of the vectors.  Every block keeps its
+    best ``k`` per query, and the best of these are the answer, so that no query's
+    hits gather in one task.
     """
     unit = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     q = queries.select("query_id", "qvec", unit(F.col("qvec")).alias("qn"))
     v = vectors.select("chunk_id", "embedding", unit(F.col("embedding")).alias("vn"))
     if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        pairs = v.join(F.broadcast(q))
+        pairs = v.join(F.broadcast(q)).withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)))
     else:
         pairs = v.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks))).join(q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))), "block")
     dot = F.aggregate(F.zip_with("qvec", "embedding", lambda p, x: p.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x)
     score = F.when((F.col("qn") > 0) & (F.col("vn") > 0), dot / (F.col("qn") * F.col("vn"))).otherwise(0.0)
-    scored = pairs.select("query_id", "chunk_id", score.alias("score")).filter(F.col("score") >= min_similarity)
-    return top_per_query(scored, k)
+    scored = pairs.select("query_id", "block", "chunk_id", score.alias("score")).filter(F.col("score") >= min_similarity)
+    return top_per_query(top_per_query(scored, k, ("query_id", "block")).drop("block", "rank"), k)
 
 
 def top_per_query(hits: DataFrame, n: int = 100, keys: tuple = ("query_id",)) -> DataFrame:

@@ -2,20 +2,46 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelight.operators.joins import small
+
 
 def postings(chunks: DataFrame, key: str = "chunk_id", tokens: str = "tokens") -> DataFrame:
     """(key, term, tf): a row per chunk and different term."""
     return chunks.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def term_stats(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(term, freq, df): occurrences, and chunks that hold the term; ``only(term)`` limits the terms that are counted."""
+@dataclass(frozen=True)
+class Index:
+    """Postings (chunk_id, term, tf, length) that several plans share, and the corpus figures n and avgdl (one row)."""
+
+    posts: DataFrame
+    size: DataFrame
+
+    def stats(self) -> DataFrame:
+        """(term, freq, df): occurrences, and chunks that hold the term."""
+        return self.posts.groupBy("term").agg(F.sum("tf").alias("freq"), F.count("*").alias("df"))
+
+    def unpersist(self) -> None:
+        self.posts.unpersist()
+        self.size.unpersist()
+
+
+def build_index(chunks: DataFrame, only: DataFrame | None = None, tokens: str = "tokens") -> Index:
+    """Postings of ``chunks(chunk_id, tokens)``, of the terms ``only(term)`` where given, tokenised once and kept in memory or on disk."""
+    exploded = chunks.select("chunk_id", F.size(tokens).alias("length"), F.explode(tokens).alias("term"))
     if only is not None:
-        held = chunks.select("chunk_id", F.explode("tokens").alias("term")).join(only.select("term").distinct(), "term")
-        return held.groupBy("chunk_id", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.sum("tf").alias("freq"), F.count("*").alias("df"))
+        exploded = exploded.join(only.select("term").distinct(), "term")
+    posts = exploded.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    return Index(posts.persist(), chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("avgdl")).persist())
+
+
+def term_stats(chunks: DataFrame) -> DataFrame:
+    """(term, freq, df): occurrences, and chunks that hold the term."""
     return postings(chunks).groupBy("term").agg(F.sum("tf").alias("freq"), F.count("*").alias("df"))
 
 
@@ -60,10 +86,16 @@ def query_terms(weights: DataFrame, synonyms: DataFrame, groups: int = 256) -> D
     return single.unionByName(other).unionByName(pairs).groupBy("query_id", "term", "is_phrase").agg(F.max("boost").alias("boost"))
 
 
+def paragraph_weights(posts: DataFrame, stats: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(key, term, weight) of ``posts(key, term, tf)``: a term's weight among all tokens of its chunk, once per term."""
+    weighed = posts.join(stats, "term").withColumn("raw", raw_weight(F.col("term"), F.col("freq"), F.col("df")))
+    return weighed.withColumn("weight", F.col("raw") / F.sum(F.col("raw") * F.col("tf")).over(Window.partitionBy(key))).select(key, "term", "weight")
+
+
 def paragraph_keywords(weights: DataFrame, n: int = 30, key: str = "chunk_id") -> DataFrame:
-    """The ``n`` heaviest different terms per chunk, with the least number of them that must match: min(3, n / 10)."""
-    once = weights.groupBy(key, "term").agg(F.max("weight").alias("weight"))
-    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("weight"), "term"))).filter(F.col("rank") <= n)
+    """The ``n`` heaviest of the different terms per chunk, with the least number of them that must match: min(3, n / 10)."""
+    order = Window.partitionBy(key).orderBy(F.desc(F.round("weight", 9)), "term")
+    ranked = weights.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
     return ranked.withColumn("min_match", F.least(F.lit(3), F.floor(F.count("*").over(Window.partitionBy(key)) / 10)).cast("int"))
 
 
@@ -79,13 +111,22 @@ def token_similarity(weights: DataFrame, posts: DataFrame, pairs: DataFrame | No
     return hit.join(total, "query_id").select("query_id", "chunk_id", (F.col("held") / F.col("total")).alias("similarity"))
 
 
+def _piece(text: Column, n: int):
+    return lambda i: text.substr(i + 1, F.lit(n))
+
+
 def alias_expansions(queries: DataFrame, aliases: DataFrame, maximum: int = 8) -> DataFrame:
     """(query_id, alias): other names of the terms a query holds, unless it holds them already; ``aliases(canonical, alias, ord, narrower)``.
 
     A term is left out where the query holds its ``narrower`` term.
     """
     text = F.lower(F.col("text"))
-    held = queries.join(F.broadcast(aliases), F.contains(text, F.lower("canonical")) & ~F.coalesce(F.contains(text, F.lower("narrower")), F.lit(False)))
+    # Names stand anywhere in a query, inside words too: every piece of a query as long as some name meets the names.
+    named = aliases.withColumn("name", F.lower("canonical")).filter("name <> ''")
+    sizes = [r["n"] for r in named.select(F.length("name").alias("n")).distinct().collect()]  # a handful of lengths
+    pieces = F.flatten(F.array(*[F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - n, F.lit(0))), _piece(text, n)) for n in sizes])) if sizes else F.array().cast("array<string>")
+    met = queries.select("query_id", "text", F.explode(F.array_distinct(pieces)).alias("name")).join(small(named), "name")
+    held = met.filter(~F.coalesce(F.contains(text, F.lower("narrower")), F.lit(False)))
     new = held.filter(~F.contains(text, F.lower("alias"))).groupBy("query_id", "alias").agg(F.min("ord").alias("ord"))
     return new.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("ord", "alias"))).filter(F.col("rank") <= maximum)
 
@@ -110,7 +151,7 @@ def tag_lift(terms: DataFrame, posts: DataFrame, chunks: DataFrame, key: str, mi
     """
     hit = terms.join(posts.select("chunk_id", "term"), "term").groupBy(key, "chunk_id").agg(F.count("*").alias("m")).filter(F.col("m") >= min_match)
     tagged = hit.join(chunks.select("chunk_id", F.explode("tags").alias("tag")), "chunk_id").groupBy(key, "tag").agg(F.count("*").alias("c"))
-    share = tagged.withColumn("sum_c", F.sum("c").over(Window.partitionBy(key))).join(F.broadcast(tag_portion(chunks, smooth).select("tag", "portion")), "tag")
+    share = tagged.withColumn("sum_c", F.sum("c").over(Window.partitionBy(key))).join(small(tag_portion(chunks, smooth).select("tag", "portion")), "tag")
     lift = F.round(0.1 * (F.col("c") + 1) / (F.col("sum_c") + smooth) / F.greatest(F.col("portion"), F.lit(1e-6))).cast("long")
     lift = F.greatest(lift, F.lit(floor).cast("long")) if floor else lift
     out = share.select(key, "tag", lift.alias("lift")).filter("lift > 0")

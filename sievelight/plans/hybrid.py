@@ -44,18 +44,17 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None, opt
     """
     tokens = queries.select("query_id", F.posexplode(tokenize(F.col("text"))).alias("pos", "term"))
     # Only terms that some query holds are counted; statistics, scores and similarities share these postings.
-    posts = R.matched_postings(tokens, chunks)
-    stats = posts.groupBy("term").agg(F.sum("tf").alias("freq"), F.count("*").alias("df"))
-    weights = W.term_weights(tokens, stats)
+    index = W.build_index(chunks, tokens)
+    weights = W.term_weights(tokens, index.stats())
     asked = weights.groupBy("query_id", "term").agg(F.sum("weight").alias("boost"))
-    lists = R.top_per_query(R.bm25(asked, chunks, posts=posts), options.branch_top).select("query_id", F.lit("keyword_original").alias("branch"), "chunk_id", "rank")
+    lists = R.top_per_query(R.bm25(asked, index), options.branch_top).select("query_id", F.lit("keyword_original").alias("branch"), "chunk_id", "rank")
     if vectors is not None and options.vector_weight > 0:
         found = R.knn(queries.filter("qvec is not null").select("query_id", "qvec"), vectors, options.branch_top, options.min_similarity)
         lists = lists.unionByName(found.select("query_id", F.lit("vector_original").alias("branch"), "chunk_id", "rank"))
     plan = R.branch_weights(queries.select("query_id", "text", F.lit(None).cast("string").alias("expanded")), options.vector_weight)
     fused = R.rrf(lists, R.redistribute_weights(plan, lists), options.rrf_k).filter(F.col("rank") <= options.rerank_top)
     if semantic is None:
-        scores = W.token_similarity(weights, posts, fused.select("query_id", "chunk_id"))
+        scores = W.token_similarity(weights, index.posts, fused.select("query_id", "chunk_id"))
         semantic = scores.select("query_id", "chunk_id", F.round("similarity", 9).alias("raw"))
     scored = R.rerank_join(fused.drop("rank"), semantic).withColumn("conflicts", F.lit(0))
     return R.final_rank(scored, options.rerank_weight, options.final_k, options.page_size)
