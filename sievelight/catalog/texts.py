@@ -19,6 +19,16 @@ def norm(c: str) -> str:
 TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 
 
+def picked(key: str, items):
+    """One of ``items`` by a table's key, in turn."""
+    return F.element_at(F.array(*[F.lit(x) for x in items]), (F.col(key) % len(items) + 1).cast("int"))
+
+
+def picked_sql(key: str, items) -> str:
+    shown = ", ".join("NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in items)
+    return f"([{shown}])[{key} % {len(items)} + 1]"
+
+
 @query("t01_normalize_text", f"SELECT doc_id, {norm('text')} AS norm FROM documents")
 def t01(t):
     return t.documents.select("doc_id", T.normalize_text(F.col("text")).alias("norm"))
@@ -67,7 +77,13 @@ def t08(t):
     return t.documents.select("doc_id", F.array_join(T.pretoken(T.tokenize(F.col("text"))), " ").alias("tokens"))
 
 
-@query("t09_merge_short_tokens")
+@query("t09_merge_short_tokens", rf"""WITH tk AS (SELECT doc_id, {TOKENS} AS t FROM documents),
+l AS (SELECT doc_id, t, coalesce(len(t) > 1 AND regexp_matches(t[1], '^.$|^[0-9a-z]{{1,2}}$') AND length(t[2]) > 1 AND NOT regexp_matches(t[2], '^[0-9a-zA-Z]'), false) AS lead FROM tk),
+u AS (SELECT doc_id, unnest(CASE WHEN lead THEN t[3:] ELSE t END) AS x, unnest(range(0, len(t) - CASE WHEN lead THEN 2 ELSE 0 END)) AS i FROM l),
+s AS (SELECT *, regexp_matches(x, '^.$|^[0-9a-z]{{1,2}}$') AND x NOT IN ({", ".join(f"'{w}'" for w in T.STOP_WORDS)}) AS short FROM u),
+g AS (SELECT doc_id, short, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, short ORDER BY i) AS run FROM s) GROUP BY doc_id, short, run),
+m AS (SELECT doc_id, sum(CASE WHEN NOT short THEN n WHEN n < 5 THEN 1 ELSE (n - 3) // 2 + 1 END) AS n FROM g GROUP BY doc_id)
+SELECT doc_id, (lead::INT + coalesce(n, 0))::INT AS n_merged FROM l LEFT JOIN m USING (doc_id)""")
 def t09(t):
     return t.documents.select("doc_id", F.size(T.merge_short_tokens(T.tokenize(F.col("text")))).alias("n_merged"))
 
@@ -133,7 +149,7 @@ def t19(t):
     return parsed.select("l_orderkey", "l_linenumber", F.col("n.value").cast("double").alias("number"), F.col("n.dimension").alias("dimension"))
 
 
-@query("t20_normalize_cell")
+@query("t20_normalize_cell", r"SELECT p_partkey, regexp_replace(lower(p_name), '[^\p{L}\p{N}.%+-]', '', 'g') AS name, 'number:' || regexp_replace(p_retailprice::VARCHAR, '\.0+$', '') AS price, true AS same FROM part")
 def t20(t):
     return t.part.select("p_partkey", T.normalize_cell(F.col("p_name")).alias("name"), T.normalize_cell(F.col("p_retailprice").cast("string")).alias("price"), T.cells_equal(F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(")")), F.concat(F.lit("-"), F.col("p_size").cast("string"))).alias("same"))
 
@@ -144,7 +160,10 @@ def t21(t):
     return t.documents.select("doc_id", F.array_join(T.citation_ids(cited).cast("array<string>"), ",").alias("ids"))
 
 
-@query("t22_answer_claims")
+@query("t22_answer_claims", r"""SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn, t ORDER BY i)::INT AS claim_index, s AS text, 0 AS n_cited FROM (
+ SELECT conv_id, turn, t, i, trim(p) AS s FROM (SELECT conv_id, turn, t, unnest(parts) AS p, unnest(range(0, len(parts))) AS i FROM (
+  SELECT conv_id, turn, row_number() OVER () AS t, regexp_extract_all(coalesce(text, ''), '[^。！？!?；;\n]*[。！？!?；;]|[^。！？!?；;\n]+') AS parts FROM conversations WHERE role = 'assistant')))
+WHERE regexp_matches(s, '[\w\p{L}]')""")
 def t22(t):
     return t.conversations.filter("role = 'assistant'").select("conv_id", "turn", F.explode(T.answer_claims(F.col("text"))).alias("c")).select("conv_id", "turn", "c.claim_index", "c.text", F.size("c.citation_ids").alias("n_cited"))
 
@@ -164,7 +183,11 @@ def t25(t):
     return t.conversations.select("conv_id", "turn", T.session_title(F.col("text")).alias("title"))
 
 
-@query("t26_highlight")
+@query("t26_highlight", r"""WITH s AS (SELECT doc_id, unnest(p) AS s, unnest(range(0, len(p))) AS i FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[\r\n]', ' ', 'g'), '[^.?!;。？！；]*[.?!;。？！；]|[^.?!;。？！；]+') AS p FROM documents)),
+w AS (SELECT doc_id, i, regexp_extract_all(s, '[A-Za-z0-9]+|[^A-Za-z0-9]') AS p FROM s),
+m AS (SELECT doc_id, i, trim(array_to_string(list_transform(range(1, len(p) + 1), lambda k: CASE WHEN lower(p[k]) IN ('the', 'der') AND (k = 1 OR p[k - 1] <> '<') AND (k = len(p) OR p[k + 1] <> '>') THEN '<em>' || p[k] || '</em>' ELSE p[k] END), '')) AS s FROM w),
+j AS (SELECT doc_id, string_agg(s, '...' ORDER BY i) AS shown FROM m WHERE contains(s, '<em>') GROUP BY doc_id)
+SELECT doc_id, coalesce(shown, '') AS shown FROM documents LEFT JOIN j USING (doc_id)""")
 def t26(t):
     return t.documents.select("doc_id", T.highlight(F.col("text"), F.array(F.lit("the"), F.lit("der"))).alias("shown"))
 
@@ -185,7 +208,8 @@ def t27(t):
     return pairs.select("conv_id", "turn", F.round(T.trigram_coverage(F.col("text"), F.col("before")), 6).alias("coverage"))
 
 
-@query("t28_common_subject")
+@query("t28_common_subject", """WITH p AS (SELECT p_partkey, lower(p_name) AS a, lower(p_type) AS b FROM part), n AS (SELECT *, unnest(range(2, 17)) AS n FROM p), c AS (SELECT p_partkey, b, n, unnest(range(1, greatest(length(a) - n + 2, 1))) AS i, a FROM n),
+f AS (SELECT p_partkey, min_by(substring(a, i, n), (-n, i)) AS s FROM c WHERE contains(b, substring(a, i, n)) GROUP BY p_partkey) SELECT p_partkey, coalesce(s, '') AS subject FROM p LEFT JOIN f USING (p_partkey)""")
 def t28(t):
     return t.part.select("p_partkey", T.common_subject(F.lower("p_name"), F.lower("p_type")).alias("subject"))
 
@@ -205,3 +229,89 @@ def t29(t):
 @query("t30_strip_provider_refs", r"SELECT doc_id, regexp_replace('[ref_1] ' || text, '\[ref_\d+\]', '', 'g') AS plain FROM documents")
 def t30(t):
     return t.documents.select("doc_id", T.strip_provider_refs(F.concat(F.lit("[ref_1] "), "text")).alias("plain"))
+
+
+#: Texts that reach every branch of the functions below, dealt to customers by key, and what they give.
+CANONICAL = {
+    "2024年第三季度 营收": "2024第三季度营业收入",
+    "2023 至 2025 年 EPS！": "2023-2025每股收益",
+    "25Q3 ROE＞10%": "25第三季度roe>10%",
+    "2024H1 本公司 PE": "2024上半年该公司市盈率",
+    "P/E 与 open": "市盈率与open",
+}
+SCOPES = {"2024年第三季度": "2024-Q3", "2023年全年": "2023-FY", "Q1 2024": "2024-Q1", "上半年": "ANY-H1", "2024 与 2025": "", "2026": "2026-YEAR", "2025E": "2025-FY", "2024年6月": "2024-M06"}
+FACTS = {
+    "2024年实际净利率12%": ("actual", "", "rate"),
+    "预计每股收益1.2元/股": ("forecast", "", "per_share"),
+    "目标装机 30 万千瓦，见表 2-1": ("target", "表21", "power"),
+    "公司实现收入5亿元，图3": ("actual", "图3", "currency_amount"),
+    "发电量100亿千瓦时，第三章": ("", "第三章", "energy"),
+    "共 12 台，3 倍": ("", "", "count,multiple"),
+}
+PERIODS = {"2024年上半年与第三季度": "2024上半年,2024第三季度", "2025E净利润": "2025预测", "2023年和2024年全年": "2023,2024全年", "预测2025年全年": "2025预测全年", "无日期": ""}
+ANCHORS = {
+    "张三在上海负责": "named:上海,named:张三",
+    "产品 X1 的发电量": "canonical_term:发电量,metric:发电量,named:产品 X1",
+    "“核心资产”不超过30%": "negation:不超过,number:30,number_with_unit:30%,quoted:核心资产",
+    "中国银行2024年营收": "date:2024年,metric:营业收入,number:2024,organization:中国银行",
+}
+NAMES = {"归属于母公司股东的净利润": "", "请问国电电力与华能国际股份的关系": "国电电力,华能国际股份", "推荐公司": "", "研报推荐的公司": ""}
+#: (question, rewrite): (valid, missing, added, conflicts).
+REWRITES = {
+    ("A公司比B公司高吗", "B公司比A公司高吗"): (False, 1, 2, "comparison_subjects_changed"),
+    ("国电电力的营收", "国电电力的营业收入"): (True, 0, 0, ""),
+    ("产品 X1 不超过30%", "产品 X1 超过30%"): (False, 1, 0, "comparison_operator_changed"),
+    ("火电利用小时", "煤电利用小时"): (False, 0, 1, ""),
+    ("2024年预测净利润", "2024E净利润"): (False, 1, 0, ""),
+}
+
+
+def _column(items, i: int) -> list:
+    return [v[i] for v in items]
+
+
+@query("t11_canonical_cases", f"SELECT c_custkey, {picked_sql('c_custkey', CANONICAL.values())} AS canonical FROM customer")
+def t11_cases(t):
+    return t.customer.select("c_custkey", T.canonical_text(picked("c_custkey", CANONICAL)).alias("canonical"))
+
+
+@query("t13_time_scope_cases", f"SELECT c_custkey, {picked_sql('c_custkey', SCOPES.values())} AS scopes FROM customer")
+def t13_cases(t):
+    return t.customer.select("c_custkey", F.array_join(T.time_scopes(picked("c_custkey", SCOPES)), ",").alias("scopes"))
+
+
+@query("t14_fact_cases", "SELECT c_custkey, " + ", ".join(f"{picked_sql('c_custkey', _column(FACTS.values(), i))} AS {n}" for i, n in enumerate(("statuses", "locators", "dims"))) + " FROM customer")
+def t14_cases(t):
+    x = picked("c_custkey", FACTS)
+    return t.customer.select("c_custkey", *[F.array_join(f(x), ",").alias(n) for f, n in ((T.fact_statuses, "statuses"), (T.locators, "locators"), (T.measurement_dimensions, "dims"))])
+
+
+@query("t15_reporting_period_cases", f"SELECT c_custkey, {picked_sql('c_custkey', PERIODS.values())} AS periods FROM customer")
+def t15_cases(t):
+    return t.customer.select("c_custkey", F.array_join(T.reporting_periods(picked("c_custkey", PERIODS)), ",").alias("periods"))
+
+
+@query("t16_query_anchor_cases", f"SELECT c_custkey, {picked_sql('c_custkey', ANCHORS.values())} AS anchors FROM customer")
+def t16_cases(t):
+    found = F.transform(preserve.anchors(picked("c_custkey", ANCHORS)), lambda a: F.concat_ws(":", a["kind"], a["text"]))
+    return t.customer.select("c_custkey", F.array_join(F.array_sort(found), ",").alias("anchors"))
+
+
+@query("t17_organization_cases", f"SELECT c_custkey, {picked_sql('c_custkey', NAMES.values())} AS organizations FROM customer")
+def t17_cases(t):
+    return t.customer.select("c_custkey", F.array_join(preserve.organizations(picked("c_custkey", NAMES)), ",").alias("organizations"))
+
+
+@query("t18_rewrite_cases", "SELECT c_custkey, " + ", ".join(f"{picked_sql('c_custkey', _column(REWRITES.values(), i))} AS {n}" for i, n in enumerate(("valid", "n_missing", "n_added", "conflicts"))) + " FROM customer")
+def t18_cases(t):
+    pairs = t.customer.select("c_custkey", *[picked("c_custkey", _column(REWRITES, i)).alias(n) for i, n in enumerate(("q", "r"))])
+    return pairs.select("c_custkey", preserve.rewrite_check(F.col("q"), F.col("r")).alias("c")).select("c_custkey", "c.valid", F.size("c.missing_anchors").alias("n_missing"), F.size("c.added_risky_terms").alias("n_added"), F.array_join("c.conflicts", ",").alias("conflicts"))
+
+
+#: Mixed Chinese and Latin terms, and tokens with inner cuts.
+MIXED = {"煤电 A1 装机量": "a1,煤电,装机,机量", "Alpha beta alpha": "alpha,beta", "风": "风"}
+
+
+@query("t06_mixed_term_cases", f"SELECT c_custkey, {picked_sql('c_custkey', MIXED.values())} AS terms FROM customer")
+def t06_cases(t):
+    return t.customer.select("c_custkey", F.array_join(T.mixed_terms(picked("c_custkey", MIXED)), ",").alias("terms"))

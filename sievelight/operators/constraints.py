@@ -1,4 +1,4 @@
-"""Do a candidate's time, status, locator, dimension and subject agree with the query's?"""
+"""Do a candidate's time, status, locator, dimension, subject and organisations agree with the query's?"""
 
 from __future__ import annotations
 
@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from sievelight.functions import text as T
 from sievelight.functions.preserve import organizations
 
+# Fixed value: what is no part of a measured subject.
+SUBJECT_NOISE = (
+    rf"(?i)(?:{T.YEAR})e?|\d+(?:\.\d+)?|"
+    r"上半年|下半年|全年|年度|季度|月份?|年|"
+    r"第一|第二|第三|第四|"
+    r"是多少|多少|什么|哪个|哪一个|分别|具体|数据|指标|"
+    r"公司|报告|研报|预计|预测|实际|实现|达到|约|左右|"
+    r"金额|人民币|百万元|千万元|亿元|万元|千元|"
+    r"百分比|百分点|比例|占比|比重|率|[%％]|"
+    r"每股|元股|"
+    r"千瓦时|兆瓦时|吉瓦时|kwh|mwh|gwh|"
+    r"千瓦|兆瓦|吉瓦|kw|mw|gw|"
+    r"更高|相差|口径|单位"
+)
+
 
 def _verdict(asked: Column, held: Column) -> Column:
     """Nothing asked or nothing known is unknown; a common value is compatible, none a conflict."""
@@ -15,34 +30,41 @@ def _verdict(asked: Column, held: Column) -> Column:
 
 
 def _time(asked: Column, held: Column) -> Column:
-    """A bare year agrees with nothing narrower and conflicts only with other years."""
-    years = lambda s: F.array_distinct(F.transform(s, lambda x: F.split(x, "-")[0]))
-    bare = lambda s: F.exists(s, lambda x: F.endswith(x, F.lit("-YEAR")))
-    parts = lambda s: F.array_distinct(F.transform(s, lambda x: F.split(x, "-")[1]))
-    open_ = lambda s: F.exists(s, lambda x: F.startswith(x, F.lit("ANY-")))
-    either_open = open_(asked) | open_(held)
-    return (
-        F.when((F.size(asked) == 0) | (F.size(held) == 0), "unknown")
-        .when(F.size(F.array_intersect(asked, held)) > 0, "compatible")
-        .when(either_open, F.when(F.size(F.array_intersect(parts(asked), parts(held))) > 0, "unknown").otherwise("conflict"))
-        .when(bare(asked) | bare(held), F.when(F.size(F.array_intersect(years(asked), years(held))) > 0, "unknown").otherwise("conflict"))
-        .otherwise("conflict")
-    )
+    """A year asked for takes any of its periods; a bare year does not prove one of its periods, nor speak against it."""
+    year, period = (lambda s: F.substring_index(s, "-", 1)), (lambda s: F.substring_index(s, "-", -1))
+    same = lambda a, h: (year(a) == year(h)) | (year(a) == "ANY") | (year(h) == "ANY")
+    fits = F.exists(asked, lambda a: F.exists(held, lambda h: same(a, h) & ((period(a) == period(h)) | (period(a) == "YEAR"))))
+    bare = F.exists(asked, lambda a: F.exists(held, lambda h: (year(a) == year(h)) & (period(h) == "YEAR")))
+    return F.when((F.size(asked) == 0) | (F.size(held) == 0), "unknown").when(fits, "compatible").when(bare, "unknown").otherwise("conflict")
+
+
+def measured_subject(text: Column, names: Column) -> Column:
+    """What is left of the normalised text without its organisations ``names`` and general constraints."""
+    bare = F.aggregate(names, T.normalize_text(text), lambda s, n: F.replace(s, n, F.lit("")))
+    return F.regexp_replace(bare, SUBJECT_NOISE, "")
 
 
 def constraint_compatibility(pairs: DataFrame) -> DataFrame:
     """``pairs(query, candidate)`` with a verdict per constraint and the numbers of conflicts and agreements.
 
-    Unknown metadata is neutral; a query that asks for no fact status accepts any.
+    Unknown metadata is neutral.  Subjects are compared for queries with a
+    measurement only, by any two characters in a row that the whole texts share;
+    neither a missing subject nor a missing organisation is a conflict.
     """
     q, c = F.col("query"), F.col("candidate")
-    sides = pairs.withColumn("_q", F.struct(T.time_scopes(q).alias("time"), T.fact_statuses(q, True).alias("status"), T.locators(q).alias("locator"), T.measurement_dimensions(q).alias("dimension"), organizations(q).alias("entity")))
-    sides = sides.withColumn("_c", F.struct(T.time_scopes(c).alias("time"), T.fact_statuses(c).alias("status"), T.locators(c).alias("locator"), T.measurement_dimensions(c).alias("dimension"), organizations(c).alias("entity")))
+    named = lambda x: F.transform(organizations(x), lambda n: T.normalize_text(n))
+    q_side, c_side = "_q", "_c"
+    sides = pairs.withColumn(q_side, F.struct(T.time_scopes(q).alias("time"), T.fact_statuses(q, True).alias("status"), T.locators(q).alias("locator"), T.measurement_dimensions(q).alias("dimension"), named(q).alias("entity")))
+    sides = sides.withColumn(c_side, F.struct(T.time_scopes(c).alias("time"), T.fact_statuses(c).alias("status"), T.locators(c).alias("locator"), T.measurement_dimensions(c).alias("dimension"), named(c).alias("entity")))
     out = sides.withColumn("time", _time(F.col("_q.time"), F.col("_c.time")))
-    for name in ("status", "locator", "dimension", "entity"):
+    for name in ("status", "locator", "dimension"):
         out = out.withColumn(name, _verdict(F.col(f"_q.{name}"), F.col(f"_c.{name}")))
-    names = ("time", "status", "locator", "dimension", "entity")
-    subject = T.common_subject(T.normalize_text(F.left(q, F.lit(64))), T.normalize_text(F.left(c, F.lit(256))))
-    out = out.withColumn("subject", F.when(F.length(subject) >= 2, "compatible").otherwise("unknown"))
-    count = lambda v: sum((F.col(n) == v).cast("int") for n in (*names, "subject"))
-    return out.withColumn("n_conflicts", count("conflict")).withColumn("n_compatible", count("compatible")).drop("_q", "_c")
+    whole = T.normalize_text(c)
+    out = out.withColumn("entity", F.when(F.exists("_q.entity", lambda n: F.contains(whole, n)), "compatible").otherwise("unknown"))
+    asked = measured_subject(q, F.col("_q.entity"))
+    held = measured_subject(c, F.col("_c.entity"))
+    shared = F.size(F.array_intersect(T.bigrams(asked), T.bigrams(held))) > 0
+    out = out.withColumn("subject", F.when((F.size("_q.dimension") > 0) & (F.length(asked) >= 2) & (F.length(held) >= 2) & shared, "compatible").otherwise("unknown"))
+    names = ("time", "status", "locator", "dimension", "entity", "subject")
+    count = lambda v: sum((F.col(n) == v).cast("int") for n in names)
+    return out.withColumn("n_conflicts", count("conflict")).withColumn("n_compatible", count("compatible")).drop(q_side, c_side)
