@@ -148,7 +148,16 @@ def aliases(t):
     return named.unionByName(t.spark.createDataFrame([("w1", "the"), ("w2", "and the"), ("w3", "the")], "entity_id string, alias string"))
 
 
-@query("n01_entity_mentions")
+#: Mentions in DuckDB: aliases of one word, or of two words and a blank, among the pieces of each text.
+MENTIONS = r"""names AS (SELECT n_name AS alias, 'n' || n_nationkey AS entity FROM nation UNION ALL SELECT * FROM (VALUES ('the', 'w1'), ('and the', 'w2'), ('the', 'w3'))),
+pieces AS (SELECT alias, count(DISTINCT entity) AS n_entities, regexp_extract_all(lower(alias), '[a-z0-9]+|[^a-z0-9]') AS p FROM names GROUP BY alias),
+cut AS (SELECT doc_id, unnest(p) AS x, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+|[^a-z0-9]') AS p FROM documents)),
+led AS (SELECT *, lead(x, 1) OVER w AS y, lead(x, 2) OVER w AS z FROM cut WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+held AS (SELECT doc_id, alias, n_entities, i AS s, i + len(p) AS e FROM led JOIN pieces ON x = p[1] WHERE len(p) = 1 OR (len(p) = 3 AND y = p[2] AND z = p[3])),
+mentions AS (SELECT * FROM (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e DESC, alias ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM held) WHERE reached IS NULL OR e > reached)"""
+
+
+@query("n01_entity_mentions", f"WITH {MENTIONS} SELECT doc_id AS text_id, alias, count(*) AS n FROM mentions GROUP BY ALL")
 def n01(t):
     return N.entity_mentions(t.documents.select(F.col("doc_id").alias("text_id"), "text"), aliases(t)).groupBy("text_id", "alias").agg(F.count("*").alias("n"))
 
@@ -159,16 +168,29 @@ def n02(t):
     return N.resolve_exact(names, t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("entity_id"), F.col("n_name").alias("alias"))).select("name_id", F.array_join("entity_ids", ",").alias("ids"), "n")
 
 
-@query("n03_company_hints", r"SELECT doc_id AS question_id, CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9])the($|[^a-z0-9])') THEN 'ambiguous' ELSE 'none' END AS status FROM documents WHERE lang = 'en'")
+@query("n03_company_hints", f"""WITH {MENTIONS}, w AS (SELECT doc_id, max(n_entities) AS widest FROM mentions GROUP BY 1)
+SELECT d.doc_id AS question_id, CASE WHEN coalesce(w.widest, p.widest) > 1 THEN 'ambiguous' WHEN coalesce(w.widest, p.widest) = 1 THEN 'resolved' WHEN d.doc_id % 2 = 0 THEN 'unregistered' ELSE 'none' END AS status
+FROM documents d LEFT JOIN w USING (doc_id) LEFT JOIN w p ON p.doc_id = d.doc_id - d.doc_id % 10""")
 def n03(t):
-    q = t.documents.filter("lang = 'en'").select(F.col("doc_id").alias("question_id"), F.lit(None).cast("long").alias("parent_id"), F.array().cast("array<string>").alias("given_names"))
-    m = N.entity_mentions(t.documents.filter("lang = 'en'").select(F.col("doc_id").alias("text_id"), "text"), aliases(t).filter("alias = 'the'"))
-    return N.company_hints(q, m).select("question_id", "status")
+    """Documents as questions; those of ten inherit from the first, and even ones give names."""
+    given = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("somebody"))).otherwise(F.array().cast("array<string>"))
+    q = t.documents.select(F.col("doc_id").alias("question_id"), (F.col("doc_id") - F.col("doc_id") % 10).alias("parent_id"), given.alias("given_names"))
+    return N.company_hints(q, N.entity_mentions(t.documents.select(F.col("doc_id").alias("text_id"), "text"), aliases(t))).select("question_id", "status")
+
+
+def faulty_registry(t):
+    """Suppliers as registry records that break every rule: doubled ids, strange kinds, no, blank and bare-number aliases."""
+    k = F.col("s_suppkey")
+    names = F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("s_name"), F.when(k % 3 == 0, " ").otherwise("x"), F.when(k % 2 == 0, k.cast("string")).otherwise("y")))
+    rows = t.supplier.select(F.concat(F.lit("s"), (k - F.when(k % 10 == 1, 1).otherwise(0)).cast("string")).alias("entity_id"), F.when(k % 7 == 0, "planet").otherwise("company").alias("kind"), names.alias("aliases"))
+    return rows.unionByName(registry(t))
 
 
-@query("n04_registry_check", "SELECT 'n' || n_nationkey AS entity_id, 'bare_number' AS problem FROM nation")
+@query("n04_registry_check", """WITH r AS (SELECT 's' || (s_suppkey - CASE WHEN s_suppkey % 10 = 1 THEN 1 ELSE 0 END) AS entity_id, s_suppkey AS k FROM supplier), c AS (SELECT *, count(*) OVER (PARTITION BY entity_id) AS n FROM r)
+SELECT entity_id, 'repeated_id' AS problem FROM c WHERE n > 1 UNION ALL SELECT entity_id, 'unknown_kind' FROM c WHERE k % 7 = 0 UNION ALL SELECT entity_id, 'no_alias' FROM c WHERE k % 5 = 0
+UNION ALL SELECT entity_id, 'empty_alias' FROM c WHERE k % 5 <> 0 AND k % 3 = 0 UNION ALL SELECT entity_id, 'bare_number' FROM c WHERE k % 5 <> 0 AND k % 2 = 0 UNION ALL SELECT 'n' || n_nationkey, 'bare_number' FROM nation""")
 def n04(t):
-    return N.registry_check(registry(t))
+    return N.registry_check(faulty_registry(t))
 
 
 @query("n05_hierarchy_path", "SELECT 'n' || n_nationkey AS id, n_name || ' < ' || r_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'r' || r_regionkey, r_name FROM region")
@@ -198,10 +220,11 @@ def n08(t):
     return N.company_tags(names, lists).select("name_id", F.array_join("tags", ",").alias("tags"))
 
 
-@query("n09_flatten_profiles")
+@query("n09_flatten_profiles", "SELECT c_custkey, c_name AS name, c_custkey::VARCHAR AS phone, 'yes' AS married, NULL::VARCHAR AS email, '1980-05-01' AS birth, c_mktsegment AS company, 'dev' AS position, '2001-02-01' AS first_start, 1 AS n_jobs, 1 AS n_schools FROM customer")
 def n09(t):
-    json = F.to_json(F.struct(F.struct(F.col("c_name").alias("name"), F.lit("").alias("phone"), F.col("c_custkey").cast("string").alias("tel"), F.lit("1980年5月").alias("birth"), F.lit("Y").alias("married")).alias("basic"), F.create_map(F.lit("a"), F.struct(F.col("c_mktsegment").alias("company"), F.lit("dev").alias("position"), F.lit("2001-02").alias("start"), F.lit("至今").alias("end"))).alias("work")))
-    return N.flatten_profiles(t.customer.select("c_custkey", json.alias("json")))
+    json = F.to_json(F.struct(F.struct(F.col("c_name").alias("name"), F.lit("").alias("phone"), F.col("c_custkey").cast("string").alias("tel"), F.lit("1980年5月").alias("birth"), F.lit("Y").alias("married")).alias("basic"), F.create_map(F.lit("e"), F.struct(F.lit("U").alias("school"), F.lit("master").alias("degree"), F.lit("2000").alias("end"))).alias("education"), F.create_map(F.lit("a"), F.struct(F.col("c_mktsegment").alias("company"), F.lit("dev").alias("position"), F.lit("2001-02").alias("start"), F.lit("至今").alias("end"))).alias("work")))
+    flat = N.flatten_profiles(t.customer.select("c_custkey", json.alias("json")))
+    return flat.withColumn("birth", F.col("birth").cast("string")).withColumn("first_start", F.col("first_start").cast("string"))
 
 
 @query("n10_partial_date", "SELECT o_orderkey, make_date(year(o_orderdate), CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE month(o_orderdate) END, 1)::VARCHAR AS d FROM orders")
@@ -210,7 +233,10 @@ def n10(t):
     return t.orders.select("o_orderkey", N.partial_date(loose).cast("string").alias("d"))
 
 
-@query("n11_education_features")
+@query("n11_education_features", """WITH s AS (SELECT o_custkey AS person, o_orderkey % 5 AS level, o_orderkey % 150 AS r, o_orderdate::DATE AS s, o_orderdate::DATE + 900 AS e FROM orders),
+a AS (SELECT person, max_by(level, (level, e)) AS hi, min_by(level, (level, s)) AS lo, min(r) AS best_rank, max(year(e)) AS end_year FROM s GROUP BY 1)
+SELECT person, ['other', 'associate', 'bachelor', 'master', 'doctor'][hi + 1] AS highest, ['other', 'associate', 'bachelor', 'master', 'doctor'][lo + 1] AS first, best_rank, end_year,
+ CASE WHEN best_rank <= 20 THEN 'top20' WHEN best_rank <= 50 THEN 'top50' WHEN best_rank <= 100 THEN 'top100' ELSE 'ranked' END AS band FROM a""")
 def n11(t):
     """Orders as a customer's studies."""
     degree = F.element_at(F.array(*[F.lit(d) for d in N.DEGREES]), (F.col("o_orderkey") % 5 + 1).cast("int"))

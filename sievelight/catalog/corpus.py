@@ -10,7 +10,22 @@ from sievelight.operators import corpus as D
 from sievelight.streaming import jobs as X
 
 
-@query("d01_html_sections")
+def _without(tags) -> str:
+    return "|".join(rf"<{x}\b[^>]*>.*?</{x}>" for x in tags)
+
+
+BREAKS = r"(?i)<(?:br|/?p|/?div|/?li|/?ul|/?ol|/?tr|/?table|/?h[1-6]|/?section|/?article|/?blockquote)\b[^>]*>"
+PLAIN = "x"
+for name, char in D.ENTITIES:
+    PLAIN = "replace({}, '{}', '{}')".format(PLAIN, name, char.replace("'", "''"))
+
+
+@query("d01_html_sections", rf"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), b AS (SELECT page_id, regexp_extract(h, '(?is)<title[^>]*>([^<]*)</title>', 1) AS title,
+ regexp_replace(h, '(?is)<!--.*?-->|{_without(("script", "style", "nav", "header", "footer", "aside", "noscript"))}|<head\b.*?</head>', '', 'g') AS body FROM p),
+m AS (SELECT page_id, title, body, regexp_extract(body, '(?is){_without(("article", "main")).replace(".*?", "(.*?)")}', ['a', 'b']) AS g FROM b),
+x AS (SELECT page_id, title || chr(10) || regexp_replace(regexp_replace(CASE WHEN g.a || g.b <> '' THEN g.a || g.b ELSE body END, '{BREAKS}', chr(10), 'g'), '<[^>]*>', '', 'g') AS x FROM m),
+l AS (SELECT page_id, list_filter(list_transform(string_split({PLAIN}, chr(10)), lambda y: trim(regexp_replace(y, '\s+', ' ', 'g'))), lambda y: y <> '') AS l FROM x)
+SELECT page_id, unnest(range(0, len(l)))::INT AS pos, unnest(l) AS text FROM l""")
 def d01(t):
     return D.html_sections(t.pages)
 
@@ -35,7 +50,11 @@ def d04(t):
     return D.json_sections(t.events.select(F.col("event_id").alias("doc_id"), F.col("props").alias("json"))).select("doc_id", "section")
 
 
-@query("d05_markdown_blocks")
+@query("d05_markdown_blocks", r"""WITH m AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '(?m)^(\S+ \S+)\.$', '# \1', 'g'), chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
+u AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS n FROM m), g AS (SELECT *, coalesce(starts_with(lag(line) OVER (PARTITION BY doc_id ORDER BY n), '#'), false) AS glued FROM u),
+b AS (SELECT *, sum(CASE WHEN glued THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY n)::BIGINT AS block FROM g), j AS (SELECT doc_id, block, string_agg(line, chr(10) ORDER BY n) AS text FROM b GROUP BY ALL),
+h AS (SELECT doc_id, block, CASE WHEN len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) > 384 THEN [left(text, ceil(length(text) / 2)::INT), substring(text, ceil(length(text) / 2)::INT + 1)] ELSE [text] END AS parts FROM j)
+SELECT doc_id, block, unnest(range(0, len(parts)))::INT AS part, unnest(parts) AS text FROM h""")
 def d05(t):
     marked = t.documents.select("doc_id", F.regexp_replace("text", r"(?m)^(\S+ \S+)\.$", "# $1").alias("text"))
     return D.markdown_blocks(marked)
@@ -53,18 +72,22 @@ def d07(t):
 
 
 def cells(t):
-    """Parts as tables of their manufacturer group: a header row, then names, sizes and prices."""
-    p = t.part.select((F.col("p_partkey") % 50).alias("table_id"), (F.col("p_partkey") + 1).alias("row"), F.posexplode(F.array(F.col("p_size").cast("string"), F.col("p_retailprice").cast("string"), F.when(F.col("p_partkey") % 9 == 0, "Total").otherwise(F.col("p_partkey").cast("string")), F.when(F.col("p_partkey") % 9 == 0, "sum up").otherwise("7"), F.when(F.col("p_partkey") % 9 == 0, "of all").otherwise("8"))).alias("col", "text"))
-    head = t.part.select((F.col("p_partkey") % 50).alias("table_id")).distinct().select("table_id", F.lit(0).cast("long").alias("row"), F.posexplode(F.array(F.lit("size"), F.lit("price"), F.lit("key"), F.lit("a b"), F.lit("c d"))).alias("col", "text"))
+    """Parts as tables of forty: a header row, then names, sizes and prices."""
+    p = t.part.select(F.expr("p_partkey div 40").alias("table_id"), (F.col("p_partkey") + 1).alias("row"), F.posexplode(F.array(F.col("p_size").cast("string"), F.col("p_retailprice").cast("string"), F.when(F.col("p_partkey") % 9 == 0, "Total").otherwise(F.col("p_partkey").cast("string")), F.when(F.col("p_partkey") % 9 == 0, "sum up").otherwise("7"), F.when(F.col("p_partkey") % 9 == 0, "of all").otherwise("8"))).alias("col", "text"))
+    head = t.part.select(F.expr("p_partkey div 40").alias("table_id")).distinct().select("table_id", F.lit(0).cast("long").alias("row"), F.posexplode(F.array(F.lit("size"), F.lit("price"), F.lit("key"), F.lit("a b"), F.lit("c d"))).alias("col", "text"))
     return head.unionByName(p)
 
 
-@query("d08_infer_header_rows", "SELECT p_partkey % 50 AS table_id, p_partkey + 1 AS row, p_partkey % 9 = 0 AS header FROM part UNION ALL SELECT DISTINCT p_partkey % 50, 0, true FROM part")
+@query("d08_infer_header_rows", "SELECT p_partkey // 40 AS table_id, p_partkey + 1 AS row, p_partkey % 9 = 0 AS header FROM part UNION ALL SELECT DISTINCT p_partkey // 40, 0, true FROM part")
 def d08(t):
     return D.infer_header_rows(cells(t)).select("table_id", "row", "header")
 
 
-@query("d08_header_labels")
+@query("d08_header_labels", """WITH c AS (SELECT p_partkey // 40 AS table_id, p_partkey + 1 AS row, p_partkey % 9 = 0 AS header, [p_size::VARCHAR, p_retailprice::VARCHAR, CASE WHEN p_partkey % 9 = 0 THEN 'Total' ELSE p_partkey::VARCHAR END, CASE WHEN p_partkey % 9 = 0 THEN 'sum up' ELSE '7' END, CASE WHEN p_partkey % 9 = 0 THEN 'of all' ELSE '8' END] AS t FROM part
+ UNION ALL SELECT DISTINCT p_partkey // 40, 0, true, ['size', 'price', 'key', 'a b', 'c d'] FROM part),
+g AS (SELECT *, header AND NOT coalesce(lag(header) OVER (PARTITION BY table_id ORDER BY row), false) AS gap FROM c), b AS (SELECT *, sum(gap::INT) OVER (PARTITION BY table_id ORDER BY row) AS block FROM g),
+x AS (SELECT table_id, row, header, block, unnest(range(0, 5))::INT AS col, unnest(t) AS text FROM b), l AS (SELECT table_id, block, col, string_agg(text, ',' ORDER BY row) AS label FROM x WHERE header GROUP BY ALL)
+SELECT table_id, row, col, text, label FROM x LEFT JOIN l USING (table_id, block, col) WHERE NOT header""")
 def d08b(t):
     c = cells(t)
     return D.header_labels(c, D.infer_header_rows(c))
@@ -140,6 +163,6 @@ def u01(t):
     return hooks.embed_with(t.documents.select("doc_id", "text"), _embedder, 3).select("doc_id", "problem", F.round("norm", 2).alias("norm"))
 
 
-@query("u02_score_pairs_with")
+@query("u02_score_pairs_with", r"SELECT conv_id, turn, CASE WHEN list_contains(regexp_split_to_array(text, '\s+'), role) THEN 1.0 ELSE 0.0 END::DOUBLE AS raw FROM conversations")
 def u02(t):
     return hooks.score_pairs_with(t.conversations.select("conv_id", "turn", F.col("role").alias("query"), "text"), _scorer).select("conv_id", "turn", "raw")

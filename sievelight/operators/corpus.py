@@ -18,9 +18,19 @@ SCHEMES = [
 NOT_OUTLINE = r"^(?:0|[0-9]+ +[0-9~个只-]|[0-9]+\.{2,})"
 #: Cell types by pattern, first match wins (fixed values).
 CELL_TYPES = (
-    ("Dt", r"^(20|19)[0-9]{2}[年/-][0-9]{1,2}[月/-][0-9]{1,2}日*$|^(20|19)[0-9]{2}年$|^(20|19)[0-9]{2}[年/-][0-9]{1,2}月*$|^[0-9]{1,2}[月/-][0-9]{1,2}日*$|^第*[一二三四1-4]季度$|^(20|19)[0-9]{2}年*[一二三四1-4]季度$"),
-    ("DT", r"^(20|19)[0-9]{2}[ABCDE]$"), ("Nu", r"^[0-9.,+%/ -]+$"), ("Ca", r"^[0-9A-Z/\._~-]+$"), ("En", r"^[A-Z]*[a-z' -]+$"), ("NE", r"^[0-9.,+-]+[0-9A-Za-z/$￥%<>（）()' -]+$"), ("Sg", r"^.{1}$"),
-)
+    ("Dt", r"^(20|19)[0-9]{2}[年/-][0-9]{1,2}[月/-][0-9]{1,2}日*$"),
+    ("Dt", r"^(20|19)[0-9]{2}年$"),
+    ("Dt", r"^(20|19)[0-9]{2}[年/-][0-9]{1,2}月*$"),
+    ("Dt", r"^[0-9]{1,2}[月/-][0-9]{1,2}日*$"),
+    ("Dt", r"^第*[一二三四1-4]季度$"),
+    ("Dt", r"^(20|19)[0-9]{2}年*[一二三四1-4]季度$"),
+    ("DT", r"^(20|19)[0-9]{2}[ABCDE]$"),
+    ("Nu", r"^[0-9.,+%/ -]+$"),
+    ("Ca", r"^[0-9A-Z/\._~-]+$"),
+    ("En", r"^[A-Z]*[a-z' -]+$"),
+    ("NE", r"^[0-9.,+-]+[0-9A-Za-z/$￥%<>（）()' -]+$"),
+    ("Sg", r"^.{1}$"),
+)
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
@@ -74,19 +84,19 @@ def chunk_by_budget(df: DataFrame, budget: int = 128, key: str = "doc_id", delim
     return df.select(key, F.posexplode(blocks).alias("seq", "content"))
 
 
-def json_sections(df: DataFrame, column: str = "json", key: str = "doc_id", size: int = 200, depth: int = 4) -> DataFrame:
+def json_sections(df: DataFrame, column: str = "json", key: str = "doc_id", size: int = 200) -> DataFrame:
     """(key, pos, section): leaf paths packed into sections of at most about ``size`` characters; list elements are keyed by index."""
     nodes = df.select(F.col(key), F.parse_json(column).alias("v"), F.lit("").alias("path"))
     leaves = None
-    for _ in range(depth):
-        nodes.createOrReplaceTempView("_json_nodes")
-        opened = nodes.sparkSession.sql(f"SELECT n.{key}, e.value AS v, concat(n.path, '/', coalesce(e.key, CAST(e.pos AS STRING))) AS path FROM _json_nodes n, LATERAL variant_explode(n.v) e")
+    while True:  # once per level of nesting
+        opened = nodes.sparkSession.sql(f"SELECT n.{key}, e.value AS v, concat(n.path, '/', coalesce(e.key, CAST(e.pos AS STRING))) AS path FROM {{nodes}} n, LATERAL variant_explode(n.v) e", nodes=nodes)
         kind = F.schema_of_variant("v")
         nested = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
         flat = opened.filter(~nested)
         leaves = flat if leaves is None else leaves.unionByName(flat)
         nodes = opened.filter(nested)
-    leaves = leaves.unionByName(nodes)  # deeper objects stay whole
+        if nodes.isEmpty():
+            break
     line = F.concat("path", F.lit("="), F.to_json("v"), F.lit("\n"))
     ordered = leaves.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("path", line.alias("line")))).alias("rows"))
     floor = max(size - 200, 50)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelight.functions.text import let, normalize_text
+from sievelight.functions.text import normalize_text
+from sievelight.operators.joins import candidates, small
 
 PROFILE = "basic struct<name:string,phone:string,tel:string,birth:string,married:string>, contact struct<email:string>, education map<string,struct<school:string,degree:string,end:string>>, work map<string,struct<company:string,position:string,start:string,end:string>>"
 #: Order of degrees (fixed values).
@@ -17,22 +18,28 @@ LEGAL = r"(?i)[\s,]*(股份有限公司|有限责任公司|集团有限公司|
 def entity_mentions(texts: DataFrame, registry: DataFrame) -> DataFrame:
     """(text_id, alias, start, end, entity_ids): longest aliases that no longer hit covers; a shared alias names all its entities.
 
-    ASCII aliases must stand as whole words.  The registry is a dictionary.
+    ASCII aliases must stand as whole words.  Texts meet aliases by a first word
+    or character pair, so a text is compared with those that it may hold only.
     """
-    aliases = registry.groupBy("alias").agg(F.array_sort(F.collect_set("entity_id")).alias("entity_ids"))
-    hit = texts.join(F.broadcast(aliases), F.contains(F.lower("text"), F.lower("alias")))
+    aliases = registry.groupBy("alias").agg(F.array_sort(F.collect_set("entity_id")).alias("entity_ids")).filter("alias <> ''")
+    met = candidates(texts, "text_id", "text", aliases.select("alias"), "alias")
+    hit = texts.select("text_id", F.lower("text").alias("text")).join(met.groupBy("text_id").agg(F.collect_set("alias").alias("met")), "text_id")
+    hit = hit.select("text_id", "text", F.explode("met").alias("alias")).filter(F.contains("text", F.lower("alias")))
     quoted = F.regexp_replace(F.lower("alias"), r"([\\.\[\]{}()*+?^$|])", r"\\$1")
     ascii_ = F.col("alias").rlike(r"^[\x00-\x7F]+$")
     pattern = F.when(ascii_, F.concat(F.lit("(?<![a-z0-9])"), quoted, F.lit("(?![a-z0-9])"))).otherwise(quoted)
-    gaps = F.split(F.lower("text"), pattern, F.lit(-1))
     n = F.length("alias")
-    lengths = F.transform(gaps, lambda g: F.length(g))
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(gaps) - 1, F.lit(1))), lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x) + (i - 1) * n)
-    found = hit.filter(F.size(gaps) > 1).select("text_id", "alias", "entity_ids", n.alias("n"), F.explode(starts).alias("start")).withColumn("end", F.col("start") + F.col("n"))
+    gaps = F.transform(F.split("text", pattern, F.lit(-1)), lambda g: F.length(g))
+    # The last gap has no hit behind it; a hit starts after its own gap and all gaps and hits before.
+    hit = hit.withColumn("row", F.monotonically_increasing_id())
+    cut = hit.select("text_id", "row", "alias", n.alias("n"), F.posexplode(F.slice(gaps, F.lit(1), F.size(gaps) - 1)).alias("i", "gap"))
+    before = F.sum("gap").over(Window.partitionBy("row").orderBy("i"))
+    found = cut.select("text_id", "alias", (before + F.col("i") * F.col("n")).cast("int").alias("start"), (before + (F.col("i") + 1) * F.col("n")).cast("int").alias("end"))
     # A hit inside a longer one falls to it: of equal starts the longest, and none that starts before the longest end so far.
     order = Window.partitionBy("text_id").orderBy("start", F.desc("end"), "alias")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return found.withColumn("reached", reached).filter(F.col("reached").isNull() | (F.col("end") > F.col("reached"))).select("text_id", "alias", "start", "end", "entity_ids")
+    kept = found.withColumn("reached", reached).filter(F.col("reached").isNull() | (F.col("end") > F.col("reached")))
+    return kept.join(small(aliases), "alias").select("text_id", "alias", "start", "end", "entity_ids")
 
 
 def resolve_exact(names: DataFrame, registry: DataFrame) -> DataFrame:
@@ -68,21 +75,28 @@ def registry_version(records: DataFrame) -> DataFrame:
     return one.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("version"))
 
 
-def hierarchy_path(tree: DataFrame, depth: int = 16) -> DataFrame:
-    """(id, path): names from the node up to its root, for ``tree(id, parent, name)``; cycles end at ``depth``."""
-    tree.createOrReplaceTempView("_hierarchy")
-    return tree.sparkSession.sql(f"""
-        WITH RECURSIVE up(id, next, path, level) AS (
-          SELECT id, parent, array(name), 1 FROM _hierarchy
-          UNION ALL SELECT up.id, t.parent, array_append(up.path, t.name), up.level + 1 FROM up JOIN _hierarchy t ON up.next = t.id WHERE up.level < {depth})
-        SELECT id, max_by(path, level) AS path FROM up GROUP BY id""")
+def hierarchy_path(tree: DataFrame) -> DataFrame:
+    """(id, path): names from the node up to its root, for ``tree(id, parent, name)``.
+
+    A path that would meet a node twice is a cycle and ends before it.  Paths are
+    not cut: deeper ones than the session's limits of recursion allow are an error.
+    """
+    return tree.sparkSession.sql(
+        """
+        WITH RECURSIVE up(id, next, path, seen, level) AS (
+          SELECT id, parent, array(name), array(id), 1 FROM {tree}
+          UNION ALL SELECT up.id, t.parent, array_append(up.path, t.name), array_append(up.seen, t.id), up.level + 1
+          FROM up JOIN {tree} t ON up.next = t.id WHERE NOT array_contains(up.seen, t.id))
+        SELECT id, max_by(path, level) AS path FROM up GROUP BY id""",
+        tree=tree.select("id", "parent", "name"),
+    )
 
 
 def code_lookup(codes: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``codes(code, name)`` with the missing one of the two from ``dictionary(code, name)``."""
     by_code = dictionary.select("code", F.col("name").alias("_name"))
     by_name = dictionary.select("name", F.col("code").alias("_code"))
-    joined = codes.join(F.broadcast(by_code), "code", "left").join(F.broadcast(by_name), "name", "left")
+    joined = codes.join(small(by_code), "code", "left").join(small(by_name), "name", "left")
     return joined.withColumn("name", F.coalesce("name", "_name")).withColumn("code", F.coalesce("code", "_code")).drop("_name", "_code")
 
 
@@ -90,7 +104,7 @@ def match_school(names: DataFrame, schools: DataFrame) -> DataFrame:
     """``names(name_id, name)`` with school_id and rank; a school is found by any name or alias (joined by +), cleaned."""
     clean = lambda c: F.regexp_replace(F.lower(c), r"[\s()（）,.'·-]+", "")
     known = schools.select("school_id", "rank", F.explode(F.concat(F.array("name_cn", "name_en"), F.split(F.coalesce("alias", F.lit("")), r"\+"))).alias("n")).withColumn("key", clean(F.col("n"))).filter("key <> ''").groupBy("key").agg(F.min("school_id").alias("school_id"), F.min_by("rank", "school_id").alias("rank"))
-    return names.withColumn("key", clean(F.col("name"))).join(F.broadcast(known), "key", "left").drop("key")
+    return names.withColumn("key", clean(F.col("name"))).join(small(known), "key", "left").drop("key")
 
 
 def normalize_company(c: Column) -> Column:
@@ -101,10 +115,14 @@ def normalize_company(c: Column) -> Column:
 
 def company_tags(names: DataFrame, lists: DataFrame) -> DataFrame:
     """(name_id, tags): curated lists ``lists(tag, entry)`` that name the company; ASCII entries must be equal, others contained."""
-    entries = lists.withColumn("entry", normalize_company(F.col("entry")))
+    entries = lists.withColumn("entry", normalize_company(F.col("entry"))).filter("entry <> ''").distinct()
     keyed = names.withColumn("key", normalize_company(F.col("name")))
-    hit = keyed.join(F.broadcast(entries), F.when(F.col("entry").rlike(r"^[\x00-\x7F]*$"), F.col("key") == F.col("entry")).otherwise(F.contains("key", "entry")), "left")
-    return hit.groupBy("name_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    ascii_ = F.col("entry").rlike(r"^[\x00-\x7F]*$")
+    equal = keyed.select("name_id", "key").join(small(entries.filter(ascii_).withColumnRenamed("entry", "key")), "key").select("name_id", "tag")
+    met = candidates(keyed, "name_id", "key", entries.filter(~ascii_), "entry")
+    held = keyed.select("name_id", "key").join(met, "name_id").filter(F.contains("key", "entry")).select("name_id", "tag")
+    tags = equal.unionByName(held).groupBy("name_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    return names.select("name_id").distinct().join(tags, "name_id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 
 def partial_date(c: Column) -> Column:
