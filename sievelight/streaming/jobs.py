@@ -58,7 +58,29 @@ def current_chunks(ingested: DataFrame, key: str = "doc_id") -> DataFrame:
     return ingested.join(newest, [key, "batch_id"], "left_semi")
 
 
-def session_doc_state(docs: DataFrame, ttl: str = "2 hours") -> DataFrame:
-    """Streaming newest document per session, expired ``ttl`` behind the watermark; ``docs(session_id, ts, name)``."""
-    marked = docs.withWatermark("ts", "10 minutes")
-    return marked.groupBy(F.window("ts", ttl), "session_id").agg(F.max_by("name", "ts").alias("name"), F.max("ts").alias("ts"))
+def session_doc_state(docs: DataFrame, ttl: int = 7200) -> DataFrame:
+    """Streaming newest document per session, (session_id, name, ts, live), for ``docs(session_id, ts, name)``.
+
+    A session's state lives ``ttl`` seconds of event time from its last write;
+    then a row with live = false says that it is gone.
+    """
+
+    def newest(key, batches, state):
+        if state.hasTimedOut:
+            name, at = state.get
+            state.remove()
+            yield pd.DataFrame({"session_id": [key[0]], "name": [name], "ts": [pd.Timestamp(at, unit="us")], "live": [False]})
+            return
+        name, at = state.get if state.exists else (None, None)
+        for batch in batches:
+            last = batch.loc[batch["ts"].idxmax()]
+            micros = int(last["ts"].value // 1000)
+            if at is None or micros >= at:
+                name, at = last["name"], micros
+        state.update((name, at))
+        state.setTimeoutTimestamp(max(at // 1000 + ttl * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"session_id": [key[0]], "name": [name], "ts": [pd.Timestamp(at, unit="us")], "live": [True]})
+
+    kind = docs.schema["session_id"].dataType.simpleString()
+    marked = docs.select("session_id", "ts", "name").withWatermark("ts", "10 minutes")
+    return marked.groupBy("session_id").applyInPandasWithState(newest, f"session_id {kind}, name string, ts timestamp, live boolean", "name string, at long", "update", "EventTimeTimeout")
