@@ -1,7 +1,7 @@
 """Queries of the evaluation analytics.
 
 Cases are orders, calls are events, and gold evidence are benchmark passages
-looked for in the documents dealt to each case.
+looked for in the documents that BM25 finds for each of them.
 """
 
 from __future__ import annotations
@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelight.catalog import retrieval
 from sievelight.catalog.registry import Tables, query
 from sievelight.catalog.texts import _grams, norm
 from sievelight.operators import evaluation as V
+from sievelight.operators import search as R
 
 #: Columns of the cases, as expressions that Spark and DuckDB share.
 CASES = {
@@ -58,11 +60,12 @@ def cnt(c: str) -> str:
     return f"count(*) FILTER ({c})"
 
 
-#: Twenty samples of two requirements: one with two alternatives, one with two atoms.
-N = 20
+#: Hits that every sample's question gets.
+DEPTH = 50
 
 
 def samples(t: Tables) -> DataFrame:
+    """Samples of two requirements: one with two alternatives, one with two atoms."""
     atom = lambda i, text, name=F.lit("doc"): F.struct(F.lit(i).alias("id"), F.lit("text").alias("type"), name.alias("document_name"), text.alias("text"), F.lit(None).cast("array<string>").alias("row_cells"))
     left, right, whole = F.left("text", F.lit(60)), F.right("text", F.lit(60)), F.col("text")
     req = F.array(
@@ -74,13 +77,14 @@ def samples(t: Tables) -> DataFrame:
 
 
 def retrieved(t: Tables) -> DataFrame:
-    """Documents dealt to the samples, ranked by id."""
-    case = F.col("doc_id") % N
-    return t.documents.select(case.alias("case_id"), F.row_number().over(Window.partitionBy(case).orderBy("doc_id")).alias("rank"), F.col("doc_id").alias("chunk_id"), F.lit("dir/DOC").alias("document_name"), F.col("text").alias("content"))
+    """The best documents of every sample by BM25."""
+    top = R.top_per_query(retrieval.hits(t), DEPTH)
+    content = t.documents.select(F.col("doc_id").alias("chunk_id"), F.lit("dir/DOC").alias("document_name"), F.col("text").alias("content"))
+    return top.join(content, "chunk_id").select(F.col("query_id").alias("case_id"), "rank", "chunk_id", "document_name", "content")
 
 
-ATOMS = """atoms AS (SELECT item_id AS id, unnest([0, 0, 1, 1]) AS req, unnest([0, 1, 0, 0]) AS alt, unnest([0, 0, 0, 1]) AS atom, unnest([text, left(text, 60), left(text, 60), right(text, 60)]) AS text FROM benchmark),
-ret AS (SELECT doc_id % 20 AS id, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id) AS rank, doc_id AS chunk_id, text AS content FROM documents)"""
+ATOMS = retrieval.top_sql(DEPTH) + """, atoms AS (SELECT item_id AS id, unnest([0, 0, 1, 1]) AS req, unnest([0, 1, 0, 0]) AS alt, unnest([0, 0, 0, 1]) AS atom, unnest([text, left(text, 60), left(text, 60), right(text, 60)]) AS text FROM benchmark),
+ret AS (SELECT query_id AS id, rank, chunk_id, text AS content FROM top JOIN documents ON doc_id = chunk_id)"""
 COVER = rf"""pairs AS (SELECT a.id, req, alt, atom, rank, chunk_id, {norm('a.text')} AS a, {norm('content')} AS b FROM atoms a JOIN ret USING (id)),
 m AS (SELECT id, req, alt, atom, rank, chunk_id, CASE WHEN a = '' OR b = '' THEN 0.0::DOUBLE WHEN contains(b, a) THEN 1.0::DOUBLE WHEN contains(a, b) THEN length(b) / length(a)
   ELSE len(list_intersect({_grams('a', 'least(3, length(a))')}, {_grams('b', 'least(3, length(a))')})) / len({_grams('a', 'least(3, length(a))')}) END AS score FROM pairs)"""
@@ -108,12 +112,13 @@ def v03(t):
     return matches(t).select("id", "req", "alt", "atom", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query("v04_match_table_row")
+@query("v04_match_table_row", """SELECT a.p_partkey // 40 AS id, 0 AS req, 0 AS alt, a.p_partkey AS atom, b.p_partkey AS rank, b.p_partkey AS chunk_id, 1.0::DOUBLE AS score
+FROM part a JOIN part b ON a.p_partkey // 40 = b.p_partkey // 40 AND a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_retailprice = b.p_retailprice""")
 def v04(t):
-    """Parts as table rows: a gold row of every part group, looked for in the parts of its group."""
+    """Parts as rows of tables of forty: three cells of every part, looked for in the rows of its table."""
     cells = F.array("p_name", "p_brand", F.col("p_size").cast("string"), F.col("p_retailprice").cast("string"))
-    p = t.part.withColumn("g", F.col("p_partkey") % 500)
-    atoms = p.filter("p_partkey % 1000 < 500").select(F.col("g").alias("id"), F.lit(0).alias("req"), F.lit(0).alias("alt"), F.col("p_partkey").alias("atom"), F.lit("Parts").alias("document_name"), F.col("p_name").alias("text"), F.slice(cells, 2, 3).alias("row_cells"))
+    p = t.part.withColumn("g", F.expr("p_partkey div 40"))
+    atoms = p.select(F.col("g").alias("id"), F.lit(0).alias("req"), F.lit(0).alias("alt"), F.col("p_partkey").alias("atom"), F.lit("Parts").alias("document_name"), F.col("p_name").alias("text"), F.slice(cells, 2, 3).alias("row_cells"))
     rows = p.select(F.col("g").alias("case_id"), F.lit("parts").alias("document_name"), F.col("p_partkey").alias("rank"), F.col("p_partkey").alias("chunk_id"), F.col("p_name").alias("content"), cells.alias("cells"))
     return V.match_table_row(atoms, rows).filter("score > 0")
 
@@ -131,10 +136,10 @@ def v06(t):
 
 
 @query("v07_retrieval_metrics", f"""WITH {REQS}, cut AS (SELECT item_id AS id, item_id % 5 <> 0 AS ok, unnest([5, 20, 50]) AS k FROM benchmark),
-w AS (SELECT id, ok, k, count(req) AS gold, count(*) FILTER (matched_rank <= k) AS found, max(matched_rank) FILTER (matched_rank <= k) AS last FROM cut LEFT JOIN reqs USING (id) GROUP BY ALL),
+within_k AS (SELECT id, ok, k, count(req) AS gold, count(*) FILTER (matched_rank <= k) AS found, max(matched_rank) FILTER (matched_rank <= k) AS last FROM cut LEFT JOIN reqs USING (id) GROUP BY ALL),
 r AS (SELECT id, k, count(DISTINCT rank) AS relevant FROM cut JOIN m USING (id) WHERE rank <= k AND score >= 0.8 GROUP BY ALL)
 SELECT id, k, CASE WHEN ok THEN found = gold END AS hit, CASE WHEN ok THEN round(found / gold, 6) END AS recall, CASE WHEN ok THEN round(coalesce(relevant, 0) / k, 6) END AS precision,
- CASE WHEN ok THEN round(CASE WHEN found = gold THEN 1 / last ELSE 0 END, 6) END AS mrr FROM w LEFT JOIN r USING (id, k)""")
+ CASE WHEN ok THEN round(CASE WHEN found = gold THEN 1 / last ELSE 0 END, 6) END AS mrr FROM within_k LEFT JOIN r USING (id, k)""")
 def v07(t):
     s = samples(t)
     return V.retrieval_metrics(s, V.explode_atoms(s), matches(t), [5, 20, 50])
@@ -238,7 +243,7 @@ IDEALS = {"hit": 1, "recall": 1, "completeness": 1}
 
 @query("v20_failing_samples", f"WITH {C}, m AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, id FROM cases WHERE {m} <> 1" for m in IDEALS) + ") SELECT metric, count(*) AS n_failed, min(id) AS first_id, max(id) AS last_id FROM m GROUP BY 1")
 def v20(t):
-    return V.failing_samples(cases(t), IDEALS).select("metric", "n_failed", F.array_min("ids").alias("first_id"), F.array_max("ids").alias("last_id"))
+    return V.failing_samples(cases(t), IDEALS).groupBy("metric").agg(F.count("*").alias("n_failed"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
 @query("v21_build_summary", f"""WITH {C} SELECT CASE WHEN grouping(question_type) = 0 THEN 'question_type' WHEN grouping(modality) = 0 THEN 'modality' ELSE 'overall' END AS slice, coalesce(question_type, modality) AS value, count(*) AS queries, count(error) AS errors,

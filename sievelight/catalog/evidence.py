@@ -1,33 +1,41 @@
 """Queries of the table model and the evidence algebra.
 
-Tables are groups of parts; evidence are documents, with line items and orders
-as goals, calls and assessments.
+Tables are forty parts each; evidence are documents, with benchmark passages,
+line items and orders as goals, calls and assessments.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sievelight.catalog import retrieval
 from sievelight.catalog.registry import query
 from sievelight.operators import evidence as E
+from sievelight.operators import search as R
 from sievelight.operators import tables as B
 
-TABLES = 50
+#: The table of a part in DuckDB.
+TABLE_SQL = "p_partkey // 40"
+
+
+def table_of_part():
+    return F.expr("p_partkey div 40")
+
 
 
 def html_tables(t):
-    """One HTML table of parts per brand: two header rows with spans, a unit row, and the parts."""
+    """HTML tables of forty parts: two header rows with spans, a unit row, and the parts."""
     row = F.concat(F.lit("<tr><td>"), F.col("p_partkey").cast("string"), F.lit("</td><td>"), F.col("p_size").cast("string"), F.lit("</td><td>"), F.col("p_retailprice").cast("string"), F.lit("</td></tr>"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"]), "")
     head = '<table><caption>Parts</caption><tr><th rowspan="2">item</th><th colspan="2">values</th></tr><tr><th>size</th><th>price</th></tr><tr><td colspan="3">in stock</td></tr>'
-    return t.part.groupBy((F.col("p_partkey") % TABLES).alias("table_id")).agg(F.concat(F.lit(head), body, F.lit("</table>")).alias("html"))
+    return t.part.groupBy(table_of_part().alias("table_id")).agg(F.concat(F.lit(head), body, F.lit("</table>")).alias("html"))
 
 
 def bound(t):
     return B.bind_table_rows(B.html_table_grid(html_tables(t)))
 
 
-PARTS = f"parts AS (SELECT p_partkey % {TABLES} AS table_id, p_partkey AS k, p_size AS s, p_retailprice AS p, 3 + row_number() OVER (PARTITION BY p_partkey % {TABLES} ORDER BY p_partkey) AS row_index FROM part)"
+PARTS = f"parts AS (SELECT {TABLE_SQL} AS table_id, p_partkey AS k, p_size AS s, p_retailprice AS p, 3 + row_number() OVER (PARTITION BY {TABLE_SQL} ORDER BY p_partkey) AS row_index FROM part)"
 
 
 @query("d09_html_table_grid", f"WITH {PARTS}, g AS (SELECT table_id, unnest(['item', 'values', 'values', 'item', 'size', 'price', 'in stock', 'in stock', 'in stock']) AS text, unnest([0, 0, 0, 1, 1, 1, 2, 2, 2]) AS row_index, unnest([0, 1, 2, 0, 1, 2, 0, 1, 2]) AS col_index FROM (SELECT DISTINCT table_id FROM parts)) SELECT table_id, row_index, col_index, text FROM g UNION ALL SELECT table_id, row_index - 1, 0, k::VARCHAR FROM parts UNION ALL SELECT table_id, row_index - 1, 1, s::VARCHAR FROM parts UNION ALL SELECT table_id, row_index - 1, 2, p::VARCHAR FROM parts")
@@ -53,24 +61,23 @@ def d12(t):
 
 def rows(t):
     """Parts as plain table rows: tables by size, sections in half of them."""
-    context = F.when(F.col("p_partkey") % TABLES < 25, F.concat(F.lit("s"), (F.col("p_size") % 3).cast("string"))).otherwise("")
-    return t.part.select((F.col("p_partkey") % TABLES).alias("table_id"), F.col("p_partkey").alias("row_index"), context.alias("context"), F.array("p_name", F.col("p_size").cast("string"), "p_brand").alias("cells"), F.array(F.lit("name"), F.lit("size"), F.lit("brand")).alias("headers"))
+    context = F.when(table_of_part() % 2 == 0, F.concat(F.lit("s"), (F.col("p_size") % 3).cast("string"))).otherwise("")
+    return t.part.select(table_of_part().alias("table_id"), F.col("p_partkey").alias("row_index"), context.alias("context"), F.array("p_name", F.col("p_size").cast("string"), "p_brand").alias("cells"), F.array(F.lit("name"), F.lit("size"), F.lit("brand")).alias("headers"))
 
 
 def hits(t):
-    """Every tenth part as a hit of query table_id % 5, scored; two of three are selected."""
-    r = t.part.filter("p_partkey % 7 = 0")
-    return r.select((F.col("p_partkey") % TABLES % 5).alias("query_id"), (F.col("p_partkey") % TABLES).alias("table_id"), F.col("p_partkey").alias("row_index"), F.col("p_partkey").alias("rank"), F.lit(True).alias("scored"), (F.col("p_partkey") % 3 != 0).alias("selected"))
+    """Every part as a row of a table of query table_id / 5; every seventh is scored, two of three of these are selected."""
+    return t.part.select((F.floor(table_of_part() / 5)).alias("query_id"), table_of_part().alias("table_id"), F.col("p_partkey").alias("row_index"), F.col("p_partkey").alias("rank"), (F.col("p_partkey") % 7 == 0).alias("scored"), ((F.col("p_partkey") % 7 == 0) & (F.col("p_partkey") % 3 != 0)).alias("selected"))
 
 
-HITS = f"""r AS (SELECT p_partkey % {TABLES} AS table_id, p_partkey AS row_index, CASE WHEN p_partkey % {TABLES} < 25 THEN 's' || (p_size % 3) ELSE '' END AS ctx, row_number() OVER (PARTITION BY p_partkey % {TABLES} ORDER BY p_partkey) AS pos, count(*) OVER (PARTITION BY p_partkey % {TABLES}) AS n FROM part),
-h AS (SELECT p_partkey % {TABLES} % 5 AS query_id, p_partkey % {TABLES} AS table_id, p_partkey AS row_index, p_partkey % 3 <> 0 AS selected FROM part WHERE p_partkey % 7 = 0)"""
+HITS = f"""r AS (SELECT {TABLE_SQL} AS table_id, p_partkey AS row_index, CASE WHEN {TABLE_SQL} % 2 = 0 THEN 's' || (p_size % 3) ELSE '' END AS ctx, row_number() OVER (PARTITION BY {TABLE_SQL} ORDER BY p_partkey) AS pos, count(*) OVER (PARTITION BY {TABLE_SQL}) AS n FROM part),
+h AS (SELECT {TABLE_SQL} // 5 AS query_id, {TABLE_SQL} AS table_id, p_partkey AS row_index, p_partkey % 7 = 0 AND p_partkey % 3 <> 0 AS selected, p_partkey % 7 = 0 AS scored FROM part)"""
 WINDOW = f"""{HITS}, hp AS (SELECT query_id, h.table_id, pos AS hp, ctx AS hc FROM h JOIN r ON h.table_id = r.table_id AND h.row_index = r.row_index WHERE selected),
 win AS (SELECT query_id, r.table_id, row_index, min(abs(pos - hp)) AS distance FROM hp JOIN r USING (table_id) WHERE n <= 5 OR CASE WHEN hc <> '' THEN ctx = hc ELSE abs(pos - hp) <= 2 END GROUP BY ALL),
-near AS (SELECT * FROM win WHERE (query_id, table_id, row_index) NOT IN (SELECT query_id, table_id, row_index FROM h WHERE NOT selected))"""
+near AS (SELECT * FROM win WHERE (query_id, table_id, row_index) NOT IN (SELECT query_id, table_id, row_index FROM h WHERE scored AND NOT selected))"""
 
 
-@query("r25_group_table_rows", f"WITH {HITS} SELECT query_id, table_id, min(row_index) FILTER (selected) AS rank, count(*) FILTER (selected) AS n_members, count(*) FILTER (NOT selected) AS n_omitted FROM h GROUP BY ALL HAVING count(*) FILTER (selected) > 0")
+@query("r25_group_table_rows", f"WITH {HITS} SELECT query_id, table_id, min(row_index) FILTER (selected) AS rank, count(*) FILTER (selected) AS n_members, count(*) FILTER (scored AND NOT selected) AS n_omitted FROM h GROUP BY ALL HAVING count(*) FILTER (selected) > 0")
 def r25(t):
     return B.group_table_rows(hits(t)).select("query_id", "table_id", "rank", F.size("members").cast("long").alias("n_members"), F.size("omitted").cast("long").alias("n_omitted"))
 
@@ -97,9 +104,11 @@ def r28(t):
     return B.fit_rows_to_budget(sized, 20).select("query_id", "table_id", "row_index", F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
-@query("r29_expand_tables")
+@query("r29_expand_tables", f"""WITH {WINDOW}, z AS (SELECT near.*, s.rank, 'name：' || p_name || '；size：' || p_size || '；brand：' || p_brand AS text FROM near JOIN part ON p_partkey = row_index LEFT JOIN (SELECT query_id, table_id, row_index, row_index AS rank FROM h WHERE selected) s USING (query_id, table_id, row_index)),
+o AS (SELECT *, row_number() OVER w AS priority, sum(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]'))) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM z WINDOW w AS (PARTITION BY query_id, table_id ORDER BY CASE WHEN distance = 0 THEN 0 ELSE 1 END, rank NULLS LAST, distance, row_index))
+SELECT query_id, table_id, row_index, text FROM o WHERE used <= 60 OR priority = 1""")
 def r29(t):
-    questions = t.spark.range(5).select(F.col("id").alias("query_id"), F.lit("which brand").alias("text"))
+    questions = hits(t).select("query_id").distinct().withColumn("text", F.lit("which brand"))
     return B.expand_tables(hits(t), rows(t), questions, 60)[0].select("query_id", "table_id", "row_index", "text")
 
 
@@ -154,10 +163,19 @@ def e06(t):
     return E.source_notes(t.part.select(F.col("p_partkey").alias("table_id"), text.alias("semantic_text"), F.array("p_name", "p_brand").alias("rendered"))).select("table_id", F.array_join("notes", "|").alias("notes"))
 
 
-@query("e07_goal_round_robin")
+GOALS = retrieval.top_sql(20) + r""", terms AS (SELECT item_id // 4 AS q, item_id AS goal, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS gt FROM benchmark),
+found AS (SELECT DISTINCT query_id // 4 AS q, chunk_id FROM top), e AS (SELECT q, chunk_id AS ev, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS et FROM found JOIN documents ON doc_id = chunk_id),
+ro AS (SELECT q, goal, ev, row_number() OVER (PARTITION BY q, goal ORDER BY len(list_intersect(gt, et)) DESC, ev) AS round FROM terms JOIN e USING (q)), claim AS (SELECT q, ev, min((round, goal)) AS turn FROM ro GROUP BY ALL)
+SELECT q AS question_id, row_number() OVER (PARTITION BY q ORDER BY turn, ev)::INT - 1 AS pos, ev AS evidence_id FROM claim"""
+
+
+@query("e07_goal_round_robin", f"WITH {GOALS}")
 def e07(t):
-    goals = t.benchmark.filter("item_id < 40").select((F.col("item_id") % 10).alias("question_id"), F.col("item_id").alias("goal_no"), "text")
-    return E.goal_round_robin(goals, t.documents.select((F.col("doc_id") % 10).alias("question_id"), F.col("doc_id").alias("evidence_id"), "text"))
+    """Four passages are the goals of a question; the evidence are the best hits of any of them."""
+    goals = t.benchmark.select(F.expr("item_id div 4").alias("question_id"), F.col("item_id").alias("goal_no"), "text")
+    found = R.top_per_query(retrieval.hits(t), 20).select(F.expr("query_id div 4").alias("question_id"), F.col("chunk_id").alias("doc_id")).distinct()
+    evidence = found.join(t.documents, "doc_id").select("question_id", F.col("doc_id").alias("evidence_id"), "text")
+    return E.goal_round_robin(goals, evidence)
 
 
 @query("e08_budget_select", """WITH RECURSIVE r AS (SELECT o_custkey AS q, o_orderkey AS id, (o_orderkey % 97 + 1) AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),

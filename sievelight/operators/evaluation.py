@@ -57,11 +57,14 @@ def match_text(atoms: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def match_table_row(atoms: DataFrame, chunks: DataFrame) -> DataFrame:
     """Row cells against a chunk's cells: 1 for an equal row or a contiguous run of it, else 0; without cells the text decides."""
-    c = chunks.select(F.col("case_id").alias("id"), F.col("document_name").alias("_d"), "rank", "chunk_id", "content", "cells")
-    joined = atoms.join(c, "id").filter(T.normalize_document_name(F.col("document_name")) == T.normalize_document_name(F.col("_d")))
-    n, m = F.size("row_cells"), F.size("cells")
-    run = F.exists(F.sequence(F.lit(1), F.greatest(m - n + 1, F.lit(1))), lambda i: T.cell_sequences_equal(F.col("row_cells"), F.slice("cells", i, n)))
-    score = F.when((n > 0) & (m > 0), F.when((m >= n) & run, 1.0).otherwise(0.0)).otherwise(T.trigram_coverage(F.col("text"), F.col("content")))
+    keys = lambda cells: F.transform(cells, T.cell_key)
+    # Cells are normalised once per row, before rows meet.
+    a = atoms.withColumn("name", T.normalize_document_name(F.col("document_name"))).withColumn("asked", keys("row_cells"))
+    c = chunks.select(F.col("case_id").alias("id"), T.normalize_document_name(F.col("document_name")).alias("name"), "rank", "chunk_id", "content", keys("cells").alias("held"))
+    joined = a.join(c, ["id", "name"])
+    n, m = F.size("asked"), F.size("held")
+    run = lambda i: F.forall(F.zip_with("asked", F.slice("held", i, n), T.cell_keys_equal), lambda x: x)
+    score = F.when((n > 0) & (m > 0), F.when((m >= n) & F.exists(F.sequence(F.lit(1), F.greatest(m - n + 1, F.lit(1))), run), 1.0).otherwise(0.0)).otherwise(T.trigram_coverage(F.col("text"), F.col("content")))
     return joined.select("id", "req", "alt", "atom", "rank", "chunk_id", score.alias("score"))
 
 
@@ -218,10 +221,10 @@ def repair_metrics(cases: DataFrame) -> DataFrame:
 
 
 def failing_samples(cases: DataFrame, ideals: dict[str, float], key: str = "id") -> DataFrame:
-    """(metric, n_failed, ids): cases that miss a metric's ideal value."""
+    """(metric, key): cases that miss a metric's ideal value."""
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(float(v)).alias("ideal")) for m, v in ideals.items()])
     missed = cases.select(key, F.explode(rows).alias("m")).filter("m.value is not null and m.value <> m.ideal")
-    return missed.groupBy(F.col("m.metric").alias("metric")).agg(F.count("*").alias("n_failed"), F.array_sort(F.collect_set(key)).alias("ids"))
+    return missed.select(F.col("m.metric").alias("metric"), key).distinct()
 
 
 def build_summary(cases: DataFrame, metrics: list[str], slices: list[str]) -> DataFrame:
@@ -338,7 +341,10 @@ def e2e_summary(cases: DataFrame) -> DataFrame:
         named = (lambda df: df) if by else (lambda df: df.withColumn("question_type", F.lit("overall")))
         q, r, s = (named(f(cases, by=by)) for f in (answer_quality, refusal_metrics, sufficiency_metrics))
         r, s = r.withColumnRenamed("cases", "behavior_cases"), s.withColumnRenamed("cases", "sufficiency_cases")
-        parts.append(q.join(r, "question_type").join(s, "question_type"))
+        for other in (r, s):  # null-safe: cases without a type are a type of their own
+            other = other.withColumnRenamed("question_type", "other_type")
+            q = q.join(other, q["question_type"].eqNullSafe(other["other_type"])).drop("other_type")
+        parts.append(q)
     return reduce(DataFrame.unionByName, parts)
 
 

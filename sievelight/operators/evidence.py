@@ -61,8 +61,8 @@ def goal_round_robin(goals: DataFrame, evidence: DataFrame) -> DataFrame:
     e = evidence.select("question_id", "evidence_id", mixed_terms(F.col("text")).alias("et"))
     ranked = g.join(e, "question_id").select("question_id", "goal_no", "evidence_id", F.size(F.array_intersect("gt", "et")).alias("overlap"))
     ranked = ranked.withColumn("round", F.row_number().over(Window.partitionBy("question_id", "goal_no").orderBy(F.desc("overlap"), "evidence_id")))
-    turns = ranked.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("round", "goal_no", "evidence_id"))).alias("turns"))
-    return turns.select("question_id", F.posexplode(F.array_distinct(F.transform("turns", lambda x: x["evidence_id"]))).alias("pos", "evidence_id"))
+    claimed = ranked.groupBy("question_id", "evidence_id").agg(F.min(F.struct("round", "goal_no")).alias("turn"))
+    return claimed.select("question_id", (F.row_number().over(Window.partitionBy("question_id").orderBy("turn", "evidence_id")) - 1).alias("pos"), "evidence_id")
 
 
 def budget_select(ordered: DataFrame, budget: int) -> DataFrame:
