@@ -13,8 +13,8 @@ third of all documents stays one entry per piece.  A piece also decides at once
 what repeats inside it.
 
 Tasks take one shard of hashes or documents at a time from sorted rows, so memory
-follows the size of a shard, ``SHARDS`` of them per shuffle partition.  Words are
-compared by hash: 64 bits and the shard number for whole windows.
+follows the size of a shard; there are as many as shuffle partitions.  Words are
+compared by hash: 64 bits for whole windows.
 
 Rows are told apart by doc_id where that is unique, else (null or repeated ids
 with different texts) by a hash of their text, and equal texts share their hits.
@@ -37,13 +37,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.llm.store import materialize, shuffle_width, text_key
+from sievelight.llm.store import shuffle_width, text_key
 from sievelight.llm.tokens import SPACES, Words, mix, pieces, split_words
 
 #: Bytes of text in a piece.
 PIECE = 4 << 20
-#: Shards per shuffle partition.
-SHARDS = 8
 #: Packed rows: entries (kind 0) go to the shard of their hashes, hits (kind 1, no hashes) to the shard of their documents.
 ENTRY = "kind int, shard int, ids binary, counts binary, places binary, hashes binary, flags binary"
 FIELDS = ["kind", "shard", "ids", "counts", "places", "hashes", "flags"]
@@ -200,22 +198,11 @@ def matched_places(packed: DataFrame, shards: int, wide: bool) -> DataFrame:
     """(id, places) from packed entries and hits: entries meet by hash, then hits gather by document."""
 
     def dealt(rows: DataFrame) -> DataFrame:
-        return rows.repartition(shards // SHARDS, "shard").sortWithinPartitions("shard")
+        return rows.repartition(shards, "shard").sortWithinPartitions("shard")
 
     return dealt(dealt(packed).mapInArrow(_meet(shards, wide), ENTRY)).mapInArrow(_gather, HIT)
 
 
-def matched_places(packed: DataFrame, shards: int, wide: bool) -> DataFrame:
-    """(id, places) from packed entries and hits: entries meet by hash, then hits gather by document."""
-    width = shards // SHARDS
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        return rows.repartition(width, "shard").sortWithinPartitions("shard")
-
-    met = dealt(packed.filter("kind = 0")).mapInArrow(_meet(shards, wide), ENTRY)
-    return dealt(met.unionByName(packed.filter("kind = 1"))).mapInArrow(_gather, HIT)
-
-
 def _word_indices(words: Words, texts: np.ndarray, places: np.ndarray) -> np.ndarray:
     return words.first[texts] + places
 
@@ -229,7 +216,7 @@ def repeated_windows(docs: DataFrame, window: int = 35, block: int = 18) -> Data
     texts = docs.groupBy("doc_id").agg(F.min(text_key()).alias("a"), F.max(text_key()).alias("b"))
     unique = texts.filter("doc_id IS NULL OR a <> b").isEmpty()
     docs = docs.withColumn("id", F.col("doc_id") if unique else text_key())
-    shards = shuffle_width(spark) * SHARDS
+    shards = shuffle_width(spark)
 
     # 1. Reference blocks and probes, by hash: anchors are probes or blocks that meet elsewhere.
     def probes(batches):
@@ -252,52 +239,34 @@ def repeated_windows(docs: DataFrame, window: int = 35, block: int = 18) -> Data
 
     anchors = matched_places(docs.mapInArrow(probes, ENTRY), shards, wide=False)
 
-    # 2. Texts with anchors: hashes of the windows around them.  Texts without any are finished here.
+    # 2. Hashes of the windows around the anchors.  Both joins take the same texts by id, which are shuffled once.
     def extend(batches):
         for batch in pieces(batches, "text", PIECE):
-            words = split_words(batch.column("text"), SPACES)
-            ids = batch.column("id").to_numpy()
             anchors_of = batch.column("places")
             lengths = pc.fill_null(pc.list_value_length(anchors_of), 0).to_numpy(zero_copy_only=False)
+            if not lengths.any():
+                continue
+            words = split_words(batch.column("text"), SPACES)
+            ids = batch.column("id").to_numpy()
             texts = np.repeat(np.arange(len(ids)), lengths)
             anchored = np.zeros(len(words.starts) + 1, np.int32)
-            if len(texts):
-                anchored[_word_indices(words, texts, anchors_of.flatten().to_numpy())] = 1
+            anchored[_word_indices(words, texts, anchors_of.flatten().to_numpy())] = 1
             reach = np.concatenate(([0], np.cumsum(anchored)))
-            plain = words.hashes()
-            at, hashes = words.grams(plain, window)
+            at, hashes = words.grams(words.hashes(), window)
             near = reach[at + window - block + 1] > reach[at]  # an anchor starts where the window still holds its block
             at, hashes = at[near], hashes[near]
             texts, places = words.place(at)
             flags = np.ones(len(at), bool)
             first, twice = _local(hashes, flags)
-            candidates = np.bincount(texts, minlength=len(ids)) > 0
-            done = np.flatnonzero(~candidates)
-            open_ = np.flatnonzero(candidates)
-            digests = [_kept(words, i, None)[1] for i in done]
-            n = len(ids)
-            kept = [batch.column("text")[int(i)].as_py() for i in open_]
-            finished = {"id": batch.column("id"), "doc_id": batch.column("doc_id"), "n_words": pa.array(words.counts), "sha": pa.array(_scatter(n, done, digests), pa.string()), "text": pa.array(_scatter(n, open_, kept), pa.string())}
-            yield _rows(n, finished)
-            packed = []
             if len(twice):
-                packed.append(_by_document(shards, ids[texts[twice]], places[twice]))
+                yield _by_document(shards, ids[texts[twice]], places[twice])
             if len(first):
-                packed.append(_by_hash(shards, ids[texts[first]], places[first], hashes[first], flags[first], wide=True))
-            for out in packed:
-                yield _rows(out.num_rows, {f: out.column(f) for f in FIELDS})
+                yield _by_hash(shards, ids[texts[first]], places[first], hashes[first], flags[first], wide=True)
 
-    second = f"id long, doc_id long, n_words long, sha string, text string, {ENTRY}"
-    types = {"id": pa.int64(), "doc_id": pa.int64(), "n_words": pa.int64(), "sha": pa.string(), "text": pa.string(), "kind": pa.int32(), "shard": pa.int32()} | dict.fromkeys(FIELDS[2:], pa.binary())
-
-    def _rows(n: int, columns: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns[c].cast(t) if c in columns else pa.nulls(n, t) for c, t in types.items()], list(types))
-
-    opened = materialize(docs.join(anchors, "id", "left").mapInArrow(extend, second))
+    entries = docs.join(anchors, "id", "left").select("id", "doc_id", "text", "places").mapInArrow(extend, ENTRY)
 
     # 3. Windows that repeat, and what they cover.
-    verified = matched_places(opened.filter("kind is not null").select(*FIELDS), shards, wide=True).withColumnRenamed("places", "repeats")
-    pending = opened.filter("kind is null and sha is null").select("id", "doc_id", "n_words", "text").join(verified, "id", "left")
+    verified = matched_places(entries, shards, wide=True).withColumnRenamed("places", "repeats")
 
     def finish(batches):
         for batch in pieces(batches, "text", PIECE):
@@ -308,19 +277,10 @@ def repeated_windows(docs: DataFrame, window: int = 35, block: int = 18) -> Data
                 n, digest = _kept(words, i, repeats[i].values if repeats[i].is_valid else None, window)
                 removed.append(n)
                 digests.append(digest)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    result = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    finished = pending.select("doc_id", "n_words", "text", "repeats").mapInArrow(finish, result)
-    untouched = opened.filter("sha is not null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
-    return untouched.unionByName(finished)
-
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words.counts), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-def _scatter(n: int, at: np.ndarray, values: list) -> list:
-    out = [None] * n
-    for i, v in zip(at.tolist(), values, strict=True):
-        out[i] = v
-    return out
+    judged = docs.join(verified, "id", "left").select("id", "doc_id", "text", "repeats")
+    return judged.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def _kept(words: Words, text: int, repeats, window: int = 0) -> tuple[int, str]:
