@@ -128,7 +128,11 @@ def d17(t):
     return t.documents.select("doc_id", D.language_share(F.col("text")).alias("s")).select("doc_id", "s.english", "s.non_latin")
 
 
-@query("d18_session_chunks")
+@query("d18_session_chunks", r"""WITH RECURSIVE t AS (SELECT doc_id, left(text, 4000) AS t FROM documents), p AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '') AS l FROM t WHERE length(t) > 2000),
+u AS (SELECT doc_id, unnest(l) AS x, unnest(range(0, len(l))) AS i FROM p), k AS (SELECT doc_id, i, x, unnest(range(0, ceil(length(x) / 2000)::INT)) AS j FROM u),
+s AS (SELECT doc_id, i, j, substring(x || chr(10), (j * 2000 + 1)::INT, CASE WHEN j = ceil(length(x) / 2000)::INT - 1 THEN 2001 ELSE 2000 END) AS piece FROM k), l AS (SELECT doc_id, list(piece ORDER BY i, j) AS s FROM s GROUP BY doc_id),
+walk AS (SELECT doc_id, s, 1 AS i, 0::BIGINT AS held, 0 AS block, ''::VARCHAR AS piece FROM l UNION ALL SELECT doc_id, s, i + 1, CASE WHEN held > 0 AND held + length(s[i]) > 2000 THEN length(s[i]) ELSE held + length(s[i]) END, CASE WHEN held > 0 AND held + length(s[i]) > 2000 THEN block + 1 ELSE block END, s[i] FROM walk WHERE i <= len(s))
+SELECT doc_id, 0 AS seq, t AS content FROM t WHERE length(t) <= 2000 UNION ALL SELECT doc_id, block, string_agg(piece, '' ORDER BY i) FROM walk WHERE i > 1 GROUP BY doc_id, block""")
 def d18(t):
     return D.session_chunks(t.documents)
 

@@ -61,7 +61,7 @@ def cnt(c: str) -> str:
 
 
 #: Hits that every sample's question gets.
-DEPTH = 50
+DEPTH = 20
 
 
 def samples(t: Tables) -> DataFrame:

@@ -48,11 +48,23 @@ def explode_atoms(samples: DataFrame) -> DataFrame:
 
 
 def match_text(atoms: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(…atom, rank, chunk_id, score): trigram coverage against the case's chunks of the same document."""
-    a = atoms.withColumn("name", T.normalize_document_name(F.col("document_name")))
-    c = chunks.withColumn("name", T.normalize_document_name(F.col("document_name"))).select(F.col("case_id").alias("id"), "name", "rank", "chunk_id", "content")
-    joined = a.join(c, ["id", "name"])
-    return joined.select("id", "req", "alt", "atom", "rank", "chunk_id", T.trigram_coverage(F.col("text"), F.col("content")).alias("score"))
+    """(…atom, rank, chunk_id, score): trigram coverage against the case's chunks of the same document.
+
+    Texts are normalised and cut into trigrams once per row, before rows meet.
+    """
+    a = atoms.withColumn("name", T.normalize_document_name(F.col("document_name"))).withColumn("asked", T.normalize_text(F.col("text")))
+    a = a.withColumn("grams", T.trigrams(F.col("asked"), F.least(F.lit(3), F.length("asked"))))
+    c = chunks.select(F.col("case_id").alias("id"), T.normalize_document_name(F.col("document_name")).alias("name"), "rank", "chunk_id", T.normalize_text(F.col("content")).alias("held"))
+    c = c.withColumn("held_grams", T.trigrams(F.col("held"), F.lit(3)))
+    short = F.length("asked") < 3
+    shared = F.size(F.array_intersect("grams", F.when(short, T.trigrams(F.col("held"), F.length("asked"))).otherwise(F.col("held_grams"))))
+    score = (
+        F.when((F.col("asked") == "") | (F.col("held") == ""), 0.0)
+        .when(F.contains("held", "asked"), 1.0)
+        .when(F.contains("asked", "held"), F.length("held") / F.length("asked"))
+        .otherwise(shared / F.size("grams"))
+    )
+    return a.join(c, ["id", "name"]).select("id", "req", "alt", "atom", "rank", "chunk_id", score.alias("score"))
 
 
 def match_table_row(atoms: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -18,3 +21,14 @@ def test_entry_returns_pages(spark):
     df = entry.entry(spark)
     assert df.columns == ["query_id", "chunk_id", "final_rank", "semantic"]
     assert 0 < df.count() and df.filter("final_rank > 5").count() == 0
+
+
+def test_entry_without_the_training_data_subpackage(tmp_path):
+    """The entry and its core queries stay where that subpackage, its tests and the pipeline are deleted."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'r02_bm25' in q and not [n for n in q if n.startswith('op') or n == 'pipeline'] and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
+    os.remove(copy / "corpus_pipeline.py")
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
