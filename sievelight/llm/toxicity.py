@@ -9,8 +9,9 @@ these is fitted on the driver.  Scoring runs over whole texts.
 Defined cases: null and empty texts hold no n-gram and score by the intercept;
 without labelled rows of both classes every score is 0; ties between features
 are broken by bucket number; repeated rows score alike; labels of a repeated
-doc_id count once, the highest label; an empty table gives an empty result;
-extra columns are ignored; a null doc_id is kept and never trains.
+doc_id count once, the highest label; very long texts are scored whole; an empty
+table gives an empty result; extra columns, whatever their names, are ignored
+(``reject_toxic`` keeps them); a null doc_id is kept and never trains.
 """
 
 from __future__ import annotations
