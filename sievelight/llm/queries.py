@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from sievelight.llm import anchors, bktree, cotraining, disclosure, licenses, line_quality, mixing, tiling, toxicity, url_model
 from sievelight.llm.store import materialize
+from sievelight.sources.tables import deal
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return deal(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
