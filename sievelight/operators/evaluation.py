@@ -190,10 +190,38 @@ def aggregate_stage(cases: DataFrame, metrics: list[str], by: list[str] | None =
 
 
 def latency_summary(cases: DataFrame, column: str = "latency_ms", by: list[str] | None = None) -> DataFrame:
-    """Mean and interpolated percentiles of non-negative latencies of cases without error."""
-    value = F.when(F.col("error").isNull() & (F.col(column) >= 0), F.col(column))
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return cases.groupBy(*(by or [])).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), *[F.round(p[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+    """Mean and interpolated percentiles of non-negative latencies of cases without error.
+
+    No task holds a group's latencies: equal ones are counted, the counts of
+    logarithmic bins say which bins hold the wanted ranks, and only the values of
+    these are put in order.
+    """
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    keys = [f"key{i}" for i in range(len(by or []) + 1)]
+    value = F.when(F.col("error").isNull() & (F.col(column) >= 0), F.col(column).cast("double"))
+    keyed = cases.select(F.lit(0).alias(keys[0]), *[F.col(c).alias(k) for c, k in zip(by or [], keys[1:], strict=True)], value.alias("v"))
+    whole = keyed.groupBy(*keys).agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
+    counted = keyed.filter("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("c")).withColumn("bin", F.floor(F.log1p("v") * 200).cast("int"))
+    group, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("bin")
+    bins = counted.groupBy(*keys, "bin").agg(F.sum("c").alias("bc"))
+    bins = bins.withColumn("before", F.sum("bc").over(order) - F.col("bc")).withColumn("last", F.sum("bc").over(group) - 1)
+    spots = {p: F.col("last") * q for p, q in shares.items()}
+    ranks = {f"{p}_{end}": f(at).cast("long") for p, at in spots.items() for end, f in (("low", F.floor), ("high", F.ceil))}
+    asked = F.exists(F.array(*ranks.values()), lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("bc")))
+    wanted = bins.filter(asked).select(*[F.col(c).alias(f"w_{c}") for c in (*keys, "bin")], "before", "last")
+    same = F.lit(True)
+    for c in (*keys, "bin"):
+        same = same & F.col(c).eqNullSafe(F.col(f"w_{c}"))
+    placed = counted.join(wanted, same)
+    inside = Window.partitionBy(*keys, "bin").orderBy("v")
+    placed = placed.withColumn("end", F.col("before") + F.sum("c").over(inside)).withColumn("start", F.col("end") - F.col("c"))
+    found = placed.groupBy(*[F.col(k).alias(f"f_{k}") for k in keys]).agg(F.max("last").alias("last"), *[F.max(F.when((r >= F.col("start")) & (r < F.col("end")), F.col("v"))).alias(name) for name, r in ranks.items()])
+    percentiles = [F.round(F.col(f"{p}_low") + (at - F.floor(at)) * (F.col(f"{p}_high") - F.col(f"{p}_low")), 6).alias(p) for p, at in spots.items()]
+    found = found.select(*[f"f_{k}" for k in keys], *percentiles)
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"f_{k}"))
+    return whole.join(found, match, "left").select(*[F.col(k).alias(c) for c, k in zip(by or [], keys[1:], strict=True)], "n", "mean", *shares)
 
 
 def aggregate_gate(gated: DataFrame, by: list[str] | None = None) -> DataFrame:
