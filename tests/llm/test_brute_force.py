@@ -382,6 +382,17 @@ def test_url_model_scores(spark):
 
     for i, u in enumerate(urls):
         assert got[i]["score"] == pytest.approx(score(u), abs=1e-6)
+    # The threshold of 400 bins over [-4, 4] that lets most accepted and least rejected URLs of the fold pass.
+    bins = {u: min(max(math.floor((score(u) + 4) * 50), 0), 399) for u in set(urls)}
+    held = [(bins[u], rule[u]) for u in urls if fold[u] and rule[u]]
+    size = Counter(v for _, v in held)
+    best = (-1.0, -1.0, 0.0)
+    for b in {x for x, _ in held}:
+        lost, kept_out = (sum(v == c and x < b for x, v in held) / size[c] for c in ("allow", "block"))
+        best = max(best, (1 - lost + kept_out, -abs(b - 200), b / 50 - 4))
+    for i, u in enumerate(urls):
+        if abs(score(u) - best[2]) > 1e-6:
+            assert got[i]["verdict"] == (rule[u] or ("allow" if score(u) >= best[2] else "block"))
 
 
 def test_toxicity_against_plain_code(spark, monkeypatch):
@@ -491,3 +502,45 @@ def test_cotraining_against_plain_code(spark, monkeypatch):
     for name, z in (("text_score", odds[0]), ("metadata_score", odds[1]), ("score", both @ w + b)):
         for i in range(len(rows)):
             assert got[i][name] == pytest.approx(1 / (1 + math.exp(-z[i])), abs=0.02), name
+
+
+def test_license_labels(spark):
+    """Labels and scores by diagonals written out over word triples."""
+    rng = random.Random(19)
+    rows = []
+    for i in range(120):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            notice = rng.choice([t for _, t in licenses.TEMPLATES + licenses.PHRASES]).split()
+            for _ in range(rng.choice((0, 0, 1, 2, 4))):  # words dropped, put in or changed
+                at = rng.randrange(len(notice))
+                notice[at : at + rng.randrange(2)] = rng.choice(([], ["x"], ["y", "z"]))
+            words += notice + ["gap"] * rng.randrange(4)
+        rows.append((i, " ".join(words)))
+
+    def triples(text):
+        w = ALNUM.findall(text.translate(LOWER))
+        return [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+
+    known = [(label, triples(t), True) for label, t in licenses.PHRASES] + [(label, triples(t), False) for label, t in licenses.TEMPLATES]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        held, labels, best = triples(text), set(), 0.0
+        for label, template, base in known:
+            votes = defaultdict(set)
+            for d, gram in enumerate(held):
+                for at, other in enumerate(template):
+                    if gram == other:
+                        votes[d - at].add(at)
+            groups, last = [], None
+            for diagonal in sorted(votes):
+                if last is None or diagonal - last > licenses.SLACK:
+                    groups.append([])
+                groups[-1].append(votes[diagonal])
+                last = diagonal
+            for group in groups:
+                share = len(set.union(*group)) / len(template)
+                if any(len(v) == len(template) for v in group) if base else share >= licenses.COVERAGE:
+                    labels.add(label)
+                    best = max(best, share)
+        assert got[i]["labels"] == ",".join(sorted(labels)) and got[i]["score"] == pytest.approx(best, abs=1e-6)
