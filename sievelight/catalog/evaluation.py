@@ -102,6 +102,24 @@ def v01(t):
     return V.validate_samples(samples(t))
 
 
+BROKEN = {4: "missing_question", 5: "answerable_without_requirement", 6: "unanswerable_with_requirement", 7: "empty_alternative", 8: "empty_alternative", 9: "unknown_type", 10: "duplicate_requirement", 11: "dangling_evidence"}
+
+
+@query("v01_sample_rule_cases", f"""WITH s AS (SELECT c_custkey % 20 AS k, CASE WHEN c_custkey % 20 = 1 THEN '' ELSE 's' || (c_custkey - CASE WHEN c_custkey % 20 = 3 THEN 1 ELSE 0 END) END AS id FROM customer), c AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM s)
+SELECT id, 'missing_id' AS rule FROM c WHERE id = '' UNION ALL SELECT id, 'duplicate_id' FROM c WHERE n > 1 UNION ALL SELECT id, CASE k {" ".join(f"WHEN {k} THEN '{r}'" for k, r in BROKEN.items())} END FROM c WHERE k BETWEEN 4 AND 11""")
+def v01_cases(t):
+    """Customers as samples that break every rule in turn."""
+    k = F.col("c_custkey") % 20
+    name = F.when(k == 1, "").otherwise(F.concat(F.lit("s"), (F.col("c_custkey") - F.when(k == 3, 1).otherwise(0)).cast("string")))
+    atom = F.struct(F.lit("a").alias("id"), F.when(k == 9, "sound").otherwise("text").alias("type"))
+    none = F.array().cast("array<struct<id:string,type:string>>")
+    ways = F.when(k == 7, F.array().cast("array<array<struct<id:string,type:string>>>")).when(k == 8, F.array(F.array(atom), none)).otherwise(F.array(F.array(atom)))
+    one = F.struct(F.lit("r1").alias("id"), ways.alias("alternatives"))
+    requirements = F.when(k == 5, F.array().cast("array<struct<id:string,alternatives:array<array<struct<id:string,type:string>>>>>")).when(k == 10, F.array(one, one)).otherwise(F.array(one))
+    claims = F.array(F.struct(F.when(k == 11, F.array(F.lit("r9"))).otherwise(F.array().cast("array<string>")).alias("required_evidence_ids")))
+    return V.validate_samples(t.customer.select(name.alias("id"), F.when(k == 4, " ").otherwise("what?").alias("question"), (k != 6).alias("answerable"), requirements.alias("requirements"), claims.alias("claims")))
+
+
 @query("v02_explode_atoms", f"WITH {ATOMS} SELECT id, req, alt, atom, text FROM atoms")
 def v02(t):
     return V.explode_atoms(samples(t)).select("id", "req", "alt", "atom", "text")

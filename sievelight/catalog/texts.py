@@ -315,3 +315,11 @@ MIXED = {"煤电 A1 装机量": "a1,煤电,装机,机量", "Alpha beta alpha": "
 @query("t06_mixed_term_cases", f"SELECT c_custkey, {picked_sql('c_custkey', MIXED.values())} AS terms FROM customer")
 def t06_cases(t):
     return t.customer.select("c_custkey", F.array_join(T.mixed_terms(picked("c_custkey", MIXED)), ",").alias("terms"))
+
+
+CUT = {"煤电/风电": "煤电,风电", "可再生能源": "可再,再生,生能,能源", "a//b": "a,b", "风电": "风电"}
+
+
+@query("t07_fine_token_cases", f"SELECT c_custkey, {picked_sql('c_custkey', CUT.values())} AS parts FROM customer")
+def t07_cases(t):
+    return t.customer.select("c_custkey", F.array_join(T.fine_tokens(F.array(picked("c_custkey", CUT))), ",").alias("parts"))
