@@ -39,6 +39,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+#: Kept rows (two numbers each) up to which they are broadcast to the texts; more meet them by a shuffle.
+BROADCAST_KEPT = 500_000
+
+
 def keep_one(docs: DataFrame, roots: DataFrame) -> DataFrame:
     """One row of ``docs`` per component of its texts' keys ``roots(node, root)``; a key without a root is its own.
 
@@ -52,5 +56,11 @@ def keep_one(docs: DataFrame, roots: DataFrame) -> DataFrame:
     named = named.withColumn(root, F.coalesce(root, key)).withColumn(none, F.col("doc_id").isNull())
     first = named.groupBy(root).agg(F.min(F.struct(none, "doc_id", key)).alias(one))
     first = first.select(F.col(f"{one}.doc_id").alias(one), F.col(f"{one}.{key}").alias(copy))
-    kept = keyed.join(first, (F.col(key) == F.col(copy)) & F.col("doc_id").eqNullSafe(F.col(one)), "left_semi")
-    return kept.dropDuplicates(["doc_id", key]).drop(key)
+    first = materialize(first)
+    if first.limit(BROADCAST_KEPT + 1).count() <= BROADCAST_KEPT:
+        first = F.broadcast(first)
+    chosen = (F.col(key) == F.col(copy)) & F.col("doc_id").eqNullSafe(F.col(one))
+    kept = keyed.join(first, chosen, "left_semi")
+    # Texts are shuffled once more only where a row is there twice.
+    once = keyed.select("doc_id", key).join(first, chosen, "left_semi").groupBy("doc_id", key).count().filter("count > 1").isEmpty()
+    return (kept if once else kept.dropDuplicates(["doc_id", key])).drop(key)
