@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import anchors, bktree, cotraining, disclosure, licenses, line_quality, mixing, tiling, toxicity, url_model
+from sievelight.llm import anchors, bktree, cotraining, disclosure, licenses, line_quality, mixing, multi_index, runs, tiling, token_counts, toxicity, url_model
 from sievelight.llm.store import materialize
 from sievelight.sources.tables import deal
 
@@ -57,9 +57,21 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.detect(runs.plant(table(spark, sf_dir, "documents"))))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.mine(multi_index.noisy(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_licenses, op2_toxicity, op3_line_quality, op4_cotraining, op5_anchors, op6_tiling, op7_disclosure, op8_bktree, op9_url_model, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_licenses, op2_toxicity, op3_line_quality, op4_cotraining, op5_anchors, op6_tiling, op7_disclosure, op8_bktree, op9_url_model, op10_mix_sources, op11_runs, op12_token_counts, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_quality": line_quality.ORACLE, "op5_anchors": anchors.ORACLE}
+    return {"op3_line_quality": line_quality.ORACLE, "op5_anchors": anchors.ORACLE, "op13_hard_negatives": multi_index.ORACLE}
