@@ -92,7 +92,7 @@ class Cells:
     def count(self, found: list) -> None:
         """Take over (cell, rows, farthest members of both halves) and pack cells into buckets."""
         bucket, filled = 0, 0
-        for r in sorted(found):
+        for r in sorted(found, key=lambda r: r["cell"]):
             i, j = divmod(r["cell"], len(self.codes[1]))
             self.rows[r["cell"]] = r["n"]
             for radius, k, d in ((self.radii[0], i, r["d1"]), (self.radii[1], j, r["d2"])):
