@@ -76,17 +76,42 @@ def sessions(t):
     return t.customer.select(F.col("c_custkey").alias("session_id"), F.col("c_nationkey").alias("user_id"))
 
 
-@query("c01_recent_history", """WITH t AS (SELECT o_custkey AS session_id, o_orderkey AS turn, length('q' || o_orderkey) + length(repeat(o_orderpriority, (o_orderkey % 9)::INT)) AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS age FROM orders JOIN customer ON c_custkey = o_custkey),
-u AS (SELECT *, sum(size) OVER (PARTITION BY session_id ORDER BY age) AS used FROM t WHERE age <= 8) SELECT session_id, turn, age::INT AS age, CASE WHEN size > 120 THEN 120 ELSE size END AS chars FROM u WHERE used <= 120 OR age = 1""")
+MARKER = C.HISTORY_MARKER
+
+
+def cut_sql(text: str, limit: str) -> str:
+    """``text`` in at most ``limit`` characters, two thirds of its head and one of its tail around the marker."""
+    room = f"({limit} - {len(MARKER)})"
+    return f"CASE WHEN length({text}) <= {limit} THEN {text} WHEN {room} <= 0 THEN left({text}, {limit}) ELSE left({text}, {room} * 2 // 3) || e{MARKER!r} || right({text}, {room} - {room} * 2 // 3) END"
+
+
+#: Budgets of both sides, step by step: halves first, the rest to the question, what is left to the answer.
+FIT = """(SELECT *, CASE WHEN length(a) = 0 THEN b ELSE q1 + least(length(q) - q1, b - q1 - a1) END AS qb, CASE WHEN length(q) = 0 THEN b ELSE a1 + least(length(a) - a1, b - q1 - a1 - least(length(q) - q1, b - q1 - a1)) END AS ab
+ FROM (SELECT *, least(length(a), b - q1) AS a1 FROM (SELECT *, least(length(q), b // 2) AS q1 FROM {source})))"""
+
+
+@query("c01_recent_history", f"""WITH t AS (SELECT o_custkey AS session_id, c_nationkey AS user_id, o_orderkey AS turn, trim(CASE WHEN o_orderkey % 5 = 0 THEN ' ' ELSE 'q' || o_orderkey END) AS q, trim(repeat(o_orderpriority, (o_orderkey % 9)::INT)) AS a,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS age FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = o_custkey % 25 OR c_nationkey < 20),
+n AS (SELECT *, 90 AS b, length(q) + length(a) AS size FROM t WHERE age <= 8 AND length(q) + length(a) > 0),
+u AS (SELECT *, sum(size) OVER (PARTITION BY session_id ORDER BY age) AS used, row_number() OVER (PARTITION BY session_id ORDER BY age) AS nth FROM n),
+f AS (SELECT * FROM {FIT.format(source='u')} WHERE used <= 90 OR nth = 1),
+m AS (SELECT session_id, user_id, nth, unnest([0, 1]) AS side, unnest(['user', 'assistant']) AS role, unnest([CASE WHEN size > 90 THEN {cut_sql('q', 'qb')} ELSE q END, CASE WHEN size > 90 THEN {cut_sql('a', 'ab')} ELSE a END]) AS content FROM f)
+SELECT session_id, user_id, row_number() OVER (PARTITION BY session_id, user_id ORDER BY nth DESC, side)::INT AS pos, role, content FROM m WHERE content <> ''""")
 def c01(t):
-    h = C.recent_history(turns(t), sessions(t), 8, 120)
-    return h.select("session_id", "turn", "age", (F.length("question") + F.length("answer")).cast("long").alias("chars"))
+    """Every fifth question is blank; the requests name a wrong user for some sessions, which then have no history."""
+    said = turns(t).withColumn("question", F.when(F.col("turn") % 5 == 0, " ").otherwise(F.col("question")))
+    asked = sessions(t).select("session_id", F.when(F.col("user_id") < 20, F.col("user_id")).otherwise((F.col("session_id") % 25).cast("int")).alias("user_id"))
+    return C.recent_history(said, sessions(t), asked, 8, 90)
 
 
-@query("c02_fit_turn", "WITH x AS (SELECT item_id, length(text) AS n, length(text) * 2 AS m FROM benchmark) SELECT item_id, CASE WHEN n + m <= 200 OR n <= 100 THEN n WHEN m <= 100 THEN least(n, 200 - m) ELSE 100 END AS q_chars, CASE WHEN n + m <= 200 THEN m ELSE least(m, 200 - CASE WHEN n <= 100 THEN n ELSE 100 END) END AS a_chars FROM x")
+@query("c02_fit_turn", f"""WITH x AS (SELECT item_id, CASE WHEN item_id % 7 = 0 THEN '' WHEN item_id % 3 = 0 THEN left(text, 40) ELSE text END AS q, CASE WHEN item_id % 5 = 0 THEN '' WHEN item_id % 4 = 0 THEN left(text, 30) ELSE text || text END AS a, 200 AS b FROM benchmark WHERE text IS NOT NULL)
+SELECT item_id, {cut_sql('q', 'qb')} AS question, {cut_sql('a', 'ab')} AS answer FROM {FIT.format(source='x')}""")
 def c02(t):
-    q, a = C.fit_turn(F.col("text"), F.concat("text", "text"), 200)
-    return t.benchmark.select("item_id", F.length(q).cast("long").alias("q_chars"), F.length(a).cast("long").alias("a_chars"))
+    n = F.col("item_id")
+    question = F.when(n % 7 == 0, "").when(n % 3 == 0, F.left("text", F.lit(40))).otherwise(F.col("text"))
+    answer = F.when(n % 5 == 0, "").when(n % 4 == 0, F.left("text", F.lit(30))).otherwise(F.concat("text", "text"))
+    q, a = C.fit_turn(question, answer, 200)
+    return t.benchmark.filter("text is not null").select("item_id", q.alias("question"), a.alias("answer"))
 
 
 @query("c03_bounded_context", """WITH s AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS age FROM conversations WHERE role IN ('user', 'assistant')),

@@ -163,19 +163,33 @@ def e06(t):
     return E.source_notes(t.part.select(F.col("p_partkey").alias("table_id"), text.alias("semantic_text"), F.array("p_name", "p_brand").alias("rendered"))).select("table_id", F.array_join("notes", "|").alias("notes"))
 
 
-GOALS = retrieval.top_sql(20) + r""", terms AS (SELECT item_id // 4 AS q, item_id AS goal, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS gt FROM benchmark),
-found AS (SELECT DISTINCT query_id // 4 AS q, chunk_id FROM top), e AS (SELECT q, chunk_id AS ev, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS et FROM found JOIN documents ON doc_id = chunk_id),
-ro AS (SELECT q, goal, ev, row_number() OVER (PARTITION BY q, goal ORDER BY len(list_intersect(gt, et)) DESC, ev) AS round FROM terms JOIN e USING (q)), claim AS (SELECT q, ev, min((round, goal)) AS turn FROM ro GROUP BY ALL)
-SELECT q AS question_id, row_number() OVER (PARTITION BY q ORDER BY turn, ev)::INT - 1 AS pos, ev AS evidence_id FROM claim"""
-
-
-@query("e07_goal_round_robin", f"WITH {GOALS}")
+def terms_sql(text: str) -> str:
+    """Different words and CJK bigrams of ``text``."""
+    runs = rf"regexp_extract_all({text}, '[\x{{4e00}}-\x{{9fff}}]{{2,}}')"
+    return rf"list_distinct(list_concat(regexp_extract_all(lower({text}), '[a-z0-9_]+'), flatten(list_transform({runs}, lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2))))))"
+
+
+#: One turn after the other: turn n belongs to goal n modulo the number of goals and takes its best item outside ``taken``.
+GOALS = retrieval.top_sql(20) + rf""", goal AS (SELECT item_id // 4 AS q, row_number() OVER (PARTITION BY item_id // 4 ORDER BY item_id) - 1 AS g, {terms_sql("concat_ws(' ', text, 'source ' || item_id % 3)")} AS gt FROM benchmark WHERE item_id // 4 % 5 <> 4),
+found AS (SELECT query_id // 4 AS q, chunk_id, min(query_id) AS first FROM top GROUP BY ALL),
+e AS (SELECT q, chunk_id AS ev, {terms_sql("concat_ws(' ', text, source, b.trace)")} AS et FROM found JOIN documents ON doc_id = chunk_id JOIN (SELECT item_id, left(text, 30) AS trace FROM benchmark) b ON item_id = first),
+ro AS (SELECT q, g, ev, row_number() OVER (PARTITION BY q, g ORDER BY len(list_intersect(gt, et)) DESC, ev) AS round FROM goal JOIN e USING (q)),
+sizes AS (SELECT q, count(DISTINCT g) AS goals, count(DISTINCT ev) AS items FROM ro GROUP BY q),
+walk AS (SELECT q, 0::BIGINT AS turn, []::BIGINT[] AS taken FROM sizes
+ UNION ALL SELECT walk.q, turn + 1, list_append(taken, min_by(ev, round)) FROM walk JOIN sizes USING (q) JOIN ro ON ro.q = walk.q AND g = turn % goals AND NOT list_contains(taken, ev) WHERE turn < items GROUP BY walk.q, turn, taken),
+done AS (SELECT walk.q, taken FROM walk JOIN sizes ON sizes.q = walk.q AND turn = items)
+SELECT q AS question_id, unnest(range(0, len(taken)))::INT AS pos, unnest(taken) AS evidence_id FROM done
+UNION ALL SELECT q, (row_number() OVER (PARTITION BY q ORDER BY ev) - 1)::INT, ev FROM e WHERE q NOT IN (SELECT q FROM goal)"""
+
+
+@query("e07_goal_round_robin", f"WITH RECURSIVE {GOALS}")
 def e07(t):
-    """Four passages are the goals of a question; the evidence are the best hits of any of them."""
-    goals = t.benchmark.select(F.expr("item_id div 4").alias("question_id"), F.col("item_id").alias("goal_no"), "text")
-    found = R.top_per_query(retrieval.hits(t), 20).select(F.expr("query_id div 4").alias("question_id"), F.col("chunk_id").alias("doc_id")).distinct()
-    evidence = found.join(t.documents, "doc_id").select("question_id", F.col("doc_id").alias("evidence_id"), "text")
-    return E.goal_round_robin(goals, evidence)
+    """Four passages are the goals of a question, none of every fifth one; the evidence are the best hits of any of them."""
+    goals = t.benchmark.select(F.expr("item_id div 4").alias("question_id"), F.col("item_id").alias("goal_no"), "text", F.array(F.concat(F.lit("source "), (F.col("item_id") % 3).cast("string"))).alias("constraints"))
+    found = R.top_per_query(retrieval.hits(t), 20).groupBy(F.expr("query_id div 4").alias("question_id"), F.col("chunk_id").alias("doc_id")).agg(F.min("query_id").alias("item_id"))
+    trace = t.benchmark.select("item_id", F.array(F.left("text", F.lit(30))).alias("queries"))
+    evidence = found.join(t.documents, "doc_id").join(trace, "item_id").select("question_id", F.col("doc_id").alias("evidence_id"), F.col("doc_id").alias("ord"), "text", F.col("source").alias("source_name"), "queries")
+    return E.goal_round_robin(goals.filter("question_id % 5 <> 4"), evidence)
 
 
 @query("e08_budget_select", """WITH RECURSIVE r AS (SELECT o_custkey AS q, o_orderkey AS id, (o_orderkey % 97 + 1) AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),

@@ -62,9 +62,9 @@ def t05(t):
     return t.documents.select("doc_id", F.size(tokens).cast("long").alias("n"), F.array_join(tokens, " ").alias("tokens"))
 
 
-@query("t06_mixed_terms", r"SELECT doc_id, len(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) AS n_terms FROM documents")
+@query("t06_mixed_terms", r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'))), ' ') AS terms FROM documents")
 def t06(t):
-    return t.documents.select("doc_id", F.size(T.mixed_terms(F.col("text"))).cast("long").alias("n_terms"))
+    return t.documents.select("doc_id", F.array_join(F.array_sort(T.mixed_terms(F.col("text"))), " ").alias("terms"))
 
 
 @query("t07_fine_tokens", r"SELECT page_id, array_to_string(list_filter(string_split(url, '/'), lambda x: x <> ''), ' ') AS parts FROM pages")
@@ -309,7 +309,7 @@ def t18_cases(t):
 
 
 #: Mixed Chinese and Latin terms, and tokens with inner cuts.
-MIXED = {"煤电 A1 装机量": "a1,煤电,装机,机量", "Alpha beta alpha": "alpha,beta", "风": "风"}
+MIXED = {"煤电 A1 装机量": "a1,煤电,装机,机量", "Alpha beta alpha": "alpha,beta", "风": "", "x_1 风电 a-b": "x_1,a,b,风电"}
 
 
 @query("t06_mixed_term_cases", f"SELECT c_custkey, {picked_sql('c_custkey', MIXED.values())} AS terms FROM customer")

@@ -5,31 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelight.functions.text import truncate_middle
 
+# Fixed value: what stands where a message of the history is cut.
+HISTORY_MARKER = "\n...(历史消息已截断)...\n"
 
-def recent_history(turns: DataFrame, sessions: DataFrame, limit: int = 8, budget: int = 12_000) -> DataFrame:
-    """The newest turns of owned sessions, oldest first: ``turns(session_id, turn, question, answer)``.
 
-    At most ``limit`` turns whose texts fit the budget; the first older turn that
-    does not fit ends the history, an oversized newest turn is cut to it.
+def recent_history(turns: DataFrame, sessions: DataFrame, requests: DataFrame, limit: int = 8, budget: int = 12_000) -> DataFrame:
+    """(session_id, user_id, pos, role, content): the newest turns of ``requests(session_id, user_id)`` as messages, oldest first.
+
+    ``turns(session_id, turn, question, answer)`` of sessions that the user owns
+    in ``sessions(session_id, user_id)``.  Of the newest ``limit`` turns empty
+    ones are passed over; the first older turn that does not fit the budget ends
+    the history, an oversized newest turn is cut to it.
     """
-    owned = turns.join(sessions.select("session_id"), "session_id", "left_semi")
-    size = F.length(F.coalesce("question", F.lit(""))) + F.length(F.coalesce("answer", F.lit("")))
-    newest = Window.partitionBy("session_id").orderBy(F.desc("turn"))
-    ranked = owned.withColumn("age", F.row_number().over(newest)).filter(F.col("age") <= limit).withColumn("size", size)
+    owned = turns.join(sessions.select("session_id", "user_id").join(requests.distinct(), ["session_id", "user_id"]), "session_id")
+    bare = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)^\s+|\s+$", "")
+    newest = Window.partitionBy("session_id", "user_id").orderBy(F.desc("turn"))
+    ranked = owned.withColumn("age", F.row_number().over(newest)).filter(F.col("age") <= limit).withColumn("question", bare("question")).withColumn("answer", bare("answer"))
+    said = ranked.withColumn("size", F.length("question") + F.length("answer")).filter("size > 0")
     used = F.sum("size").over(newest.rowsBetween(Window.unboundedPreceding, 0))
-    fitting = ranked.withColumn("used", used).filter((F.col("used") <= budget) | (F.col("age") == 1))
-    q, a = fit_turn(F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit("")), budget)
-    return fitting.withColumn("question", q).withColumn("answer", a).drop("size", "used")
+    fitting = said.withColumn("used", used).withColumn("age", F.row_number().over(newest)).filter((F.col("used") <= budget) | (F.col("age") == 1))
+    q, a = fit_turn(F.col("question"), F.col("answer"), budget)
+    cut = F.col("size") > budget
+    roles = F.array(F.struct(F.lit("user").alias("role"), F.when(cut, q).otherwise(F.col("question")).alias("content")), F.struct(F.lit("assistant").alias("role"), F.when(cut, a).otherwise(F.col("answer")).alias("content")))
+    messages = fitting.select("session_id", "user_id", "age", F.posexplode(roles).alias("side", "m")).select("session_id", "user_id", "age", "side", "m.*").filter("content <> ''")
+    order = Window.partitionBy("session_id", "user_id").orderBy(F.desc("age"), "side")
+    return messages.withColumn("pos", F.row_number().over(order)).drop("age", "side")
 
 
 def fit_turn(question: Column, answer: Column, budget: int) -> tuple[Column, Column]:
-    """A turn over the budget shares it: the shorter part keeps what it needs up to a half."""
-    nq, na, half = F.length(question), F.length(answer), budget // 2
-    over = nq + na > budget
-    q = F.when(nq <= half, nq).when(na <= half, budget - na).otherwise(half)
-    cut = lambda c, n: F.concat(F.left(c, F.floor(n * 2 / 3).cast("int")), F.right(c, (n - F.floor(n * 2 / 3)).cast("int")))
-    return F.when(over & (nq > q), cut(question, q)).otherwise(question), F.when(over & (na > budget - q), cut(answer, budget - q)).otherwise(answer)
+    """Question and answer cut to a common budget: each has a half, and what one does not need goes to the other."""
+    nq, na = F.length(question), F.length(answer)
+    q = F.least(nq, F.lit(budget // 2))
+    a = F.least(na, budget - q)
+    more = F.least(nq - q, budget - q - a)
+    q = F.when(na == 0, budget).otherwise(q + more)
+    a = F.when(nq == 0, budget).otherwise(F.least(na, budget - F.least(nq, F.lit(budget // 2)) - more))
+    return truncate_middle(question, q, HISTORY_MARKER), truncate_middle(answer, a, HISTORY_MARKER)
 
 
 def bounded_context(messages: DataFrame, max_turns: int = 16, max_chars: int = 8000) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelight.functions.text import mixed_terms
@@ -52,17 +53,47 @@ def source_notes(tables: DataFrame) -> DataFrame:
     return tables.select("table_id", F.array_except(F.filter(F.transform(F.split("semantic_text", "\n"), lambda x: F.trim(x)), lambda x: x != ""), "rendered").alias("notes"))
 
 
+def _joined(df: DataFrame, *columns: str) -> Column:
+    """Text of the columns that ``df`` has, arrays included, parted by blanks."""
+    return F.concat_ws(" ", *[F.col(c) for c in columns if c in df.columns])
+
+
+def _claims(rows: pa.Table) -> pa.Table:
+    """Turns of one question: goal after goal takes its best item that none has taken."""
+    queues: dict[int, list] = {}
+    for goal, item in zip(rows["goal_no"].to_pylist(), rows["evidence_id"].to_pylist(), strict=True):
+        queues.setdefault(goal, []).append(item)
+    turns, taken = [iter(queues[goal]) for goal in sorted(queues)], {}
+    items = set(rows["evidence_id"].to_pylist())
+    while len(taken) < len(items):
+        for queue in turns:
+            if (item := next((x for x in queue if x not in taken), None)) is not None:
+                taken[item] = len(taken)
+    ids = pa.array(list(taken), rows["evidence_id"].type)
+    question = rows["question_id"].combine_chunks().take(pa.array([0] * len(taken), pa.int64()))
+    return pa.table({"question_id": question, "pos": pa.array(list(taken.values()), pa.int32()), "evidence_id": ids})
+
+
 def goal_round_robin(goals: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(question_id, pos, evidence_id): each goal ranks evidence by common terms; rounds over the goals claim each item once.
+    """(question_id, pos, evidence_id): in every round each goal takes its best item that no goal has taken yet.
 
-    ``goals(question_id, goal_no, text)``, ``evidence(question_id, evidence_id, text)``.
+    ``goals(question_id, goal_no, text[, constraints])`` rank
+    ``evidence(question_id, evidence_id, ord, text[, source_name, locator,
+    queries])`` by common terms of all these columns, ties by ``ord``.  Questions
+    without goals keep the order.  A turn depends on all earlier ones, so the
+    ranks of one question, its retrieved candidates, meet in one task.
     """
-    g = goals.select("question_id", "goal_no", mixed_terms(F.col("text")).alias("gt"))
-    e = evidence.select("question_id", "evidence_id", mixed_terms(F.col("text")).alias("et"))
-    ranked = g.join(e, "question_id").select("question_id", "goal_no", "evidence_id", F.size(F.array_intersect("gt", "et")).alias("overlap"))
-    ranked = ranked.withColumn("round", F.row_number().over(Window.partitionBy("question_id", "goal_no").orderBy(F.desc("overlap"), "evidence_id")))
-    claimed = ranked.groupBy("question_id", "evidence_id").agg(F.min(F.struct("round", "goal_no")).alias("turn"))
-    return claimed.select("question_id", (F.row_number().over(Window.partitionBy("question_id").orderBy("turn", "evidence_id")) - 1).alias("pos"), "evidence_id")
+    g = goals.select("question_id", "goal_no", mixed_terms(_joined(goals, "text", "constraints")).alias("gt"))
+    e = evidence.select("question_id", "evidence_id", "ord", mixed_terms(_joined(evidence, "text", "source_name", "locator", "queries")).alias("et"))
+    e = e.groupBy("question_id", "evidence_id").agg(F.min_by(F.struct("ord", "et"), "ord").alias("e")).select("question_id", "evidence_id", "e.*")
+    ranked = g.join(e, "question_id").select("question_id", "goal_no", "evidence_id", "ord", F.size(F.array_intersect("gt", "et")).alias("overlap"))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("question_id", "goal_no").orderBy(F.desc("overlap"), "ord", "evidence_id")))
+    types = {f.name: f.dataType.simpleString() for f in ranked.schema.fields}
+    schema = f"question_id {types['question_id']}, pos int, evidence_id {types['evidence_id']}"
+    claimed = ranked.select("question_id", "goal_no", "evidence_id", "rank").groupBy("question_id").applyInArrow(lambda t: _claims(t.sort_by([("goal_no", "ascending"), ("rank", "ascending")])), schema)
+    rest = e.join(goals.select("question_id").distinct(), "question_id", "left_anti")
+    kept = rest.select("question_id", (F.row_number().over(Window.partitionBy("question_id").orderBy("ord", "evidence_id")) - 1).alias("pos"), "evidence_id")
+    return claimed.unionByName(kept)
 
 
 def budget_select(ordered: DataFrame, budget: int) -> DataFrame:

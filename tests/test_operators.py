@@ -175,10 +175,22 @@ def test_budgets(spark):
     got = E.budget_select(rows, 10).first()
     assert got["chosen"] == ["e0", "e2", "e3"] and got["omitted"] == ["e1", "e4"]
     goals = spark.createDataFrame([(1, 0, "oil price"), (1, 1, "gas price")], "question_id int, goal_no int, text string")
-    evidence = spark.createDataFrame([(1, "e1", "oil price up"), (1, "e2", "gas price up"), (1, "e3", "weather")], "question_id int, evidence_id string, text string")
+    evidence = spark.createDataFrame([(1, "e1", 0, "oil price up"), (1, "e2", 1, "gas price up"), (1, "e3", 2, "weather")], "question_id int, evidence_id string, ord int, text string")
     assert [r["evidence_id"] for r in E.goal_round_robin(goals, evidence).orderBy("pos").collect()] == ["e1", "e2", "e3"]
 
 
+def test_goal_takes_its_best_free_item(spark):
+    """Orders ABCD and ACBD: the second goal's first choice is gone, so it takes C and not the item of its second turn."""
+    goals = spark.createDataFrame([(1, 0, "a b c d"), (1, 1, "a c x_1"), (2, 0, "none")], "question_id int, goal_no int, text string")
+    texts = {"A": "a b c d", "B": "b c d", "C": "a c d", "D": "d"}
+    rows = [(1, k, i, v) for i, (k, v) in enumerate(texts.items())] + [(2, "Z", 0, "q"), (3, "N", 1, "later"), (3, "M", 0, "first")]
+    evidence = spark.createDataFrame(rows, "question_id int, evidence_id string, ord int, text string")
+    got = {}
+    for r in E.goal_round_robin(goals, evidence).orderBy("question_id", "pos").collect():
+        got.setdefault(r["question_id"], []).append(r["evidence_id"])
+    assert got == {1: ["A", "C", "B", "D"], 2: ["Z"], 3: ["M", "N"]}
+
+
 def test_requirements_and_metrics(spark):
     atoms = spark.createDataFrame([(1, 0, 0, 0), (1, 0, 1, 0), (1, 0, 1, 1), (1, 1, 0, 0)], "id int, req int, alt int, atom int")
     matches = spark.createDataFrame([(1, 0, 1, 0, 4, 0.9), (1, 0, 1, 1, 2, 0.85), (1, 1, 0, 0, 1, 0.8), (1, 0, 0, 0, 3, 0.5)], "id int, req int, alt int, atom int, rank int, score double")
