@@ -32,8 +32,32 @@ from sievelight.llm.tokens import pieces
 
 FILE = "word_bpe_49k.json"
 LIMIT = 2048
-#: Counts of words that a task keeps, and the longest word (bytes) among them.
+#: Counts that a task keeps of each kind before older ones go, and the longest entry (bytes) among them.
 KEPT, KEPT_BYTES = 200_000, 64
+#: The cut of printable ASCII text after lower-casing, as the vocabulary file states it for all of Unicode.
+ASCII_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+ASCII_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+PRINTABLE = re.compile(rb"[\x21-\x7e]+")
+
+
+class Kept:
+    """Counts of the latest entries: the newest half and the half before it."""
+
+    def __init__(self):
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, count: int) -> None:
+        if len(key) <= KEPT_BYTES:
+            if len(self.new) >= KEPT:
+                self.old, self.new = self.new, {}
+            self.new[key] = count
 
 
 def default_path() -> str:
@@ -67,11 +91,21 @@ class PairMerger:
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self._merges[self._symbols[left], self._symbols[right]] = (rank, self._symbols[left + right])
-        self._special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
-        self._kept: dict[bytes, int] = {}
+        self._names = [t["content"] for t in spec["added_tokens"]]
+        self._special = re.compile("|".join(map(re.escape, self._names)) or r"(?!)")
+        cuts = [p.get("pattern", {}).get("Regex") for p in spec["pre_tokenizer"].get("pretokenizers", [])]
+        self._plain = cuts[:1] == [ASCII_PATTERN]
+        self._chunks, self._words = Kept(), Kept()
 
     def word(self, letters: str) -> int:
         """Tokens of one word, given as byte letters."""
+        found = self._words.get(letters)
+        if found is None:
+            found = self._merge(letters)
+            self._words.put(letters, found)
+        return found
+
+    def _merge(self, letters: str) -> int:
         names = [*letters[:-1], letters[-1] + self._suffix]
         symbols = [self._symbols[s] for s in names]
         n, merges = len(symbols), self._merges
@@ -98,15 +132,18 @@ class PairMerger:
 
     def chunk(self, chunk: bytes) -> int:
         """Tokens of a stretch of text without white space."""
-        found = self._kept.get(chunk)
+        found = self._chunks.get(chunk)
         if found is None:
             text = chunk.decode("utf-8", "replace")
-            parts = self._special.split(text)
-            found = len(parts) - 1 + sum(self.word(w) for part in parts if part for w, _ in self._cut(self._clean(part)))
-            if len(chunk) <= KEPT_BYTES:
-                if len(self._kept) >= KEPT:
-                    self._kept.clear()
-                self._kept[chunk] = found
+            parts = self._special.split(text) if any(s in text for s in self._names) else [text]
+            if self._plain and PRINTABLE.fullmatch(chunk):
+                cut = [w for part in parts for w in ASCII_WORDS.findall(part.lower())]
+            else:
+                cut = [w for part in parts if part for w, _ in self._cut(self._clean(part))]
+            found = len(parts) - 1
+            for w in cut:
+                found += self.word(w)
+            self._chunks.put(chunk, found)
         return found
 
     def texts(self, texts: list[bytes | None]) -> np.ndarray:
