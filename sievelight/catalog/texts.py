@@ -45,7 +45,10 @@ def t03(t):
 
 
 def _clean(c: str) -> str:
-    out = f"trim(regexp_replace({half(f'lower({c})')}, '{T.QUESTION_PUNCTUATION}', ' ', 'g'))"
+    return _drop(f"trim(regexp_replace({half(f'lower({c})')}, '{T.QUESTION_PUNCTUATION}', ' ', 'g'))")
+
+
+def _drop(out: str) -> str:
     for pattern, put in ((T.INTERROGATIVES, ""), (T.QUESTION_WORDS, " "), (T.FUNCTION_WORDS, " ")):
         out = "regexp_replace({}, '{}', '{}', 'g')".format(out, pattern.replace("'", "''"), put)
     return out

@@ -44,27 +44,43 @@ def measured_subject(text: Column, names: Column) -> Column:
     return F.regexp_replace(bare, SUBJECT_NOISE, "")
 
 
-def constraint_compatibility(pairs: DataFrame) -> DataFrame:
-    """``pairs(query, candidate)`` with a verdict per constraint and the numbers of conflicts and agreements.
+def constraint_facts(text: Column, asking: bool = False) -> Column:
+    """What one side states: time, status, locator, dimension, organisations, and pieces of what it measures; computed once per text."""
+    def stated(names: Column) -> Column:
+        subject = T.let(measured_subject(text, names), lambda s: F.when(F.length(s) >= 2, F.array_distinct(T.bigrams(s))).otherwise(F.array().cast("array<string>")))
+        return F.struct(
+            T.time_scopes(text).alias("time"),
+            T.fact_statuses(text, asking).alias("status"),
+            T.locators(text).alias("locator"),
+            T.measurement_dimensions(text).alias("dimension"),
+            names.alias("entity"),
+            subject.alias("subject"),
+            (F.lit(None).cast("string") if asking else T.normalize_text(text)).alias("whole"),
+        )
+
+    return T.let(F.transform(organizations(text), lambda n: T.normalize_text(n)), stated)
+
+
+VERDICTS = ("time", "status", "locator", "dimension", "entity", "subject")
+
+
+def compare_facts(pairs: DataFrame, asked: str = "asked", held: str = "held") -> DataFrame:
+    """Pairs of ``constraint_facts`` with a verdict per constraint and the numbers of conflicts and agreements.
 
     Unknown metadata is neutral.  Subjects are compared for queries with a
     measurement only, by any two characters in a row that the whole texts share;
     neither a missing subject nor a missing organisation is a conflict.
     """
-    q, c = F.col("query"), F.col("candidate")
-    named = lambda x: F.transform(organizations(x), lambda n: T.normalize_text(n))
-    q_side, c_side = "_q", "_c"
-    sides = pairs.withColumn(q_side, F.struct(T.time_scopes(q).alias("time"), T.fact_statuses(q, True).alias("status"), T.locators(q).alias("locator"), T.measurement_dimensions(q).alias("dimension"), named(q).alias("entity")))
-    sides = sides.withColumn(c_side, F.struct(T.time_scopes(c).alias("time"), T.fact_statuses(c).alias("status"), T.locators(c).alias("locator"), T.measurement_dimensions(c).alias("dimension"), named(c).alias("entity")))
-    out = sides.withColumn("time", _time(F.col("_q.time"), F.col("_c.time")))
-    for name in ("status", "locator", "dimension"):
-        out = out.withColumn(name, _verdict(F.col(f"_q.{name}"), F.col(f"_c.{name}")))
-    whole = T.normalize_text(c)
-    out = out.withColumn("entity", F.when(F.exists("_q.entity", lambda n: F.contains(whole, n)), "compatible").otherwise("unknown"))
-    asked = measured_subject(q, F.col("_q.entity"))
-    held = measured_subject(c, F.col("_c.entity"))
-    shared = F.size(F.array_intersect(T.bigrams(asked), T.bigrams(held))) > 0
-    out = out.withColumn("subject", F.when((F.size("_q.dimension") > 0) & (F.length(asked) >= 2) & (F.length(held) >= 2) & shared, "compatible").otherwise("unknown"))
-    names = ("time", "status", "locator", "dimension", "entity", "subject")
-    count = lambda v: sum((F.col(n) == v).cast("int") for n in names)
-    return out.withColumn("n_conflicts", count("conflict")).withColumn("n_compatible", count("compatible")).drop(q_side, c_side)
+    q, c = (lambda n: F.col(f"{asked}.{n}")), (lambda n: F.col(f"{held}.{n}"))
+    verdicts = {"time": _time(q("time"), c("time"))} | {n: _verdict(q(n), c(n)) for n in ("status", "locator", "dimension")}
+    verdicts["entity"] = F.when(F.exists(q("entity"), lambda n: F.contains(c("whole"), n)), "compatible").otherwise("unknown")
+    verdicts["subject"] = F.when((F.size(q("dimension")) > 0) & (F.size(F.array_intersect(q("subject"), c("subject"))) > 0), "compatible").otherwise("unknown")
+    out = pairs.withColumns(verdicts)
+    count = lambda v: sum((F.col(n) == v).cast("int") for n in VERDICTS)
+    return out.withColumn("n_conflicts", count("conflict")).withColumn("n_compatible", count("compatible"))
+
+
+def constraint_compatibility(pairs: DataFrame) -> DataFrame:
+    """``pairs(query, candidate)`` with the verdicts of ``compare_facts``."""
+    sides = pairs.withColumn("_q", constraint_facts(F.col("query"), asking=True)).withColumn("_c", constraint_facts(F.col("candidate")))
+    return compare_facts(sides, "_q", "_c").drop("_q", "_c")

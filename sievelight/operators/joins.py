@@ -9,9 +9,24 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def _local(df: DataFrame, rows: int) -> DataFrame | None:
+    """The rows of ``df`` as a local table where they are few: computed once, whatever reads them."""
+    found = df.limit(rows + 1).toArrow()
+    return df.sparkSession.createDataFrame(found, df.schema) if found.num_rows <= rows else None
+
+
 def small(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``side`` marked for broadcasting where a count shows that it is small."""
-    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
+    """``side`` for broadcasting where it turns out small, as it is where not."""
+    local = _local(side, rows)
+    return side if local is None else F.broadcast(local)
+
+
+def settled(df: DataFrame, cached: list, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` computed once for many readers: a local table where it is small, else kept in memory or on disk and put into ``cached``."""
+    local = _local(df, rows)
+    if local is None:
+        cached.append(df.persist())
+    return df if local is None else local
 
 
 def _grams(text: Column) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelight.operators.joins import small
 from sievelight.operators.terms import Index
 
 K1, B = 1.2, 0.75
@@ -29,35 +30,61 @@ def multi_index(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+#: Groups of a question whose matches can be told apart, 63 in each of the masks.
+MASK_BITS, MASKS = 63, 5
+
+
+def _matched(terms: DataFrame) -> DataFrame:
+    """Terms added up per query, with the number of their groups as bits; each term is its own group where there are none."""
+    if "grp" not in terms.columns:
+        return terms.select("query_id", "term", "boost", F.lit(1).cast("long").alias("_many"))
+    bit = [F.bit_or(F.when(F.floor(F.col("grp") / MASK_BITS) == i, F.expr(f"shiftleft(1L, cast(grp % {MASK_BITS} AS int))")).otherwise(F.lit(0).cast("long"))).alias(f"_m{i}") for i in range(MASKS)]
+    return terms.groupBy("query_id", "term").agg(F.sum("boost").alias("boost"), *bit)
+
+
 def bm25(terms: DataFrame, fields: dict[str, tuple[Index, float]] | Index) -> DataFrame:
-    """(query_id, chunk_id, score, n_terms) of ``terms(query_id, term, boost)``; over several token fields (index, boost) the best field counts."""
+    """(query_id, chunk_id, score, n_terms) of ``terms(query_id, term, boost[, grp])``; over several token fields (index, boost) the best field counts.
+
+    ``n_terms`` counts the different terms held, or the groups ``grp`` (below
+    MASK_BITS * MASKS) of which a term is held.  Terms are broadcast after a
+    count; the postings then stay where they are until the scores are made.
+    """
+    asked = _matched(terms)
+    masks = [c for c in asked.columns if c.startswith("_m") and c != "_many"]
     found = []
     for index, weight in [(fields, 1.0)] if isinstance(fields, Index) else fields.values():
         df = index.stats().select("term", "df")
-        scored = index.posts.join(df, "term").join(F.broadcast(index.size))  # one row of corpus figures
+        corpus = F.broadcast(index.size)  # one row of corpus figures
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-        scored = scored.select("chunk_id", "term", part.alias("part"))
-        hit = terms.join(scored, "term").groupBy("query_id", "chunk_id").agg((weight * F.sum(F.col("boost") * F.col("part"))).alias("score"), F.count("*").alias("n_terms"))
-        found.append(hit)
-    if len(found) == 1:
-        return found[0]
-    return reduce(DataFrame.unionByName, found).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.max("n_terms").alias("n_terms"))
+        rated = small(asked.join(df, "term").join(corpus).select("query_id", "term", "avgdl", (F.col("boost") * idf * (K1 + 1)).alias("part"), *(masks or ["_many"])))
+        part = F.col("part") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
+        held = [F.bit_or(m).alias(m) for m in masks] or [F.count("*").alias("_many")]
+        found.append(index.posts.join(rated, "term").groupBy("query_id", "chunk_id").agg((weight * F.sum(part)).alias("score"), *held))
+    if len(found) > 1:
+        held = [F.bit_or(m).alias(m) for m in masks] or [F.max("_many").alias("_many")]
+        found = [reduce(DataFrame.unionByName, found).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), *held)]
+    n = sum((F.bit_count(m) for m in masks[1:]), F.bit_count(masks[0])).cast("long") if masks else F.col("_many")
+    return found[0].select("query_id", "chunk_id", "score", n.alias("n_terms"))
 
 
 def binary_idf_score(terms: DataFrame, index: Index, boost: float = 1.0) -> DataFrame:
     """(query_id, chunk_id, score): normalised idf of the terms held, whatever their frequency."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) / F.log(1 + (F.col("n") - 0.5) / 1.5)
-    scored = index.posts.join(index.stats(), "term").join(F.broadcast(index.size)).select("chunk_id", "term", (boost * idf).alias("part"))  # one row of corpus figures
-    return terms.join(scored, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+    corpus = F.broadcast(index.size)  # one row of corpus figures
+    rated = small(terms.join(index.stats(), "term").join(corpus).select("query_id", "term", (boost * idf).alias("part")))
+    return index.posts.join(rated, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
 
 
 def min_should_match(hits: DataFrame, terms: DataFrame, ratio: float = 0.3, relaxed: float = 0.1) -> DataFrame:
-    """``hits(…, n_terms)`` that hold floor(ratio n) of their query's n terms; queries left without hits get the relaxed ratio."""
-    asked = terms.groupBy("query_id").agg(F.countDistinct("term").alias("asked"))
-    sized = hits.join(asked, "query_id")
+    """``hits(…, n_terms)`` that hold floor(ratio n) of their query's n terms (groups where ``terms`` has ``grp``).
+
+    Queries left without hits get the relaxed ratio; queries that ``terms`` lacks
+    keep all hits.
+    """
+    asked = terms.groupBy("query_id").agg(F.countDistinct("grp" if "grp" in terms.columns else "term").alias("asked"))
+    sized = hits.join(small(asked), "query_id", "left").withColumn("asked", F.coalesce("asked", F.lit(0)))
     strict = sized.filter(F.col("n_terms") >= F.floor(ratio * F.col("asked")))
-    loose = sized.join(strict.select("query_id").distinct(), "query_id", "left_anti").filter(F.col("n_terms") >= F.floor(relaxed * F.col("asked")))
+    loose = sized.join(small(strict.select("query_id").distinct()), "query_id", "left_anti").filter(F.col("n_terms") >= F.floor(relaxed * F.col("asked")))
     return strict.unionByName(loose).drop("asked")
 
 
@@ -102,7 +129,7 @@ def top_per_query(hits: DataFrame, n: int = 100, keys: tuple = ("query_id",)) ->
 
 def branch_weights(queries: DataFrame, vector_weight: float = 0.6) -> DataFrame:
     """(query_id, branch, family, weight): vector, original and expanded keywords; the expansion takes half of the keywords' weight where it differs."""
-    squeezed = lambda c: F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"\s+", "")
+    squeezed = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"\s+", " "))
     same = F.col("expanded").isNull() | (squeezed("text") == squeezed("expanded"))
     rows = F.array(
         F.struct(F.lit("vector_original").alias("branch"), F.lit("vector").alias("family"), F.lit(vector_weight).alias("weight")),
@@ -181,14 +208,19 @@ def rerank_text(chunks: DataFrame) -> DataFrame:
 def final_rank(candidates: DataFrame, weight: float = 0.7, k: int = 10, page_size: int = 5, offset: int = 0) -> DataFrame:
     """Second fusion of the semantic and the recall order; conflicts first, then fused, semantic, recall score and id; one page.
 
-    ``candidates(query_id, chunk_id, score, semantic, conflicts)``.
+    ``candidates(query_id, chunk_id, rank, score, semantic, conflicts[,
+    identity])``, with ``rank`` in the order of the first fusion.  Pages count
+    identities where given, so the rows of one table take one place.
     """
     w = Window.partitionBy("query_id")
-    ranked = candidates.withColumn("semantic_rank", F.row_number().over(w.orderBy(F.desc_nulls_last("semantic"), "chunk_id"))).withColumn("recall_rank", F.row_number().over(w.orderBy(F.desc(F.round("score", 12)), "chunk_id")))
-    fused = F.lit(weight) / (k + F.col("semantic_rank")) + F.lit(1 - weight) / (k + F.col("recall_rank"))
-    ranked = ranked.withColumn("fused", fused)
-    order = w.orderBy("conflicts", F.desc(F.round("fused", 12)), F.desc_nulls_last("semantic"), F.desc(F.round("score", 12)), "chunk_id")
-    return ranked.withColumn("final_rank", F.row_number().over(order)).filter((F.col("final_rank") > offset) & (F.col("final_rank") <= offset + page_size))
+    recall = F.desc(F.round("score", 12))
+    ranked = candidates.withColumn("semantic_rank", F.row_number().over(w.orderBy(F.desc_nulls_last("semantic"), recall, "chunk_id"))).withColumn("recall_rank", F.row_number().over(w.orderBy("rank")))
+    ranked = ranked.withColumn("fused", F.lit(weight) / (k + F.col("semantic_rank")) + F.lit(1 - weight) / (k + F.col("recall_rank")))
+    order = w.orderBy("conflicts", F.desc(F.round("fused", 12)), F.desc_nulls_last("semantic"), recall, "chunk_id")
+    ranked = ranked.withColumn("final_rank", F.row_number().over(order))
+    if "identity" in ranked.columns:
+        return limit_identities(ranked.withColumn("rank", F.col("final_rank")), page_size, offset)
+    return ranked.filter((F.col("final_rank") > offset) & (F.col("final_rank") <= offset + page_size))
 
 
 def doc_aggs(result: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelight.functions.text import clean_question, drop_question_words, fine_tokens, tokenize
 from sievelight.operators.joins import small
 
 
@@ -15,29 +16,59 @@ def postings(chunks: DataFrame, key: str = "chunk_id", tokens: str = "tokens") -
     return chunks.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+#: Term of the one posting that every chunk has; its length is the chunk's.
+HEADER = ""
+
+
 @dataclass(frozen=True)
 class Index:
-    """Postings (chunk_id, term, tf, length) that several plans share, and the corpus figures n and avgdl (one row)."""
+    """Postings that several plans share: (chunk_id, term, tf, length), with one HEADER row per chunk.
+
+    They stay dealt by chunk, so whatever joins a broadcast side and groups by
+    chunk needs no further shuffle.  Kept in memory or on disk until
+    ``unpersist``.
+    """
 
-    posts: DataFrame
-    size: DataFrame
+    rows: DataFrame
+
+    @property
+    def posts(self) -> DataFrame:
+        return self.rows.filter(F.col("term") != HEADER)
+
+    @property
+    def size(self) -> DataFrame:
+        """One row: chunks and their mean length."""
+        return self.rows.filter(F.col("term") == HEADER).agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
 
     def stats(self) -> DataFrame:
         """(term, freq, df): occurrences, and chunks that hold the term."""
         return self.posts.groupBy("term").agg(F.sum("tf").alias("freq"), F.count("*").alias("df"))
 
     def unpersist(self) -> None:
-        self.posts.unpersist()
-        self.size.unpersist()
+        self.rows.unpersist()
+
+
+def with_pairs(tokens: Column) -> Column:
+    """Tokens and their neighbouring pairs, joined by a blank."""
+    n = F.size(tokens)
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get(tokens, i), F.get(tokens, i + 1)))
+    return F.when(n > 1, F.concat(tokens, pairs)).otherwise(tokens)
 
 
-def build_index(chunks: DataFrame, only: DataFrame | None = None, tokens: str = "tokens") -> Index:
-    """Postings of ``chunks(chunk_id, tokens)``, of the terms ``only(term)`` where given, tokenised once and kept in memory or on disk."""
-    exploded = chunks.select("chunk_id", F.size(tokens).alias("length"), F.explode(tokens).alias("term"))
+def build_index(chunks: DataFrame, only: DataFrame | None = None, tokens: str = "tokens", pairs: bool = False) -> Index:
+    """Postings of ``chunks(chunk_id, tokens)``, of the terms ``only(term)`` where given, with neighbouring pairs where asked for.
+
+    Tokens travel once, by chunk; terms are counted where they then are.
+    """
+    spark = chunks.sparkSession
+    dealt = chunks.select("chunk_id", F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("t")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
+    terms = F.concat(F.array(F.lit(HEADER)), with_pairs(F.col("t")) if pairs else F.col("t"))
+    exploded = dealt.select("chunk_id", F.size("t").alias("length"), F.explode(terms).alias("term"))
     if only is not None:
-        exploded = exploded.join(only.select("term").distinct(), "term")
-    posts = exploded.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    return Index(posts.persist(), chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("avgdl")).persist())
+        known = only.select("term").filter(F.col("term") != HEADER).distinct()
+        exploded = exploded.join(small(known.unionByName(spark.createDataFrame([(HEADER,)], "term string"))), "term")
+    rows = exploded.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    return Index(rows.persist())
 
 
 def term_stats(chunks: DataFrame) -> DataFrame:
@@ -58,11 +89,12 @@ def raw_weight(term: Column, freq: Column, df: Column) -> Column:
     return (0.3 * _idf(f, 1e7) + 0.7 * _idf(d, 1e9)) * kind
 
 
-def term_weights(tokens: DataFrame, stats: DataFrame, key: str = "query_id") -> DataFrame:
-    """``tokens(key, pos, term)`` with ``weight``; a key's weights add up to 1."""
+def term_weights(tokens: DataFrame, stats: DataFrame, key: str = "query_id", part: Column | None = None) -> DataFrame:
+    """``tokens(key, pos, term, …)`` with ``weight``; the weights of a key, or of each ``part`` of it, add up to 1."""
     joined = tokens.join(stats, "term", "left")
     weighed = joined.withColumn("raw", raw_weight(F.col("term"), F.col("freq"), F.col("df")))
-    return weighed.withColumn("weight", F.col("raw") / F.sum("raw").over(Window.partitionBy(key))).select(key, "pos", "term", "weight")
+    share = Window.partitionBy(key) if part is None else Window.partitionBy(key, part)
+    return weighed.withColumn("weight", F.col("raw") / F.sum("raw").over(share)).select(*tokens.columns, "weight")
 
 
 def expand_synonyms(weights: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -77,13 +109,78 @@ def phrase_terms(weights: DataFrame) -> DataFrame:
     return pairs.select("query_id", F.concat_ws(" ", "term", "next").alias("term"), (2 * F.greatest("weight", "next_weight")).alias("boost"))
 
 
-def query_terms(weights: DataFrame, synonyms: DataFrame, groups: int = 256) -> DataFrame:
-    """(query_id, term, is_phrase, boost): single terms, their synonyms and neighbouring pairs of the first ``groups`` terms."""
-    first = weights.filter(F.col("pos") < groups)
-    single = first.select("query_id", "term", F.lit(False).alias("is_phrase"), F.col("weight").alias("boost"))
-    other = expand_synonyms(first, synonyms).select("query_id", "term", F.lit(False).alias("is_phrase"), "boost")
-    pairs = phrase_terms(first).select("query_id", "term", F.lit(True).alias("is_phrase"), "boost")
-    return single.unionByName(other).unionByName(pairs).groupBy("query_id", "term", "is_phrase").agg(F.max("boost").alias("boost"))
+#: Groups of a question that count, and keywords of it after which no token is taken.
+MAX_GROUPS, MAX_KEYWORDS = 256, 32
+
+
+def question_tokens(queries: DataFrame) -> DataFrame:
+    """(query_id, latin, grp, name, pos, term): the tokens of ``queries(query_id, text)`` in groups.
+
+    A question of more than three words, fewer than 70 % of them other than plain
+    Latin, is Latin: each token is a group.  Other questions are cut at blanks;
+    neighbouring words that end in Latin letters are one group, of the first
+    ``MAX_GROUPS`` groups each has its tokens.
+    """
+    cleaned = queries.select("query_id", F.split(clean_question(F.col("text")), "[ \t]+").alias("words"))
+    other = F.size(F.filter("words", lambda w: ~w.rlike("^[a-zA-Z]+$")))
+    shaped = cleaned.select("query_id", ((F.size("words") > 3) & (other / F.size("words") < 0.7)).alias("latin"), drop_question_words(F.array_join("words", " ")).alias("c"))
+    pieces = F.when(F.col("latin"), tokenize(F.col("c"))).otherwise(F.filter(F.split("c", "[ \t]+"), lambda p: p != ""))
+    cut = shaped.select("query_id", "latin", F.posexplode(pieces).alias("at", "piece"))
+    order = Window.partitionBy("query_id").orderBy("at")
+    joins = ~F.col("latin") & F.col("piece").rlike("[a-zA-Z]$") & F.coalesce(F.lag("piece").over(order).rlike("[a-zA-Z]$"), F.lit(False))
+    grouped = cut.withColumn("new", (~joins).cast("int")).withColumn("grp", (F.sum("new").over(order) - 1).cast("int")).filter(F.col("latin") | (F.col("grp") < MAX_GROUPS))
+    grouped = grouped.withColumn("name", F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece")).over(Window.partitionBy("query_id", "grp"))), lambda x: x["piece"]), " "))
+    tokens = F.when(F.col("latin"), F.array("piece")).otherwise(tokenize(F.col("piece")))
+    spread = grouped.select("query_id", "latin", "grp", "name", "at", F.posexplode(tokens).alias("i", "term"))
+    return spread.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "i")) - 1).select("query_id", "latin", "grp", "name", "pos", "term")
+
+
+def question_weights(tokens: DataFrame, stats: DataFrame) -> DataFrame:
+    """``question_tokens`` with their ``weight``: a share of the question where it is Latin, of the group elsewhere."""
+    return term_weights(tokens, stats, part=F.when(F.col("latin"), -1).otherwise(F.col("grp")))
+
+
+def query_terms(weights: DataFrame, synonyms: DataFrame, max_keywords: int | None = MAX_KEYWORDS) -> DataFrame:
+    """(query_id, latin, grp, kind, term, boost) of ``question_weights``: what a question is searched by; ``synonyms(term, synonym)``.
+
+    Latin questions: every token but single characters with its weight, its
+    synonyms with a quarter, neighbouring tokens as a phrase with twice the larger
+    weight.
+
+    Other questions, per group: the heaviest tokens until group names, tokens,
+    their finer tokens and synonyms make up ``max_keywords`` keywords of the
+    question; a token's finer tokens with half of its weight, as neighbours with
+    the whole, its synonyms with a fifth; phrases of neighbouring tokens of the
+    group with 1.5.  A group with synonyms of its own counts five times, these
+    count 0.7.
+    """
+    no_words, empty = F.array().cast("array<string>"), F.array().cast("array<struct<kind:string,term:string,boost:double>>")
+    named = synonyms.filter("synonym is not null").groupBy("term").agg(F.array_sort(F.collect_set("synonym")).alias("own"))
+    named = small(named)
+    rows = weights.join(named, "term", "left").join(named.select(F.col("term").alias("name"), F.col("own").alias("group_own")), "name", "left")
+    rows = rows.withColumns({"own": F.coalesce("own", no_words), "group_own": F.coalesce("group_own", no_words)})
+    # Latin: single characters are no terms, and the words beside them are neighbours.
+    rows = rows.filter(~F.col("latin") | ~F.col("term").rlike("^[a-z0-9]$")).withColumn("part", F.when(F.col("latin"), -1).otherwise(F.col("grp")))
+    fine = F.when(~F.col("latin") & (F.length("term") >= 3) & ~F.col("term").rlike(r"^[0-9a-z.+#_*-]+$"), F.filter(fine_tokens(F.array("term")), lambda x: F.length(x) > 1)).otherwise(no_words)
+    inside, by_weight = Window.partitionBy("query_id", "part"), [F.desc(F.round("weight", 9)), F.col("pos")]
+    rows = rows.withColumn("fine", fine).withColumns({"next": F.lead("term").over(inside.orderBy("pos")), "next_weight": F.lead("weight").over(inside.orderBy("pos")), "first": F.row_number().over(inside.orderBy(*by_weight)) == 1, "n": F.count("*").over(inside)})
+    cost = 1 + F.size("fine") + F.size("own") + F.when(F.col("first"), 1 + F.size("group_own")).otherwise(0)
+    rows = rows.withColumn("cost", cost).withColumn("used", F.sum("cost").over(Window.partitionBy("query_id").orderBy("grp", *by_weight)))
+    kept = F.col("latin") | (F.lit(True) if max_keywords is None else F.col("used") < max_keywords)
+    times = F.when(~F.col("latin") & (F.size("group_own") > 0), 5.0).otherwise(1.0)
+    rows = rows.withColumns({"kept": kept, "times": times, "b": times * F.col("weight")})
+    row = lambda kind, term, boost: F.struct(F.lit(kind).alias("kind"), term.alias("term"), boost.alias("boost"))
+    each = lambda kind, terms, boost: F.transform(terms, lambda x: row(kind, x, boost))
+    phrase = row("phrase", F.concat_ws(" ", "term", "next"), F.when(F.col("latin"), 2 * F.greatest("weight", "next_weight")).otherwise(1.5 * F.col("times")))
+    neighbours = F.filter(with_pairs(F.col("fine")), lambda x: F.contains(x, F.lit(" ")))
+    found = F.concat(
+        F.when(F.col("kept"), F.concat(F.array(row("token", F.col("term"), F.col("b"))), each("synonym", F.col("own"), F.col("b") / F.when(F.col("latin"), 4).otherwise(5)))).otherwise(empty),
+        F.when(F.col("kept") & (F.size("fine") > 1), F.concat(each("fine", F.col("fine"), F.col("b") / 2), each("fine", neighbours, F.col("b")))).otherwise(empty),
+        F.when(F.col("next").isNotNull(), F.array(phrase)).otherwise(empty),
+        # A group's own synonyms need a group that is searched: one with a token left, or with a phrase.
+        F.when(~F.col("latin") & F.col("first") & (F.col("kept") | (F.col("n") > 1)), each("group_synonym", F.col("group_own"), F.lit(0.7))).otherwise(empty),
+    )
+    return rows.select("query_id", "latin", "grp", F.explode(found).alias("x")).groupBy("query_id", "latin", "grp", "x.kind", "x.term").agg(F.sum("x.boost").alias("boost"))
 
 
 def paragraph_weights(posts: DataFrame, stats: DataFrame, key: str = "chunk_id") -> DataFrame:

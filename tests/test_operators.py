@@ -144,8 +144,8 @@ def test_limit_identities_stops_at_the_last_new_one(spark):
 
 
 def test_conflicts_rank_last(spark):
-    rows = [("q", "a", 0.9, 0.9, 1), ("q", "b", 0.1, 0.2, 0), ("q", "c", 0.2, None, 0)]
-    got = R.final_rank(spark.createDataFrame(rows, "query_id string, chunk_id string, score double, semantic double, conflicts int")).orderBy("final_rank").collect()
+    rows = [("q", "a", 1, 0.9, 0.9, 1), ("q", "b", 3, 0.1, 0.2, 0), ("q", "c", 2, 0.2, None, 0)]
+    got = R.final_rank(spark.createDataFrame(rows, "query_id string, chunk_id string, rank int, score double, semantic double, conflicts int")).orderBy("final_rank").collect()
     assert [r["chunk_id"] for r in got] == ["b", "c", "a"]
 
 
@@ -163,6 +163,34 @@ def test_knn_blocks_agree_with_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, R.knn(q, v, 7).collect())) == small
 
 
+def test_hybrid_search_uses_every_part(spark):
+    """Filters, expansion, relaxation, identities and conflicts each change the page."""
+    texts = {
+        1: "solar output report for the plant", 2: "solar output report for the plant", 3: "photovoltaic yield", 4: "solar output report for the plant", 5: "wind turbine manual",
+        6: "solar output report for the plant", 7: "hidden solar output report for the plant",
+    }
+    years = {1: "2023年", 2: "2022年", 3: "2022年", 4: "2021年", 5: "2022年", 6: "2021年", 7: "2022年"}
+    rows = [(i, i, "kb2" if i == 5 else "kb1", 0 if i == 7 else 1, f"doc {years[i]}", v, "t" if i in (4, 6) else None) for i, v in texts.items()]
+    chunks = spark.createDataFrame(rows, "chunk_id long, doc_id long, kb_id string, available_int int, document_name string, content string, identity string").withColumn("tokens", T.tokenize(F.col("content")))
+    q = spark.createDataFrame([(1, "solar output report plant overview 2022年"), (2, "wind turbine manual reader guide 2022年"), (3, "plant 光伏 风电 煤电 核电 水电 储能 碳价")], "query_id long, text string").withColumn("qvec", F.lit(None).cast("array<float>"))
+    page = lambda options, **more: {(r["query_id"], r["chunk_id"]): r for r in hybrid.search(q, chunks, None, options, **more).collect()}
+    plain = page(hybrid.Options(available=1))
+    assert (1, 7) not in plain and (1, 7) in page(hybrid.Options())
+    # The chunk of the year asked for comes first although all have the same words, those of other years conflict.
+    assert plain[1, 2]["final_rank"] == 1 and plain[1, 2]["conflicts"] == 0 and plain[1, 1]["conflicts"] == 1
+    assert (2, 5) in plain and (2, 5) not in page(hybrid.Options(available=1, kb_ids=("kb1",)))
+    # Eight groups ask for two matches; none has them, so one is enough.
+    assert (3, 1) in plain and (3, 1) not in page(hybrid.Options(available=1, relaxed_match=0.3))
+    assert (1, 3) not in plain
+    aliases = spark.createDataFrame([("solar", "photovoltaic", 1, None)], "canonical string, alias string, ord int, narrower string")
+    wider = page(hybrid.Options(available=1), aliases=aliases)
+    assert set(wider[1, 3]["branch_scores"]) == {"keyword_expanded"}
+    # Two rows of one table take one place of a page.
+    assert {c for i, c in page(hybrid.Options(available=1, page_size=3)) if i == 1} == {1, 2, 4, 6}
+    second = page(hybrid.Options(available=1, page_size=1, page=2))
+    assert {c for i, c in second if i == 1} == {1}
+
+
 def test_hybrid_options_are_checked():
     with pytest.raises(ValueError):
         hybrid.Options(vector_weight=2)
