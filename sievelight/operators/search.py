@@ -88,6 +88,15 @@ def min_should_match(hits: DataFrame, terms: DataFrame, ratio: float = 0.3, rela
     return strict.unionByName(loose).drop("asked")
 
 
+def top_matching(hits: DataFrame, terms: DataFrame, n: int, ratio: float = 0.3, relaxed: float = 0.1) -> DataFrame:
+    """The ``n`` best of ``min_should_match`` per query, in one pass over the hits: both shares keep their best, queries with strict hits drop the others."""
+    asked = terms.groupBy("query_id").agg(F.countDistinct("grp" if "grp" in terms.columns else "term").alias("asked"))
+    sized = hits.join(small(asked), "query_id", "left").withColumn("asked", F.coalesce("asked", F.lit(0)))
+    sized = sized.filter(F.col("n_terms") >= F.floor(relaxed * F.col("asked"))).withColumn("strict", F.col("n_terms") >= F.floor(ratio * F.col("asked")))
+    best = top_per_query(sized, n, ("query_id", "strict"))
+    return best.withColumn("any", F.max("strict").over(Window.partitionBy("query_id"))).filter("strict = any").drop("any", "strict", "asked")
+
+
 def cosine(a: Column, b: Column) -> Column:
     def dot(x, y):
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -67,8 +67,7 @@ def keyword_hits(texts: DataFrame, chunks: DataFrame, synonyms: DataFrame, optio
     weights = settled(W.question_weights(tokens, main.stats()), cached)
     terms = settled(W.query_terms(weights, synonyms), cached)
     scored = R.bm25(terms, {name: (index, options.fields[name]) for name, index in indexes.items()})
-    hits = R.min_should_match(scored, terms.filter("not latin"), options.min_match, options.relaxed_match)
-    return R.top_per_query(hits, options.branch_top), weights, main
+    return R.top_matching(scored, terms.filter("not latin"), options.branch_top, options.min_match, options.relaxed_match), weights, main
 
 
 def search(
