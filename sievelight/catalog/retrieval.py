@@ -367,8 +367,8 @@ def r10(t):
 
 
 @query("r11_limit_identities", f"""WITH {RANKINGS}, i AS (SELECT query_id, chunk_id, rank, chunk_id % 7 AS identity FROM ranked), s AS (SELECT *, min(rank) OVER (PARTITION BY query_id, identity) AS fr FROM i),
-n AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY fr) AS number FROM s), c AS (SELECT *, max(CASE WHEN number <= 5 THEN fr END) OVER (PARTITION BY query_id) AS cut FROM n)
-SELECT query_id, chunk_id, rank::INT AS rank FROM c WHERE rank <= cut AND number > 2""")
+n AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY fr) AS number FROM s), c AS (SELECT *, max(CASE WHEN number = 5 THEN fr END) OVER (PARTITION BY query_id) AS cut FROM n)
+SELECT query_id, chunk_id, rank::INT AS rank FROM c WHERE (cut IS NULL OR rank <= cut) AND number > 2""")
 def r11(t):
     ranked = R.rrf(rankings(t), even_weights(t)).withColumn("identity", F.col("chunk_id") % 7)
     return R.limit_identities(ranked, 3, 2).select("query_id", "chunk_id", "rank")
@@ -531,7 +531,7 @@ fz AS (SELECT query_id, chunk_id, sum(CASE WHEN branch LIKE 'vec%' THEN CASE WHE
  FROM lists l JOIN live USING (query_id) GROUP BY query_id, chunk_id),
 ranked AS (SELECT fz.*, identity, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, best_rank, fz.chunk_id) AS rank FROM fz JOIN ck ON ck.chunk_id = fz.chunk_id),
 i1 AS (SELECT *, min(rank) OVER (PARTITION BY query_id, identity) AS fr FROM ranked), i2 AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY fr) AS number FROM i1),
-cut AS (SELECT *, max(CASE WHEN number <= 20 THEN fr END) OVER (PARTITION BY query_id) AS last FROM i2 QUALIFY rank <= last),
+cut AS (SELECT *, max(CASE WHEN number = 20 THEN fr END) OVER (PARTITION BY query_id) AS last FROM i2 QUALIFY last IS NULL OR rank <= last),
 own AS (SELECT query_id // 2 AS query_id, term, sum(weight) AS weight FROM gw WHERE query_id % 2 = 0 GROUP BY ALL),
 sim AS (SELECT o.query_id, p.chunk_id, round(sum(weight) / any_value(total), 9) AS semantic FROM own o JOIN p_tokens p USING (term) JOIN (SELECT query_id, sum(weight) AS total FROM own GROUP BY 1) USING (query_id) GROUP BY o.query_id, p.chunk_id),
 fq AS (SELECT * FROM {facts_sql('text', 'qs', 'query_id')}), fc AS (SELECT * FROM {facts_sql("concat_ws(chr(10), title, text)", '(SELECT * FROM ck WHERE chunk_id IN (SELECT chunk_id FROM cut))', 'chunk_id')}),
@@ -540,7 +540,7 @@ cs AS (SELECT cut.*, semantic, CASE WHEN len(f.time) > 0 AND len(h.time) > 0 AND
 rs AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC NULLS LAST, round(score, 12) DESC, chunk_id) AS sr, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS cr FROM cs),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY conflicts, round(0.7::DOUBLE / (10 + sr) + 0.3::DOUBLE / (10 + cr), 12) DESC, semantic DESC NULLS LAST, round(score, 12) DESC, chunk_id) AS final_rank FROM rs),
 j1 AS (SELECT *, min(final_rank) OVER (PARTITION BY query_id, identity) AS ff FROM fr), j2 AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY ff) AS place FROM j1),
-page AS (SELECT *, max(CASE WHEN place <= 5 THEN ff END) OVER (PARTITION BY query_id) AS stop FROM j2 QUALIFY final_rank <= stop)
+page AS (SELECT *, max(CASE WHEN place = 5 THEN ff END) OVER (PARTITION BY query_id) AS stop FROM j2 QUALIFY stop IS NULL OR final_rank <= stop)
 SELECT query_id, p.chunk_id, final_rank::INT AS final_rank, round(semantic, 6) AS semantic, conflicts::INT AS conflicts, round(keyword, 6) AS keyword, round(vector, 6) AS vector, count(*) OVER (PARTITION BY query_id, p.chunk_id) AS doc_hits FROM page p"""
 
 

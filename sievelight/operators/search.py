@@ -186,13 +186,13 @@ def merge_branch_fields(hits: DataFrame, fields: list[str], branch_order: list[s
 
 
 def limit_identities(ranked: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """Rows of a page of ``limit`` identities: up to the row where the last one first appears, without those of earlier pages."""
+    """Rows of a page of ``limit`` identities: up to the row where the last one first appears (all rows where there are fewer), without those of earlier pages."""
     per = Window.partitionBy("query_id", "identity")
     seen = ranked.withColumn("first_rank", F.min("rank").over(per))
     number = F.dense_rank().over(Window.partitionBy("query_id").orderBy("first_rank"))
     seen = seen.withColumn("number", number)
-    cut = F.max(F.when(F.col("number") <= offset + limit, F.col("first_rank"))).over(Window.partitionBy("query_id"))
-    return seen.withColumn("cut", cut).filter((F.col("rank") <= F.col("cut")) & (F.col("number") > offset)).drop("cut", "first_rank", "number")
+    cut = F.max(F.when(F.col("number") == offset + limit, F.col("first_rank"))).over(Window.partitionBy("query_id"))
+    return seen.withColumn("cut", cut).filter((F.col("cut").isNull() | (F.col("rank") <= F.col("cut"))) & (F.col("number") > offset)).drop("cut", "first_rank", "number")
 
 
 def rerank_join(candidates: DataFrame, scores: DataFrame, mode: str = "probability") -> DataFrame:

@@ -7,10 +7,9 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-FOLDED = "stream_id string, answer string, n_pieces int, finished boolean"
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from sievelight.sources.versions import ChunkTable
 
 def fold_deltas(deltas: DataFrame) -> DataFrame:
     """(stream_id, answer, n_pieces): ``deltas(stream_id, seq, text)`` joined in order, each seq once."""
@@ -18,21 +17,70 @@ def fold_deltas(deltas: DataFrame) -> DataFrame:
     return once.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda d: d["text"]), "").alias("answer"), F.count("*").alias("n_pieces"))
 
 
-def fold_delta_stream(deltas: DataFrame) -> DataFrame:
-    """Streaming fold of ``deltas(stream_id, seq, text, finish)``: repeated and late seqs are ignored after the finish."""
+class _Fold(StatefulProcessor):
+    """Pieces of one stream by seq until all up to the finishing one are there."""
+
+    def __init__(self, idle_ms: int, grace_ms: int):
+        self.idle_ms, self.grace_ms = idle_ms, grace_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pieces = handle.getMapState("pieces", "seq int", "text string")
+        self.mark = handle.getValueState("mark", "last int, n int, done boolean, timer long")
 
-    def fold(key, batches, state: GroupState):
-        held, done = (dict(zip(*state.get[:2], strict=True)), state.get[2]) if state.exists else ({}, False)
-        for pdf in batches:
-            for row in pdf.sort_values("seq").itertuples():
-                if not done or row.seq < max(held, default=-1):
-                    held.setdefault(int(row.seq), row.text or "")
-                done = done or bool(row.finish)
-        order = sorted(held)
-        state.update((order, [held[i] for i in order], done))
-        yield pd.DataFrame({"stream_id": [key[0]], "answer": ["".join(held[i] for i in order)], "n_pieces": [len(order)], "finished": [done]})
+    def _wait(self, last: int, n: int, done: bool, now: int, before: int) -> None:
+        """Remember where the stream is, and until when."""
+        if before:
+            self.handle.deleteTimer(before)
+        at = now + (self.grace_ms if done else self.idle_ms)
+        self.handle.registerTimer(at)
+        self.mark.update((last, n, done, at))
 
-    return deltas.groupBy("stream_id").applyInPandasWithState(fold, FOLDED, "seqs array<int>, texts array<string>, done boolean", "update", GroupStateTimeout.NoTimeout)
+    def _answer(self, key, finished: bool) -> pd.DataFrame:
+        held = sorted((k[0], v[0]) for k, v in self.pieces.iterator())
+        self.pieces.clear()
+        return pd.DataFrame({"stream_id": [key[0]], "answer": ["".join(t for _, t in held)], "n_pieces": [len(held)], "finished": [finished]})
+
+    def handleInputRows(self, key, rows, timerValues):
+        last, n, done, timer = self.mark.get() if self.mark.exists() else (-1, 0, False, 0)
+        if done:
+            return
+        for pdf in rows:
+            for seq, text, finish in zip(pdf["seq"].tolist(), pdf["text"].tolist(), pdf["finish"].tolist(), strict=True):
+                if not self.pieces.containsKey((int(seq),)):
+                    self.pieces.updateValue((int(seq),), (text if isinstance(text, str) else "",))
+                    n += 1
+                last = int(seq) if finish else last
+        done = last >= 0 and n > last
+        if done:
+            yield self._answer(key, True)
+        self._wait(last, n, done, timerValues.getCurrentProcessingTimeInMs(), timer)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        last, n, done, _ = self.mark.get()
+        if not done:
+            yield self._answer(key, last >= 0)
+        self.mark.clear()
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def fold_delta_stream(deltas: DataFrame, idle: float = 600, grace: float = 600) -> DataFrame:
+    """Streaming fold of ``deltas(stream_id, seq, text, finish)``: a row (stream_id, answer, n_pieces, finished) per stream that ends.
+
+    A stream ends when all seqs from 0 to the finishing one are there, in any
+    order, or with what it has after ``idle`` seconds without a delta.  Pieces are
+    added to the state one by one, repeated seqs not at all, and go when the
+    stream ends; for ``grace`` seconds more a mark makes late deltas ignored, then
+    nothing is left.  The session gets the RocksDB state store.
+    """
+    deltas.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    folded = f"stream_id {deltas.schema['stream_id'].dataType.simpleString()}, answer string, n_pieces int, finished boolean"
+    return deltas.groupBy("stream_id").transformWithStateInPandas(_Fold(int(idle * 1000), int(grace * 1000)), folded, "Append", "ProcessingTime")
 
 
 def stream_timings(events: DataFrame) -> DataFrame:
@@ -43,21 +91,19 @@ def stream_timings(events: DataFrame) -> DataFrame:
     return gaps.groupBy("stream_id").agg(F.min("at").alias("first"), ((F.max("at") - F.min("at")) / 1e6).alias("span"), (F.coalesce(F.max("gap"), F.lit(0)) / 1e6).alias("max_gap"), F.sum(F.length("text")).alias("chars"))
 
 
-def incremental_ingest(stream: DataFrame, chunk: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Starts a query that chunks new documents and replaces theirs under ``path``, one folder per batch: a batch that runs again writes the same folder."""
+def incremental_ingest(stream: DataFrame, chunk: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "doc_id"):
+    """Starts a query that chunks new documents and puts the chunks in place of theirs in the ``ChunkTable`` under ``path``.
+
+    A batch is one version of the table: run again it changes nothing, and a
+    document whose new version has no chunk loses its old ones.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        chunk(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        ChunkTable(batch.sparkSession, path, key).replace(chunk(batch), batch.select(key), batch_id)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_chunks(ingested: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Chunks of each document's newest batch."""
-    newest = ingested.groupBy(key).agg(F.max("batch_id").alias("batch_id"))
-    return ingested.join(newest, [key, "batch_id"], "left_semi")
-
-
 def session_doc_state(docs: DataFrame, ttl: int = 7200) -> DataFrame:
     """Streaming newest document per session, (session_id, name, ts, live), for ``docs(session_id, ts, name)``.
 
