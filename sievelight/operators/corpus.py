@@ -15,7 +15,12 @@ SCHEMES = [
     [r"第[零一二三四五六七八九十百0-9]+章", r"第[零一二三四五六七八九十百0-9]+节", r"[零一二三四五六七八九十百]+[ 、]", r"[\(（][零一二三四五六七八九十百]+[\)）]", r"[\(（][0-9]{0,2}[\)）]"],
     [r"PART (ONE|TWO|THREE|FOUR|FIVE|SIX|SEVEN|EIGHT|NINE|TEN)", r"Chapter (I+V?|VI*|XI|IX|X)", r"Section [0-9]+", r"Article [0-9]+"],
 ]
-NOT_OUTLINE = r"^(?:0|[0-9]+ +[0-9~个只-]|[0-9]+\.{2,})"
+#: Beginnings that are no outline number (fixed values).
+NOT_OUTLINE = (
+    r"0",
+    r"[0-9]+ +[0-9~个只-]",
+    r"[0-9]+\.{2,}",
+)
 #: Cell types by pattern, first match wins (fixed values).
 CELL_TYPES = (
     ("Dt", r"^(20|19)[0-9]{2}[年/-][0-9]{1,2}[月/-][0-9]{1,2}日*$"),
@@ -173,7 +178,7 @@ def build_chunk_record(chunks: DataFrame, name: str = "name") -> DataFrame:
 
 
 def _starts(text: Column, pattern: str) -> Column:
-    return text.rlike("^(?:" + pattern + ")") & ~text.rlike(NOT_OUTLINE)
+    return text.rlike("^(?:" + pattern + ")") & ~text.rlike("^(?:" + "|".join(NOT_OUTLINE) + ")")
 
 
 def outline_scheme(sections: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -31,9 +31,8 @@ def entity_mentions(texts: DataFrame, registry: DataFrame) -> DataFrame:
     n = F.length("alias")
     gaps = F.transform(F.split("text", pattern, F.lit(-1)), lambda g: F.length(g))
     # The last gap has no hit behind it; a hit starts after its own gap and all gaps and hits before.
-    hit = hit.withColumn("row", F.monotonically_increasing_id())
-    cut = hit.select("text_id", "row", "alias", n.alias("n"), F.posexplode(F.slice(gaps, F.lit(1), F.size(gaps) - 1)).alias("i", "gap"))
-    before = F.sum("gap").over(Window.partitionBy("row").orderBy("i"))
+    cut = hit.select("text_id", "alias", n.alias("n"), F.posexplode(F.slice(gaps, F.lit(1), F.size(gaps) - 1)).alias("i", "gap"))
+    before = F.sum("gap").over(Window.partitionBy("text_id", "alias").orderBy("i"))
     found = cut.select("text_id", "alias", (before + F.col("i") * F.col("n")).cast("int").alias("start"), (before + (F.col("i") + 1) * F.col("n")).cast("int").alias("end"))
     # A hit inside a longer one falls to it: of equal starts the longest, and none that starts before the longest end so far.
     order = Window.partitionBy("text_id").orderBy("start", F.desc("end"), "alias")
