@@ -85,9 +85,12 @@ def retrieved(t: Tables) -> DataFrame:
 
 ATOMS = retrieval.top_sql(DEPTH) + """, atoms AS (SELECT item_id AS id, unnest([0, 0, 1, 1]) AS req, unnest([0, 1, 0, 0]) AS alt, unnest([0, 0, 0, 1]) AS atom, unnest([text, left(text, 60), left(text, 60), right(text, 60)]) AS text FROM benchmark),
 ret AS (SELECT query_id AS id, rank, chunk_id, text AS content FROM top JOIN documents ON doc_id = chunk_id)"""
-COVER = rf"""pairs AS (SELECT a.id, req, alt, atom, rank, chunk_id, {norm('a.text')} AS a, {norm('content')} AS b FROM atoms a JOIN ret USING (id)),
-m AS MATERIALIZED (SELECT id, req, alt, atom, rank, chunk_id, CASE WHEN a = '' OR b = '' THEN 0.0::DOUBLE WHEN contains(b, a) THEN 1.0::DOUBLE WHEN contains(a, b) THEN length(b) / length(a)
-  ELSE len(list_intersect({_grams('a', 'least(3, length(a))')}, {_grams('b', 'least(3, length(a))')})) / len({_grams('a', 'least(3, length(a))')}) END AS score FROM pairs)"""
+#: Grams are cut once per atom and once per content and width, then compared.
+COVER = rf"""na AS MATERIALIZED (SELECT *, {_grams('a', 'w')} AS ga FROM (SELECT *, least(3, length(a)) AS w FROM (SELECT id, req, alt, atom, {norm('text')} AS a FROM atoms))),
+texts_b AS MATERIALIZED (SELECT chunk_id, any_value({norm('content')}) AS b FROM ret GROUP BY chunk_id),
+nb AS MATERIALIZED (SELECT chunk_id, w, b, {_grams('b', 'w')} AS gb FROM texts_b, (SELECT DISTINCT w FROM na WHERE w > 0)),
+m AS MATERIALIZED (SELECT id, req, alt, atom, rank, ret.chunk_id, CASE WHEN a = '' OR b = '' THEN 0.0::DOUBLE WHEN contains(b, a) THEN 1.0::DOUBLE WHEN contains(a, b) THEN length(b) / length(a) ELSE len(list_intersect(ga, gb)) / len(ga) END AS score
+  FROM na JOIN ret USING (id) LEFT JOIN nb ON nb.chunk_id = ret.chunk_id AND nb.w = greatest(na.w, 1))"""
 REQS = f"""{ATOMS}, {COVER}, f AS (SELECT id, req, alt, atom, min(rank) AS fr FROM m WHERE score >= 0.8 GROUP BY ALL),
 alts AS (SELECT id, req, alt, count(*) AS n, count(fr) AS k, max(fr) AS last FROM atoms LEFT JOIN f USING (id, req, alt, atom) GROUP BY ALL),
 reqs AS (SELECT id, req, bool_or(n = k) AS matched, min(last) FILTER (n = k) AS matched_rank, round(max(k / n), 6) AS coverage FROM alts GROUP BY ALL)"""
