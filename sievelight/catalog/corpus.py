@@ -98,10 +98,19 @@ def d13(t):
     return D.content_ids(t.documents.select("doc_id", F.col("source").alias("name"), F.col("doc_id").alias("seq"), F.col("lang").alias("content"))).select("doc_id", "chunk_sha")
 
 
-@query("d14_build_chunk_record", r"SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS n_tokens, source AS title FROM documents")
+#: A text that is no Latin one, between table tags of all kinds and what only looks like them.
+TAGGED = '<table><tr><td class="x">可再生能源 装机</td><th>A1</th></tr></table> <tr- <table width="a longer one">'
+FINE = r"flatten(list_transform({}, lambda x: CASE WHEN regexp_full_match(x, '[\x{{4e00}}-\x{{9fff}}]{{3,}}') THEN list_transform(range(1, length(x)), lambda i: substr(x, i, 2)) ELSE [x] END))"
+
+
+@query("d14_build_chunk_record", rf"""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '{TAGGED}' ELSE text END AS content, CASE WHEN doc_id % 7 = 0 THEN '发电量报告' ELSE source END AS title FROM documents),
+t AS (SELECT doc_id, content, regexp_extract_all(lower(regexp_replace(coalesce(content, ''), '</?(table|td|caption|tr|th)( [^<>]{{0,12}})?>', ' ', 'g')), '[\p{{L}}\p{{N}}_]+') AS tokens, regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_]+') AS title FROM c)
+SELECT doc_id, length(content) AS chars, array_to_string(tokens, ' ') AS tokens, array_to_string({FINE.format('tokens')}, ' ') AS fine_tokens, array_to_string(title, ' ') AS title, array_to_string({FINE.format('title')}, ' ') AS title_fine FROM t""")
 def d14(t):
-    r = D.build_chunk_record(t.documents.select("doc_id", F.col("text").alias("content"), F.concat("source", F.lit(".txt")).alias("name")))
-    return r.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("title_tokens", " ").alias("title"))
+    other = F.col("doc_id") % 7 == 0
+    c = t.documents.select("doc_id", F.when(other, TAGGED).otherwise(F.col("text")).alias("content"), F.when(other, "发电量报告.pdf").otherwise(F.concat("source", F.lit(".txt"))).alias("name"))
+    joined = {"tokens": "tokens", "fine_tokens": "fine_tokens", "title": "title_tokens", "title_fine": "title_fine_tokens"}
+    return D.build_chunk_record(c).select("doc_id", F.length("content").cast("long").alias("chars"), *[F.array_join(v, " ").alias(k) for k, v in joined.items()])
 
 
 def outline(t):

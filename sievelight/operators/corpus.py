@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelight.functions.text import token_count, tokenize
+from sievelight.functions.text import fine_tokens, token_count, tokenize
 
 DELIMITERS = "\n!?;。；！？"
 #: Numbering schemes of outlines by level (fixed values).
@@ -171,10 +171,16 @@ def content_ids(df: DataFrame, name: str = "name", content: str = "content") ->
     return df.withColumn("doc_hash", F.xxhash64(name)).withColumn("chunk_sha", F.sha2(ident, 256))
 
 
+#: Tags of tables that are no words of a chunk (fixed value).
+TABLE_TAGS = r"</?(table|td|caption|tr|th)( [^<>]{0,12})?>"
+
+
 def build_chunk_record(chunks: DataFrame, name: str = "name") -> DataFrame:
-    """Content without table tags, its tokens, and the tokens of the file's stem."""
-    clean = F.regexp_replace("content", r"</?(table|td|caption|tr|th)( [^<>]{0,12})?>?", " ")
-    return chunks.withColumn("content", clean).withColumn("tokens", tokenize(F.col("content"))).withColumn("title_tokens", tokenize(F.regexp_replace(name, r"\.[A-Za-z]+$", "")))
+    """Chunks with coarse and finer tokens of their content, read without table tags, and of the file's stem; the content stays as it is."""
+    words = tokenize(F.regexp_replace("content", TABLE_TAGS, " "))
+    title = tokenize(F.regexp_replace(name, r"\.[A-Za-z]+$", ""))
+    out = chunks.withColumn("tokens", words).withColumn("title_tokens", title)
+    return out.withColumn("fine_tokens", fine_tokens(F.col("tokens"))).withColumn("title_fine_tokens", fine_tokens(F.col("title_tokens")))
 
 
 def _starts(text: Column, pattern: str) -> Column:
