@@ -62,5 +62,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def text_key(text: str = "text") -> Column:
-    """Key of a row's text: null and empty texts share one."""
+    """Key of a row's text: null and empty texts share one.
+
+    It has 64 bits: of 1e10 different texts about three pairs are expected to
+    share a key, and are then taken for equal.
+    """
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
