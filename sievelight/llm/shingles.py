@@ -6,16 +6,17 @@ similarity 4/5 share one of their first n - ceil(4n/5) + 1, so texts that share
 such a prefix shingle are the candidates:
 
 1. SimHash fingerprints of the candidates joined by BK-trees link most copies;
-2. rounds over the groups that share a prefix shingle: one member of each group,
-   another one every round, is compared with all that are not in its component
-   yet, until two rounds in a row link nothing;
-3. in groups of up to SMALL texts, all pairs across the components that are left.
-
-So work grows with the rows of a group and not with its pairs.  Step 3 finds every
-link in small groups; in larger ones a text is linked when one of the members it
-was compared with is similar, and ``tests/llm/test_shingles.py`` measures what that
-finds.  Candidates whose fingerprints differ in more than FAR bits are not compared:
-at similarity 0.8 about 10 bits differ, with a deviation of 3.
+2. a few rounds over the groups that share a prefix shingle: one member of each
+   group, another one every round, is compared with those that are not in its
+   component yet and whose fingerprint is not far;
+3. all pairs that are left across components, in groups of every size.
+
+The first two steps are for speed alone: they leave few components, so that few
+pairs are left.  Step 3 makes the result exact.  It drops pairs by three bounds that
+no similar pair breaks (sizes, places of the shared shingle, parities of the
+shingles per hash bucket) inside the join, compares the sets of the best pairs
+first, and of the rest after the components are merged, until no pair across two
+components is left unverified.
 
 The order is by hash, with shingles that many texts share at the end.  They are
 estimated from an eighth of the texts, and which ones are taken changes the
@@ -44,14 +45,20 @@ from sievelight.llm.tokens import SPACES, pieces, split_words
 WORDS = 5
 #: Shingles that come last in the order: held by HOT or more texts of every SAMPLE-th; the HOT_LIMIT most frequent of them at most.
 SAMPLE, HOT, HOT_LIMIT = 8, 3, 500_000
-#: Members of a group whose pairs are all compared.
-SMALL = 24
-#: Bits in which the fingerprints of candidates differ at most.
+#: Bits in which the fingerprints of candidates differ at most in the rounds; at similarity 0.8 about 10 differ.
 FAR = 24
+#: Longs of a text's parity sketch, one bit for each bucket of its shingles.
+LONGS = 8
+#: Sizes of one class differ by this factor at most; similar texts (5/4 at most) are in one class or in neighbours.
+CLASS = 1.26
+#: Members of a group that one task compares with all the others.
+BLOCK = 2048
 #: Pairs of one text are checked in so many groups at most.
 DEALS = 4096
-#: Rounds at most.
+#: Rounds before all pairs that are left.
 ROUNDS = 4
+#: Times that the best pair of each text and component goes first.
+BEST = 2
 #: Candidate keys up to which they are broadcast to the texts; more of them meet the texts by a shuffle.
 BROADCAST_KEYS = 500_000
 
@@ -97,13 +104,13 @@ def prefixes(docs: DataFrame, hot: list[int]) -> DataFrame:
 
 
 def shared_prefixes(docs: DataFrame) -> DataFrame:
-    """The different rows of ``prefixes`` whose shingle is in the prefix of another text, too, with the members of the shingle's group."""
+    """The different rows of ``prefixes`` whose shingle is in the prefix of another text, too."""
     some = prefixes(docs.filter(F.pmod("key", F.lit(SAMPLE)) == 0), []).select("tok", "key").distinct()
     hot = some.groupBy("tok").agg(F.count("*").alias("c")).filter(F.col("c") >= HOT).orderBy(F.desc("c"), "tok").limit(HOT_LIMIT)
     rows = prefixes(docs, hot.select("tok").toArrow().column("tok").to_pylist())
     group = Window.partitionBy("tok")
     rows = rows.withColumn("low", F.min("key").over(group)).withColumn("high", F.max("key").over(group)).filter("low <> high").drop("low", "high").distinct()
-    return rows.withColumn("members", F.count("*").over(group))
+    return rows
 
 
 def _packed(held: np.ndarray) -> bytes:
@@ -117,16 +124,27 @@ def _unpacked(held: bytes) -> np.ndarray:
     return np.unique(out.view(np.uint64).ravel())
 
 
+def _parities(held: np.ndarray) -> np.ndarray:
+    """LONGS longs: a bit is set where an odd number of the shingles fall into its bucket.
+
+    Each shingle that one of two sets has alone turns one bit, so the sets differ in as many shingles as their bits, or more.
+    """
+    odd = np.bincount((held.view(np.uint64) % np.uint64(64 * LONGS)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """(key, fp, held) of each different text of ``docs(key, text)``: its fingerprint and its packed shingles."""
+    """(key, fp, held, parity0, ...) of each different text of ``docs(key, text)``: its fingerprint, packed shingles and parity sketch."""
+    parities = [f"parity{i}" for i in range(LONGS)]
 
     def run(batches):
         for batch in pieces(batches, "text"):
-            held = [_packed(x) for x in shingles(batch.column("text"))]
+            sets = list(shingles(batch.column("text")))
+            held, odd = [_packed(x) for x in sets], np.array([_parities(x) for x in sets], np.int64).reshape(-1, LONGS)
             fps = [bktree._fingerprint(t or b"", WORDS) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(held, pa.binary())], ["key", "fp", "held"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(held, pa.binary()), *[pa.array(odd[:, i]) for i in range(LONGS)]], ["key", "fp", "held", *parities])
 
-    return docs.dropDuplicates(["key"]).select("key", "text").mapInArrow(run, "key long, fp long, held binary")
+    return docs.dropDuplicates(["key"]).select("key", "text").mapInArrow(run, "key long, fp long, held binary, " + ", ".join(f"{c} long" for c in parities))
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -192,13 +210,55 @@ def components(docs: DataFrame) -> DataFrame:
             break
         if not idle:
             roots = merged(roots, found)
-    # 3. All pairs across the components that small groups still hold.
-    group = Window.partitionBy("tok")  # SMALL rows at most
-    parted = _named(groups.filter(F.col("members") <= SMALL), roots).withColumn("low", F.min("root").over(group)).withColumn("high", F.max("root").over(group))
-    parted = materialize(parted.filter("low <> high").select("tok", "key", "n", "fp", "root"))
-    met = parted.join(parted.select("tok", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "fp", "root")]), "tok").filter("key < key_b")
-    rest = _pairs(met.filter(_comparable()), "key", "key_b").distinct().join(tried, ["a", "b"], "left_anti")
-    return merged(roots, similar(rest, sets))
+    # 3. All pairs that are left.
+    rest = materialize(remaining(groups, sets, roots).join(tried, ["a", "b"], "left_anti"))
+    for turn in range(BEST + 1):
+        ends = rest
+        for end in "ab":
+            ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+        ends = ends.withColumn("a_root", F.coalesce("a_root", "a")).withColumn("b_root", F.coalesce("b_root", "b")).filter("a_root <> b_root")
+        if turn < BEST:
+            pairs = ends.groupBy("a", "b_root").agg(F.min(F.struct("gap", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+        else:
+            pairs = ends.select("a", "b")
+        pairs = materialize(pairs)
+        if pairs.isEmpty():
+            break
+        before, roots = roots, merged(roots, similar(pairs, sets))
+        rest, tried = materialize(ends.select("a", "b", "gap").join(pairs, ["a", "b"], "left_anti")), rest
+        drop(before)
+        drop(tried)
+        drop(pairs)
+    return roots
+
+
+def remaining(groups: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b, gap): different pairs of keys in one group, but in two components, that no bound keeps from being similar; gap is the number of parities that differ.
+
+    A group is cut by size class: a text meets those of its own and of the next
+    larger class.  One side of a large class is dealt over blocks and the other
+    travels to each of them; pairs are tested inside the join, so only those that
+    pass come out of it.
+    """
+    parities = [f"parity{i}" for i in range(LONGS)]
+    named = _named(groups, roots).withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(CLASS))).cast("int"))
+    named = named.select("tok", "key", "n", "pos", "root", "class")
+    met = named.unionByName(named.withColumn("class", F.col("class") + 1)).groupBy("tok", "class")
+    met = met.agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    met = met.select("tok", "class", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    held = sets.select("key", *parities)
+    large = named.join(met, ["tok", "class"]).join(held, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks")
+    small = named.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1))).join(met, ["tok", "class"]).join(held, "key")
+    small = small.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    same = ["tok", "class", "block"]
+    small = small.select([F.col(c).alias(f"{c}_b") for c in (*same, "key", "n", "pos", "root", *parities)])
+    gap = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in parities), F.lit(0))
+    sizes = 5 * F.least("n", "n_b") >= 4 * F.greatest("n", "n_b")
+    # The first shingle that both sets hold has all others that they share behind it.
+    places = 9 * (1 + F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))) >= 4 * (F.col("n") + F.col("n_b"))
+    apart = (F.col("root") != F.col("root_b")) & sizes & places & (9 * gap <= F.col("n") + F.col("n_b"))
+    pairs = large.join(small, [*(F.col(c) == F.col(f"{c}_b") for c in same), apart])
+    return pairs.select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b"), gap.alias("gap")).distinct()
 
 
 def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -216,7 +276,7 @@ def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def _named(groups: DataFrame, roots: DataFrame) -> DataFrame:
     """``groups`` with the component of each key; a key without links is its own."""
-    named = groups.select("tok", "key", "n", "members", "fp").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    named = groups.select("tok", "key", "n", "pos", "fp").join(roots.withColumnRenamed("node", "key"), "key", "left")
     return named.withColumn("root", F.coalesce("root", "key"))
 
 

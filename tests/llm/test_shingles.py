@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from sievelight.llm import shingles
 
 
@@ -37,9 +39,11 @@ def test_all_pairs_of_four_fifths(spark):
     assert len(got) < len(rows)
 
 
-def test_large_groups(spark, monkeypatch):
-    """A group of near copies far larger than SMALL, by rounds: nearly all of its texts end in one component, and others stay."""
-    monkeypatch.setattr(shingles, "SMALL", 8)
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_large_groups(spark, monkeypatch, rounds):
+    """A large group of near copies, cut into blocks: exactly as by all pairs, however many rounds go before."""
+    monkeypatch.setattr(shingles, "BLOCK", 64)
+    monkeypatch.setattr(shingles, "ROUNDS", rounds)
     rng = random.Random(12)
     words = [f"w{i}" for i in range(200)]
     rows = []
@@ -57,5 +61,23 @@ def test_large_groups(spark, monkeypatch):
                 x, y = sorted((parent[a], parent[b]))
                 parent = [x if p == y else p for p in parent]
     got = {r["doc_id"] for r in shingles.deduplicate(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
-    want = set(parent)
-    assert want <= got and len(got) <= len(want) + 3
+    assert got == set(parent)
+
+
+def test_bounds_lose_no_pair(spark):
+    """Pairs right at and around the similarity, of sizes at class edges: the bounds keep every similar one."""
+    rng = random.Random(13)
+    rows = []
+    for n in (1, 2, 3, 4, 5, 9, 16, 44, 45, 90, 135):
+        base = [f"w{n}_{i}" for i in range(n + 4)]
+        rows.append(" ".join(base))
+        for more in {0, 1, n // 8, n // 4, n // 4 + 1}:
+            rows.append(" ".join([*base, *(f"e{rng.randrange(10**9)}" for _ in range(more))]))
+    grams = [_grams(t) for t in rows]
+    docs = spark.createDataFrame(list(enumerate(rows)), "key long, text string").dropDuplicates(["text"])
+    held = {r["key"] for r in docs.collect()}
+    shared, sets = shingles.shared_prefixes(docs), shingles.described(docs)
+    roots = spark.createDataFrame([], "node long, root long")
+    got = {(r["a"], r["b"]) for r in shingles.remaining(shared.join(sets.select("key", "fp"), "key"), sets, roots).collect()}
+    want = {(a, b) for b in held for a in held if a < b and 9 * len(grams[a] & grams[b]) >= 4 * (len(grams[a]) + len(grams[b]))}
+    assert want and want <= got
