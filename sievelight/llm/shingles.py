@@ -6,17 +6,14 @@ similarity 4/5 share one of their first n - ceil(4n/5) + 1, so texts that share
 such a prefix shingle are the candidates:
 
 1. SimHash fingerprints of the candidates joined by BK-trees link most copies;
-2. a few rounds over the groups that share a prefix shingle: one member of each
-   group, another one every round, is compared with those that are not in its
-   component yet and whose fingerprint is not far;
-3. all pairs that are left across components, in groups of every size.
-
-The first two steps are for speed alone: they leave few components, so that few
-pairs are left.  Step 3 makes the result exact.  It drops pairs by three bounds that
-no similar pair breaks (sizes, places of the shared shingle, parities of the
-shingles per hash bucket) inside the join, compares the sets of the best pairs
-first, and of the rest after the components are merged, until no pair across two
-components is left unverified.
+2. all pairs that are left across components, in groups of every size.
+
+The first step is for speed alone: it leaves few components, so that few pairs are
+left.  The second makes the result exact.  It drops pairs by three bounds that no
+similar pair breaks (sizes, places of the shared shingle, parities of the shingles
+per hash bucket) inside the join, compares the sets of the best pairs first, and of
+the rest after the components are merged, until no pair across two components is
+left unverified.
 
 The order is by hash, with shingles that many texts share at the end.  They are
 estimated from an eighth of the texts, and which ones are taken changes the
@@ -45,8 +42,6 @@ from sievelight.llm.tokens import SPACES, pieces, split_words
 WORDS = 5
 #: Shingles that come last in the order: held by HOT or more texts of every SAMPLE-th; the HOT_LIMIT most frequent of them at most.
 SAMPLE, HOT, HOT_LIMIT = 8, 3, 500_000
-#: Bits in which the fingerprints of candidates differ at most in the rounds; at similarity 0.8 about 10 differ.
-FAR = 24
 #: Longs of a text's parity sketch, one bit for each bucket of its shingles.
 LONGS = 8
 #: Sizes of one class differ by this factor at most; similar texts (5/4 at most) are in one class or in neighbours.
@@ -55,9 +50,7 @@ CLASS = 1.26
 BLOCK = 2048
 #: Pairs of one text are checked in so many groups at most.
 DEALS = 4096
-#: Rounds before all pairs that are left.
-ROUNDS = 4
-#: Times that the best pair of each text and component goes first.
+#: Times that the best pair of each text and component goes first, before all that are left.
 BEST = 2
 #: Candidate keys up to which they are broadcast to the texts; more of them meet the texts by a shuffle.
 BROADCAST_KEYS = 500_000
@@ -186,32 +179,16 @@ def components(docs: DataFrame) -> DataFrame:
     keys = materialize(shared.select("key").distinct())
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     sets = materialize(described(docs.join(F.broadcast(keys) if few else keys, "key", "left_semi")))
-    groups = materialize(shared.join(sets.select("key", "fp"), "key"))
-    drop(shared)
     # 1. Equal and near fingerprints.
     firsts = materialize(sets.groupBy("fp").agg(F.min("key").alias("first")))
     alike = sets.join(firsts, "fp").select(F.col("key").alias("x"), F.col("first").alias("y"))
     near = bktree.links(firsts.select("fp")).join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
     tried = materialize(_pairs(alike.unionByName(near.select("x", "y")), "x", "y").distinct())
     roots = merged(None, similar(tried, sets))
-    # 2. Groups by rounds; a group that is one component is done.
-    idle = 0
-    for turn in range(ROUNDS):
-        named = _named(groups, roots)
-        hubs = named.groupBy("tok").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("h"), "key", "n", "fp", "root")).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high"))
-        before, groups = groups, materialize(named.join(hubs.filter("low <> high").select("tok", "hub"), "tok"))
-        drop(before)
-        met = groups.select("key", "n", "fp", "root", F.col("hub.key").alias("key_b"), F.col("hub.n").alias("n_b"), F.col("hub.fp").alias("fp_b"), F.col("hub.root").alias("root_b"))
-        pairs = materialize(_pairs(met.filter(_comparable()), "key", "key_b").distinct().join(tried, ["a", "b"], "left_anti"))
-        found = similar(pairs, sets)
-        idle = idle + 1 if found.isEmpty() else 0
-        tried = tried.unionByName(pairs)
-        if idle == 2:
-            break
-        if not idle:
-            roots = merged(roots, found)
-    # 3. All pairs that are left.
-    rest = materialize(remaining(groups, sets, roots).join(tried, ["a", "b"], "left_anti"))
+    # 2. All pairs that are left.
+    rest = materialize(remaining(shared, sets, roots).join(tried, ["a", "b"], "left_anti"))
+    for table in (shared, tried, firsts):
+        drop(table)
     for turn in range(BEST + 1):
         ends = rest
         for end in "ab":
@@ -225,14 +202,15 @@ def components(docs: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             break
         before, roots = roots, merged(roots, similar(pairs, sets))
-        rest, tried = materialize(ends.select("a", "b", "gap").join(pairs, ["a", "b"], "left_anti")), rest
-        drop(before)
-        drop(tried)
-        drop(pairs)
+        read, rest = rest, materialize(ends.select("a", "b", "gap").join(pairs, ["a", "b"], "left_anti"))
+        for table in (before, read, pairs):
+            drop(table)
+    for table in (rest, sets, keys):
+        drop(table)
     return roots
 
 
-def remaining(groups: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+def remaining(shared: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     """(a, b, gap): different pairs of keys in one group, but in two components, that no bound keeps from being similar; gap is the number of parities that differ.
 
     A group is cut by size class: a text meets those of its own and of the next
@@ -241,7 +219,7 @@ def remaining(groups: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame
     pass come out of it.
     """
     parities = [f"parity{i}" for i in range(LONGS)]
-    named = _named(groups, roots).withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(CLASS))).cast("int"))
+    named = _named(shared, roots).withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(CLASS))).cast("int"))
     named = named.select("tok", "key", "n", "pos", "root", "class")
     met = named.unionByName(named.withColumn("class", F.col("class") + 1)).groupBy("tok", "class")
     met = met.agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
@@ -276,14 +254,7 @@ def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def _named(groups: DataFrame, roots: DataFrame) -> DataFrame:
     """``groups`` with the component of each key; a key without links is its own."""
-    named = groups.select("tok", "key", "n", "pos", "fp").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    return named.withColumn("root", F.coalesce("root", "key"))
-
-
-def _comparable():
-    """Texts of two components whose sizes and fingerprints allow the similarity."""
-    sizes = 5 * F.least("n", "n_b") >= 4 * F.greatest("n", "n_b")
-    return (F.col("root") != F.col("root_b")) & sizes & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= FAR)
+    return groups.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
