@@ -461,3 +461,27 @@ def test_nested_json_sections(spark):
     json = '{"a": {"b": {"c": {"d": {"e": [1, {"f": 2}]}}}}, "g": 3}'
     out = "".join(r["section"] for r in D.json_sections(spark.createDataFrame([(1, json)], "doc_id long, json string")).orderBy("pos").collect())
     assert out.splitlines() == ["/a/b/c/d/e/0=1", "/a/b/c/d/e/1/f=2", "/g=3"]
+
+
+def test_knn_of_odd_vectors_is_that_of_a_fold(spark):
+    """Null, zero, not finite, of another length, and many copies: what the built-in cosine gives, ranked alike."""
+    from pyspark.sql import Window
+
+    vectors = [[float(i % 7) - 3, float(i % 5), 1.0] for i in range(40)] + [[1.0, 2.0, 3.0]] * 30 + [None, [0.0, 0.0, 0.0], [1.0, None, 2.0], [float("nan"), 1.0, 1.0], [1.0, 1.0]]
+    v = spark.createDataFrame(list(enumerate(vectors)), "chunk_id long, embedding array<double>")
+    q = v.filter("chunk_id % 3 = 0 or chunk_id >= 70").selectExpr("chunk_id AS query_id", "embedding AS qvec")
+    unit = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    for least, k in ((0.1, 6), (-1.0, 6), (0.1, 1000)):
+        dot = F.aggregate(F.zip_with("qvec", "embedding", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        score = F.when((unit(F.col("qvec")) > 0) & (unit(F.col("embedding")) > 0), dot / (unit(F.col("qvec")) * unit(F.col("embedding")))).otherwise(0.0)
+        order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
+        plain = q.crossJoin(v).select("query_id", "chunk_id", score.alias("score")).filter(F.col("score") >= least).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        shown = lambda rows: sorted((r["query_id"], r["rank"], r["chunk_id"], str(r["score"])) for r in rows)
+        assert shown(R.knn(q, v, k, least, block=20).collect()) == shown(plain.collect()), (least, k)
+
+
+def test_knn_sends_no_row_per_pair(spark):
+    """Scores are made and cut inside the task of a block: no join of queries and vectors is in the plan."""
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "chunk_id long, embedding array<double>")
+    plan = R.knn(v.selectExpr("chunk_id AS query_id", "embedding AS qvec"), v, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CoGroup" in plan
