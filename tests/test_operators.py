@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import os
 import time
 
 import pytest
@@ -485,3 +486,14 @@ def test_knn_sends_no_row_per_pair(spark):
     v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "chunk_id long, embedding array<double>")
     plan = R.knn(v.selectExpr("chunk_id AS query_id", "embedding AS qvec"), v, 2)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "CoGroup" in plan
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_even_weights_search_nothing(spark):
+    from sievelight.catalog import registry, retrieval
+
+    t = registry.Tables(spark, "/root/testdata/sf0.001")
+    weights = retrieval.even_weights(t)
+    assert "embedding" not in weights._jdf.queryExecution().executedPlan().toString()
+    asked = {(r["query_id"], r["branch"]) for r in weights.collect()}
+    assert {(r["query_id"], r["branch"]) for r in retrieval.rankings(t).select("query_id", "branch").distinct().collect()} <= asked
