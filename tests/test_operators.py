@@ -497,3 +497,19 @@ def test_even_weights_search_nothing(spark):
     assert "embedding" not in weights._jdf.queryExecution().executedPlan().toString()
     asked = {(r["query_id"], r["branch"]) for r in weights.collect()}
     assert {(r["query_id"], r["branch"]) for r in retrieval.rankings(t).select("query_id", "branch").distinct().collect()} <= asked
+
+
+def test_matched_tags_are_those_of_a_join(spark):
+    """Blocks give what a join of all terms gives, with rows of one chunk, repeated tokens, null tags and keys without a match; no pair of key and chunk is a row."""
+    from sievelight.operators import terms as W
+
+    rows = [(i % 37, [f"t{(i * k) % 11}" for k in range(1, 7)], ["a", None if i % 5 == 0 else f"x{i % 3}"]) for i in range(60)] + [(99, None, ["a"]), (None, ["t1", "t2"], ["a"])]
+    c = spark.createDataFrame(rows, "chunk_id long, tokens array<string>, tags array<string>")
+    terms = spark.createDataFrame([(q, f"t{(q + k) % 13}") for q in range(9) for k in range(4)], "q long, term string")
+    for least in (1, 3):
+        posts = W.postings(c).filter("chunk_id is not null")
+        hit = terms.join(posts, "term").groupBy("q", "chunk_id").agg(F.count("*").alias("m")).filter(F.col("m") >= least)
+        plain = hit.join(c.select("chunk_id", F.explode("tags").alias("tag")), "chunk_id").groupBy("q", "tag").agg(F.count("*").alias("c"))
+        got = W.matched_tags(terms, c, "q", least)
+        assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
