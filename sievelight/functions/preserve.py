@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sievelight.functions.text import ALIASES, LOCATOR, canonical_text, let, quote, reporting_periods, to_halfwidth
+from sievelight.functions.text import ALIASES, LOCATOR, canonical_text, let, quote, reporting_periods, to_halfwidth, where_cjk
 
 # Anchor patterns by kind.
 ANCHORS = {
@@ -52,13 +52,20 @@ OPERATORS = {"不高于": "<=", "不超过": "<=", "至多": "<=", "小于等于
 HARD_TERMS = ("不含", "不包括", "不考虑", "实际", "预测", "累计", "新增", "单季度", "全年", "扣非")
 
 
+#: Anchors of which every match holds a Chinese character.
+CHINESE = {ANCHORS[k] for k in ("locator", "relative_time", "negation", "canonical_term")}
+
+
 def _any(words) -> str:
     """Pattern of any of the words, longest first."""
     return "|".join(quote(w) for w in sorted(set(words), key=lambda w: (-len(w), w)))
 
 
 def _found(text: Column, pattern: str) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != ""))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if pattern in CHINESE:
+        found = where_cjk(text, found, F.array().cast("array<string>"))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != ""))
 
 
 def organizations(c: Column, known: list[str] | None = None) -> Column:
@@ -72,21 +79,24 @@ def organizations(c: Column, known: list[str] | None = None) -> Column:
     fields = [n for k, names in ALIASES.items() for n in (k, *names) if not n.isascii()]
     masked = F.regexp_replace(text, _any(fields), " ")
     masked = F.regexp_replace(F.regexp_replace(masked, ANCHORS["date"], " "), ANCHORS["relative_time"], " ")
+    # Every name ends in Chinese, so a text without has none.
     names = F.transform(F.regexp_extract_all(masked, F.lit(ORGANIZATION), F.lit(0)), lambda x: F.trim(F.regexp_replace(F.trim(x), LEAD_IN, "")))
     generic = F.array(*[F.lit(n) for n in GENERIC_NAMES])
-    return F.array_distinct(F.filter(names, lambda x: (x != "") & F.contains(text, x) & ~F.array_contains(generic, x) & ~F.endswith(x, F.lit("的公司")) & (F.length(x) <= 20)))
+    kept = F.array_distinct(F.filter(names, lambda x: (x != "") & F.contains(text, x) & ~F.array_contains(generic, x) & ~F.endswith(x, F.lit("的公司")) & (F.length(x) <= 20)))
+    return where_cjk(text, kept, F.array().cast("array<string>"))
 
 
 def named_terms(c: Column) -> Column:
     """Persons and places of "A at B works" clauses, and named projects, products, devices and models."""
     text = F.coalesce(c, F.lit(""))
     pairs = F.zip_with(F.regexp_extract_all(text, F.lit(AT_PLACE), F.lit(1)), F.regexp_extract_all(text, F.lit(AT_PLACE), F.lit(2)), lambda a, b: F.array(a, b))
-    return F.array_distinct(F.concat(F.flatten(pairs), F.regexp_extract_all(text, F.lit(NAMED_THING), F.lit(0))))
+    return where_cjk(text, F.array_distinct(F.concat(F.flatten(pairs), F.regexp_extract_all(text, F.lit(NAMED_THING), F.lit(0)))), F.array().cast("array<string>"))
 
 
 def metric_terms(c: Column) -> Column:
     """Metrics and statement fields of the canonical text, the longest name at a place."""
-    return F.array_distinct(F.regexp_extract_all(canonical_text(c), F.lit(_any(METRICS + STATEMENT_FIELDS)), F.lit(0)))
+    pattern = _any(METRICS + STATEMENT_FIELDS)
+    return F.array_distinct(let(canonical_text(c), lambda x: where_cjk(x, F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))))
 
 
 def anchors(c: Column, known: list[str] | None = None) -> Column:

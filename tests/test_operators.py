@@ -494,7 +494,7 @@ def test_even_weights_search_nothing(spark):
 
     t = registry.Tables(spark, "/root/testdata/sf0.001")
     weights = retrieval.even_weights(t)
-    assert "embedding" not in weights._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in weights._jdf.queryExecution().executedPlan().toString()
     asked = {(r["query_id"], r["branch"]) for r in weights.collect()}
     assert {(r["query_id"], r["branch"]) for r in retrieval.rankings(t).select("query_id", "branch").distinct().collect()} <= asked
 
@@ -513,3 +513,47 @@ def test_matched_tags_are_those_of_a_join(spark):
         got = W.matched_tags(terms, c, "q", least)
         assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
         assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_short_tokens_are_merged_without_copying_what_is_done(spark):
+    """As a plain loop does; no fold that copies its result for each token."""
+    import random
+
+    def plain(t):
+        short = lambda x: (len(x) == 1 or x in ("ab", "07")) and x not in T.STOP_WORDS
+        if len(t) > 1 and short(t[0]) and len(t[1]) > 1 and not t[1][0].isascii():
+            return [f"{t[0]} {t[1]}", *plain_runs(t[2:], short)]
+        return plain_runs(t, short)
+
+    def plain_runs(t, short):
+        out, run = [], []
+        for x in [*t, None]:
+            if x is not None and short(x):
+                run.append(x)
+                continue
+            while len(run) > 4:
+                out.append(" ".join(run[:2]))
+                run = run[2:]
+            out += ([" ".join(run)] if run else []) + ([x] if x is not None else [])
+            run = []
+        return out
+
+    pick = random.Random(5)
+    rows = [([pick.choice(["x", "ab", "07", "long", "煤电", "是"]) if pick.random() < 0.8 else "y" for _ in range(n % 23)],) for n in range(200)]
+    df = spark.createDataFrame(rows, "t array<string>").select("t", T.merge_short_tokens(F.col("t")).alias("m"))
+    assert [r["m"] for r in df.collect()] == [plain(r["t"]) for r in df.collect()]
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_without_chinese_skip_its_patterns(spark):
+    plan = spark.range(1).select(preserve.organizations(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert T.CJK_ON in plan or "2e7f" in plan
+    assert one(spark, preserve.organizations(A), "plain Latin 电力") == [] and one(spark, preserve.organizations(A), "国电电力") == ["国电电力"]
+
+
+def test_short_rows_are_spread_whatever_the_splits(spark):
+    from sievelight.sources.tables import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.createDataFrame([(i,) for i in range(400)], "k long").coalesce(1).unionByName(*[spark.createDataFrame([], "k long").repartition(2 * cores)])
+    assert max(spread(many).rdd.glom().map(len).collect()) < 400
