@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelight.functions import text as T
+from sievelight.sources.tables import by_key
 
 REQUIREMENTS = "array<struct<id:string,alternatives:array<array<struct<id:string,type:string,document_name:string,text:string,row_cells:array<string>>>>>>"
 ATOM_TYPES = ("text", "table_row", "figure")
@@ -299,14 +300,18 @@ def citation_scores(claims: DataFrame, judgments: DataFrame) -> DataFrame:
 
     A claim with other than one valid judgment leaves the case incomplete, without scores.
     """
-    bad = F.col("supported") & F.col("requires") & (F.size("judged_ids") <= 0)
-    j = judgments.select("case_id", "claim_index", "requires", "supported", F.col("citation_ids").alias("judged_ids")).withColumn("valid", ~F.coalesce(bad, F.lit(True)))
-    one = j.groupBy("case_id", "claim_index").agg(F.count("*").alias("n"), F.bool_and("valid").alias("valid"), F.first("requires").alias("requires"), F.first("supported").alias("supported"))
-    joined = claims.join(one, ["case_id", "claim_index"], "left")
-    fine = F.coalesce((F.col("n") == 1) & F.col("valid"), F.lit(False))
-    need = fine & F.col("requires")
-    cited = need & (F.size("citation_ids") > 0)
-    out = joined.groupBy("case_id").agg(F.bool_and(fine).alias("complete"), F.count_if(need).alias("need"), F.count_if(need & F.col("supported")).alias("good"), F.count_if(cited).alias("cited"), F.count_if(cited & F.col("supported")).alias("cited_good"))
+    bad = F.col("supported") & F.col("requires") & (F.size("citation_ids") <= 0)
+    none = lambda kind: F.lit(None).cast(kind)
+    # Claims and judgments are counted together per claim, then per case; nothing is joined.
+    c = claims.select("case_id", "claim_index", F.lit(1).alias("claim"), (F.size("citation_ids") > 0).cast("int").alias("cites"), none("int").alias("judged"), none("boolean").alias("valid"), none("boolean").alias("requires"), none("boolean").alias("supported"))
+    j = judgments.select("case_id", "claim_index", none("int").alias("claim"), none("int").alias("cites"), F.lit(1).alias("judged"), (~F.coalesce(bad, F.lit(True))).alias("valid"), "requires", "supported")
+    one = by_key(c.unionByName(j), "case_id").groupBy("case_id", "claim_index").agg(
+        F.count("claim").alias("claims"), F.coalesce(F.sum("cites"), F.lit(0)).alias("cites"), F.count("judged").alias("n"), F.bool_and("valid").alias("valid"), F.max("requires").alias("requires"), F.max("supported").alias("supported")
+    )
+    fine = F.coalesce((F.col("n") == 1) & F.col("valid") & F.col("case_id").isNotNull() & F.col("claim_index").isNotNull(), F.lit(False))
+    times = lambda count, *given: F.coalesce(F.sum(F.when(reduce(lambda a, b: a & b, given), F.col(count))), F.lit(0))
+    need, good = (fine, F.col("requires")), (fine, F.col("requires"), F.col("supported"))
+    out = one.filter("claims > 0").groupBy("case_id").agg(F.bool_and(fine).alias("complete"), times("claims", *need).alias("need"), times("claims", *good).alias("good"), times("cites", *need).alias("cited"), times("cites", *good).alias("cited_good"))
     scored = lambda part, whole: F.when(F.col("complete"), rate(F.col(part), F.col(whole)))
     return out.select("case_id", "complete", scored("cited", "need").alias("completeness"), scored("cited_good", "cited").alias("precision"), scored("good", "need").alias("recall"))
 

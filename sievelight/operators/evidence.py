@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelight.sources.tables import by_key
+
 from sievelight.functions.text import mixed_terms
 
 
@@ -127,13 +129,16 @@ def dictionary_encode_rows(rows: DataFrame) -> DataFrame:
 
 def validate_assessments(assessments: DataFrame, goals: DataFrame, most_missing: int = 8) -> DataFrame:
     """(question_id, rule): goals not assessed exactly once, support without sources, a verdict that contradicts what is missing, too much missing."""
-    per_goal = goals.join(assessments.groupBy("question_id", "goal_id").agg(F.count("*").alias("n")), ["question_id", "goal_id"], "left")
-    once = per_goal.filter(F.coalesce("n", F.lit(0)) != 1).select("question_id", F.lit("goal_not_once").alias("rule"))
-    unsourced = assessments.filter((F.col("status") == "supported") & (F.size("supporting_ids") <= 0)).select("question_id", F.lit("support_without_source").alias("rule"))
-    verdict = assessments.groupBy("question_id").agg(F.first("sufficient").alias("s"), F.count_if(F.col("status") == "missing").alias("m"))
-    contradiction = verdict.filter(F.col("s") != (F.col("m") == 0)).select("question_id", F.lit("verdict_contradicts_missing").alias("rule"))
-    many = verdict.filter(F.col("m") > most_missing).select("question_id", F.lit("too_many_missing").alias("rule"))
-    return once.unionByName(unsourced).unionByName(contradiction).unionByName(many).distinct()
+    # One pass: goals and assessments are counted together per goal, then per question; nothing is joined.
+    asked = goals.select("question_id", "goal_id", F.lit(1).alias("asked"), *[F.lit(None).cast(x).alias(n) for n, x in (("held", "int"), ("unsourced", "int"), ("missing", "int"), ("s", "boolean"))])
+    marks = {"asked": F.lit(None).cast("int"), "held": F.lit(1), "unsourced": ((F.col("status") == "supported") & (F.size("supporting_ids") <= 0)).cast("int"), "missing": (F.col("status") == "missing").cast("int"), "s": F.col("sufficient")}
+    rows = asked.unionByName(assessments.select("question_id", "goal_id", *[c.alias(n) for n, c in marks.items()]))
+    per_goal = by_key(rows, "question_id").groupBy("question_id", "goal_id").agg(F.max("asked").alias("asked"), F.count("held").alias("n"), F.max("unsourced").alias("unsourced"), F.coalesce(F.sum("missing"), F.lit(0)).alias("m"), F.any_value("s", True).alias("s"))
+    once = (F.col("asked") == 1) & ((F.col("n") != 1) | F.col("question_id").isNull() | F.col("goal_id").isNull())
+    per = per_goal.groupBy("question_id").agg(F.bool_or(once).alias("once"), F.max("unsourced").alias("unsourced"), F.sum("m").alias("m"), F.any_value("s", True).alias("s"))
+    rules = {"goal_not_once": F.col("once"), "support_without_source": F.col("unsourced") == 1, "verdict_contradicts_missing": F.col("s") != (F.col("m") == 0), "too_many_missing": F.col("m") > most_missing}
+    found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))
+    return per.select("question_id", F.explode(found).alias("rule"))
 
 
 def merge_gap(previous: DataFrame, partial: DataFrame) -> DataFrame:
