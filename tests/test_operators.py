@@ -575,3 +575,12 @@ def test_citations_are_scored_in_one_pass(spark):
     got = V.citation_scores(claims, judged)
     assert sorted(map(tuple, got.select("case_id", "complete", "completeness", "precision", "recall").collect())) == [(1, True, 0.5, 1.0, 0.5), (2, False, None, None, None), (3, False, None, None, None), (4, True, 0.5, 1.0, 1.0)]
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_hybrid_similarity_broadcasts_terms_and_query_vectors(spark):
+    """Only what a chunk has once is dealt again, its vector: no pair of query and chunk is sorted for a join."""
+    from sievelight.catalog import registry
+
+    plan = registry.QUERIES["w08_hybrid_similarity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan.split("InMemoryRelation")[0]
