@@ -6,10 +6,12 @@ similarity 4/5 share one of their first n - ceil(4n/5) + 1, so texts that share
 such a prefix shingle are the candidates:
 
 1. SimHash fingerprints of the candidates joined by BK-trees link most copies;
-2. all pairs that are left across components, in groups of every size.
+2. in large groups, lots of members meet inside tasks, each of which sends on a
+   forest of its closest pairs across components: fewer rows than members;
+3. all pairs that are left across components, in groups of every size.
 
-The first step is for speed alone: it leaves few components, so that few pairs are
-left.  The second makes the result exact.  It drops pairs by three bounds that no
+The first two steps are for speed alone: they leave few components, so that few
+pairs are left.  The third makes the result exact.  It drops pairs by three bounds that no
 similar pair breaks (sizes, places of the shared shingle, parities of the shingles
 per hash bucket) inside the join, compares the sets of the best pairs first, and of
 the rest after the components are merged, until no pair across two components is
@@ -48,6 +50,8 @@ LONGS = 8
 CLASS = 1.26
 #: Members of a group that one task compares with all the others.
 BLOCK = 2048
+#: Texts that share a shingle, from which on their group is large; members of it that meet in one task, and times that they are dealt anew.
+LARGE, LOT, LOTS = 64, 256, 2
 #: Pairs of one text are checked in so many groups at most.
 DEALS = 4096
 #: Times that the best pair of each text and component goes first, before all that are left.
@@ -185,7 +189,17 @@ def components(docs: DataFrame) -> DataFrame:
     near = bktree.links(firsts.select("fp")).join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
     tried = materialize(_pairs(alike.unionByName(near.select("x", "y")), "x", "y").distinct())
     roots = merged(None, similar(tried, sets))
-    # 2. All pairs that are left.
+    # 2. Closest pairs in large groups.
+    for turn in range(LOTS):
+        pairs = materialize(closest(shared, sets, roots, turn).join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            drop(pairs)
+            break
+        before = roots, tried
+        roots, tried = merged(roots, similar(pairs, sets)), materialize(tried.unionByName(pairs))
+        for table in (*before, pairs):
+            drop(table)
+    # 3. All pairs that are left.
     rest = materialize(remaining(shared, sets, roots).join(tried, ["a", "b"], "left_anti"))
     for table in (shared, tried, firsts):
         drop(table)
@@ -210,6 +224,39 @@ def components(docs: DataFrame) -> DataFrame:
     return roots
 
 
+def _forest(members: pa.Table) -> pa.Table:
+    """(a, b) of a lot of ``members(key, root, n, parity0, ...)``: closest first, pairs that no bound of ``remaining`` rules out and that connect its components."""
+    column = lambda name: members.column(name).to_numpy()
+    key, n, (_, root) = column("key"), column("n").astype(np.int64), np.unique(column("root"), return_inverse=True)
+    gap = np.zeros((len(key), len(key)), np.int64)
+    for i in range(LONGS):
+        odd = column(f"parity{i}").view(np.uint64)
+        gap += np.bitwise_count(odd[:, None] ^ odd[None, :])
+    fit = (root[:, None] < root[None, :]) & (9 * gap <= n[:, None] + n[None, :]) & (5 * np.minimum.outer(n, n) >= 4 * np.maximum.outer(n, n))
+    x, y = np.nonzero(fit)
+    near = np.lexsort((key[y], key[x], gap[x, y]))
+    x, y, links, kept = x[near], y[near], bktree._Links(), []
+    for at, (i, j) in enumerate(zip(root[x].tolist(), root[y].tolist(), strict=True)):
+        links.add(i, j)
+        if len(links.pairs) > len(kept):
+            kept.append(at)
+    kept = np.array(kept, np.int64)
+    return pa.table([np.minimum(key[x[kept]], key[y[kept]]), np.maximum(key[x[kept]], key[y[kept]])], ["a", "b"])
+
+
+def closest(shared: DataFrame, sets: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """(a, b): pairs across components of large groups, fewer than members; which ones depends on ``turn``.
+
+    A text takes part in one of its large groups, which texts with the same
+    groups choose alike, and there in one lot of about LOT members.
+    """
+    large = shared.groupBy("tok").agg(F.count("*").alias("c")).filter(F.col("c") >= LARGE)
+    one = shared.join(large, "tok").groupBy("key").agg(F.first("n").alias("n"), F.max_by(F.struct("tok", "c"), F.struct(F.xxhash64("tok", F.lit(turn)), "tok")).alias("group"))
+    one = one.select("key", "n", "group.tok", F.pmod(F.xxhash64("key", F.lit(turn)), F.ceil(F.col("group.c") / LOT)).alias("lot"))
+    members = _named(one, roots).join(sets.drop("fp", "held"), "key")
+    return members.groupBy("tok", "lot").applyInArrow(_forest, "a long, b long").distinct()
+
+
 def remaining(shared: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     """(a, b, gap): different pairs of keys in one group, but in two components, that no bound keeps from being similar; gap is the number of parities that differ.
 
@@ -226,15 +273,17 @@ def remaining(shared: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame
     met = met.select("tok", "class", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     held = sets.select("key", *parities)
     large = named.join(met, ["tok", "class"]).join(held, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks")
-    small = named.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1))).join(met, ["tok", "class"]).join(held, "key")
+    small = named.select("tok", "key", "n", "pos", "root", F.posexplode(F.array(F.col("class"), F.col("class") + 1)).alias("raised", "class")).join(met, ["tok", "class"]).join(held, "key")
     small = small.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     same = ["tok", "class", "block"]
-    small = small.select([F.col(c).alias(f"{c}_b") for c in (*same, "key", "n", "pos", "root", *parities)])
+    small = small.select([F.col(c).alias(f"{c}_b") for c in (*same, "raised", "key", "n", "pos", "root", *parities)])
     gap = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in parities), F.lit(0))
     sizes = 5 * F.least("n", "n_b") >= 4 * F.greatest("n", "n_b")
     # The first shingle that both sets hold has all others that they share behind it.
     places = 9 * (1 + F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))) >= 4 * (F.col("n") + F.col("n_b"))
-    apart = (F.col("root") != F.col("root_b")) & sizes & places & (9 * gap <= F.col("n") + F.col("n_b"))
+    # Two texts of one class meet twice.
+    once = (F.col("raised_b") > 0) | (F.col("key") < F.col("key_b"))
+    apart = (F.col("root") != F.col("root_b")) & once & sizes & places & (9 * gap <= F.col("n") + F.col("n_b"))
     pairs = large.join(small, [*(F.col(c) == F.col(f"{c}_b") for c in same), apart])
     return pairs.select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b"), gap.alias("gap")).distinct()
 

@@ -82,3 +82,22 @@ def test_bounds_lose_no_pair(spark):
     got = {(r["a"], r["b"]) for r in shingles.remaining(shared, sets, roots).collect()}
     want = {(a, b) for b in held for a in held if a < b and 9 * len(grams[a] & grams[b]) >= 4 * (len(grams[a]) + len(grams[b]))}
     assert want and want <= got
+
+
+def test_pairs_of_a_large_group_grow_with_its_members(spark, monkeypatch):
+    """Near copies beyond 4 bits of SimHash, all in one group: few pairs across components are left for the join, and the result is that of the join alone."""
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(150)]
+    rows = []
+    for _ in range(400):
+        copy = list(words)
+        for at in rng.sample(range(150), rng.choice((1, 2, 3))):
+            copy[at] = f"v{rng.randrange(9000)}"
+        rows.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    left, remaining = [], shingles.remaining
+    monkeypatch.setattr(shingles, "remaining", lambda *tables: left.append(remaining(*tables).count()) or remaining(*tables))
+    got = sorted(r["doc_id"] for r in shingles.deduplicate(docs).collect())
+    monkeypatch.setattr(shingles, "LOTS", 0)
+    assert got == sorted(r["doc_id"] for r in shingles.deduplicate(docs).collect())
+    assert left[0] <= len(rows) < left[1], left
