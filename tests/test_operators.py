@@ -584,3 +584,33 @@ def test_hybrid_similarity_broadcasts_terms_and_query_vectors(spark):
 
     plan = registry.QUERIES["w08_hybrid_similarity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan.split("InMemoryRelation")[0]
+
+
+def test_canonical_text_by_all_rules_in_turn(spark):
+    """Texts with and without Chinese characters: as by every rule in its order, also where one rule's term makes another's name; few patterns run over all of a text."""
+    import random
+    import re
+
+    aliases = {"ab": ["eps"], "eps": ["xx", "第一"], "市": ["第"], "dps": ["eps2"]}
+    rng = random.Random(5)
+    plain = ["2020", "1999", "-", "—", "−", " ", "q1", "q2", "q11", "h1", "h2", "eps", "pe", "P/E", "pb", "dps", "FCFF", "x", "\n", "%", "é"]
+    parts = plain + ["年", "季度", "第", "一", "二", "营收", "装机量", "本", "公司", "上年度", "到", "至", "，", "Ｑ", "１", "第一", "今年"]
+    texts = ["".join(rng.choice(p) for _ in range(rng.randrange(1, 14))) for p in (plain, parts) for _ in range(1500)] + ["", None]
+
+    def rules(*tables):
+        names = {o.lower(): t.lower() for table in tables for t, others in table.items() for o in others}
+        named = [(rf"(?<![a-z]){re.escape(o)}(?![a-z])" if o.isascii() else re.escape(o), t) for o, t in sorted(names.items(), key=lambda x: len(x[0]), reverse=True)]
+        return [*((p, re.sub(r"\$(\d)", r"\\\1", t)) for p, t in T.SPELLINGS), *named]
+
+    def wanted(text, table):
+        out = (text or "").translate(str.maketrans(T.FULL_WIDTH, T.HALF_WIDTH)).lower()
+        for pattern, put in rules(table, T.EVERYDAY):
+            out = re.sub(pattern, put, out, flags=re.ASCII)
+        return "".join(ch for ch in out if ch.isalpha() or ch.isdigit() or ch in "+-%./<>=")
+
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for table in (T.ALIASES, aliases):
+        got = docs.select("text", T.canonical_text(F.col("text"), table).alias("c")).collect()
+        assert [(r["text"], r["c"]) for r in got] == [(t, wanted(t, table)) for t in texts]
+    plan = docs.select(T.canonical_text(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("replace(") and plan.count("RLIKE") >= 4
