@@ -18,6 +18,7 @@ from sievelight.operators import evaluation as V
 from sievelight.operators import evidence as E
 from sievelight.operators import search as R
 from sievelight.operators import tables as B
+from sievelight.operators import terms as W
 from sievelight.operators.constraints import constraint_compatibility
 from sievelight.plans import hybrid
 from sievelight.sources.versions import ChunkTable
@@ -586,6 +587,24 @@ def test_hybrid_similarity_broadcasts_terms_and_query_vectors(spark):
     assert "SortMergeJoin" not in plan.split("InMemoryRelation")[0]
 
 
+@pytest.mark.parametrize("bound", [0, 1000])
+def test_paragraph_weights_stay_with_their_chunk(spark, monkeypatch, bound):
+    """As by a join with the statistics of all terms, whether these are broadcast or not; where they are, only tokens are shuffled, by chunk."""
+    monkeypatch.setattr(W, "BROADCAST_STATS", bound)
+    texts = ["solar power 2024", "solar " * 12 + "grid a", "once " * 11 + "rare rare", "", "2024 42 grid"]
+    chunks = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "chunk_id long, text string").select("chunk_id", T.tokenize(F.col("text")).alias("tokens"))
+    chunks = chunks.unionByName(spark.createDataFrame([(7, ["grid", None, "new"])], "chunk_id long, tokens array<string>"))
+    posts, stats = W.postings(chunks), W.term_stats(chunks)
+    raw = posts.join(stats, "term").withColumn("raw", W.raw_weight(F.col("term"), F.col("freq"), F.col("df")))
+    wanted = {(r["chunk_id"], r["term"]): r["w"] for r in raw.join(raw.groupBy("chunk_id").agg(F.sum(F.col("raw") * F.col("tf")).alias("s")), "chunk_id").select("chunk_id", "term", (F.col("raw") / F.col("s")).alias("w")).collect()}
+    weights = W.paragraph_weights(posts, stats)
+    got = {(r["chunk_id"], r["term"]): r["weight"] for r in weights.collect()}
+    assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-12 for k in got)
+    if bound:
+        plan = weights._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_canonical_text_by_all_rules_in_turn(spark):
     """Texts with and without Chinese characters: as by every rule in its order, also where one rule's term makes another's name; few patterns run over all of a text."""
     import random
