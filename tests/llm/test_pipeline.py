@@ -66,3 +66,28 @@ def test_run(spark, tmp_path):
     taken, _ = mixed_by_hand(sized, rank)
     got = {(r["doc_id"], r["text"], r["source"], r["taken"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {(i, text, source, taken[i]) for i, text, _, source, _ in hidden if taken[i]}
+
+
+def test_batches_of_texts_are_short(spark):
+    """Every stage reads its texts in short Arrow batches; a session that sets shorter ones keeps them."""
+    setting, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('word ', 9) AS text", "'en' AS lang", "'s' AS source", "45L AS n_chars").coalesce(1)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    def longest():
+        return max(r["n"] for r in corpus_pipeline.documents(spark, docs).mapInArrow(sizes, "n long").collect())
+
+    try:
+        for given, most in ((10000, corpus_pipeline.BATCH_ROWS), (0, corpus_pipeline.BATCH_ROWS), (100, 100)):
+            spark.conf.set(setting, given)
+            assert longest() == most
+        spark.conf.set(setting, 10000)
+        corpus_pipeline.hide_personal_data(spark, docs, "")
+        assert int(spark.conf.get(setting)) == corpus_pipeline.BATCH_ROWS
+    finally:
+        spark.conf.set(setting, before)
