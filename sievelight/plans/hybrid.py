@@ -11,6 +11,7 @@ from sievelight.operators import search as R
 from sievelight.operators import terms as W
 from sievelight.operators.constraints import compare_facts, constraint_facts
 from sievelight.operators.joins import settled, small
+from sievelight.sources.tables import spread
 
 BRANCHES = ["keyword_original", "keyword_expanded", "vector_original"]
 
@@ -66,8 +67,8 @@ def keyword_hits(texts: DataFrame, chunks: DataFrame, synonyms: DataFrame, optio
     main = next(iter(indexes.values()))
     weights = settled(W.question_weights(tokens, main.stats()), cached)
     terms = settled(W.query_terms(weights, synonyms), cached)
-    scored = R.bm25(terms, {name: (index, options.fields[name]) for name, index in indexes.items()})
-    return R.top_matching(scored, terms.filter("not latin"), options.branch_top, options.min_match, options.relaxed_match), weights, main
+    fields = {name: (index, options.fields[name]) for name, index in indexes.items()}
+    return R.best_bm25(terms, fields, options.branch_top, options.min_match, options.relaxed_match), weights, main
 
 
 def search(
@@ -125,7 +126,7 @@ def search(
 
     # A question and a chunk state their constraints once, however many pairs they are in.
     shown = R.rerank_text(_with_texts(live)).join(small(kept.select("chunk_id").distinct()), "chunk_id", "left_semi")
-    facts = shown.select("chunk_id", constraint_facts(F.col("rerank_text")).alias("held"))
+    facts = spread(shown.select("chunk_id", "rerank_text")).select("chunk_id", constraint_facts(F.col("rerank_text")).alias("held"))
     wanted = queries.select("query_id", constraint_facts(F.col("text"), asking=True).alias("asked"))
     conflicts = compare_facts(kept.select("query_id", "chunk_id").join(wanted, "query_id").join(facts, "chunk_id")).select("query_id", "chunk_id", F.col("n_conflicts").alias("conflicts"))
     page = R.final_rank(scored.join(conflicts, ["query_id", "chunk_id"]), options.rerank_weight, options.final_k, options.page_size, (options.page - 1) * options.page_size)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import json
 import os
+import random
 import time
 
 import pytest
@@ -633,3 +634,31 @@ def test_canonical_text_by_all_rules_in_turn(spark):
         assert [(r["text"], r["c"]) for r in got] == [(t, wanted(t, table)) for t in texts]
     plan = docs.select(T.canonical_text(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("replace(") and plan.count("RLIKE") >= 4
+
+
+def test_best_bm25_keeps_what_top_matching_of_bm25_does(spark, monkeypatch):
+    """Postings looked up in tasks and scores added up in blocks, against plain joins: ties, repeated chunks, two fields, relaxed queries."""
+    rng = random.Random(19)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i % 150, [rng.choice(words) for _ in range(rng.randrange(9))], [rng.choice(words[:3])]) for i in range(160)] + [(200, None, ["w0"]), (201, [], [])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, tokens array<string>, title array<string>")
+    asked = [(q, q % 2 == 0, g, rng.choice([*words, "w1 w2", "w3 w3", "w0 w5", "absent"]), 0.5 + rng.randrange(3) / 4) for q in range(6) for g in range(9)] + [(7, False, g, t, 1.0) for g, t in enumerate(["w0 w1", *(f"absent{i}" for i in range(9))])]
+    terms = spark.createDataFrame([(((q,), *rest)) for q, *rest in asked], "query_id struct<query_id: int>, latin boolean, grp int, term string, boost double")
+
+    def posts(name):
+        return {(r["chunk_id"], r["term"]): r["tf"] for r in W.build_index(chunks, terms.select("term"), name, pairs=True).rows.collect()}
+
+    looked_up = {name: posts(name) for name in ("tokens", "title")}
+    monkeypatch.setattr(W, "listed", lambda df: None)
+    assert looked_up == {name: posts(name) for name in ("tokens", "title")}
+    monkeypatch.undo()
+    fields = {name: (W.build_index(chunks, terms.select("term"), name, pairs=True), boost) for name, boost in (("tokens", 2.0), ("title", 10.0))}
+
+    def best(df):
+        return sorted((r["query_id"][0], r["rank"], r["chunk_id"], round(r["score"], 8)) for r in df.collect())
+
+    expected = best(R.top_matching(R.bm25(terms, fields), terms.filter("not latin"), 7, 0.5, 0.1))
+    assert best(R.best_bm25(terms, fields, 7, 0.5, 0.1)) == expected and len(expected) > 40
+    monkeypatch.setattr(R, "BLOCK_CHUNKS", 20)
+    monkeypatch.setattr("sievelight.operators.products.SLICE_CELLS", 50)
+    assert best(R.best_bm25(terms, fields, 7, 0.5, 0.1)) == expected == best(R.best_bm25(terms, fields, 7, 0.5, 0.1, rows=3))
