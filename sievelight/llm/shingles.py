@@ -58,6 +58,8 @@ DEALS = 4096
 BEST = 2
 #: Candidate keys up to which they are broadcast to the texts; more of them meet the texts by a shuffle.
 BROADCAST_KEYS = 500_000
+#: Rows that say where a set must go, up to which they are broadcast to the sets; more of them meet the sets by a shuffle.
+BROADCAST_NEEDS = 200_000
 
 
 def shingles(texts: pa.Array, k: int = WORDS):
@@ -148,11 +150,13 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``pairs(a, b)`` of keys of ``sets(key, held)`` whose shingle sets have similarity 4/5 or more.
 
     A text's pairs are dealt by the other text, so that those of a text with many
-    partners do not gather in one task; its set travels once to each deal.
+    partners do not gather in one task; its set travels once to each deal.  Sets
+    without a pair do not travel while pairs are few.
     """
     dealt = materialize(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(DEALS)).cast("int").alias("deal")))
     needs = dealt.select(F.col("b").alias("key"), "a", "deal").unionByName(dealt.select(F.col("a").alias("key"), "a", "deal").distinct())
-    groups = sets.select("key", "held").join(needs, "key").groupBy("a", "deal").agg(F.collect_list(F.struct("key", "held")).alias("members"))
+    few = 2 * dealt.limit(BROADCAST_NEEDS + 1).count() <= BROADCAST_NEEDS
+    groups = sets.select("key", "held").join(F.broadcast(needs) if few else needs, "key").groupBy("a", "deal").agg(F.collect_list(F.struct("key", "held")).alias("members"))
 
     def run(batches):
         for batch in batches:
@@ -261,15 +265,16 @@ def remaining(shared: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame
     """(a, b, gap): different pairs of keys in one group, but in two components, that no bound keeps from being similar; gap is the number of parities that differ.
 
     A group is cut by size class: a text meets those of its own and of the next
-    larger class.  One side of a large class is dealt over blocks and the other
+    larger class; groups without any of the larger one are left out.  One side of a large class is dealt over blocks and the other
     travels to each of them; pairs are tested inside the join, so only those that
     pass come out of it.
     """
     parities = [f"parity{i}" for i in range(LONGS)]
     named = _named(shared, roots).withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(CLASS))).cast("int"))
     named = named.select("tok", "key", "n", "pos", "root", "class")
-    met = named.unionByName(named.withColumn("class", F.col("class") + 1)).groupBy("tok", "class")
-    met = met.agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    both = named.withColumn("raised", F.lit(0)).unionByName(named.withColumn("class", F.col("class") + 1).withColumn("raised", F.lit(1)))
+    met = both.groupBy("tok", "class").agg(F.count("*").alias("c"), F.min("raised").alias("raised"), F.min("root").alias("low"), F.max("root").alias("high"))
+    met = met.filter("raised = 0 AND low <> high")
     met = met.select("tok", "class", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     held = sets.select("key", *parities)
     large = named.join(met, ["tok", "class"]).join(held, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 
 import pytest
 
-from sievelight.llm import shingles
+from sievelight.llm import shingles, store
 
 
 def _grams(text: str | None) -> set:
@@ -101,3 +103,36 @@ def test_pairs_of_a_large_group_grow_with_its_members(spark, monkeypatch):
     monkeypatch.setattr(shingles, "LOTS", 0)
     assert got == sorted(r["doc_id"] for r in shingles.deduplicate(docs).collect())
     assert left[0] <= len(rows) < left[1], left
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_sets_travel_only_where_pairs_need_them(spark, monkeypatch, most):
+    """Few pairs are broadcast to the sets, many meet them by a shuffle: the same similar ones, as by all pairs."""
+    monkeypatch.setattr(shingles, "BROADCAST_NEEDS", most)
+    words = [f"w{i}" for i in range(60)]
+    rows = [" ".join([*words[: 60 - i], *(f"v{i}_{j}" for j in range(i))]) for i in range(12)] + [f"alone {i}" for i in range(300)]
+    grams = [_grams(t) for t in rows]
+    sets = store.materialize(shingles.described(spark.createDataFrame(list(enumerate(rows)), "key long, text string")))
+    pairs = spark.createDataFrame([(a, b) for b in range(14) for a in range(b)], "a long, b long")
+    dealt, inputs = store.materialize, []
+    monkeypatch.setattr(shingles, "materialize", lambda df: inputs.append(df) or dealt(df))
+    got = {(r["a"], r["b"]) for r in shingles.similar(pairs, sets).collect()}
+    assert got == {(a, b) for b in range(14) for a in range(b) if 9 * len(grams[a] & grams[b]) >= 4 * (len(grams[a]) + len(grams[b]))}
+    assert ("ResolvedHint (strategy=broadcast)" in inputs[-1]._jdf.queryExecution().analyzed().toString()) == bool(most)
+
+
+def test_shuffle_files_of_a_table_go_with_its_write(spark):
+    """Tables follow each other without gathering shuffle files on the disks; the session's setting stays as it was."""
+    found = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    before, tables = found(), []
+    for given in (None, "false"):
+        if given:
+            spark.conf.set(store.CLEANUP, given)
+        tables.append(store.materialize(spark.range(5000).repartition(4, "id").groupBy("id").count()))
+        assert spark.conf.get(store.CLEANUP, None) == given
+    spark.conf.unset(store.CLEANUP)
+    end = time.time() + 10
+    while found() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not found() - before
+    assert [t.count() for t in tables] == [5000, 5000]
